@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from ruleweave import vocab
 from ruleweave.functions.text import (
-    col, compact, contains_any, direction_code, distinct_codes, fold, fold_unquoted, level_of_code,
+    DIRECTION_CODE,
+    col, compact, contains_any, direction_code, distinct_codes, fold, fold_unquoted, let, level_of_code,
 )
 
 
@@ -34,7 +35,7 @@ def single_holder(
 def pattern_score(folded: Column, pattern: str = vocab.MIN_SCORE_PATTERN) -> Column:
     """Number caught by the pattern, kept only inside 0..100."""
     number = F.regexp_extract(folded, pattern, 1).try_cast("int")
-    return F.when(number.between(0, 100), number)
+    return let(number, lambda n: F.when(n.between(0, 100), n))
 
 
 def cell_score(value: Column | str) -> Column:
@@ -44,13 +45,14 @@ def cell_score(value: Column | str) -> Column:
 
 def holder_statuses(value: Column | str) -> Column:
     """All holder kinds named in a cell, winner first."""
-    text = fold_unquoted(value)
-    return F.array_compact(
-        F.array(
+    named = let(
+        fold_unquoted(value),
+        lambda text: F.array(
             F.when(F.contains(text, F.lit(vocab.WINNER_FRAGMENT)), "winner"),
             F.when(F.contains(text, F.lit(vocab.PRIZE_FRAGMENT)), "prize_winner"),
-        )
+        ),
     )
+    return F.array_compact(named)
 
 
 def exact_subject(value: Column | str, aliases: tuple[tuple[str, str], ...] = vocab.SUBJECT_ALIASES) -> Column:
@@ -60,30 +62,28 @@ def exact_subject(value: Column | str, aliases: tuple[tuple[str, str], ...] = vo
 
 def selectors(value: Column | str) -> Column:
     """All full codes of a cell, else its one exact name, else nothing for a collective phrase."""
-    text = compact(value)
-    codes = distinct_codes(text)
-    collective = contains_any(fold_unquoted(text), vocab.PROHIBITED_SELECTORS)
-    return (
-        F.when(F.size(codes) > 0, codes)
-        .when((text == "") | collective, F.array().cast("array<string>"))
-        .otherwise(F.array(text))
-    )
+    def chosen(text: Column) -> Column:
+        collective = contains_any(fold_unquoted(text), vocab.PROHIBITED_SELECTORS)
+        return (
+            F.when(text.rlike(DIRECTION_CODE), distinct_codes(text))
+            .when((text == "") | collective, F.array().cast("array<string>"))
+            .otherwise(F.array(text))
+        )
+
+    return let(compact(value), chosen)
 
 
 def cell_benefit(header: Column | str, value: Column | str, generic: Column | bool = False) -> Column:
     """Benefit granted by a (header, cell) pair; 100 points is tested before admission without exams."""
-    head, text = fold_unquoted(header), fold_unquoted(value)
     is_generic = F.lit(generic) if isinstance(generic, bool) else generic
-    empty = (text == "") | text.isin(*vocab.NO_BENEFIT)
-    return (
-        F.when(empty, F.lit(None).cast("string"))
-        .when(
-            F.contains(head, F.lit(vocab.HUNDRED_HEADER))
-            | (is_generic & contains_any(text, vocab.HUNDRED_VALUES)),
-            "hundred_points",
-        )
-        .when(contains_any(head, vocab.BVI_WORDS) | (is_generic & contains_any(text, vocab.BVI_WORDS)), "bvi")
-    )
+
+    def kind(head: Column, text: Column) -> Column:
+        hundred = F.contains(head, F.lit(vocab.HUNDRED_HEADER)) | (is_generic & contains_any(text, vocab.HUNDRED_VALUES))
+        bvi = contains_any(head, vocab.BVI_WORDS) | (is_generic & contains_any(text, vocab.BVI_WORDS))
+        granted = ~((text == "") | text.isin(*vocab.NO_BENEFIT))
+        return F.when(granted & hundred, "hundred_points").when(granted & bvi, "bvi")
+
+    return let(fold_unquoted(header), lambda head: let(fold_unquoted(value), lambda text: kind(head, text)))
 
 
 def _list_pattern(separator: str, starts: tuple[str, ...]) -> str:
@@ -103,61 +103,67 @@ def strict_titles(
     exception: str = vocab.LIST_EXCEPTION,
 ) -> Column:
     """Split at semicolons and at commas before a new title; a part without the noun voids the list."""
-    text = compact(value)
     pattern = rf"(?iuU)\s*(?:;|,\s+(?=(?:{'|'.join(starts)})\b))\s*"
-    parts = F.filter(F.transform(F.split(text, pattern, -1), lambda part: compact(part)), lambda part: part != "")
-    sound = F.forall(
-        parts,
-        lambda part: F.contains(fold_unquoted(part), F.lit(noun)) | (fold_unquoted(part) == exception),
-    )
-    return F.when((text == "") | (text == "*") | ~sound, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(parts)
-    )
+    none = F.array().cast("array<string>")
+
+    def sound(part: Column) -> Column:
+        return let(fold_unquoted(part), lambda text: F.contains(text, F.lit(noun)) | (text == exception))
+
+    def titles(text: Column) -> Column:
+        parts = F.filter(F.transform(F.split(text, pattern, -1), lambda p: compact(p)), lambda p: p != "")
+        return F.when(text.isin("", "*"), none).otherwise(
+            let(parts, lambda found: F.when(F.forall(found, sound), F.array_distinct(found)).otherwise(none))
+        )
+
+    return let(compact(value), titles)
 
 
 def subject_tags(value: Column | str) -> Column:
     """Distinct subject tags in rule order, or the default tag."""
-    text = F.lower(col(value))
-    tags = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.when(F.contains(text, F.lit(word)), F.array(*[F.lit(t) for t in tagged])).otherwise(
-                        F.array().cast("array<string>")
-                    )
-                    for word, tagged in vocab.SUBJECT_TAGS
-                ]
-            )
-        )
+    none = F.array().cast("array<string>")
+
+    def tagged(text: Column) -> Column:
+        hits = [
+            F.when(F.contains(text, F.lit(word)), F.array(*[F.lit(tag) for tag in tags])).otherwise(none)
+            for word, tags in vocab.SUBJECT_TAGS
+        ]
+        return F.array_distinct(F.flatten(F.array(*hits)))
+
+    return let(
+        let(F.lower(col(value)), tagged),
+        lambda tags: F.when(F.size(tags) == 0, F.array(F.lit(vocab.DEFAULT_SUBJECT))).otherwise(tags),
     )
-    return F.when(F.size(tags) == 0, F.array(F.lit(vocab.DEFAULT_SUBJECT))).otherwise(tags)
 
 
 def split_code(value: Column | str) -> Column:
     """Struct (code, title): the title is the text after the code, else the text before it."""
-    text = compact(value)
     pattern = r"(?s)^(.*?)(?<!\d)(\d{2}\.\d{2}\.\d{2})(?!\d)(.*)$"
-    code = F.regexp_extract(text, pattern, 2)
-    edge = F.lit(" —–-:;,")
-    before = F.btrim(compact(F.regexp_extract(text, pattern, 1)), edge)
-    after = F.btrim(compact(F.regexp_extract(text, pattern, 3)), edge)
-    return F.struct(
-        F.when(code != "", code).alias("code"),
-        F.when(code == "", text).when(after != "", after).otherwise(before).alias("title"),
-    )
+
+    def part(text: Column, group: int) -> Column:
+        return F.btrim(compact(F.regexp_extract(text, pattern, group)), F.lit(" —–-:;,"))
+
+    def parts(text: Column) -> Column:
+        titled = let(part(text, 3), lambda after: F.when(after != "", after).otherwise(part(text, 1)))
+        found = text.rlike(DIRECTION_CODE)
+        return F.struct(
+            F.when(found, F.regexp_extract(text, DIRECTION_CODE, 1)).alias("code"),
+            F.when(found, titled).otherwise(text).alias("title"),
+        )
+
+    return let(compact(value), parts)
 
 
 def is_direction(code: Column | str) -> Column:
     """Bachelor and specialist directions only: local course identifiers are not admitted."""
-    value = F.coalesce(direction_code(code), F.lit(""))
-    first, level, last = (F.split_part(value, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3))
-    return F.coalesce(first.between(1, 99) & level.isin(3, 5) & last.between(1, 99), F.lit(False))
+    return F.coalesce(direction_code(code).rlike(r"^(?!00)\d\d\.0[35]\.(?!00)\d\d$"), F.lit(False))
 
 
 def valid_name(value: Column | str) -> Column:
-    text = compact(value)
-    return (
-        F.length(text).between(3, 240) & text.rlike(r"\p{L}") & ~contains_any(fold(text), vocab.BLOCKED_NAMES)
+    return let(
+        compact(value),
+        lambda text: F.length(text).between(3, 240)
+        & text.rlike(r"\p{L}")
+        & ~contains_any(fold(text), vocab.BLOCKED_NAMES),
     )
 
 

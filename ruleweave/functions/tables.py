@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ruleweave.functions import arrays
-from ruleweave.functions.text import SPACE, col, compact, contains_all, contains_any, fold, strip
+from ruleweave.functions.text import SPACE, col, compact, contains_all, contains_any, fold, let, strip
 
 TABLE_LINE = rf"(?U)^{SPACE}*\|"
 HEADING_LINE = rf"(?U)^{SPACE}*#"
@@ -35,16 +35,18 @@ def cells_are_rule(cells: Column) -> Column:
 
 
 def is_separator(line: Column | str) -> Column:
-    return (strip(line) != "") & cells_are_rule(table_cells(line))
+    return let(col(line), lambda text: (strip(text) != "") & cells_are_rule(table_cells(text)))
 
 
 def term_score(cells: Column, terms: tuple[str, ...]) -> Column:
     """Number of (cell, term) pairs where the folded cell contains the term."""
-    folded = F.transform(cells, lambda cell: fold(cell))
-    score = F.lit(0)
-    for term in terms:
-        score = score + F.size(F.filter(folded, lambda cell: F.contains(cell, F.lit(term))))
-    return score
+    def hits(cell: Column) -> Column:
+        total = F.lit(0)
+        for term in terms:
+            total = total + F.contains(cell, F.lit(term)).cast("int")
+        return total
+
+    return F.aggregate(cells, F.lit(0), lambda total, cell: total + let(fold(cell), hits))
 
 
 def any_alias(headers: Column, aliases: tuple[str, ...]) -> Column:

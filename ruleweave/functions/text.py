@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import html.entities
 import json
+import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -28,6 +30,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times.
+
+    Inside array lambdas the engine shares no common subexpressions, so an expression that is
+    written n times runs n times there; a one-element array binds it to a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value: Column | str) -> Column:
     return F.btrim(col(value), F.lit(STRIP_SET))
 
@@ -64,10 +75,10 @@ def fold_tokens(value: Column | str) -> Column:
 
 
 def contains_any(value: Column, fragments: list[str] | tuple[str, ...]) -> Column:
-    result = F.lit(False)
-    for fragment in fragments:
-        result = result | F.contains(value, F.lit(fragment))
-    return result
+    """Any of the fragments occurs: one pass over one value, as an alternation of literals."""
+    if not fragments:
+        return F.lit(False)
+    return value.rlike("|".join(re.escape(fragment) for fragment in fragments))
 
 
 def contains_all(value: Column, fragments: list[str] | tuple[str, ...]) -> Column:
@@ -101,8 +112,7 @@ def distinct_codes(value: Column | str) -> Column:
 
 
 def direction_code(value: Column | str) -> Column:
-    stripped = strip(value)
-    return F.when(stripped.rlike(FULL_CODE), stripped)
+    return let(strip(value), lambda stripped: F.when(stripped.rlike(FULL_CODE), stripped))
 
 
 def level_of_code(code: Column | str) -> Column:
@@ -139,9 +149,12 @@ def unescape(value: Column | str) -> Column:
     The distinct references of a value are decoded once each and replaced longest first; those
     that decode to an ampersand come last so that no reference is decoded twice.
     """
+    return let(col(value), _unescaped)
+
+
+def _unescaped(text: Column) -> Column:
     table, bare = _entity_table()
     names = F.from_json(F.lit(table), "map<string,string>")
-    text = col(value)
     token = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(token), 0))
 
@@ -163,11 +176,14 @@ def unescape(value: Column | str) -> Column:
 
     pairs = F.transform(
         found,
-        lambda ref: F.struct(
-            F.when(decoded(ref) == "&", 1).otherwise(0).alias("late"),
-            (-F.length(ref)).alias("rank"),
-            ref.alias("ref"),
-            decoded(ref).alias("text"),
+        lambda ref: let(
+            decoded(ref),
+            lambda plain: F.struct(
+                F.when(plain == "&", 1).otherwise(0).alias("late"),
+                (-F.length(ref)).alias("rank"),
+                ref.alias("ref"),
+                plain.alias("text"),
+            ),
         ),
     )
     done = F.aggregate(F.array_sort(pairs), text, lambda acc, pair: F.replace(acc, pair["ref"], pair["text"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ruleweave import vocab
-from ruleweave.functions.text import col
+from ruleweave.functions.text import col, let
 
 URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -14,6 +14,16 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, URI, group)
 
 
+def _parts(url: Column) -> Column:
+    return F.struct(
+        F.lower(_part(url, 1)).alias("scheme"),
+        _part(url, 2).alias("authority"),
+        _part(url, 3).alias("path"),
+        _part(url, 4).alias("query"),
+        url.rlike(r"^[^#]*\?").alias("has_query"),
+    )
+
+
 def host_of(url: Column | str) -> Column:
     authority = F.regexp_replace(_part(col(url), 2), r"^.*@", "")
     return F.lower(F.regexp_replace(authority, r":[^:\]]*$", ""))
@@ -51,60 +61,58 @@ def _clean_query(query: Column) -> Column:
     def value(pair: Column) -> Column:
         return decode(F.regexp_extract(pair, r"(?s)^[^=]*=(.*)$", 1))
 
-    kept = F.filter(
-        F.split(query, "&", -1),
-        lambda pair: (pair != "")
-        & ~F.lower(key(pair)).isin(*vocab.TRACKING_KEYS)
-        & ~F.startswith(F.lower(key(pair)), F.lit("utm_")),
-    )
+    tracking = "^(?i)(" + "|".join(vocab.TRACKING_KEYS) + ")$|^(?i)utm_"
+    kept = F.filter(F.split(query, "&", -1), lambda pair: (pair != "") & ~key(pair).rlike(tracking))
     return F.array_join(F.transform(kept, lambda pair: F.concat(encode(key(pair)), F.lit("="), encode(value(pair)))), "&")
 
 
 def canonical_url(value: Column | str, base: Column | str) -> Column:
     """Absolute https URL without fragment, credentials and tracking keys, else NULL."""
-    link, origin = F.btrim(col(value)), col(base)
-    scheme = F.lower(_part(link, 1))
-    authority, path = _part(link, 2), _part(link, 3)
-    has_query = link.rlike(r"^[^#]*\?")
-    base_path = _part(origin, 3)
-    folder = F.regexp_replace(F.when(base_path == "", "/").otherwise(base_path), r"[^/]*$", "")
-    absolute = (scheme != "") & (scheme != F.lower(_part(origin, 1))) | (authority != "")
-    final_scheme = F.when(scheme != "", scheme).otherwise(F.lower(_part(origin, 1)))
-    final_authority = F.when(absolute, authority).otherwise(_part(origin, 2))
-    final_path = (
-        F.when(absolute, path)
-        .when(path == "", base_path)
-        .when(F.startswith(path, F.lit("/")), _without_dots(path))
-        .otherwise(_without_dots(F.concat(folder, path)))
-    )
-    final_query = F.when(absolute | (path != "") | has_query, _part(link, 4)).otherwise(_part(origin, 4))
-    final_path = F.regexp_replace(final_path, r";[^/]*$", "")
-    query = _clean_query(final_query)
-    host = F.regexp_replace(final_authority, r":[0-9]*$", "")
-    port = F.regexp_extract(final_authority, r":([^:\]]*)$", 1)
-    valid = (
-        (final_scheme == "https")
-        & (host != "")
-        & ~F.contains(final_authority, F.lit("@"))
-        & ((port == "") | (port.rlike("^[0-9]+$") & (port.try_cast("int") <= 65535)))
-    )
-    return F.when(
-        valid,
-        F.concat(
-            F.lit("https://"),
-            final_authority,
-            F.when(final_path == "", "/").otherwise(final_path),
-            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        ),
+    link = F.btrim(col(value))
+
+    def resolve(rel: Column, origin: Column) -> Column:
+        folder = F.regexp_replace(F.when(origin["path"] == "", "/").otherwise(origin["path"]), r"[^/]*$", "")
+        foreign = (rel["scheme"] != "") & (rel["scheme"] != origin["scheme"]) | (rel["authority"] != "")
+        path = (
+            F.when(foreign, rel["path"])
+            .when(rel["path"] == "", origin["path"])
+            .when(F.startswith(rel["path"], F.lit("/")), _without_dots(rel["path"]))
+            .otherwise(_without_dots(F.concat(folder, rel["path"])))
+        )
+        own_query = foreign | (rel["path"] != "") | rel["has_query"]
+        return F.struct(
+            F.when(rel["scheme"] != "", rel["scheme"]).otherwise(origin["scheme"]).alias("scheme"),
+            F.when(foreign, rel["authority"]).otherwise(origin["authority"]).alias("authority"),
+            F.regexp_replace(path, r";[^/]*$", "").alias("path"),
+            F.when(own_query, rel["query"]).otherwise(origin["query"]).alias("query"),
+        )
+
+    def render(url: Column) -> Column:
+        port = F.regexp_extract(url["authority"], r":([^:\]]*)$", 1)
+        valid = (
+            (url["scheme"] == "https")
+            & url["authority"].rlike(r"^[^@:]")
+            & ~F.contains(url["authority"], F.lit("@"))
+            & let(port, lambda p: (p == "") | (p.rlike("^[0-9]+$") & (p.try_cast("int") <= 65535)))
+        )
+        query = let(
+            _clean_query(url["query"]), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
+        )
+        path = F.when(url["path"] == "", "/").otherwise(url["path"])
+        return F.when(valid, F.concat(F.lit("https://"), url["authority"], path, query))
+
+    return let(
+        _parts(link), lambda rel: let(_parts(col(base)), lambda origin: let(resolve(rel, origin), render))
     )
 
 
 def allowed_host(url: Column | str, base_url: Column | str, hosts: Column) -> Column:
     """Host equals, or is a subdomain of, the base host or one of the approved hosts."""
-    host = host_of(url)
     approved = F.array_append(F.transform(hosts, lambda item: F.lower(item)), host_of(base_url))
-    return (host != "") & F.exists(
-        approved, lambda item: (host == item) | F.endswith(host, F.concat(F.lit("."), item))
+    return let(
+        host_of(url),
+        lambda host: (host != "")
+        & F.exists(approved, lambda item: (host == item) | F.endswith(host, F.concat(F.lit("."), item))),
     )
 
 

@@ -93,9 +93,7 @@ def grid_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
         own = arrays.cell_at(row["cells"], F.col("programme_at"))
         first = F.get(row["cells"], F.lit(0))
         alone = F.size(F.filter(row["cells"], lambda cell: cell != "")) == 1
-        starts = F.lit(False)
-        for word in vocab.GROUP_STARTS:
-            starts = starts | F.startswith(fold_unquoted(first), F.lit(word))
+        starts = fold_unquoted(first).rlike("^(?:" + "|".join(vocab.GROUP_STARTS) + ")")
         group = (own == "") & F.col("format.group_in_first_cell") & alone & starts
         return F.when(group, first).otherwise(own)
 
