@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from ruleweave.functions.text import let
+
 
 def positions(flags: Column) -> Column:
     """One-based positions of the true entries."""
@@ -20,11 +22,17 @@ def positions(flags: Column) -> Column:
 
 def runs(flags: Column) -> Column:
     """Maximal runs of true entries as structs (first, last), one-based."""
-    starts = positions(F.transform(flags, lambda flag, i: flag & ~F.coalesce(F.get(flags, i - 1), F.lit(False))))
-    ends = positions(F.transform(flags, lambda flag, i: flag & ~F.coalesce(F.get(flags, i + 1), F.lit(False))))
-    return F.transform(
-        F.arrays_zip(starts.alias("first"), ends.alias("last")),
-        lambda pair: F.struct(pair["first"].alias("first"), pair["last"].alias("last")),
+
+    def edges(f: Column, step: int) -> Column:
+        return positions(F.transform(f, lambda flag, i: flag & ~F.coalesce(F.get(f, i + step), F.lit(False))))
+
+    return let(
+        flags,
+        lambda f: F.zip_with(
+            edges(f, -1),
+            edges(f, 1),
+            lambda first, last: F.named_struct(F.lit("first"), first, F.lit("last"), last),
+        ),
     )
 
 
@@ -33,25 +41,31 @@ def last_position(flags: Column) -> Column:
 
     Each stretch between two true entries is one ``array_repeat``, so the cost is linear.
     """
-    marks = positions(flags)
-    head = F.coalesce(F.try_element_at(marks, F.lit(1)), F.size(flags) + 1) - 1
-    stretches = F.transform(
-        marks,
-        lambda mark, k: F.array_repeat(mark, F.coalesce(F.get(marks, k + 1), F.size(flags) + 1) - mark),
-    )
-    return F.concat(F.array_repeat(F.lit(None).cast("int"), head), F.flatten(stretches))
+
+    def fill(marks: Column, size: Column) -> Column:
+        head = F.array_repeat(F.lit(None).cast("int"), F.coalesce(F.get(marks, F.lit(0)), size + 1) - 1)
+        stretches = F.transform(
+            marks, lambda mark, k: F.array_repeat(mark, F.coalesce(F.get(marks, k + 1), size + 1) - mark)
+        )
+        return F.concat(head, F.flatten(stretches))
+
+    return let(flags, lambda f: let(positions(f), lambda marks: let(F.size(f), lambda size: fill(marks, size))))
 
 
 def carry(values: Column) -> Column:
     """Carry the last non-empty value forward; entries before the first one stay empty strings."""
-    spots = last_position(F.transform(values, lambda value: F.coalesce(value, F.lit("")) != ""))
-    return F.transform(spots, lambda spot: F.coalesce(F.get(values, spot - 1), F.lit("")))
+
+    def carried(v: Column) -> Column:
+        spots = last_position(F.transform(v, lambda value: F.coalesce(value, F.lit("")) != ""))
+        return F.transform(spots, lambda spot: F.coalesce(F.get(v, spot - 1), F.lit("")))
+
+    return let(values, carried)
 
 
 def first_index(values: Column, test: Callable[[Column], Column]) -> Column:
     """Zero-based index of the first entry that passes, NULL when none does."""
     spot = F.array_position(F.transform(values, lambda value: F.coalesce(test(value), F.lit(False))), True)
-    return F.when(spot > 0, (spot - 1).cast("int"))
+    return F.nullif(spot, F.lit(0)).cast("int") - 1
 
 
 def all_indexes(values: Column, test: Callable[[Column], Column]) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, functions as F
 from ruleweave.functions import arrays
 from ruleweave.functions.text import SPACE, col, compact, contains_all, contains_any, fold, let, strip
 
-TABLE_LINE = rf"(?U)^{SPACE}*\|"
-HEADING_LINE = rf"(?U)^{SPACE}*#"
+TABLE_LINE = rf"^{SPACE}*\|"
+HEADING_LINE = rf"^{SPACE}*#"
 RULE_CELL = r"^:?-{3,}:?$"
 
 

@@ -13,15 +13,17 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-# One class for every character str.split()/strip() treats as white space.
-SPACE = r"[\s\x1c-\x1f]"
-SPACES = rf"(?U){SPACE}+"
-LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
-STRIP_SET = (
-    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
-    + "".join(chr(code) for code in range(0x2000, 0x200B))
-    + "\u2028\u2029\u202f\u205f\u3000"
+# Every character that counts as white space, besides the plain space. Written for the matcher's
+# speed: single Latin characters share one bit set, and the rare ones hide behind one range test.
+ODD = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 )
+SPACE = f"[ {ODD}]"
+# A run that is not already one plain space, so that tidy text passes without any replacement.
+UNTIDY = f"{SPACE}(?:{SPACE}+|(?<=[{ODD}]))"
+EDGES = f"^{SPACE}+|{SPACE}+$"
+LINE_BREAK = r"[\n\x0b\f\r\x1c\x1d\x1e\x85[\u2028-\u2029]]"
 DIRECTION_CODE = r"(?<!\d)(\d{2}\.\d{2}\.\d{2})(?!\d)"
 FULL_CODE = r"^\d{2}\.\d{2}\.\d{2}$"
 
@@ -40,17 +42,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.btrim(col(value), F.lit(STRIP_SET))
+    return F.regexp_replace(col(value), EDGES, "")
 
 
-def compact(value: Column | str) -> Column:
-    """Drop soft hyphens, turn no-break spaces into spaces, collapse runs, trim."""
-    plain = F.translate(col(value), "\u00a0\u00ad", " ")
-    return F.trim(F.regexp_replace(plain, SPACES, " "))
+def collapse(value: Column | str) -> Column:
+    return F.trim(F.regexp_replace(col(value), UNTIDY, " "))
 
 
-def collapse(value: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(value), SPACES, " "))
+def compact(value: Column | str) -> Column:
+    """Drop soft hyphens, collapse white space of any kind, trim."""
+    return collapse(F.replace(col(value), F.lit("\u00ad"), F.lit("")))
 
 
 def casefold(value: Column | str) -> Column:
@@ -58,9 +59,13 @@ def casefold(value: Column | str) -> Column:
     return F.replace(F.lower(col(value)), F.lit("ß"), F.lit("ss"))
 
 
+def _plain_yo(value: Column) -> Column:
+    return F.replace(value, F.lit("ё"), F.lit("е"))
+
+
 def fold(value: Column | str) -> Column:
     """Comparison form that keeps quotes: compacted, case-folded, yo written as ye."""
-    return F.translate(casefold(compact(value)), "ё", "е")
+    return _plain_yo(casefold(compact(value)))
 
 
 def fold_unquoted(value: Column | str) -> Column:
@@ -70,8 +75,7 @@ def fold_unquoted(value: Column | str) -> Column:
 
 def fold_tokens(value: Column | str) -> Column:
     """Comparison form of titles: letters and digits separated by single spaces."""
-    base = F.translate(casefold(value), "ё", "е")
-    return F.trim(F.regexp_replace(base, "[^a-zа-я0-9]+", " "))
+    return F.trim(F.regexp_replace(_plain_yo(casefold(value)), "[^a-zа-я0-9]+", " "))
 
 
 def contains_any(value: Column, fragments: list[str] | tuple[str, ...]) -> Column:
@@ -101,9 +105,11 @@ def competition_key(audience: Column | str, title: Column | str) -> Column:
 
 def split_lines(value: Column | str) -> Column:
     """Array of lines at every Unicode line boundary, without a final empty line."""
-    lines = F.split(col(value), LINE_BREAK, -1)
-    closed = F.element_at(lines, -1) == ""
-    return F.when(closed, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    lines = F.split(F.replace(col(value), F.lit("\r\n"), F.lit("\n")), LINE_BREAK, -1)
+    return let(
+        lines,
+        lambda found: F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found),
+    )
 
 
 def distinct_codes(value: Column | str) -> Column:
@@ -178,11 +184,11 @@ def _unescaped(text: Column) -> Column:
         found,
         lambda ref: let(
             decoded(ref),
-            lambda plain: F.struct(
-                F.when(plain == "&", 1).otherwise(0).alias("late"),
-                (-F.length(ref)).alias("rank"),
-                ref.alias("ref"),
-                plain.alias("text"),
+            lambda plain: F.named_struct(
+                F.lit("late"), F.when(plain == "&", 1).otherwise(0),
+                F.lit("rank"), -F.length(ref),
+                F.lit("ref"), ref,
+                F.lit("text"), plain,
             ),
         ),
     )

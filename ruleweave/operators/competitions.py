@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ruleweave import vocab
 from ruleweave.functions import arrays
 from ruleweave.functions.classify import subject_tags
-from ruleweave.functions.text import casefold, strip_tags, unescape
+from ruleweave.functions.text import casefold, let, strip_tags, unescape
 from ruleweave.operators.ordered import keep_first
+from ruleweave.operators.stages import settle
 
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)<td[^>]*>(.*?)</td>"
@@ -25,7 +26,7 @@ def _tags(df: DataFrame, value: Column) -> DataFrame:
 
 def list_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Rows of the approved list; a row with a number opens a title, shorter rows continue it."""
-    body = pages.select(key, F.regexp_extract(html, vocab.LIST_TABLE, 1).alias("body")).filter("body != ''")
+    body = settle(pages, [key], {"body": F.regexp_extract(html, vocab.LIST_TABLE, 1)}).filter("body != ''")
     rows = body.select(
         key,
         F.transform(
@@ -72,20 +73,23 @@ def list_records(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def card_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One record per direction card; hashed class names are matched by their stable prefix."""
-    cards = pages.select(
-        key,
-        strip_tags(html).alias("text"),
-        F.posexplode(F.regexp_extract_all(html, F.lit(vocab.CARD_PATTERN), 0)).alias("card_no", "card"),
+    season = F.regexp_extract(strip_tags(html), vocab.SEASON_PATTERN, 0)
+    read_pages = settle(
+        pages, [key], {"season": season, "cards": F.regexp_extract_all(html, F.lit(vocab.CARD_PATTERN), 0)}
     )
-    season = [F.regexp_extract("text", vocab.SEASON_PATTERN, group) for group in (1, 2)]
+    cards = read_pages.select(key, "season", F.posexplode("cards").alias("card_no", "card"))
+    years = F.regexp_extract_all("season", F.lit(r"20\d{2}"), 0)
     link = unescape(F.regexp_extract("card", vocab.CARD_PATTERN, 1))
-    read = cards.select(
-        key,
-        "card_no",
-        strip_tags(F.regexp_extract("card", vocab.CARD_PATTERN, 2)).alias("profile"),
-        strip_tags(F.regexp_extract("card", vocab.CARD_PATTERN, 3)).alias("organizer"),
-        F.when(F.startswith(link, F.lit("/")), F.concat(F.lit(vocab.CARD_SOURCE_BASE), link)).otherwise(link).alias("source_url"),
-        F.when(season[0] != "", F.concat_ws("/", *season)).otherwise(vocab.CURRENT_SEASON).alias("season"),
+    read = settle(
+        cards,
+        [key, "card_no", F.when(F.col("season") != "", F.array_join(years, "/")).otherwise(vocab.CURRENT_SEASON).alias("season")],
+        {
+            "profile": strip_tags(F.regexp_extract("card", vocab.CARD_PATTERN, 2)),
+            "organizer": strip_tags(F.regexp_extract("card", vocab.CARD_PATTERN, 3)),
+            "source_url": let(
+                link, lambda to: F.when(F.startswith(to, F.lit("/")), F.concat(F.lit(vocab.CARD_SOURCE_BASE), to)).otherwise(to)
+            ),
+        },
     ).filter("profile != ''")
     unique = keep_first(read.withColumn("_p", casefold("profile")), [key, "_p"], ["card_no"]).drop("_p")
     numbered = _tags(_numbered(unique, key, "card_no", "record_no"), F.col("profile"))

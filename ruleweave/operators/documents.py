@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ruleweave.functions import arrays
 from ruleweave.functions.tables import cells_are_rule, is_table_line, table_cells, term_score
 from ruleweave.functions.text import compact, split_lines
+from ruleweave.operators.stages import settle
 from ruleweave.schemas import struct
 
 BLOCK_SCHEMA = T.ArrayType(struct("kind string, level int, line string"))
@@ -150,36 +151,23 @@ def document_tables(
     below the minimum and tables without data rows are dropped.
     """
     lines = docs.select(*keep, split_lines(text).alias("lines"))
-    marked = lines.withColumn("is_row", F.transform("lines", lambda line: is_table_line(line)))
-    spans = marked.filter(F.exists("is_row", lambda flag: flag)).select(
-        *keep, "lines", F.explode(arrays.runs(F.col("is_row"))).alias("span")
-    )
+    flags = F.transform("lines", lambda line: is_table_line(line))
+    spans = lines.select(*keep, "lines", F.explode(arrays.runs(flags)).alias("span"))
     block = F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1)
-    celled = spans.select(
-        *keep,
-        F.col("span.first").alias("table_line"),
-        F.transform(
-            block, lambda line, i: F.struct((F.col("span.first") + i).alias("line"), table_cells(line).alias("cells"))
-        ).alias("rows"),
+    celled = F.transform(
+        block, lambda line, i: F.struct((F.col("span.first") + i).alias("line"), table_cells(line).alias("cells"))
     )
-    body = celled.withColumn("rows", F.filter("rows", lambda row: ~cells_are_rule(row["cells"]))).filter(
-        F.size("rows") >= 2
+    table_line = F.col("span.first").alias("table_line")
+    bodies = settle(spans, [*keep, table_line], {"rows": F.filter(celled, lambda row: ~cells_are_rule(row["cells"]))})
+    best = F.array_max(
+        F.transform("rows", lambda row, i: F.struct(term_score(row["cells"], terms).alias("score"), (-i).alias("at")))
     )
-    scored = body.withColumn(
-        "_best",
-        F.array_max(
-            F.transform(
-                "rows", lambda row, i: F.struct(term_score(row["cells"], terms).alias("score"), (-i).alias("at"))
-            )
-        ),
-    ).filter(F.col("_best.score") >= minimum)
-    head = 1 - F.col("_best.at")
-    picked = scored.select(
+    scored = settle(bodies.filter(F.size("rows") >= 2), [*keep, "table_line", "rows"], {"best": best})
+    head = 1 - F.col("best.at")
+    return scored.filter((F.col("best.score") >= minimum) & (head < F.size("rows"))).select(
         *keep,
         "table_line",
-        F.element_at("rows", head).alias("_head"),
+        F.element_at("rows", head)["line"].alias("header_line"),
+        F.element_at("rows", head)["cells"].alias("headers"),
         F.slice("rows", head + 1, F.size("rows")).alias("rows"),
     )
-    return picked.filter(F.size("rows") > 0).select(
-        *keep, "table_line", F.col("_head.line").alias("header_line"), F.col("_head.cells").alias("headers"), "rows"
-    )

@@ -11,8 +11,9 @@ from ruleweave.functions.classify import (
     pattern_score, selectors, single_holder,
 )
 from ruleweave.functions.tables import table_cells, with_all_fragments
-from ruleweave.functions.text import compact, contains_all, contains_any, fold, stable_key
+from ruleweave.functions.text import compact, contains_all, contains_any, fold, let, stable_key
 from ruleweave.operators.documents import dense_lines
+from ruleweave.operators.stages import settle
 
 LINE = "markdown:line:"
 
@@ -35,8 +36,7 @@ def header_index(table: Column, terms: tuple[str, ...] = vocab.TABLE_HEADER_TERM
     """Zero-based header row: the last best row by vocabulary, if it has two terms; else the row
     above the dashes, else the first."""
 
-    def score(line: Column) -> Column:
-        folded = fold(line)
+    def terms_in(folded: Column) -> Column:
         total = F.lit(0)
         for term in terms:
             total = total + F.contains(folded, F.lit(term)).cast("int")
@@ -44,7 +44,10 @@ def header_index(table: Column, terms: tuple[str, ...] = vocab.TABLE_HEADER_TERM
 
     best = F.array_max(
         F.transform(
-            table, lambda line, i: F.when(~F.contains(line, F.lit("---")), F.struct(score(line).alias("n"), i.alias("at")))
+            table,
+            lambda line, i: F.when(
+                ~F.contains(line, F.lit("---")), F.struct(let(fold(line), terms_in).alias("n"), i.alias("at"))
+            ),
         )
     )
     dashes = F.coalesce(arrays.first_index(table, lambda line: F.contains(line, F.lit("---"))), F.lit(0))
@@ -54,27 +57,25 @@ def header_index(table: Column, terms: tuple[str, ...] = vocab.TABLE_HEADER_TERM
 def relevant_tables(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Tables whose heading, header and first rows mention a benefit or its context."""
     lines = docs.select(*keep, dense_lines(text).alias("lines"))
-    marked = lines.withColumn("is_row", F.transform("lines", lambda line: F.startswith(line, F.lit("|"))))
-    spans = marked.filter(F.exists("is_row", lambda flag: flag)).withColumn(
-        "headings",
-        arrays.positions(F.transform("lines", lambda line: F.startswith(line, F.lit("#")))),
-    )
-    spans = spans.select(*keep, "lines", "headings", F.explode(arrays.runs(F.col("is_row"))).alias("span"))
+    headings = arrays.positions(F.transform("lines", lambda line: F.startswith(line, F.lit("#"))))
+    is_row = F.transform("lines", lambda line: F.startswith(line, F.lit("|")))
+    spans = lines.select(*keep, "lines", headings.alias("headings"), F.explode(arrays.runs(is_row)).alias("span"))
     above = F.array_max(F.filter("headings", lambda at: at < F.col("span.first")))
-    tables = spans.select(
-        *keep,
-        F.col("span.first").alias("first_line"),
-        F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1).alias("table"),
-        F.coalesce(compact(F.ltrim(F.get("lines", above - 1), F.lit("# "))), F.lit("")).alias("heading"),
-    ).withColumn("head", header_index(F.col("table")))
+    placed = settle(
+        spans,
+        [*keep, F.col("span.first").alias("first_line")],
+        {
+            "table": F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1),
+            "heading": F.coalesce(compact(F.ltrim(F.get("lines", above - 1), F.lit("# "))), F.lit("")),
+        },
+    )
+    tables = settle(placed, [*keep, "first_line", "table", "heading"], {"head": header_index(F.col("table"))})
     context = compact(
         F.array_join(F.concat(F.array("heading"), F.slice("table", F.col("head") + 1, F.lit(4))), " ")
     )
-    return (
-        tables.withColumn("context", fold(context))
-        .filter(_is_relevant(F.col("context")))
-        .withColumn("header", F.get("table", F.col("head")))
-        .drop("context")
+    judged = settle(tables, [*keep, "first_line", "table", "heading", "head"], {"context": fold(context)})
+    return judged.filter(_is_relevant(F.col("context"))).select(
+        *keep, "first_line", "table", "heading", "head", F.get("table", F.col("head")).alias("header")
     )
 
 
@@ -137,7 +138,8 @@ def paragraphs(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
         ),
     )
     wanted = F.filter(blocks, lambda b: ~F.startswith(b["line"], F.lit("|")) & (F.length(b["line"]) >= 20))
-    rows = lines.select(*keep, F.explode(wanted).alias("block")).withColumn("folded", fold("block.context"))
+    blocks_of = lines.select(*keep, F.explode(wanted).alias("block"))
+    rows = settle(blocks_of, [*keep, "block"], {"folded": fold("block.context")})
     return rows.filter(
         _benefit(F.col("folded")).isNotNull() & contains_any(F.col("folded"), vocab.CONTEXT_TERMS)
     ).select(
@@ -219,8 +221,8 @@ def explicit_facts(rows: DataFrame) -> DataFrame:
         F.col("_title").alias("title"),
         F.col("_profile").alias("profile"),
     )
-    helpers = [c for c in valued.columns if c.startswith("_")]
-    return valued.withColumn("facts", F.when(complete, facts)).drop(*helpers)
+    kept = [c for c in valued.columns if not c.startswith("_")]
+    return settle(valued, kept, {"facts": F.when(complete, facts)})
 
 
 def row_identities(headers: Column, cells: Column, inherited: Column) -> Column:

@@ -10,6 +10,7 @@ from ruleweave import vocab
 from ruleweave.functions.text import col, compact, contains_any, fold, strip_tags, unescape
 from ruleweave.functions.urls import allowed_host, canonical_url, document_kind, linked_kind
 from ruleweave.operators.ordered import top_per_key
+from ruleweave.operators.stages import settle
 from ruleweave.session import cut_lineage
 
 ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=[^>]*>.*?</a\s*>"
@@ -85,18 +86,19 @@ def page_links(pages: DataFrame, keep: list[str], url: str, html: str, base_url:
 
     ``base_url`` is the approved origin of the site, ``hosts`` an array of further approved hosts.
     """
-    clean = pages.withColumn("_markup", visible_markup(html)).select(
+    own = [*keep, F.col(url).alias("page_url"), F.col(base_url).alias("_base"), hosts.alias("_hosts")]
+    clean = settle(pages, own, {"_markup": visible_markup(html)}).select(
         *keep,
-        F.col(url).alias("page_url"),
-        F.col(base_url).alias("_base"),
-        hosts.alias("_hosts"),
+        "page_url",
+        "_base",
+        "_hosts",
         inner_text(F.col("_markup"), "title").alias("title"),
         inner_text(F.col("_markup"), "h1").alias("heading"),
         F.regexp_extract_all("_markup", F.lit(ANCHOR), 0).alias("_anchors"),
     )
     anchors = clean.select("*", F.posexplode("_anchors").alias("link_no", "_anchor")).drop("_anchors")
     href = F.concat(*[F.regexp_extract("_anchor", HREF, group) for group in (1, 2, 3)])
-    links = anchors.withColumn("url", canonical_url(unescape(href), "page_url")).filter(F.col("url").isNotNull())
+    links = settle(anchors, anchors.columns, {"url": canonical_url(unescape(href), "page_url")}).filter("url IS NOT NULL")
     return links.filter(allowed_host("url", "_base", F.col("_hosts"))).select(
         *keep,
         "page_url",
@@ -143,6 +145,11 @@ def bounded_walk(
     the group limit keeps a hub page's links from reaching one task.
     """
     max_pages, max_depth = min(max(max_pages, 1), 60), min(max(max_depth, 0), 3)
+    # Visited pages and new arrivals of a site are at most max_pages together, so whatever a page
+    # adds is among its first max_pages distinct links: later ones can never be reached from it.
+    source = [c for c in ("site", "src") if c in edges.columns]
+    links = edges.groupBy(*source, "dst").agg(F.min("pos").alias("pos"))
+    edges = top_per_key(links, source, [F.asc("pos"), F.asc("dst")], max_pages)
     visited = seeds.select("site", "url").distinct().select(
         "site", "url", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("arrival")
     )

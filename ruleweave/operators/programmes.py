@@ -15,6 +15,7 @@ from ruleweave.functions.tables import by_alias_priority, is_heading_line, is_ta
 from ruleweave.functions.text import DIRECTION_CODE, FULL_CODE, compact, fold, split_lines, strip
 from ruleweave.operators.documents import document_tables
 from ruleweave.operators.ordered import keep_first
+from ruleweave.operators.stages import settle
 
 PROGRAMME = ("external_code", "name", "degree_level", "source_locator", "source_excerpt")
 FORMAT = "map<string, struct<marker:string, name_headers:array<string>, require_code:boolean, readers:array<string>>>"
@@ -38,7 +39,7 @@ def _excerpt(value: Column) -> Column:
 
 def _tables(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     tables = document_tables(docs, keep, text, vocab.CATALOGUE_HEADER_TERMS, minimum=2)
-    return tables.withColumn("heads", F.transform("headers", lambda h: fold(h)))
+    return settle(tables, tables.columns, {"heads": F.transform("headers", lambda h: fold(h))})
 
 
 def _table_locator() -> Column:
@@ -47,11 +48,14 @@ def _table_locator() -> Column:
 
 def table_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Rows of labelled tables, whatever the column order; ``keep`` includes the format column."""
-    placed = _tables(docs, keep, text).withColumns(
+    tables = _tables(docs, keep, text)
+    placed = settle(
+        tables,
+        tables.columns,
         {
             "code_at": by_alias_priority(F.col("heads"), ("код",)),
             "name_at": _name_index(F.col("heads"), F.col("format.name_headers")),
-        }
+        },
     ).filter(F.col("name_at").isNotNull())
     rows = placed.select(*keep, "header_line", "headers", "code_at", "name_at", F.explode("rows").alias("row")).select(
         *keep, "header_line", "headers", "code_at",
@@ -59,23 +63,27 @@ def table_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
         F.col("row.cells").alias("cells"),
         arrays.cell_at(F.col("row.cells"), F.col("name_at")).alias("name_cell"),
     )
-    parted = rows.withColumns(
+    parted = settle(
+        rows,
+        rows.columns,
         {
             "own": F.when(F.col("code_at").isNotNull(), split_code(arrays.cell_at(F.col("cells"), F.col("code_at")))),
             "embedded": split_code("name_cell"),
-        }
+        },
     )
 
     def filled(value: Column) -> Column:
         return F.when(value != "", value)
 
-    named = parted.withColumns(
+    named = settle(
+        parted,
+        parted.columns,
         {
             "external_code": F.coalesce("own.code", "embedded.code"),
             "name": compact(
                 F.coalesce(filled(F.col("own.title")), filled(F.col("embedded.title")), F.col("name_cell"))
             ),
-        }
+        },
     )
     coded = F.col("external_code").isNotNull()
     kept = named.filter((~coded | is_direction("external_code")) & (coded | ~F.col("format.require_code")) & valid_name("name"))
@@ -110,13 +118,13 @@ def code_line_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFra
     rows = marked.select(*keep, F.explode(F.arrays_zip("free", "titles", "above")).alias("item")).filter(
         (F.col("item.titles") == "") & F.col("item.free.text").rlike(DIRECTION_CODE)
     )
-    parted = rows.select(
+    placed = [
         *keep,
         F.col("item.free.line_no").alias("line_no"),
         F.col("item.free.text").alias("line"),
         F.col("item.above").alias("heading"),
-        split_code("item.free.text").alias("parts"),
-    ).withColumns(
+    ]
+    parted = settle(rows, placed, {"parts": split_code("item.free.text")}).withColumns(
         {
             "external_code": F.col("parts.code"),
             "name": F.when(F.col("parts.title") != "", F.col("parts.title")).otherwise(F.col("heading")),
@@ -166,8 +174,9 @@ def card_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def summary_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Rows of units below a code-only summary row, whose code they carry."""
-    placed = _tables(docs, keep, text).withColumn(
-        "name_at", _name_index(F.col("heads"), F.col("format.name_headers"))
+    tables = _tables(docs, keep, text)
+    placed = settle(
+        tables, tables.columns, {"name_at": _name_index(F.col("heads"), F.col("format.name_headers"))}
     ).filter(F.col("name_at").isNotNull())
 
     def code_of(row: Column) -> Column:
@@ -210,12 +219,11 @@ def catalogue_programmes(
     equal one, and the shuffle carries only finished programme rows.
     """
     keep = [key, adapter]
-    bound = docs.withColumn("format", F.try_element_at(formats(config), F.col(adapter))).filter(
-        F.col("format.marker").isNull() | F.contains(fold(text), F.col("format.marker"))
-    )
 
     def read_by(name: str) -> DataFrame:
-        return bound.filter(F.col(adapter).isin(*[item.code for item in config if name in item.readers]))
+        own = docs.filter(F.col(adapter).isin([item.code for item in config if name in item.readers]))
+        bound = own.withColumn("format", F.try_element_at(formats(config), F.col(adapter)))
+        return bound.filter(F.col("format.marker").isNull() | F.contains(fold(text), F.col("format.marker")))
 
     readers = {
         "table": table_programmes,

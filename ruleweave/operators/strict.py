@@ -14,9 +14,10 @@ from ruleweave.functions.classify import (
     cell_benefit, cell_score, exact_subject, holder_statuses, selectors, strict_titles,
 )
 from ruleweave.functions.tables import is_separator, is_table_line, table_cells, with_all_fragments
-from ruleweave.functions.text import compact, distinct_codes, fold_unquoted, split_lines, stable_key
+from ruleweave.functions.text import compact, distinct_codes, fold_unquoted, let, split_lines, stable_key
 from ruleweave.operators.documents import document_tables
 from ruleweave.operators.ordered import keep_first
+from ruleweave.operators.stages import settle
 
 FORMAT = """map<string, struct<reader:string, markers:array<string>, programme:array<string>,
 olympiad:array<string>, profile:array<string>, diploma:array<string>, benefit:array<string>,
@@ -40,8 +41,9 @@ def dispatch(
     programme), ``foreign_document`` (its markers are missing) or ``unsupported_adapter``.
     """
     marked = docs.withColumn("format", F.try_element_at(formats(config), F.col(adapter)))
-    folded = fold_unquoted(text)
-    own = F.forall("format.markers", lambda marker: F.contains(folded, marker))
+    own = let(
+        fold_unquoted(text), lambda folded: F.forall("format.markers", lambda marker: F.contains(folded, marker))
+    )
     return marked.withColumn(
         "dispatch_status",
         F.when(F.col("format").isNull(), "unsupported_adapter")
@@ -65,9 +67,11 @@ def _locator(line: Column) -> Column:
 
 def grid_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
     """Rows of grid tables with their facts; merged programme and title cells are carried."""
-    folded = tables.withColumn("heads", F.transform("headers", lambda h: fold_unquoted(h)))
+    folded = settle(tables, tables.columns, {"heads": F.transform("headers", lambda h: fold_unquoted(h))})
     profile = _aliased(F.col("heads"), F.col("format.profile"))
-    placed = folded.withColumns(
+    indexed = settle(
+        folded,
+        folded.columns,
         {
             "programme_at": F.get(_aliased(F.col("heads"), F.col("format.programme")), F.lit(0)),
             "profile_all": profile,
@@ -77,13 +81,16 @@ def grid_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
             "generic_all": _aliased(F.col("heads"), F.col("format.benefit")),
             "named_all": arrays.all_indexes(F.col("headers"), lambda h: cell_benefit(h, F.lit("да")).isNotNull()),
             "olympiad_any": _aliased(F.col("heads"), F.col("format.olympiad")),
-        }
-    ).withColumns(
+        },
+    )
+    placed = settle(
+        indexed,
+        indexed.columns,
         {
             "olympiad_at": F.get(F.array_except("olympiad_any", "profile_all"), F.lit(0)),
             "profile_at": F.get("profile_all", F.lit(0)),
             "benefit_all": F.array_distinct(F.concat("named_all", "generic_all")),
-        }
+        },
     )
     usable = placed.filter(
         F.col("olympiad_at").isNotNull() & F.col("profile_at").isNotNull() & (F.size("benefit_all") > 0)
@@ -187,7 +194,10 @@ def expand_rules(rows: DataFrame, keep: list[str], payload_kind: str) -> DataFra
 def programme_first_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
     """Rows of programme-first tables: four carried columns and a list of titles per row."""
     heads = F.col("heads")
-    placed = tables.withColumn("heads", F.transform("headers", lambda h: fold_unquoted(h))).withColumns(
+    folded = settle(tables, tables.columns, {"heads": F.transform("headers", lambda h: fold_unquoted(h))})
+    placed = settle(
+        folded,
+        folded.columns,
         {
             "programme_at": with_all_fragments(heads, ("направление подготовки",)),
             "profile_at": with_all_fragments(heads, ("профиль олимпиады",)),
@@ -195,7 +205,7 @@ def programme_first_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
             "diploma_at": with_all_fragments(heads, ("победитель", "призер")),
             "subject_at": with_all_fragments(heads, ("общеобразовательный предмет", "егэ")),
             "benefit_at": with_all_fragments(heads, ("льгота",)),
-        }
+        },
     )
     usable = placed.filter(
         F.col("programme_at").isNotNull() & F.col("profile_at").isNotNull() & F.col("olympiad_at").isNotNull()
@@ -235,9 +245,10 @@ def programme_first_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
             "min_score": F.when(F.col("subject") != "", vocab.CONFIRMATION_SCORE),
         }
     )
-    return valued.filter((F.col("profile") != "") & F.col("kind").isNotNull()).select(
+    granted = F.array(F.struct("kind", F.col("chosen").alias("selectors")))
+    return valued.filter(F.col("profile") != "").select(
         *keep, "line_no", "cells", "titles", "profile", "statuses",
-        F.array(F.struct("kind", F.col("chosen").alias("selectors"))).alias("grants"), "subject_code", "min_score",
+        F.filter(granted, lambda g: g["kind"].isNotNull()).alias("grants"), "subject_code", "min_score",
     )
 
 
@@ -298,11 +309,11 @@ def strict_rules(
     once. Only finished rules cross the one shuffle, for the de-duplication within a document.
     """
     keep = [key, adapter]
-    ready = dispatch(docs, adapter, text, config).filter(F.col("dispatch_status") == "read")
 
     def read_by(reader: str) -> DataFrame:
-        codes = [item.code for item in config if item.reader == reader]
-        return ready.filter(F.col(adapter).isin(*codes)) if codes else ready.filter(F.lit(False))
+        own = docs.filter(F.col(adapter).isin([item.code for item in config if item.reader == reader]))
+        ready = dispatch(own, adapter, text, config)
+        return ready.filter(F.col("dispatch_status") == "read").drop("dispatch_status")
 
     def tables(reader: str) -> DataFrame:
         return document_tables(read_by(reader), [*keep, "format"], text, vocab.STRICT_HEADER_TERMS)

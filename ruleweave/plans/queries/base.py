@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ruleweave.operators.stages import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Source:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for expensive row-wise work, on all cores even if it is one small file."""
+        return spread(getattr(self, name).select(*columns))
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[Source], DataFrame]) -> Callable:
@@ -109,7 +115,7 @@ def catalogue(s: Source) -> dict[str, DataFrame]:
         (F.col("s_acctbal") > 0).alias("is_verified"),
     )
     olympiads = s.part.select("p_brand").distinct().select(
-        F.xxhash64("p_brand").alias("id"), F.col("p_brand").alias("title"), F.lit("brand").alias("kind"),
+        F.xxhash64("p_brand").alias("id"), F.concat(F.lit("Contest "), "p_brand").alias("title"), F.lit("brand").alias("kind"),
         F.when(F.col("p_brand") < "Brand#2", "student").otherwise("school").alias("audience"), F.lit(True).alias("is_active"),
     )
     profiles = s.part.select(
@@ -191,7 +197,7 @@ policies AS (
          make_timestamp(floor(s_acctbal)::BIGINT * 1000 * 1000000) AS checked_at, s_acctbal > 0 AS is_verified
   FROM supplier),
 profiles AS (
-  SELECT p_partkey AS id, p_brand AS olympiad_id, p_brand AS title, 'brand' AS kind,
+  SELECT p_partkey AS id, p_brand AS olympiad_id, 'Contest ' || p_brand AS title, 'brand' AS kind,
          CASE WHEN p_brand < 'Brand#2' THEN 'student' ELSE 'school' END AS audience, p_name AS profile_title,
          CASE WHEN p_size <= 30 THEN ceil(p_size / 10.0) END::SMALLINT AS level,
          CASE WHEN p_retailprice > 905 THEN 'approved' ELSE 'draft' END AS approval_status,
