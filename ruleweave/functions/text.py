@@ -8,6 +8,7 @@ from __future__ import annotations
 import html.entities
 import json
 import re
+import string
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -23,6 +24,7 @@ SPACE = f"[ {ODD}]"
 # A run that is not already one plain space, so that tidy text passes without any replacement.
 UNTIDY = f"{SPACE}(?:{SPACE}+|(?<=[{ODD}]))"
 EDGES = f"^{SPACE}+|{SPACE}+$"
+NO_TOKEN = f"[^{string.ascii_lowercase}{string.digits}а-я]+"
 LINE_BREAK = r"[\n\x0b\f\r\x1c\x1d\x1e\x85[\u2028-\u2029]]"
 DIRECTION_CODE = r"(?<!\d)(\d{2}\.\d{2}\.\d{2})(?!\d)"
 FULL_CODE = r"^\d{2}\.\d{2}\.\d{2}$"
@@ -75,7 +77,7 @@ def fold_unquoted(value: Column | str) -> Column:
 
 def fold_tokens(value: Column | str) -> Column:
     """Comparison form of titles: letters and digits separated by single spaces."""
-    return F.trim(F.regexp_replace(_plain_yo(casefold(value)), "[^a-zа-я0-9]+", " "))
+    return F.trim(F.regexp_replace(_plain_yo(casefold(value)), NO_TOKEN, " "))
 
 
 def contains_any(value: Column, fragments: list[str] | tuple[str, ...]) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave import vocab
-from ruleweave.functions.text import col, direction_code, fold_tokens
+from ruleweave.functions.text import contains_any, direction_code, fold_tokens, level_of_code, strip
+from ruleweave.operators.ordered import keep_first
 
 ANCHOR = 8
 
@@ -76,29 +77,15 @@ def title_hits(
     return verified.select(*scope, "text_key", "title_key", "folded")
 
 
-def profile_present(folded: Column | str, profile: Column | str) -> Column:
-    """The folded profile name, when long enough, is part of the text."""
-    name = fold_tokens(profile)
-    return (F.length(name) >= vocab.MIN_PROFILE_LENGTH) & F.contains(col(folded), name)
+GRAM = vocab.MIN_PROFILE_LENGTH
 
 
-def catalogue_hits(
-    candidates: DataFrame, key: str, text: str, profiles: DataFrame, scope: Sequence[str] = (),
-    prefixes: Sequence[str] = vocab.TITLE_PREFIXES, generic: Sequence[str] = vocab.GENERIC_TITLE_WORDS,
-) -> DataFrame:
-    """Title hits per candidate with the flag that the profile is present too.
-
-    ``profiles`` has profile_id, title, profile_title, level and the scope columns.
-    """
-    aliases = alias_table(profiles, "profile_id", "title", scope, prefixes, generic)
-    hits = title_hits(candidates, key, text, aliases, scope).distinct()
-    known = profiles.select(*scope, F.col("profile_id").alias("title_key"), "profile_title", "level")
-    return hits.join(known, [*scope, "title_key"]).select(
-        *scope,
-        F.col("text_key").alias(key),
-        F.col("title_key").alias("profile_id"),
-        "level",
-        profile_present("folded", "profile_title").alias("has_profile"),
+def profile_names(profiles: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Profiles counted per folded title and folded profile name."""
+    return profiles.groupBy(
+        *scope, fold_tokens("title").alias("title_key"), fold_tokens("profile_title").alias("name")
+    ).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("profile_id", "level")).alias("first")
     )
 
 
@@ -108,14 +95,29 @@ def catalogue_match(
 ) -> DataFrame:
     """One outcome per candidate: resolved, ambiguous or unresolved, each with its reason.
 
-    The possible alternatives of an ambiguous candidate are the rows of ``catalogue_hits``.
+    ``profiles`` has profile_id, title, profile_title, level and the scope columns. Titles are
+    matched once each, however many profiles share them. A profile name counts when it is long
+    enough and part of the text; its first letters are equi-joined with the letter grams of the
+    text, so the profiles of one title are never paired with all texts that name the title.
     """
-    hits = catalogue_hits(candidates, key, text, profiles, scope, prefixes, generic)
-    counted = hits.groupBy(*scope, key).agg(
-        F.count(F.lit(1)).alias("title_hits"),
-        F.count_if("has_profile").alias("profile_hits"),
-        F.min(F.when(F.col("has_profile"), F.struct("profile_id", "level"))).alias("_only"),
+    names = profile_names(profiles, scope)
+    titles = names.groupBy(*scope, "title_key").agg(F.sum("n").alias("n_profiles"))
+    hits = title_hits(candidates, key, text, alias_table(titles, "title_key", "title_key", scope, prefixes, generic), scope)
+    hits = hits.dropDuplicates([*scope, "text_key", "title_key"])
+    starts = F.sequence(F.lit(1), F.greatest(F.length("folded") - (GRAM - 1), F.lit(1)))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substring("folded", i, GRAM)))
+    anchored = names.filter(F.length("name") >= GRAM).withColumn("gram", F.substring("name", 1, GRAM))
+    present = (
+        hits.select("*", F.explode(grams).alias("gram"))
+        .join(anchored, [*scope, "title_key", "gram"])
+        .filter(F.contains("folded", F.col("name")))
+        .groupBy(*scope, "text_key")
+        .agg(F.sum("n").alias("profile_hits"), F.min("first").alias("_only"))
+    )
+    named = hits.join(titles, [*scope, "title_key"]).groupBy(*scope, "text_key").agg(
+        F.sum("n_profiles").alias("title_hits")
     )
+    counted = named.join(present, [*scope, "text_key"], "left").withColumnRenamed("text_key", key)
     joined = candidates.join(counted, [*scope, key], "left").withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("title_hits", "profile_hits")}
     )
@@ -136,6 +138,29 @@ def catalogue_match(
     ).drop("_only")
 
 
+def alternatives(
+    ambiguous: DataFrame, key: str, text: str, profiles: DataFrame, scope: Sequence[str] = (),
+    prefixes: Sequence[str] = vocab.TITLE_PREFIXES, generic: Sequence[str] = vocab.GENERIC_TITLE_WORDS,
+) -> DataFrame:
+    """The profiles a reviewer has to choose from, as rows (key, profile_id), for ambiguous candidates.
+
+    Those whose name is in the text if there are any, else all profiles of the titles in the text.
+    """
+    titles = profiles.select(*scope, fold_tokens("title").alias("title_key")).distinct()
+    hits = title_hits(ambiguous, key, text, alias_table(titles, "title_key", "title_key", scope, prefixes, generic), scope)
+    named = profiles.select(
+        *scope, "profile_id", fold_tokens("title").alias("title_key"), fold_tokens("profile_title").alias("name")
+    )
+    flagged = hits.dropDuplicates([*scope, "text_key", "title_key"]).join(named, [*scope, "title_key"]).select(
+        *scope, F.col("text_key").alias(key), "profile_id",
+        ((F.length("name") >= GRAM) & F.contains("folded", F.col("name"))).alias("in_text"),
+    )
+    decided = flagged.groupBy(*scope, key).agg(F.bool_or("in_text").alias("any_in_text"))
+    return flagged.join(decided, [*scope, key]).filter(F.col("in_text") | ~F.col("any_in_text")).select(
+        *scope, key, "profile_id"
+    )
+
+
 def unique_programme(
     candidates: DataFrame, selector: str, programmes: DataFrame, scope: Sequence[str], output: str = "programme_id"
 ) -> DataFrame:
@@ -168,8 +193,6 @@ def unique_programme(
 
 def named_scope(candidate_adapter: Column, payload_kind: Column, programme: Column) -> Column:
     """Programme name that may become a scope of its own: one adapter, one row kind, no collective word."""
-    from ruleweave.functions.text import contains_any, strip
-
     name = strip(F.coalesce(programme, F.lit("")))
     allowed = (
         (candidate_adapter == vocab.NAMED_SCOPE_ADAPTER)
@@ -188,9 +211,6 @@ def missing_scopes(
 
     ``named`` is the column with the permitted programme name (see ``named_scope``) or NULL.
     """
-    from ruleweave.functions.text import level_of_code
-    from ruleweave.operators.ordered import keep_first
-
     code = direction_code(selector)
     codes = candidates.withColumn("external_code", code).filter(F.col("external_code").isNotNull())
     known_codes = programmes.filter(F.col("catalogue_status") == "code_only").select(*scope, "external_code")

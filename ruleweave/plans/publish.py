@@ -81,9 +81,11 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("id").alias("programme_id"), "university_location_id", "external_code", "name", "catalogue_status"
         )
 
-    complete = gated.filter("reason IS NULL")
-    first = unique_programme(complete, "raw_programme_name", known(programmes), LOCATION)
-    open_rows = first.filter("programme_id IS NULL").withColumn(
+    # The claimed queue with its first resolution is read several times below.
+    placed = cut_lineage(unique_programme(gated, "raw_programme_name", known(programmes), LOCATION))
+    blocked = placed.filter("reason IS NOT NULL").drop("programme_id")
+    complete = placed.filter("reason IS NULL")
+    open_rows = complete.filter("programme_id IS NULL").withColumn(
         "named", named_scope(F.col("adapter_code"), F.col("payload_kind"), F.col("raw_programme_name"))
     )
     scope_keys = ["university_id", *LOCATION, "external_code", "name"]
@@ -99,18 +101,25 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     grown = upsert(programmes, fresh, scope_keys, update=["is_active", "degree_level", "catalogue_status"])
     second = unique_programme(open_rows.drop("programme_id", "named"), "raw_programme_name", known(grown), LOCATION)
-    resolved = first.filter("programme_id IS NOT NULL").unionByName(second).withColumn(
+    resolved = complete.filter("programme_id IS NOT NULL").unionByName(second).withColumn(
         "reason", F.when(F.col("programme_id").isNull(), "programme_not_exactly_mapped_for_location")
     )
     profiles = approved_profiles(t).withColumn("catalogue_year", F.col("campaign_year").cast("int")).drop("campaign_year")
-    texts = resolved.filter("reason IS NULL").select(
-        "candidate_id", F.col("catalogue_year").cast("int").alias("catalogue_year"),
-        F.concat_ws(" | ", "raw_olympiad_name", "raw_profile_name").alias("identity"),
+    # Many candidates state the same competition, so each distinct identity is matched once.
+    resolved = resolved.withColumns(
+        {
+            "catalogue_year": F.col("catalogue_year").cast("int"),
+            "identity": F.concat_ws(" | ", "raw_olympiad_name", "raw_profile_name"),
+        }
+    )
+    texts = resolved.filter("reason IS NULL").select("catalogue_year", "identity").distinct()
+    keyed = texts.withColumn("identity_key", F.col("identity"))
+    matched = catalogue_match(keyed, "identity_key", "identity", profiles, ["catalogue_year"]).select(
+        "catalogue_year", "identity", "match_status", "match_reason", "matched_profile_id", "matched_level"
     )
-    matched = catalogue_match(texts, "candidate_id", "identity", profiles, ["catalogue_year"]).select(
-        "candidate_id", "match_status", "match_reason", "matched_profile_id", "matched_level"
+    joined = resolved.join(matched, ["catalogue_year", "identity"], "left").withColumn(
+        "matched_profile_id", F.when(F.col("reason").isNull(), F.col("matched_profile_id"))
     )
-    joined = resolved.join(matched, "candidate_id", "left")
     differs = F.col("suggested_olympiad_level").isNotNull() & ~F.col("matched_level").eqNullSafe(
         F.col("suggested_olympiad_level")
     )
@@ -122,7 +131,6 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(differs, "rsosh_level_mismatch"),
         ),
     )
-    blocked = gated.filter("reason IS NOT NULL")
     all_rows = judged.unionByName(blocked, allowMissingColumns=True)
     return cut_lineage(all_rows), grown
 

@@ -177,11 +177,11 @@ identities AS (SELECT DISTINCT identity, ' ' || {sql_tokens('identity')} || ' '
 hits AS (SELECT identity, count(*) AS titles, count(*) FILTER (WHERE length(p) >= 5 AND contains(f, p)) AS n,
                 min(id) FILTER (WHERE length(p) >= 5 AND contains(f, p)) AS profile_id FROM identities JOIN catalog ON contains(f, t) GROUP BY ALL),
 judged AS (
-  SELECT candidate_id, CASE WHEN NOT sure THEN 'strict_confidence_required' WHEN NOT has_programme THEN 'programme_not_exactly_mapped_for_location'
+  SELECT candidate_id, CASE WHEN NOT sure THEN 'strict_confidence_required' WHEN location_id = 0 THEN 'missing_location_scope' WHEN NOT has_programme THEN 'programme_not_exactly_mapped_for_location'
            WHEN titles IS NULL THEN 'rsosh_no_rsosh_title' WHEN n > 1 THEN 'rsosh_multiple_profiles_in_candidate'
            WHEN n = 0 AND titles = 1 THEN 'rsosh_title_without_profile' WHEN n = 0 THEN 'rsosh_title_has_multiple_profiles'
            WHEN o_totalprice > 250000 AND catalog.level IS DISTINCT FROM 1 THEN 'rsosh_level_mismatch' END AS reason,
-         CASE WHEN sure AND has_programme AND n = 1 THEN hits.profile_id END AS matched_profile_id
+         CASE WHEN sure AND location_id <> 0 AND has_programme AND n = 1 THEN hits.profile_id END AS matched_profile_id
   FROM placed LEFT JOIN hits USING (identity) LEFT JOIN catalog ON catalog.id = hits.profile_id)
 """
 
