@@ -47,7 +47,7 @@ def queue(t: Tables, limit: int | None = None) -> DataFrame:
     documents = t["source_documents"].select(F.col("id").alias("source_document_id"), F.col("url").alias("source_url"))
     candidates = t["admission_rule_candidates"].withColumnsRenamed(
         {"id": "candidate_id", "admission_parse_run_id": "parse_run_id"}
-    ).drop("university_program_id", "olympiad_profile_id")
+    ).drop("university_program_id", "olympiad_profile_id", "match_status")
     joined = (
         candidates.join(runs, "parse_run_id")
         .join(targets, "admission_source_target_id")
