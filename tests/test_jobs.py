@@ -198,7 +198,7 @@ def test_discovery_walks_scores_and_attaches(spark):
     rows = {r.url.removeprefix(seed): r for r in found.collect()}
     assert not any("foreign" in url for url in rows)
     pdf = rows["files/list-2026.pdf"]
-    assert (pdf.document_kind, pdf.score) == ("pdf", 22 + 6 + 12 + 8) and pdf.signals["document"] == 1
+    assert (pdf.document_kind, pdf.score) == ("pdf", 22 + 6 + 8 + 12 + 8) and pdf.signals["document"] == 1
     assert rows[""].title == "Приёмная комиссия Контакты" and rows[""].score == 8
     assert rows["m.pdf"].score == 8 and rows["far"].score == 8
     targets = spark.createDataFrame([(7, seed + "rules", True, None)], "campaign_id long, url string, is_active boolean, discovered_by string")
