@@ -111,7 +111,7 @@ def catalogue(s: Source) -> dict[str, DataFrame]:
         F.when(F.col("s_acctbal") < 1000, F.col("s_suppkey")).alias("university_program_id"),
         F.when(F.col("s_acctbal") > 6000, "general").otherwise("bvi").alias("policy_kind"), F.col("s_name").alias("description"),
         F.concat(F.lit("https://policy.example.org/"), "s_suppkey").alias("source_url"),
-        F.timestamp_seconds(F.floor("s_acctbal") * 1000).cast("timestamp_ntz").alias("checked_at"),
+        (at("1970-01-01") + F.make_dt_interval(secs=(F.floor("s_acctbal") * 1000).cast("decimal(18,6)"))).alias("checked_at"),
         (F.col("s_acctbal") > 0).alias("is_verified"),
     )
     olympiads = s.part.select("p_brand").distinct().select(

@@ -1,6 +1,6 @@
 """Scalar text, key, JSON, date and URL functions over whole columns."""
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 from ruleweave.functions import text as t, urls as u
 from ruleweave.functions.classify import is_direction, selectors, split_code
@@ -159,9 +159,12 @@ def url_canonical(s: Source):
 )
 def http_date_parse(s: Source):
     header = F.concat(F.date_format("ts", "E, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+
+    def utc(instant: Column) -> Column:
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
     return s.events.select(
-        "event_id", t.http_date(header).cast("timestamp_ntz").alias("parsed"),
-        t.http_date(F.col("props")).cast("timestamp_ntz").alias("unparsed"),
+        "event_id", utc(t.http_date(header)).alias("parsed"), utc(t.http_date(F.col("props"))).alias("unparsed")
     )
 
 

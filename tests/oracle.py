@@ -1,6 +1,7 @@
 """Compare registered queries with their SQL twins: ``python tests/oracle.py SF NAME...``"""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -61,6 +62,7 @@ if __name__ == "__main__":
     wanted = sys.argv[2:]
     spark = local_session(8, "ruleweave-oracle")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("ORACLE_TIME_ZONE", "UTC"))
     con = connect(folder)
     bad = 0
     for name, build in queries().items():
