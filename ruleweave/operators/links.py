@@ -145,31 +145,33 @@ def bounded_walk(
     the group limit keeps a hub page's links from reaching one task.
     """
     max_pages, max_depth = min(max(max_pages, 1), 60), min(max(max_depth, 0), 3)
+    # Order of arrival is (arrival of the page, place of the link), one number since both are small.
     # Visited pages and new arrivals of a site are at most max_pages together, so whatever a page
     # adds is among its first max_pages distinct links: later ones can never be reached from it.
     source = [c for c in ("site", "src") if c in edges.columns]
     links = edges.groupBy(*source, "dst").agg(F.min("pos").alias("pos"))
-    edges = top_per_key(links, source, [F.asc("pos"), F.asc("dst")], max_pages)
+    edges = top_per_key(links, source, [F.asc("pos"), F.asc("dst")], max_pages, rank="n")
+    if entries is not None:
+        listed = entries.groupBy("site", "url").agg(F.min("pos").alias("pos"))
+        entries = top_per_key(listed, ["site"], [F.asc("pos"), F.asc("url")], max_pages, rank="n")
     visited = seeds.select("site", "url").distinct().select(
         "site", "url", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("arrival")
     )
     frontier = visited
     for depth in range(1, max_depth + 1):
-        reachable = frontier["url"] == edges["src"]
+        # Sites that have spent their cap expand nothing more.
+        spent = visited.groupBy("site").agg(F.count(F.lit(1)).alias("spent")).filter(F.col("spent") < max_pages)
+        open_pages = frontier.join(spent.select("site"), "site", "left_semi")
+        reachable = open_pages["url"] == edges["src"]
         if "site" in edges.columns:
-            reachable = reachable & (frontier["site"] == edges["site"])
-        found = frontier.join(edges, reachable).select(
-            frontier["site"], F.col("dst").alias("url"), F.struct(F.col("arrival").alias("a"), F.col("pos").alias("p")).alias("rank")
+            reachable = reachable & (open_pages["site"] == edges["site"])
+        found = open_pages.join(edges, reachable).select(
+            open_pages["site"], F.col("dst").alias("url"), (F.col("arrival") * 1000 + F.col("n")).alias("rank")
         )
         if depth == 1 and entries is not None:
-            found = found.unionByName(
-                entries.select(
-                    "site", "url", F.struct(F.lit(0).cast("long").alias("a"), F.col("pos").alias("p")).alias("rank")
-                )
-            )
+            found = found.unionByName(entries.select("site", "url", F.col("n").cast("long").alias("rank")))
         first = found.groupBy("site", "url").agg(F.min("rank").alias("rank"))
         fresh = first.join(visited.select("site", "url"), ["site", "url"], "left_anti")
-        spent = visited.groupBy("site").agg(F.count(F.lit(1)).alias("spent"))
         ranked = top_per_key(fresh, ["site"], [F.asc("rank"), F.asc("url")], max_pages, rank="n")
         frontier = (
             ranked.join(spent, "site")
@@ -211,19 +213,25 @@ def attach(
             .otherwise("eligible"),
         )
     )
-    eligible = joined.filter(F.col("_class") == "eligible")
-    ranked = top_per_key(
-        eligible.select(campaign, "url", "score", "_room", *order), [campaign],
-        [*[F.asc(c) for c in order], F.desc("score"), F.asc("url")], 20, rank="_n",
+    eligible = joined.filter(F.col("_class") == "eligible").select(campaign, "url", "score", "_room", *order)
+    queue = [*[F.asc(c) for c in order], F.desc("score"), F.asc("url")]
+    # A URL that several sites of a campaign found is attached by the first of them only.
+    ranked = top_per_key(top_per_key(eligible, [campaign, "url"], queue), [campaign], queue, 20, rank="_n")
+    admitted = ranked.filter(F.col("_n") <= F.col("_room")).select(
+        campaign, "url", F.lit(True).alias("_admitted"), *[F.col(c).alias(f"_first_{c}") for c in order]
     )
-    admitted = ranked.filter(F.col("_n") <= F.col("_room")).select(campaign, "url", F.lit(True).alias("_admitted"))
+    is_first = F.lit(True)
+    for name in order:
+        is_first = is_first & F.col(name).eqNullSafe(F.col(f"_first_{name}"))
     return (
         joined.join(admitted, [campaign, "url"], "left")
         .withColumn(
             "status",
             F.when(F.col("_class") != "eligible", F.col("_class"))
-            .when(F.col("_admitted"), "attached")
+            .when(F.col("_admitted") & is_first, "attached")
+            .when(F.col("_admitted"), "already_tracked")
             .otherwise("discovered"),
         )
+        .drop(*[f"_first_{c}" for c in order])
         .drop("_known", "_active", "_room", "_class", "_admitted")
     )

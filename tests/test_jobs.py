@@ -209,6 +209,20 @@ def test_discovery_walks_scores_and_attaches(spark):
     assert status["files/list-2026.pdf"] == "discovered"
 
 
+def test_one_site_attaches_a_shared_url(spark):
+    from ruleweave.operators.links import attach
+
+    rows = [(7, 1, "a", 50), (7, 2, "a", 60), (7, 2, "b", 90), (7, 1, "c", 40), (8, 3, "a", 50)]
+    found = spark.createDataFrame(rows, "campaign_id long, site long, url string, score int").withColumns(
+        {"document_kind": F.lit("html"), "signals": F.expr("map('bvi', 1, 'admission', 1)"), "cap": F.lit(2), "low": F.lit(38)}
+    )
+    targets = spark.createDataFrame([], "campaign_id long, url string, is_active boolean, discovered_by string")
+    got = {(r.campaign_id, r.site, r.url): r.status for r in attach(found, targets, "campaign_id", "cap", "low", ["site"]).collect()}
+    assert got == {
+        (7, 1, "a"): "attached", (7, 1, "c"): "attached", (7, 2, "a"): "already_tracked", (7, 2, "b"): "discovered", (8, 3, "a"): "attached",
+    }
+
+
 def test_walk_respects_cap_and_order(spark):
     from ruleweave.operators.links import bounded_walk
 
