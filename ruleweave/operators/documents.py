@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ruleweave.functions import arrays
@@ -13,6 +15,9 @@ from ruleweave.functions.text import compact, split_lines
 from ruleweave.operators.stages import settle
 from ruleweave.schemas import struct
 
+# The reader travels with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_SCHEMA = T.ArrayType(struct("kind string, level int, line string"))
 
 
