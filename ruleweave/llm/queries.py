@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import simhash
+from ruleweave.llm import mixing, quality, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,45 @@ def query(name: str, sql: str | None = None) -> Callable:
 @query("op7_simhash_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
+
+
+OP1_SQL = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
+q AS (SELECT source, n, greatest(1, round(weight * 512 / (SELECT sum(weight) FROM n)))::BIGINT AS q FROM n),
+s AS (SELECT list({'source': source, 'n': n, 'q': q} ORDER BY source NULLS FIRST) AS s FROM q),
+marks AS (SELECT DISTINCT unnest([0, n // q, n // q + 1]) AS first FROM q),
+runs AS (SELECT first, lead(first) OVER (ORDER BY first) AS stop FROM marks),
+made AS (SELECT first, stop, list_filter(list_transform(s, lambda x: {'source': x.source, 'c': greatest(0, least(x.q, x.n - first * x.q))}),
+                                         lambda p: p.c > 0) AS parts FROM runs, s WHERE stop IS NOT NULL),
+sized AS (SELECT *, list_sum(list_transform(parts, lambda p: p.c))::BIGINT AS size FROM made WHERE len(parts) > 0),
+segments AS (SELECT *, coalesce(sum((stop - first) * size) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM sized),
+fold AS (
+  SELECT first, parts, size, -1::BIGINT AS slot, list_transform(parts, lambda p: 0::BIGINT) AS done, 0::BIGINT AS i FROM segments
+  UNION ALL
+  SELECT first, parts, size, slot + 1, list_transform(done, lambda d, k: CASE WHEN k = best THEN d + 1 ELSE d END), best FROM (
+    SELECT *, list_min(list_transform(range(1, len(parts) + 1), lambda k: CASE
+      WHEN done[k] < parts[k].c AND done[k] * size // parts[k].c <= slot + 1
+      THEN ((done[k] + 1) * size + parts[k].c - 1) // parts[k].c * 1000000 + k END)) % 1000000 AS best
+    FROM fold WHERE slot + 1 < size)),
+slots AS (SELECT first, parts[i].source AS source, done[i] - 1 AS turn, slot FROM fold WHERE slot >= 0),
+placed AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS turn FROM documents)
+SELECT p.doc_id, p.source, p.turn, (g.base + (p.turn // q.q - g.first) * g.size + t.slot)::BIGINT AS position
+FROM placed p JOIN q ON p.source IS NOT DISTINCT FROM q.source
+JOIN segments g ON p.turn // q.q >= g.first AND p.turn // q.q < g.stop
+JOIN slots t ON t.first = g.first AND t.source IS NOT DISTINCT FROM p.source AND t.turn = p.turn % q.q
+"""
+
+
+@query("op1_mix_sources", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
