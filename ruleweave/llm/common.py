@@ -10,7 +10,9 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ruleweave.session import cut_lineage
@@ -48,12 +50,10 @@ def release(spark: SparkSession) -> None:
 
 def by_rows(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose binary or text column holds about ``most`` bytes at a time."""
-    import numpy as np
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         part = np.cumsum(sizes, dtype=np.int64) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:]):
