@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruleweave.llm import html_main, lattice, mixing, packing, quality, secret_scan, simhash, topk
+from ruleweave.llm import html_main, lattice, licenses, mixing, packing, quality, secret_scan, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_html_main_text")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return html_main.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, folder, "documents")))
