@@ -37,18 +37,22 @@ def local_session(cores: int | str = 8, app: str = "ruleweave-local") -> SparkSe
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so an iterative job survives the loss of executors.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting (a test) gets a folder of its own; a cluster must name one, since a
-    machine-local folder would be lost with its machine.
+    Only a local session without that setting (a test) gets a folder of its own; a cluster must name
+    one, since a machine-local folder would be lost with its machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ruleweave-checkpoint-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ruleweave-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so an iterative job survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
