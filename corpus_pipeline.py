@@ -1,12 +1,55 @@
-"""A corpus cleaned, de-duplicated, scrubbed, mixed and packed, stage by stage."""
+"""A corpus cleaned, de-duplicated, scrubbed, mixed and packed, stage by stage.
+
+Every stage takes what its predecessor kept, written as Parquet and read again; all but the last
+return the columns of ``documents``. SQL can express neither the fitted classifier nor the
+tokenizer, so there is no ORACLE_SQL and tests compare the stages with brute-force versions.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ruleweave.llm import mixing, packing, quality, secret_scan, simhash
+from ruleweave.session import shared_folder
+
 ORACLE_SQL = None
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the labels are those of ``sf_dir``."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies by SimHash, the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def scrubbed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, stored in the order that mixes their sources to target weights."""
+    return mixing.arranged(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of tokens, packed in the stored order: one row per piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good), ("near_duplicates", unique), ("secrets", scrubbed), ("mix", mixed), ("pack", packed)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents``; what each keeps is a table in the shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
