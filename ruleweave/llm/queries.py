@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruleweave.llm import html_main, lattice, licenses, mixing, packing, quality, secret_scan, simhash, topk
+from ruleweave.llm import html_main, lattice, licenses, mixing, packing, quality, repeats, secret_scan, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+f AS (SELECT doc_id, p, p > coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, -1) AS new
+      FROM w JOIN m USING (s) WHERE doc_id > least),
+g AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM f),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, k),
+e AS (SELECT doc_id, a AS stop, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n, n FROM d)),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start, stop) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce((SELECT sum(b - a) FROM r WHERE r.doc_id = d.doc_id), 0)::BIGINT AS n_removed,
+       (SELECT count(*) FROM r WHERE r.doc_id = d.doc_id) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN t USING (doc_id)
+"""
+
+
+@query("op5_suffix_dedup", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(table(spark, folder, "documents")))
