@@ -23,9 +23,9 @@ BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 RANGES, ANCHORS, PLACES, CONTEXTS = 1, 0, 2, 3
 FORMATS = {
     RANGES: (("at", "<u4"), ("end", "<u4")),
-    ANCHORS: (("key", "<u8"), ("context", "<u8"), ("at", "<u4"), ("size", "u1")),
-    PLACES: (("key", "<u8"), ("at", "<u4"), ("size", "u1"), ("hot", "u1")),
-    CONTEXTS: (("key", "<u8"), ("at", "<u4"), ("size", "u1")),
+    ANCHORS: (("key", "u6"), ("context", "u6"), ("at", "<u4"), ("size", "u1")),
+    PLACES: (("key", "u6"), ("at", "<u4"), ("size", "u1"), ("hot", "u1")),
+    CONTEXTS: (("key", "u6"), ("at", "<u4"), ("size", "u1")),
 }
 SCHEMA = "kind int, bucket int, body binary"
 
@@ -63,6 +63,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    """The upper 48 bits, which is what is packed."""
+    return x >> U(16)
+
+
+def _to_bytes(values: np.ndarray, dtype: str) -> bytes:
+    if dtype == "u6":
+        return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return values.astype(dtype).tobytes()
+
+
+def _from_bytes(body: bytes, dtype: str, count: int, at: int) -> np.ndarray:
+    if dtype == "u6":
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(body, np.uint8, count * 6, at).reshape(-1, 6)
+        return wide.view("<u8").ravel()
+    return np.frombuffer(body, dtype, count, at)
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(first, last, key, context) of the runs of windows that share an anchor, for texts laid end to end.
 
@@ -93,7 +112,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     a, b = valid[np.concatenate(([0], change + 1))], valid[np.concatenate((change, [len(valid) - 1]))]
     spot = place[a]
     context = mixed(Hashes(data, BASES[1]).of(a, b + SPAN) + mixed(((b - a) * 256 + spot - a).astype(U)))
-    return a, b, key[spot], context
+    return a, b, short(key[spot]), short(context)
 
 
 class Rows:
@@ -115,9 +134,9 @@ class Rows:
         change = np.flatnonzero((np.diff(self.doc) != 0) | (np.diff(self.text) != 0)) + 1
         heads = np.concatenate(([0], change)) if len(self) else np.zeros(0, np.int64)
         runs = np.diff(np.concatenate((heads, [len(self)])))
-        parts = [np.array([len(heads), len(self)], "<u4"), self.doc[heads].astype("<i8"), self.text[heads].astype("<i8"), runs.astype("<u4")]
-        parts += [self.columns[name].astype(dtype) for name, dtype in FORMATS[kind]]
-        return b"".join(part.tobytes() for part in parts)
+        parts = [(np.array([len(heads), len(self)]), "<u4"), (self.doc[heads], "<i8"), (self.text[heads], "<i8"), (runs, "<u4")]
+        parts += [(self.columns[name], dtype) for name, dtype in FORMATS[kind]]
+        return b"".join(_to_bytes(*part) for part in parts)
 
     @classmethod
     def unpack(cls, kind: int, bodies: list[bytes]) -> tuple[Rows, list[bytes]]:
@@ -130,8 +149,8 @@ class Rows:
 
             def read(dtype: str, count: int) -> np.ndarray:
                 nonlocal at
-                values = np.frombuffer(body, dtype, count, at)
-                at += values.nbytes
+                values = _from_bytes(body, dtype, count, at)
+                at += count * int(dtype[-1])
                 return values
 
             doc, text, runs = read("<i8", heads), read("<i8", heads), read("<u4", heads)
@@ -197,7 +216,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _find(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors by bucket of their key, without those that an earlier document of the batch has alike."""
-        for batch in by_rows(batches, "text", 32 << 20):
+        for batch in by_rows(batches, "text", 8 << 20):
             doc, text = (batch.column(i).to_numpy() for i in (0, 1))
             data, ends = _bytes(batch.column(2))
             starts = np.concatenate(([0], ends[:-1]))
@@ -233,14 +252,14 @@ def _find(buckets: int):
                 yield out
             keep = np.flatnonzero(~later)
             rows = Rows(ids[keep], text[owner[keep]], key=key[keep], context=context[keep], at=at[keep], size=size[keep])
-            out = _send(ANCHORS, rows, ((key[keep] >> U(24)) % U(buckets)).astype(np.int64))
+            out = _send(ANCHORS, rows, (key[keep] % U(buckets)).astype(np.int64))
             if out is not None:
                 yield out
 
     return run
 
 
-def _match(buckets: int):
+def _match(buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts that an earlier document has alike are ranges; anchors in unlike contexts are looked at again."""
         bodies: list[bytes] = []
@@ -269,7 +288,7 @@ def _match(buckets: int):
         key = np.repeat(np.arange(len(tops)), counts)[group]
         at = np.flatnonzero(~later & unlike[key])
         found = rows.take(at)
-        found = Rows(found.doc, found.text, key=found.key, at=found.at, size=found.size, hot=(counts[key[at]] > HOT))
+        found = Rows(found.doc, found.text, key=found.key, at=found.at, size=found.size, hot=(counts[key[at]] > most))
         found = found.take(np.lexsort((found.at, found.text, found.doc)))
         out = _send(PLACES, found, (found.doc ^ found.text) % buckets)
         if out is not None:
@@ -286,10 +305,20 @@ def _owners(rows: Rows, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.repeat(owners, np.diff(np.concatenate((change, [len(rows)]))))
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    for batch in batches:
+        bodies = pc.fill_null(batch.column(3).cast(pa.large_binary()), b"").to_pylist()
+        packed = pa.array([pa.compress(body, codec="zstd", asbytes=True) for body in bodies], pa.binary())
+        sizes = pa.array([len(body) for body in bodies], pa.int64())
+        yield pa.record_batch([*batch.columns[:3], sizes, packed], ["doc", "text_key", "bucket", "size", "body"])
+
+
 def _table(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    column = batch["body"].combine_chunks()
-    column = column if isinstance(column, pa.Array) else column.chunk(0)
-    return batch["doc"].to_numpy(), batch["text_key"].to_numpy(), *_bytes(column)
+    """Documents, text keys, and the bytes of all texts laid end to end with where each ends."""
+    sizes = batch["size"].to_numpy()
+    bodies = [pa.decompress(body, size, "zstd", asbytes=True) for body, size in zip(batch["body"].to_pylist(), sizes.tolist())]
+    return batch["doc"].to_numpy(), batch["text_key"].to_numpy(), np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes)
 
 
 def _fetch(buckets: int):
@@ -305,7 +334,7 @@ def _fetch(buckets: int):
             cool = np.flatnonzero(~hot)
             some = rows.take(cool)
             tails = data[spread(begin[cool], some.size.astype(np.int64))]
-            out.append(_send(CONTEXTS, Rows(some.doc, some.text, key=some.key, at=some.at, size=some.size), ((some.key >> U(24)) % U(buckets)).astype(np.int64), tails))
+            out.append(_send(CONTEXTS, Rows(some.doc, some.text, key=some.key, at=some.at, size=some.size), (some.key % U(buckets)).astype(np.int64), tails))
             if hot.any():
                 many = np.flatnonzero(hot)
                 windows = rows.size[many].astype(np.int64) - SPAN + 1
@@ -315,7 +344,7 @@ def _fetch(buckets: int):
                 for part in range(0, len(at), RUN):  # the windows of a stretch, hashed over their own bytes
                     piece = at[part : part + RUN]
                     body = data[spread(piece, np.full(len(piece), SPAN))].reshape(-1, SPAN).astype(U) + U(1)
-                    key[part : part + RUN] = mixed((body * _powers(BASES[1], SPAN)[0]).sum(axis=1, dtype=U))
+                    key[part : part + RUN] = short(mixed((body * _powers(BASES[1], SPAN)[0]).sum(axis=1, dtype=U)))
                 order = np.lexsort((rows.doc[here], key))
                 key, at, here = key[order], at[order], here[order]
                 heads = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0)))
@@ -327,7 +356,7 @@ def _fetch(buckets: int):
                 keep = keep[np.lexsort((shift[keep], rows.text[here[keep]], rows.doc[here[keep]]))]
                 first = Rows(rows.doc[here[keep]], rows.text[here[keep]], key=key[keep], at=shift[keep], size=np.full(len(keep), SPAN))
                 tails = data[spread(at[keep], np.full(len(keep), SPAN))]
-                out.append(_send(CONTEXTS, first, ((first.key >> U(24)) % U(buckets)).astype(np.int64), tails))
+                out.append(_send(CONTEXTS, first, (first.key % U(buckets)).astype(np.int64), tails))
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
         return pa.Table.from_batches([part for part in out if part is not None], schema)
 
@@ -488,7 +517,7 @@ def _apply(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc), "n_bytes": pa.array(ends - starts), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
 
 
-def without_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, kept (binary) and spans (start, end in bytes) for every row of ``docs``.
 
     Removes each byte that is covered by a 50-byte string which also starts in a document with a
@@ -498,20 +527,22 @@ def without_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Equal strings have equal anchors (the least-hashed bytes inside), about one in sixteen places, so
     only anchors are shuffled, packed by bucket, after each batch has settled those that its own
-    documents share. Anchors in like contexts (128 bits of hashes) settle all their windows at once.
+    documents share. Anchors in like contexts (96 bits of hashes) settle all their windows at once.
     Where an anchor has unlike contexts, near the ends of a repeat, the contexts' bytes are fetched
-    and their suffixes sorted. ``buckets`` is four times spark.sql.shuffle.partitions by default and
-    bounds what a task holds: a bucket of texts, anchors or contexts.
+    and their suffixes sorted. ``buckets`` is twice spark.sql.shuffle.partitions by default and
+    bounds what a task holds: a bucket of texts, anchors or contexts. An anchor with more than ``hot``
+    unlike contexts is dealt out by window, the earliest of each bucket of texts only.
     """
     spark = ship(docs.sparkSession)
-    count = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     found = rows.mapInArrow(_find(count), SCHEMA).repartition("kind", "bucket")
-    matched = cut(found.mapInArrow(_match(count), SCHEMA))
+    matched = cut(found.mapInArrow(_match(count, hot), SCHEMA))
     del found
     release(spark)
-    stored = rows.select(F.col("doc"), "text_key", F.col("text").alias("body"), F.pmod(F.col("doc").bitwiseXOR(F.col("text_key")), F.lit(count)).cast("int").alias("bucket"))
+    bucket = F.pmod(F.col("doc").bitwiseXOR(F.col("text_key")), F.lit(count)).cast("int").alias("bucket")
+    stored = rows.select("doc", "text_key", bucket, "text").mapInArrow(_squeeze, "doc long, text_key long, bucket int, size long, body binary")
 
     def meet(packed: DataFrame, work, schema: str) -> DataFrame:
         return stored.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(work, schema)
