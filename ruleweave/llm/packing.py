@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,57 +20,98 @@ AT_SENTENCE, INSIDE = 4, 12
 STRETCH = 64
 #: Bytes of text that are cut together; each run ends in windows of its own.
 RUN = 8 << 20
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers before it starts anew.
+REMEMBERED = 600_000
+
+
+#: Punctuation that is looked up apart from a word that it ends, if the word itself ends in a letter.
+TAIL = ".,!?;:#$%&*|"
 
 
 class Words:
-    """Ids of words. White space never lies inside a pre-token, so a text's ids are its words' ids in turn."""
+    """Ids of words. White space never lies inside a pre-token, so a text's ids are its words' ids in turn.
+
+    Nor does a pre-token hold both a letter and the punctuation after it (save for apostrophes, and
+    the special tokens in angle brackets), so a word's tail is looked up by itself; and the vocabulary
+    is lower case, so words in ASCII are looked up in lower case.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(words.values()) + 1, bool)
+        self.closes[[at for text, at in words.items() if text.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.counts, self.stops = array("i"), array("i"), array("b")
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.known = pa.array([], pa.string())
+        self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def numbers(self, parts: pa.Array) -> np.ndarray:
+        """Places of the distinct strings among those remembered; new ones are encoded."""
+        coded = parts.dictionary_encode()
+        found = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        fresh = np.flatnonzero(found < 0)
+        letters = pc.match_substring_regex(coded.dictionary.take(pa.array(fresh)), "^[a-z]+$").to_numpy(zero_copy_only=False) if len(fresh) else fresh
+        for places, encode in ((fresh[letters], self.single), (fresh[~letters], self.several)) if len(fresh) else ():
+            found[places] = len(self.known) + np.arange(len(places))
+            some = coded.dictionary.take(pa.array(places))
+            self.known = pa.concat_arrays([self.known, some])
+            for start in range(0, len(some), 20_000):
+                flat, counts = encode(some.slice(start, 20_000).to_pylist())
+                self.flat, self.counts = np.concatenate((self.flat, flat)), np.concatenate((self.counts, counts))
+        return found[coded.indices.to_numpy()]
+
+    def single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone, each one pre-token, which its last id closes: encoded in one text."""
+        flat = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
+        return flat, np.diff(np.flatnonzero(self.closes[flat]), prepend=-1).astype(np.int32)
+
+    def several(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in words]
+        return np.array([x for part in ids for x in part], np.int32), np.array([len(part) for part in ids], np.int32)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END; places after sentences; places after documents."""
-        if len(self.index) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.forget()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = list(set().union(*split).difference(self.index)) if split else []
-        for word, ids in zip(fresh, self.encode(fresh)):
-            self.index[word] = len(self.counts)
-            self.flat.extend(ids)
-            self.counts.append(len(ids))
-            self.stops.append(word.endswith((".", "!", "?")))
-        find = self.index.__getitem__
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(find, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        counts = np.frombuffer(self.counts, np.int32).astype(np.int64) if self.counts else np.zeros(0, np.int64)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        cores = pc.utf8_rtrim(words, characters=TAIL)
+        plain = pc.and_(pc.match_substring_regex(cores, "[A-Za-zÀ-ÖØ-öø-ÿ]$"), pc.invert(pc.match_substring(words, "<")))
+        cores = pc.if_else(plain, cores, words)
+        tails = _after(words, cores)
+        low = pc.and_(plain, pc.string_is_ascii(cores))
+        places = self.numbers(pa.concat_arrays([pc.if_else(low, pc.ascii_lower(cores), cores), tails]))
+        pairs = np.stack((places[: len(words)], places[len(words) :]), axis=1)
+        counts, flat = self.counts.astype(np.int64), self.flat
         starts = np.cumsum(counts) - counts
-        flat = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
-        stops = np.frombuffer(self.stops, np.int8) if self.stops else np.zeros(0, np.int8)
+        numbers = pairs[at].ravel()
         lengths = counts[numbers]
-        at = np.cumsum(lengths)  # ids up to and with each word
-        total = int(at[-1]) if len(at) else 0
-        body = flat[np.repeat(starts[numbers] - (at - lengths), lengths) + np.arange(total)]
-        last = np.cumsum(sizes)
-        ends = at[last - 1]  # a split text has one word at least
-        ids = np.insert(body, ends, END).astype("<u4")
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        body = flat[np.repeat(starts[numbers] - (ends - lengths), lengths) + np.arange(total)]
+        reached = np.concatenate(([0], ends[1::2]))  # ids up to and with each word
+        stops = reached[np.cumsum(sizes)]
+        ids = np.insert(body, stops, END).astype("<u4")
+        ending = np.flatnonzero(pc.match_substring_regex(words, "[.!?]$").to_numpy(zero_copy_only=False)[at]) if len(at) else at
         document = np.repeat(np.arange(len(sizes)), sizes)
-        marks = stops[numbers] != 0
-        sentences = at[marks] + document[marks]
-        return ids, sentences, ends + np.arange(1, len(sizes) + 1)
+        return ids, reached[ending + 1] + document[ending], stops + np.arange(1, len(sizes) + 1)
+
 
-    def encode(self, words: list[str]) -> Iterator[list[int]]:
-        for start in range(0, len(words), 20_000):
-            for coded in self.tokenizer.encode_batch(words[start : start + 20_000], add_special_tokens=False):
-                yield coded.ids
+def _after(words: pa.Array, cores: pa.Array) -> pa.Array:
+    """What is left of each word after its core."""
+    data = words.buffers()[2]
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + 1 + len(words)].astype(np.int64)
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64) - pc.binary_length(cores).to_numpy()
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    body = raw[np.repeat(ends - sizes - bounds[:-1], sizes) + np.arange(bounds[-1])]
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(body.tobytes())])
 
 
 _WORDS: dict[str, Words] = {}
@@ -79,18 +119,18 @@ _WORDS: dict[str, Words] = {}
 
 def places(sentences: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a window may end, and what ending there costs; no gap is longer than STRETCH."""
-    points = np.unique(np.concatenate((sentences, documents)))
-    points = points[points > 0]
+    points = np.sort(np.concatenate((sentences, documents)), kind="stable")  # two rising runs
+    points = points[np.diff(points, prepend=0) > 0]
     gaps = np.diff(points, prepend=0)
     extra = (gaps - 1) // STRETCH
-    if extra.any():
-        wide = np.flatnonzero(extra)
+    wide = np.flatnonzero(extra)
+    if len(wide):
         base = np.repeat(points[wide] - gaps[wide], extra[wide])
         step = np.arange(len(base)) - np.repeat(np.cumsum(extra[wide]) - extra[wide], extra[wide]) + 1
-        points = np.sort(np.concatenate((points, base + step * STRETCH)))
+        points = np.sort(np.concatenate((points, base + step * STRETCH)), kind="stable")
     costs = np.full(len(points), INSIDE, np.int64)
-    costs[np.isin(points, sentences)] = AT_SENTENCE
-    costs[np.isin(points, documents)] = 0
+    costs[np.searchsorted(points, sentences[sentences > 0])] = AT_SENTENCE
+    costs[np.searchsorted(points, documents)] = 0
     return points, costs
 
 
@@ -167,7 +207,7 @@ def _pack(tokenizer_path: str | None, window: int):
         words = _WORDS[path]
         number = TaskContext.get().partitionId() << 36
         for batch in by_rows(batches, "text", RUN):
-            ids, sentences, documents = words.ids([text or "" for text in batch.column(1).to_pylist()])
+            ids, sentences, documents = words.ids(batch.column(1))
             points, costs = places(sentences, documents)
             bounds = np.array(cuts(points.tolist(), costs.tolist(), window))
             part = _pieces(bounds, documents)
