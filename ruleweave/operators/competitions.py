@@ -27,19 +27,25 @@ def _tags(df: DataFrame, value: Column) -> DataFrame:
 def list_records(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Rows of the approved list; a row with a number opens a title, shorter rows continue it."""
     body = settle(pages, [key], {"body": F.regexp_extract(html, vocab.LIST_TABLE, 1)}).filter("body != ''")
-    rows = body.select(
-        key,
-        F.transform(
-            F.regexp_extract_all("body", F.lit(ROW), 1),
-            lambda row: F.transform(F.regexp_extract_all(row, F.lit(CELL), 1), lambda cell: strip_tags(cell)),
-        ).alias("rows"),
+    read = F.transform(
+        F.regexp_extract_all("body", F.lit(ROW), 1),
+        lambda row: F.transform(F.regexp_extract_all(row, F.lit(CELL), 1), lambda cell: strip_tags(cell)),
+    )
+    rows = settle(body, [key], {"rows": read})
+    marked = settle(
+        rows, [key, "rows"],
+        {"opens": F.transform("rows", lambda r: (F.size(r) >= 5) & F.coalesce(F.get(r, F.lit(0)).rlike(r"^\d+$"), F.lit(False)))},
+    )
+    opened = settle(marked, [key, "rows", "opens"], {"opener": arrays.last_position(F.col("opens"))})
+    items = F.transform(
+        F.arrays_zip("rows", "opens", "opener"),
+        lambda item: F.struct(
+            item["rows"].alias("rows"), item["opens"].alias("opens"), item["opener"].alias("opener"),
+            F.slice(F.coalesce(F.get("rows", item["opener"] - 1), F.array()), 1, 2).alias("above"),
+        ),
     )
-    opened = rows.withColumn(
-        "opens", F.transform("rows", lambda r: (F.size(r) >= 5) & F.coalesce(F.get(r, F.lit(0)).rlike(r"^\d+$"), F.lit(False)))
-    ).withColumn("opener", arrays.last_position(F.col("opens")))
-    each = opened.select(key, "rows", F.posexplode(F.arrays_zip("rows", "opens", "opener")).alias("row_no", "item"))
-    cells, opens = F.col("item.rows"), F.col("item.opens")
-    above = F.get("rows", F.col("item.opener") - 1)
+    each = opened.select(key, F.posexplode(items).alias("row_no", "item"))
+    cells, opens, above = F.col("item.rows"), F.col("item.opens"), F.col("item.above")
     shift = F.when(opens, 2).otherwise(0)
     records = each.filter(F.col("item.opener").isNotNull() & (F.size(cells) >= 3)).select(
         key,

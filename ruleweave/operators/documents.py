@@ -155,15 +155,19 @@ def document_tables(
     two rows that are no separators; the first best-scoring row is the header; tables scoring
     below the minimum and tables without data rows are dropped.
     """
-    lines = docs.select(*keep, split_lines(text).alias("lines"))
-    flags = F.transform("lines", lambda line: is_table_line(line))
-    spans = lines.select(*keep, "lines", F.explode(arrays.runs(flags)).alias("span"))
-    block = F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1)
+    lines = settle(docs, keep, {"lines": split_lines(text)})
+    marked = settle(lines, [*keep, "lines"], {"spans": arrays.runs(F.transform("lines", lambda line: is_table_line(line)))})
+    blocks = F.transform(
+        "spans",
+        lambda span: F.struct(
+            span["first"].alias("first"), F.slice("lines", span["first"], span["last"] - span["first"] + 1).alias("block")
+        ),
+    )
+    spans = marked.select(*keep, F.explode(blocks).alias("span")).select(*keep, F.col("span.first").alias("table_line"), "span.block")
     celled = F.transform(
-        block, lambda line, i: F.struct((F.col("span.first") + i).alias("line"), table_cells(line).alias("cells"))
+        "block", lambda line, i: F.struct((F.col("table_line") + i).alias("line"), table_cells(line).alias("cells"))
     )
-    table_line = F.col("span.first").alias("table_line")
-    bodies = settle(spans, [*keep, table_line], {"rows": F.filter(celled, lambda row: ~cells_are_rule(row["cells"]))})
+    bodies = settle(spans, [*keep, "table_line"], {"rows": F.filter(celled, lambda row: ~cells_are_rule(row["cells"]))})
     best = F.array_max(
         F.transform("rows", lambda row, i: F.struct(term_score(row["cells"], terms).alias("score"), (-i).alias("at")))
     )

@@ -56,19 +56,26 @@ def header_index(table: Column, terms: tuple[str, ...] = vocab.TABLE_HEADER_TERM
 
 def relevant_tables(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Tables whose heading, header and first rows mention a benefit or its context."""
-    lines = docs.select(*keep, dense_lines(text).alias("lines"))
-    headings = arrays.positions(F.transform("lines", lambda line: F.startswith(line, F.lit("#"))))
-    is_row = F.transform("lines", lambda line: F.startswith(line, F.lit("|")))
-    spans = lines.select(*keep, "lines", headings.alias("headings"), F.explode(arrays.runs(is_row)).alias("span"))
-    above = F.array_max(F.filter("headings", lambda at: at < F.col("span.first")))
-    placed = settle(
-        spans,
-        [*keep, F.col("span.first").alias("first_line")],
+    lines = settle(docs, keep, {"lines": dense_lines(text)})
+    marked = settle(
+        lines, [*keep, "lines"],
         {
-            "table": F.slice("lines", F.col("span.first"), F.col("span.last") - F.col("span.first") + 1),
-            "heading": F.coalesce(compact(F.ltrim(F.get("lines", above - 1), F.lit("# "))), F.lit("")),
+            "spans": arrays.runs(F.transform("lines", lambda line: F.startswith(line, F.lit("|")))),
+            "heading_at": arrays.last_position(F.transform("lines", lambda line: F.startswith(line, F.lit("#")))),
         },
     )
+    # Tables are cut out before they are exploded, so a row holds its own lines and not the document's.
+    cut = F.transform(
+        "spans",
+        lambda span: F.struct(
+            span["first"].alias("first_line"), F.slice("lines", span["first"], span["last"] - span["first"] + 1).alias("table"),
+            F.get("lines", F.get("heading_at", span["first"] - 1) - 1).alias("above"),
+        ),
+    )
+    tables = marked.select(*keep, F.explode(cut).alias("t")).select(*keep, "t.first_line", "t.table", "t.above")
+    placed = settle(
+        tables, [*keep, "first_line", "table"], {"heading": F.coalesce(compact(F.ltrim("above", F.lit("# "))), F.lit(""))}
+    )
     tables = settle(placed, [*keep, "first_line", "table", "heading"], {"head": header_index(F.col("table"))})
     context = compact(
         F.array_join(F.concat(F.array("heading"), F.slice("table", F.col("head") + 1, F.lit(4))), " ")
@@ -126,7 +133,7 @@ def table_rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def paragraphs(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Lines of twenty characters or more whose surroundings name a benefit and its context."""
-    lines = docs.select(*keep, dense_lines(text).alias("lines"))
+    lines = settle(docs, keep, {"lines": dense_lines(text)})
     blocks = F.transform(
         "lines",
         lambda line, i: F.struct(

@@ -13,7 +13,8 @@ from ruleweave.operators.ordered import top_per_key
 from ruleweave.operators.stages import settle
 from ruleweave.session import cut_lineage
 
-ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=[^>]*>.*?</a\s*>"
+#: An anchor ends at its end tag, at the next anchor, or with the markup if it is cut off.
+ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=[^>]*>.*?(?:</a\s*>|(?=<a\b)|\z)"
 HREF = r"""(?is)^<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 

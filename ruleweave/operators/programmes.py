@@ -153,22 +153,28 @@ def card_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             compact(F.regexp_extract(row["text"], r"(?s)^[^ ]* (.*)$", 1)).alias("title"),
         ),
     )
-    marked = lines.select(*keep, heads.alias("heads")).withColumn(
-        "section_at", arrays.last_position(F.transform("heads", lambda h: h["level"] <= 2))
+    marked = settle(lines, keep, {"heads": heads})
+    placed = settle(
+        marked, [*keep, "heads"], {"section_at": arrays.last_position(F.transform("heads", lambda h: h["level"] <= 2))}
     )
-    rows = marked.select(*keep, "heads", F.explode(F.arrays_zip("heads", "section_at")).alias("item")).filter(
-        (F.col("item.heads.level") == 3) & F.col("item.section_at").isNotNull()
+    items = F.transform(
+        F.arrays_zip("heads", "section_at"),
+        lambda item: F.struct(
+            item["heads"].alias("head"), F.get("heads", item["section_at"] - 1)["title"].alias("section"),
+            item["section_at"].alias("section_at"),
+        ),
     )
-    section = F.get("heads", F.col("item.section_at") - 1)["title"]
-    title = F.col("item.heads.title")
+    wanted = F.filter(items, lambda item: (item["head"]["level"] == 3) & item["section_at"].isNotNull())
+    rows = placed.select(*keep, F.explode(wanted).alias("item"))
+    section, title = F.col("item.section"), F.col("item.head.title")
     return rows.filter(F.contains(fold(section), F.lit(vocab.SECTION_WORD)) & valid_name(title)).select(
         *keep,
         F.lit(None).cast("string").alias("external_code"),
         title.alias("name"),
         F.lit("bachelor").alias("degree_level"),
-        F.concat(F.lit("markdown:heading:"), F.col("item.heads.line_no")).alias("source_locator"),
+        F.concat(F.lit("markdown:heading:"), F.col("item.head.line_no")).alias("source_locator"),
         title.alias("source_excerpt"),
-        F.col("item.heads.line_no").alias("line_no"),
+        F.col("item.head.line_no").alias("line_no"),
     )
 
 
@@ -238,7 +244,7 @@ def catalogue_programmes(
         )
         merged = found if merged is None else merged.unionByName(found)
     keyed = merged.withColumn("_name", fold("name"))
-    return keep_first(keyed, [key, "external_code", "_name"], ["reader_rank", "line_no"]).select(*keep, *PROGRAMME, "reader_rank", "line_no")
+    return keep_first(keyed, [key, adapter, "external_code", "_name"], ["reader_rank", "line_no"]).select(*keep, *PROGRAMME, "reader_rank", "line_no")
 
 
 def unsupported(docs: DataFrame, adapter: str, codes: Sequence[str]) -> DataFrame:

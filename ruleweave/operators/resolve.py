@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave import vocab
-from ruleweave.functions.text import contains_any, direction_code, fold_tokens, level_of_code, strip
+from ruleweave.functions.text import contains_any, direction_code, fold_tokens, let, level_of_code, strip
 from ruleweave.operators.ordered import keep_first
+from ruleweave.session import cut_lineage
 
 ANCHOR = 8
 
@@ -18,7 +19,7 @@ def title_aliases(title: Column | str, prefixes: Sequence[str] = vocab.TITLE_PRE
     full = fold_tokens(title)
     shorts = []
     for prefix in prefixes:
-        short = F.trim(F.substring(full, len(prefix) + 1, 1_000_000))
+        short = F.trim(F.substr(full, F.lit(len(prefix) + 1)))
         usable = (
             F.startswith(full, F.lit(prefix))
             & (F.length(short) >= vocab.MIN_ALIAS_LENGTH)
@@ -56,7 +57,7 @@ def title_hits(
     Both sides are folded to single-space tokens, so presence means: the alias is a run of tokens
     of the text. The texts' n-grams, of only those lengths that aliases start with (at most eight),
     are hashed and equi-joined; the few hits are verified against the whole text. Texts cross
-    the shuffle as 64-bit hashes only.
+    the shuffle as 64-bit hashes, and once more whole, only those that have a hit, to be verified.
     """
     lengths = aliases.agg(F.sort_array(F.collect_set("anchor_size"))).scalar()
     folded = texts.select(*scope, F.col(text_key).alias("text_key"), fold_tokens(text).alias("folded"))
@@ -89,6 +90,50 @@ def profile_names(profiles: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def hit_pairs(
+    texts: DataFrame, key: str, text: str, titles: DataFrame, scope: Sequence[str], prefixes: Sequence[str], generic: Sequence[str],
+) -> DataFrame:
+    """Distinct (text_key, title_key) pairs of ``title_hits``, found once: several steps use them."""
+    aliases = alias_table(titles, "title_key", "title_key", scope, prefixes, generic)
+    return cut_lineage(title_hits(texts, key, text, aliases, scope).select(*scope, "text_key", "title_key").distinct())
+
+
+def letter_grams(folded: Column | str) -> Column:
+    """Hashes of all runs of GRAM letters that start at a letter of a token, linear in the text.
+
+    A run that starts in a token ends in one of the next ones, so each token is looked at with its
+    followers only and no position is sought from the start of the text.
+    """
+
+    def of(tokens: Column) -> Column:
+        def at(i: Column) -> Column:
+            def runs(piece: Column) -> Column:
+                starts = F.sequence(F.lit(1), F.length(F.element_at(tokens, i)))
+                return F.transform(starts, lambda j: F.xxhash64(F.substr(piece, j, F.lit(GRAM))))
+
+            return let(F.array_join(F.slice(tokens, i, F.lit(GRAM)), " "), runs)
+
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens)), at)))
+
+    return let(F.filter(F.split(folded, " "), lambda token: token != ""), lambda t: F.when(F.size(t) > 0, of(t)))
+
+
+def names_in_text(
+    texts: DataFrame, key: str, text: str, hits: DataFrame, names: DataFrame, scope: Sequence[str]
+) -> DataFrame:
+    """(text_key, title_key, name, n, first) for each name of a hit title that is part of the text.
+
+    A name is anchored by its first letters: only hashes of letter grams are exploded and shuffled,
+    and the text itself joins once, to verify the few names whose anchor it has.
+    """
+    folded = texts.select(*scope, F.col(key).alias("text_key"), fold_tokens(text).alias("folded"))
+    wanted = folded.join(hits.select(*scope, "text_key").distinct(), [*scope, "text_key"], "left_semi")
+    grams = wanted.select(*scope, "text_key", F.explode(letter_grams("folded")).alias("gram"))
+    anchored = names.filter(F.length("name") >= GRAM).withColumn("gram", F.xxhash64(F.substring("name", 1, GRAM)))
+    likely = grams.join(hits, [*scope, "text_key"]).join(anchored, [*scope, "title_key", "gram"]).drop("gram")
+    return likely.join(wanted, [*scope, "text_key"]).filter(F.contains("folded", F.col("name"))).drop("folded")
+
+
 def catalogue_match(
     candidates: DataFrame, key: str, text: str, profiles: DataFrame, scope: Sequence[str] = (),
     prefixes: Sequence[str] = vocab.TITLE_PREFIXES, generic: Sequence[str] = vocab.GENERIC_TITLE_WORDS,
@@ -98,21 +143,14 @@ def catalogue_match(
     ``profiles`` has profile_id, title, profile_title, level and the scope columns. Titles are
     matched once each, however many profiles share them. A profile name counts when it is long
     enough and part of the text; its first letters are equi-joined with the letter grams of the
-    text, so the profiles of one title are never paired with all texts that name the title.
+    text, so the profiles of one title are never paired with all texts that name the title. The
+    title hits are checkpointed as narrow pairs, which every later step reads.
     """
     names = profile_names(profiles, scope)
     titles = names.groupBy(*scope, "title_key").agg(F.sum("n").alias("n_profiles"))
-    hits = title_hits(candidates, key, text, alias_table(titles, "title_key", "title_key", scope, prefixes, generic), scope)
-    hits = hits.dropDuplicates([*scope, "text_key", "title_key"])
-    starts = F.sequence(F.lit(1), F.greatest(F.length("folded") - (GRAM - 1), F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring("folded", i, GRAM)))
-    anchored = names.filter(F.length("name") >= GRAM).withColumn("gram", F.substring("name", 1, GRAM))
-    present = (
-        hits.select("*", F.explode(grams).alias("gram"))
-        .join(anchored, [*scope, "title_key", "gram"])
-        .filter(F.contains("folded", F.col("name")))
-        .groupBy(*scope, "text_key")
-        .agg(F.sum("n").alias("profile_hits"), F.min("first").alias("_only"))
+    hits = hit_pairs(candidates, key, text, titles, scope, prefixes, generic)
+    present = names_in_text(candidates, key, text, hits, names, scope).groupBy(*scope, "text_key").agg(
+        F.sum("n").alias("profile_hits"), F.min("first").alias("_only")
     )
     named = hits.join(titles, [*scope, "title_key"]).groupBy(*scope, "text_key").agg(
         F.sum("n_profiles").alias("title_hits")
@@ -146,19 +184,17 @@ def alternatives(
 
     Those whose name is in the text if there are any, else all profiles of the titles in the text.
     """
-    titles = profiles.select(*scope, fold_tokens("title").alias("title_key")).distinct()
-    hits = title_hits(ambiguous, key, text, alias_table(titles, "title_key", "title_key", scope, prefixes, generic), scope)
+    names = profile_names(profiles, scope)
+    titles = names.select(*scope, "title_key").distinct()
+    hits = hit_pairs(ambiguous, key, text, titles, scope, prefixes, generic)
     named = profiles.select(
         *scope, "profile_id", fold_tokens("title").alias("title_key"), fold_tokens("profile_title").alias("name")
     )
-    flagged = hits.dropDuplicates([*scope, "text_key", "title_key"]).join(named, [*scope, "title_key"]).select(
-        *scope, F.col("text_key").alias(key), "profile_id",
-        ((F.length("name") >= GRAM) & F.contains("folded", F.col("name"))).alias("in_text"),
-    )
-    decided = flagged.groupBy(*scope, key).agg(F.bool_or("in_text").alias("any_in_text"))
-    return flagged.join(decided, [*scope, key]).filter(F.col("in_text") | ~F.col("any_in_text")).select(
-        *scope, key, "profile_id"
-    )
+    present = names_in_text(ambiguous, key, text, hits, names, scope).select(*scope, "text_key", "title_key", "name")
+    silent = hits.join(present.select(*scope, "text_key").distinct(), [*scope, "text_key"], "left_anti")
+    found = present.join(named, [*scope, "title_key", "name"]).select(*scope, "text_key", "profile_id")
+    rest = silent.join(named, [*scope, "title_key"]).select(*scope, "text_key", "profile_id")
+    return found.unionByName(rest).withColumnRenamed("text_key", key)
 
 
 def unique_programme(

@@ -16,14 +16,3 @@ def settle(df: DataFrame, keep: Sequence[str | Column], columns: dict[str, Colum
     """
     fields = [item for name, column in columns.items() for item in (F.lit(name), column)]
     return df.select(*keep, F.inline(F.array(F.named_struct(*fields))))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for expensive row-wise work when the input has fewer splits than the cluster.
-
-    Only a small input has fewer splits than there are cores, so the redistribution stays small; an
-    input with enough splits is returned as it is, without any shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df

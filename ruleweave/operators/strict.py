@@ -257,33 +257,47 @@ def scope_rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     lines = docs.select(*keep, split_lines(text).alias("lines"))
     numbered = F.transform("lines", lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
     kept = F.filter(numbered, lambda row: is_table_line(row["text"]) & ~is_separator(row["text"]))
-    celled = lines.select(
-        *keep,
-        F.transform(kept, lambda row: F.struct(row["line"].alias("line"), table_cells(row["text"]).alias("cells"))).alias("rows"),
+    celled = settle(
+        lines, keep,
+        {"rows": F.transform(kept, lambda row: F.struct(row["line"].alias("line"), table_cells(row["text"]).alias("cells")))},
     )
-    scoped = celled.withColumn(
-        "is_scope",
-        F.transform(
-            "rows", lambda row: F.contains(fold_unquoted(F.array_join(row["cells"], " ")), F.lit(vocab.SCOPE_PHRASE))
-        ),
-    ).withColumn(
-        "named", F.transform("rows", lambda row: (F.size(row["cells"]) >= 8) & (F.get(row["cells"], F.lit(1)) != ""))
+    phrase = F.lit(vocab.SCOPE_PHRASE)
+    marked = settle(
+        celled, [*keep, "rows"],
+        {
+            "scopes": F.transform(
+                "rows",
+                lambda row: let(
+                    F.array_join(row["cells"], " "), lambda joined: F.when(F.contains(fold_unquoted(joined), phrase), joined)
+                ),
+            ),
+            "titles": F.transform("rows", lambda row: F.when(F.size(row["cells"]) >= 8, F.nullif(F.get(row["cells"], F.lit(1)), F.lit("")))),
+        },
     )
-    # The carried title is void once a later scope row has come, or when no scope with codes is open.
-    placed = scoped.withColumns(
-        {"scope_at": arrays.last_position(F.col("is_scope")), "title_at": arrays.last_position(F.col("named"))}
+    placed = settle(
+        marked, [*keep, "rows", "scopes", "titles"],
+        {
+            "scope_at": arrays.last_position(F.transform("scopes", lambda scope: scope.isNotNull())),
+            "title_at": arrays.last_position(F.transform("titles", lambda title: title.isNotNull())),
+        },
     )
-    rows = placed.select(
-        *keep, "rows", F.explode(F.arrays_zip("rows", "is_scope", "scope_at", "title_at")).alias("item")
-    ).filter(~F.col("item.is_scope") & F.col("item.scope_at").isNotNull() & (F.size("item.rows.cells") >= 8))
-    scope = F.array_join(F.get("rows", F.col("item.scope_at") - 1)["cells"], " ")
-    title = F.when(
-        F.col("item.title_at") > F.col("item.scope_at"), F.get(F.get("rows", F.col("item.title_at") - 1)["cells"], F.lit(1))
+    # An exploded row holds its own cells, its scope and its title, nothing else of the document. The
+    # carried title is void once a later scope row has come, or when no scope with codes is open.
+    items = F.transform(
+        F.arrays_zip("rows", "scopes", "scope_at", "title_at"),
+        lambda item: F.struct(
+            item["rows"]["line"].alias("line"), item["rows"]["cells"].alias("cells"), item["scopes"].isNotNull().alias("is_scope"),
+            F.get("scopes", item["scope_at"] - 1).alias("scope"),
+            F.when(item["title_at"] > item["scope_at"], F.get("titles", item["title_at"] - 1)).alias("title"),
+        ),
     )
-    cells = F.col("item.rows.cells")
+    wanted = F.filter(items, lambda item: ~item["is_scope"] & item["scope"].isNotNull() & (F.size(item["cells"]) >= 8))
+    rows = placed.select(*keep, F.explode(wanted).alias("item"))
+    scope, title = F.col("item.scope"), F.col("item.title")
+    cells = F.col("item.cells")
     valued = rows.select(
         *keep,
-        F.col("item.rows.line").alias("line_no"),
+        F.col("item.line").alias("line_no"),
         cells.alias("cells"),
         F.coalesce(title, F.lit("")).alias("olympiad"),
         F.get(cells, F.lit(2)).alias("profile"),
@@ -322,7 +336,7 @@ def strict_rules(
     first = expand_rules(programme_first_rows(tables("programme_first"), keep), keep, vocab.PROGRAMME_FIRST_KIND)
     scope = expand_rules(scope_rows(read_by("scope_rows"), keep, text), keep, vocab.SCOPE_ROW_KIND)
     found = grid.unionByName(first).unionByName(scope)
-    return keep_first(found, [key, *KEY], ["_seq"]).select(*keep, *RULE)
+    return keep_first(found, [key, adapter, *KEY], ["_seq"]).select(*keep, *RULE)
 
 
 def rule_candidates(rules: DataFrame, digest: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ruleweave.operators.incremental import observe, publish_queue
 from ruleweave.operators.merge import upsert
 from ruleweave.operators.ordered import keep_last
 from ruleweave.operators.resolve import (
-    catalogue_match, gate_reason, missing_scopes, named_scope, unique_programme,
+    alternatives, catalogue_match, gate_reason, missing_scopes, named_scope, unique_programme,
 )
 from ruleweave.plans.catalog import approved_profiles
 from ruleweave.plans.keys import surrogate
@@ -246,22 +246,24 @@ def match_pending(t: Tables, identities: DataFrame, catalogue_year: int) -> Data
     pending = t["admission_rule_candidates"].filter("review_status = 'pending' AND match_status = 'unresolved'")
     texts = identities.join(pending.select("id"), "id", "left_semi").filter("identity IS NOT NULL")
     profiles = approved_profiles(t, catalogue_year).drop("campaign_year")
-    matched = catalogue_match(texts, "id", "identity", profiles).filter("match_status <> 'unresolved'").select(
-        "id", F.col("match_status").alias("_status"), "match_reason", "matched_profile_id", "matched_level"
+    outcome = cut_lineage(catalogue_match(texts, "id", "identity", profiles).filter("match_status <> 'unresolved'").select(
+        "id", "identity", F.col("match_status").alias("_status"), "match_reason", "matched_profile_id", "matched_level"
+    ))
+    unclear = outcome.filter("_status = 'ambiguous'").select("id", "identity")
+    options = alternatives(unclear, "id", "identity", profiles).groupBy("id").agg(
+        F.sort_array(F.collect_list("profile_id")).alias("_options")  # the profiles of the titles in one text
     )
+    matched = outcome.drop("identity").join(options, "id", "left")
     joined = t["admission_rule_candidates"].join(matched, "id", "left")
     resolved = F.coalesce(F.col("_status") == "resolved", F.lit(False))
-    payload = F.to_json(
-        F.struct(
-            F.struct(
-                F.col("_status").alias("status"), F.col("match_reason").alias("reason"),
-                F.col("matched_profile_id").alias("profile_id"),
-            ).alias("rsosh_match")
-        )
-    )
-    merged = F.when(F.coalesce("raw_payload", F.lit("{}")) == "{}", payload).otherwise(
-        F.concat(F.regexp_replace("raw_payload", r"\}\s*$", ","), F.substring(payload, 2, 1_000_000_000))
+    link = F.struct(
+        F.col("_status").alias("status"), F.col("match_reason").alias("reason"), F.col("matched_profile_id").alias("profile_id"),
+        F.coalesce("_options", F.array().cast("array<bigint>")).alias("alternatives"),
     )
+    held = F.coalesce(F.from_json("raw_payload", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    others = F.map_filter(held, lambda name, _: name != "rsosh_match")
+    own = F.create_map(F.lit("rsosh_match"), F.parse_json(F.to_json(link, {"ignoreNullFields": "false"})))
+    merged = F.to_json(F.map_concat(others, own))
     return joined.withColumns(
         {
             "olympiad_profile_id": F.when(resolved, F.col("matched_profile_id")).otherwise(F.col("olympiad_profile_id")),

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ruleweave.operators.stages import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,10 +19,6 @@ class Source:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str, *columns: str) -> DataFrame:
-        """Columns of a table for expensive row-wise work, on all cores even if it is one small file."""
-        return spread(getattr(self, name).select(*columns))
-
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[Source], DataFrame]) -> Callable:

@@ -22,7 +22,7 @@ def piped(s: Source) -> DataFrame:
         .when(F.length(x) < 70, F.concat(F.lit("## "), x))
         .otherwise(x),
     )
-    return s.spread("documents", "doc_id", "text").select("doc_id", F.array_join(line, "\n").alias("text"))
+    return s.documents.select("doc_id", "text").select("doc_id", F.array_join(line, "\n").alias("text"))
 
 
 PIPED = """
@@ -204,7 +204,7 @@ def scope_carry(s: Source):
     """,
 )
 def context_window(s: Source):
-    lines = s.spread("documents", "doc_id", "text").select("doc_id", F.posexplode(dense_lines("text")).alias("p", "line")).select(
+    lines = s.documents.select("doc_id", "text").select("doc_id", F.posexplode(dense_lines("text")).alias("p", "line")).select(
         "doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "line"
     )
     near = o.context_window(lines, ["doc_id"], "line_no", "line")
@@ -249,7 +249,7 @@ def relevant_tables(s: Source):
     text = F.col("text")
     for word, term in WORDS:
         text = F.replace(text, F.lit(word), F.lit(term))
-    worded = s.spread("documents", "doc_id", "text").select("doc_id", text.alias("text"))
+    worded = s.documents.select("doc_id", "text").select("doc_id", text.alias("text"))
     line = F.transform(
         split_lines("text"),
         lambda x: F.when(F.contains(x, F.lit(",")) & (F.length(x) % 7 == 0), F.lit("| --- | :---: |"))
@@ -265,7 +265,7 @@ def relevant_tables(s: Source):
 
 @query("html_blocks")
 def html_blocks(s: Source):
-    return page_block_rows(s.spread("pages", "page_id", "html"), "page_id", "html")
+    return page_block_rows(s.pages.select("page_id", "html"), "page_id", "html")
 
 
 @query(
@@ -276,6 +276,6 @@ def html_blocks(s: Source):
 )
 def document_markers(s: Source):
     folded = fold_unquoted("text")
-    return s.spread("documents", "doc_id", "lang", "text").select(
+    return s.documents.select("doc_id", "lang", "text").select(
         "doc_id", "lang", (F.contains(folded, F.lit("the")) & F.contains(folded, F.lit("and"))).alias("is_own")
     )

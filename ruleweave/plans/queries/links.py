@@ -23,8 +23,9 @@ clean AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,
 titled AS (
   SELECT *, {sql_text("regexp_extract(m, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")} AS title,
          {sql_text("regexp_extract(m, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")} AS heading,
-         regexp_extract_all(m, '(?is)<a\\b[^>]*?\\shref\\s*=[^>]*>.*?</a\\s*>') AS anchors FROM clean),
-anchored AS (SELECT *, unnest(anchors) AS a, generate_subscripts(anchors, 1) AS link_no FROM titled),
+         regexp_extract_all(regexp_replace(m, '(?i)(<a\\b)', chr(1) || '\\1', 'g'),
+                            '(?is)<a\\b[^>]*?\\shref\\s*=[^>]*>.*?(?:</a\\s*>|\\x01|\\z)') AS anchors FROM clean),
+anchored AS (SELECT *, replace(unnest(anchors), chr(1), '') AS a, generate_subscripts(anchors, 1) AS link_no FROM titled),
 links AS (
   SELECT page_id, host, title, heading, link_no::BIGINT AS link_no,
          'https://' || host || regexp_extract(a, 'href\\s*=\\s*"([^"]*)"', 1) AS url, left({sql_text('a')}, 800) AS anchor_text
@@ -47,7 +48,7 @@ HAYSTACK = sql_fold("translate(url, '/-', '  ') || ' ' || title || ' ' || anchor
 
 def links_of(s: Source) -> DataFrame:
     secure = F.regexp_replace("url", "^http:", "https:")
-    pages = s.spread("pages", "page_id", "url", "html").withColumn("url", secure)
+    pages = s.pages.select("page_id", "url", "html").withColumn("url", secure)
     none = F.array().cast("array<string>")
     return ln.page_links(pages, ["page_id"], "url", "html", "url", none)
 

@@ -180,6 +180,23 @@ def public_rules_snapshot(s: Source):
     return valid.orderBy(*c.PUBLIC_RULE_ORDER, "source_url", "source_locator")
 
 
+@query(
+    "public_rules_quarantine",
+    CATALOGUE_SQL + """
+    SELECT u.code AS university_code, l.code AS university_location_code, g.name AS programme_name, p.profile_title,
+           r.source_url, r.source_locator, 'missing_olympiad_level' AS violation
+    """ + STAR.format(placed="") + """
+    WHERE k.campaign_year = 1997 AND r.is_active AND r.verification_status = 'verified' AND l.is_active
+      AND l.admission_status = 'benefits_verified' AND p.level IS NULL
+    """,
+)
+def public_rules_quarantine(s: Source):
+    from ruleweave.operators.contracts import public_rule_contract, violations
+
+    keep = ["university_code", "university_location_code", "programme_name", "profile_title", "source_url", "source_locator"]
+    return violations(c.public_rules(catalogue(s), 1997), public_rule_contract(), keep)
+
+
 @query(
     "lateral_top1",
     """

@@ -44,7 +44,7 @@ def sql_tokens(value: str) -> str:
     """,
 )
 def text_normalise(s: Source):
-    return s.spread("documents", "doc_id", "text").select(
+    return s.documents.select("doc_id", "text").select(
         "doc_id", F.md5(t.compact("text")).alias("compacted"), F.md5(t.fold("text")).alias("folded"),
         F.md5(t.fold_unquoted("text")).alias("unquoted"), F.md5(t.fold_tokens("text")).alias("tokens"),
     )
@@ -73,7 +73,7 @@ def stable_key(s: Source):
     """,
 )
 def html_strip_text(s: Source):
-    return s.spread("pages", "page_id", "html").select("page_id", t.strip_tags("html").alias("body"))
+    return s.pages.select("page_id", "html").select("page_id", t.strip_tags("html").alias("body"))
 
 
 @query(
@@ -173,7 +173,6 @@ def http_date_parse(s: Source):
     """
     SELECT event_id, event_type AS title, r ->> 'k' AS profile, j AS subject
     FROM events, unnest([props::JSON]) AS a(r), unnest(['click', event_type]) AS b(j)
-    WHERE value > 1
     """,
 )
 def json_source(s: Source):
@@ -182,7 +181,7 @@ def json_source(s: Source):
         F.lit('{"title": "'), "event_type", F.lit('", "profile": "'), F.get_json_object("props", "$.k"), F.lit('", "subject": "')
     )
     body = F.concat(F.lit('{"records": ['), item, F.lit('click"}, '), item, F.col("event_type"), F.lit('"}]}'))
-    snapshots = s.events.filter("value > 1").select("event_id", body.alias("body"))
+    snapshots = s.events.select("event_id", body.alias("body"))
     return parse_records(snapshots, "body", record, "records", ["event_id"])
 
 

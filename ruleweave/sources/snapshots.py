@@ -32,14 +32,24 @@ def write_versioned(df: DataFrame, root: str, version: str, order: Sequence[Colu
     return path
 
 
+POINTER = "number long, path string"
+
+
 def publish_pointer(spark: SparkSession, root: str, path: str) -> None:
-    """Point readers to a complete version; the pointer is one row and is replaced as a whole."""
-    pointer = spark.createDataFrame([(path,)], "path string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/_current")
+    """Point readers to a complete version.
+
+    Pointers are only ever added, each a file that appears when its job commits, and the one with the
+    highest number counts: a reader or a crash in between finds the version before.
+    """
+    folder = f"{root.rstrip('/')}/_current"
+    spark.createDataFrame([], POINTER).write.mode("append").json(folder)
+    last = spark.read.schema(POINTER).json(folder).agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first()["n"]
+    spark.createDataFrame([(last + 1, path)], POINTER).coalesce(1).write.mode("append").json(folder)
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    return spark.read.schema("path string").json(f"{root.rstrip('/')}/_current").first()["path"]
+    pointers = spark.read.schema(POINTER).json(f"{root.rstrip('/')}/_current")
+    return pointers.agg(F.max_by("path", "number").alias("path")).first()["path"]
 
 
 def read_current(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:

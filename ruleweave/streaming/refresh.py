@@ -24,27 +24,20 @@ def fetched_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def changed_only(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Drop bodies that the same target and parser version delivered within the delay.
+def extract(batch: DataFrame) -> DataFrame:
+    """Candidates of a batch of documents, strict formats by their reader, all others by the generic one.
 
-    State holds one hash per target and version inside the watermark; older repeats are caught by
-    the anti-join with the run table in each batch.
+    A document without an adapter is read like any other free text. A body that several targets share
+    is read once per adapter and its rules go only to the targets of that adapter.
     """
-    keyed = stream.withColumn("sha256", F.sha2("content", 256)).withWatermark("fetched_at", delay)
-    return keyed.dropDuplicatesWithinWatermark(["target_id", "sha256", "adapter_version"])
-
-
-def extract(batch: DataFrame) -> DataFrame:
-    """Candidates of a batch of documents, strict formats by their reader, others by the generic one."""
     keep = ["target_id", "adapter_code", "adapter_version", "sha256"]
-    strict = batch.filter(F.col("adapter_code").isin(*vocab.STRICT_CODES))
-    generic = batch.filter(~F.col("adapter_code").isin(*vocab.STRICT_CODES))
-    found = find_candidates(generic, keep, "content", "sha256")
+    is_strict = F.coalesce(F.col("adapter_code").isin(*vocab.STRICT_CODES), F.lit(False))
+    strict = batch.filter(is_strict)
+    found = find_candidates(batch.filter(~is_strict), keep, "content", "sha256")
+    owners = strict.select("sha256", "adapter_code", "target_id", "adapter_version").distinct()
+    bodies = strict.select("sha256", "adapter_code", "content").dropDuplicates(["sha256", "adapter_code"])
     rules = rule_candidates(
-        strict_rules(strict, "sha256", "adapter_code", "content").join(
-            strict.select("sha256", "target_id", "adapter_version").distinct(), "sha256"
-        ),
-        "sha256",
+        strict_rules(bodies, "sha256", "adapter_code", "content").join(owners, ["sha256", "adapter_code"]), "sha256"
     )
     return found.unionByName(
         rules.select(
@@ -66,7 +59,8 @@ def start_refresh(
 ) -> StreamingQuery:
     """Process only bodies without a finished run, appending candidates first and runs last.
 
-    Output folders carry the batch id, so a batch repeated after a failure replaces its own files;
+    A batch drops its own repeats and whatever the run table holds, however old a document is: no row
+    can be late. Output folders carry the batch id, so a batch repeated after a failure replaces its own files;
     a run row is written only when its candidates are complete.
     """
 
@@ -75,10 +69,12 @@ def start_refresh(
         done = spark.read.schema(
             "target_id long, adapter_version string, sha256 string, batch_id long"
         ).parquet(runs_path) if _exists(spark, runs_path) else None
-        fresh = batch
+        fresh = batch.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["target_id", "adapter_version", "sha256"])
         if done is not None:
             earlier = done.filter(F.col("batch_id") != batch_id)
-            fresh = batch.join(earlier, ["target_id", "adapter_version", "sha256"], "left_anti")
+            mine = fresh.select("target_id").distinct()
+            earlier = earlier.join(mine, "target_id", "left_semi")
+            fresh = fresh.join(earlier, ["target_id", "adapter_version", "sha256"], "left_anti")
         fresh = fresh.persist()
         try:
             reader(fresh).write.mode("overwrite").parquet(f"{candidates_path}/batch_id={batch_id}")
@@ -89,8 +85,7 @@ def start_refresh(
             fresh.unpersist()
 
     return (
-        changed_only(stream)
-        .writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,4 +1,5 @@
 """Whole jobs on small catalogues: publication, ingest, discovery, snapshots, streaming."""
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,8 +118,22 @@ def test_matcher_only_links(spark, world):
     identities = spark.createDataFrame([(1, "Большая колба | химия"), (2, "Большая колба"), (3, None)], "id long, identity string")
     rows = {r.id: r for r in publish.match_pending(world, identities, 2025).collect()}
     assert (rows[1].match_status, rows[1].olympiad_profile_id, rows[1].confidence) == ("resolved", 11, 100)
-    assert rows[1].raw_payload == '{"rsosh_match":{"status":"resolved","reason":"title_and_profile","profile_id":11}}'
+    assert json.loads(rows[1].raw_payload) == {
+        "rsosh_match": {"status": "resolved", "reason": "title_and_profile", "profile_id": 11, "alternatives": []}
+    }
     assert rows[2].match_status == "ambiguous" and rows[3].match_status == "unresolved"
+    assert json.loads(rows[2].raw_payload)["rsosh_match"]["profile_id"] is None
+    assert json.loads(rows[2].raw_payload)["rsosh_match"]["alternatives"] == [11, 12]
+
+
+def test_matcher_replaces_its_own_key(spark, world):
+    old = world["admission_rule_candidates"].withColumn(
+        "raw_payload", F.when(F.col("id") == 1, '{"kind": "row", "rsosh_match": {"status": "old"}, "cells": [1, "a", null]}').otherwise("{ }")
+    )
+    identities = spark.createDataFrame([(1, "Большая колба | химия"), (2, "Большая колба")], "id long, identity string")
+    rows = {r.id: json.loads(r.raw_payload) for r in publish.match_pending({**world, "admission_rule_candidates": old}, identities, 2025).collect()}
+    assert rows[1].pop("rsosh_match")["status"] == "resolved" and rows[1] == {"kind": "row", "cells": [1, "a", None]}
+    assert list(rows[2]) == ["rsosh_match"] and rows[3] == {}
 
 
 def test_public_snapshot_is_versioned_and_all_or_nothing(spark, world, tmp_path):
@@ -277,3 +292,29 @@ def test_stream_processes_changed_documents_once(spark, tmp_path):
     run("c1")
     assert spark.read.parquet(runs).count() == 3
     assert spark.read.parquet(out).filter("target_id = 1").count() == 2
+
+
+def test_stream_takes_late_documents_and_any_adapter(spark, tmp_path):
+    line = "Победителям олимпиад этот вуз даёт БВИ"
+    feed, runs, out = (str(tmp_path / n) for n in ("feed", "runs", "out"))
+
+    def deliver(*rows):
+        schema = "target_id long, adapter_code string, adapter_version string, fetched_at string, content string"
+        frame = spark.createDataFrame(rows, schema).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(feed)
+        query = refresh.start_refresh(refresh.fetched_stream(spark, feed), runs, out, str(tmp_path / "checkpoint"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    deliver((1, "other", "v1", "2026-01-10", line))
+    deliver((2, "other", "v1", "2026-01-05", line), (3, None, "v1", "2026-01-11", line), (3, None, "v1", "2026-01-11", line))
+    assert sorted(r.target_id for r in spark.read.parquet(runs).collect()) == [1, 2, 3]
+    assert sorted(r.target_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_a_shared_body_gives_rules_to_its_own_adapter_only(spark):
+    text = "| Образовательная программа | Олимпиада | Профиль олимпиады | Льгота | Диплом |\n| --- | --- | --- | --- | --- |\n| Химия | Колба | химия | БВИ | Победитель |"
+    rows = [(1, HSE, "v1", text), (2, "strict-mephi-2026-v1", "v1", text), (3, HSE, "v2", text)]
+    batch = spark.createDataFrame(rows, "target_id long, adapter_code string, adapter_version string, content string").withColumn("sha256", F.sha2("content", 256))
+    found = refresh.extract(batch).collect()
+    assert sorted((r.target_id, r.adapter_code, r.adapter_version) for r in found) == [(1, HSE, "v1"), (3, HSE, "v2")]
