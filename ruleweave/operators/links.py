@@ -142,7 +142,7 @@ def bounded_walk(
     ``seeds`` (site, url); ``edges`` (src, dst, pos, optionally site) are the walkable links in order;
     ``entries`` (site, url, pos) are sitemap pages, which queue at depth 1 before the seed's links.
     A page is visited once, in order of arrival, until the page cap of the site is spent. At most
-    three levels, each cut off by a reliable checkpoint. A site holds at most ``max_pages`` rows, and
+    three levels, each cut off by a reliable checkpoint, as are the pruned links that all of them read. A site holds at most ``max_pages`` rows, and
     the group limit keeps a hub page's links from reaching one task.
     """
     max_pages, max_depth = min(max(max_pages, 1), 60), min(max(max_depth, 0), 3)
@@ -151,7 +151,7 @@ def bounded_walk(
     # adds is among its first max_pages distinct links: later ones can never be reached from it.
     source = [c for c in ("site", "src") if c in edges.columns]
     links = edges.groupBy(*source, "dst").agg(F.min("pos").alias("pos"))
-    edges = top_per_key(links, source, [F.asc("pos"), F.asc("dst")], max_pages, rank="n")
+    edges = cut_lineage(top_per_key(links, source, [F.asc("pos"), F.asc("dst")], max_pages, rank="n"))
     if entries is not None:
         listed = entries.groupBy("site", "url").agg(F.min("pos").alias("pos"))
         entries = top_per_key(listed, ["site"], [F.asc("pos"), F.asc("url")], max_pages, rank="n")

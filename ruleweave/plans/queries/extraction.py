@@ -216,6 +216,30 @@ mephi AS (
 """
 
 
+@query(
+    "shared_body_rules",
+    f"""
+    WITH {SQL_PARTS}, {MEPHI_RULES}
+    SELECT p_partkey * 10 + 1 AS target_id, 'strict-mephi-2026-v1' AS adapter_code, programme_selector, olympiad_title, profile_title,
+           diploma_status, benefit_kind, subject_code, line_no::BIGINT AS line_no FROM mephi
+    """,
+)
+def shared_body_rules(s: Source):
+    """One body bound to targets of three adapters: only the adapter whose format it has gives rules."""
+    from ruleweave.streaming.refresh import extract
+
+    codes = F.array(*[F.lit(code) for code in ("strict-mephi-2026-v1", "strict-hse-2026-v1", "strict-bmstu-bvi-2026-v1")])
+    bodies = parts(s).select("p_partkey", mephi_text().alias("content"), F.posexplode(codes).alias("at", "adapter_code"))
+    batch = bodies.select(
+        (F.col("p_partkey") * 10 + F.col("at") + 1).alias("target_id"), "adapter_code", F.lit("v1").alias("adapter_version"), "content",
+        F.sha2("content", 256).alias("sha256"),
+    )
+    return extract(batch).select(
+        "target_id", "adapter_code", "programme_selector", "olympiad_title", "profile_title", "diploma_status", "benefit_kind",
+        "subject_code", F.col("line_no").cast("long").alias("line_no"),
+    )
+
+
 @query("expand_rules", f"WITH {SQL_PARTS}, {MEPHI_RULES} SELECT * FROM mephi")
 def expand_rules(s: Source):
     docs = parts(s).select("p_partkey", F.lit("strict-mephi-2026-v1").alias("adapter"), mephi_text().alias("text"))
