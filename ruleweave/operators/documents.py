@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ruleweave.functions import arrays
 from ruleweave.functions.tables import cells_are_rule, is_table_line, table_cells, term_score
 from ruleweave.functions.text import compact, split_lines
 from ruleweave.operators.stages import settle
 from ruleweave.schemas import struct
-
-# The reader travels with the job, so executors need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ruleweave.session import ship
 
 BLOCK_SCHEMA = T.ArrayType(struct("kind string, level int, line string"))
 
@@ -124,6 +120,7 @@ def page_blocks(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One row per block of a page: (key, line_no, kind, level, line)."""
+    ship(pages.sparkSession)
     return pages.select(F.col(key), F.posexplode(page_blocks(F.col(html))).alias("pos", "block")).select(
         key, (F.col("pos") + 1).alias("line_no"), "block.kind", "block.level", "block.line"
     )
@@ -131,6 +128,7 @@ def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def html_text(html: str) -> Column:
     """The page as pipe-table text, the common input of all extractors."""
+    ship(SparkSession.getActiveSession())
     return F.array_join(F.transform(page_blocks(F.col(html)), lambda block: block["line"]), "\n")
 
 

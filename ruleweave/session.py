@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+PACKAGE = Path(__file__).resolve().parent
+
+
 def build_session(app: str = "ruleweave", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the plans rely on; a cluster supplies its own master."""
     builder = SparkSession.builder.appName(app)
@@ -56,3 +62,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so an iterative job survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors with the job, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_ruleweave_shipped", False):
+        return spark
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(str(file.relative_to(PACKAGE.parent))), file.read_bytes())
+    folder = tempfile.mkdtemp(prefix="ruleweave-package-")  # read by the driver only, which serves it to the executors
+    name = os.path.join(folder, "ruleweave_package.zip")
+    Path(name).write_bytes(body.getvalue())
+    context.addPyFile(name)
+    context._ruleweave_shipped = True
+    return spark
