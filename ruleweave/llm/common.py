@@ -3,38 +3,16 @@
 from __future__ import annotations
 
 import gc
-import io
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.session import cut_lineage
-
-PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors with the job, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_ruleweave_shipped", False):
-        return spark
-    body = io.BytesIO()
-    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
-        for file in sorted(PACKAGE.rglob("*.py")):
-            archive.writestr(zipfile.ZipInfo(str(file.relative_to(PACKAGE.parent))), file.read_bytes())
-    folder = tempfile.mkdtemp(prefix="ruleweave-package-")  # read by the driver only, which serves it to the executors
-    name = os.path.join(folder, "ruleweave_package.zip")
-    Path(name).write_bytes(body.getvalue())
-    context.addPyFile(name)
-    context._ruleweave_shipped = True
-    return spark
+from ruleweave.session import cut_lineage, ship
+
+__all__ = ["by_rows", "cut", "release", "ship"]
 
 
 def cut(df: DataFrame) -> DataFrame:
