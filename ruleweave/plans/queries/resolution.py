@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ruleweave.operators import resolve as r
-from ruleweave.plans.publish import outcomes, publish_queue, summary
+from ruleweave.plans.publish import outcomes, publish, publish_queue, summary
 from ruleweave.plans.queries.base import CATALOGUE_SQL, Source, catalogue, query
 from ruleweave.plans.queries.scalars import sql_tokens
+from ruleweave.schemas import TABLES
 
 # Both sides are folded to single-space tokens, so presence is plain containment in padded text.
 HITS = f"""
@@ -186,8 +187,7 @@ judged AS (
 """
 
 
-def _judged(s: Source) -> DataFrame:
-    t = catalogue(s)
+def _candidates(s: Source) -> DataFrame:
     firsts = s.lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
     owner = s.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("university_id"))
     orders = s.orders.join(firsts, F.col("o_orderkey") == F.col("l_orderkey")).join(s.part, "p_partkey").join(owner, "o_custkey")
@@ -197,7 +197,7 @@ def _judged(s: Source) -> DataFrame:
         .otherwise(F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")))
     )
     sure = (F.col("o_orderpriority") != "2-HIGH") | (F.col("o_orderstatus") != "P")
-    candidates = orders.select(
+    return orders.select(
         F.col("o_orderkey").alias("candidate_id"), F.col("o_custkey").alias("university_location_id"), "university_id",
         F.lit("strict-mephi-2026-v1").alias("adapter_code"), F.lit("strict_table_row").alias("payload_kind"),
         F.when(sure, 100).otherwise(72).alias("confidence"), selector.alias("raw_programme_name"),
@@ -206,7 +206,10 @@ def _judged(s: Source) -> DataFrame:
         F.when(F.col("o_totalprice") > 250000, 1).cast("short").alias("suggested_olympiad_level"), F.lit(2026).alias("catalogue_year"),
         F.col("o_orderdate").alias("created_at"), F.lit("pending").alias("review_status"), F.lit("pending_resolution").alias("automatic_status"),
     )
-    return outcomes(t, publish_queue(candidates))[0]
+
+
+def _judged(s: Source) -> DataFrame:
+    return outcomes(catalogue(s), publish_queue(_candidates(s)))[0]
 
 
 @query("publish_run", RUN + "SELECT candidate_id, reason, matched_profile_id FROM judged")
@@ -217,3 +220,63 @@ def publish_run(s: Source):
 @query("publish_summary", RUN + "SELECT CASE WHEN reason IS NULL THEN 'published' ELSE 'blocked' END AS outcome, coalesce(reason, '') AS reason, count(*) AS n FROM judged GROUP BY ALL")
 def publish_summary(s: Source):
     return summary(_judged(s))
+
+
+def _published(s: Source) -> dict[str, DataFrame]:
+    """The whole publication job over stored candidates: one target, run and document per customer."""
+    t = dict(catalogue(s))
+    judged = _candidates(s)
+    customer = s.customer.select("c_custkey")
+    t["admission_source_targets"] = customer.select(
+        F.col("c_custkey").alias("id"), F.col("c_custkey").alias("university_location_id"),
+        F.lit('{"rsosh_catalogue_year": 2026}').alias("adapter_config"),
+    )
+    t["admission_parse_runs"] = customer.select(
+        F.col("c_custkey").alias("id"), F.lit("strict-mephi-2026-v1").alias("adapter_code"),
+        F.col("c_custkey").alias("admission_source_target_id"),
+    )
+    t["source_documents"] = customer.select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("https://rules.example.org/"), "c_custkey").alias("url")
+    )
+    own = {
+        "id": F.col("candidate_id"), "admission_parse_run_id": F.col("university_location_id"),
+        "source_document_id": F.col("university_location_id"), "admission_campaign_id": F.col("university_id") * 10000 + 1996,
+        "candidate_key": F.col("candidate_id").cast("string"), "source_locator": F.lit("markdown:line:1"), "raw_payload": F.lit("{}"),
+        "match_status": F.lit("unresolved"),
+    }
+    t["admission_rule_candidates"] = judged.select(*[
+        own.get(f.name, F.col(f.name) if f.name in judged.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in TABLES["admission_rule_candidates"]
+    ])
+    for name in ("benefit_rules", "admission_rule_reviews", "benefit_rule_observations"):
+        t[name] = s.spark.createDataFrame([], TABLES[name])
+    return publish(t, F.lit("2026-03-01").cast("timestamp"))
+
+
+@query(
+    "publish_reviews",
+    RUN + """
+    SELECT candidate_id AS admission_rule_candidate_id, 'approved' AS action, 'strict-adapter:strict-mephi-2026-v1' AS reviewer_id
+    FROM judged WHERE reason IS NULL
+    """,
+)
+def publish_reviews(s: Source):
+    return _published(s)["admission_rule_reviews"].select("admission_rule_candidate_id", "action", "reviewer_id")
+
+
+@query(
+    "publish_marks",
+    RUN + """
+    SELECT candidate_id AS id, CASE WHEN reason IS NULL THEN 'approved' ELSE 'pending' END AS review_status,
+           CASE WHEN reason IS NULL THEN 'published' ELSE 'blocked' END AS automatic_status,
+           coalesce(reason, 'exact_programme_and_rsosh_profile') AS automatic_note,
+           CASE WHEN reason IS NULL THEN 'resolved' ELSE 'unresolved' END AS match_status,
+           CASE WHEN reason IS NULL THEN matched_profile_id END AS olympiad_profile_id, reason IS NULL AS has_rule
+    FROM judged
+    """,
+)
+def publish_marks(s: Source):
+    return _published(s)["admission_rule_candidates"].select(
+        "id", "review_status", "automatic_status", "automatic_note", "match_status", "olympiad_profile_id",
+        F.col("published_benefit_rule_id").isNotNull().alias("has_rule"),
+    )
