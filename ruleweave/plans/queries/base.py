@@ -19,6 +19,16 @@ class Source:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def dealt(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for expensive row-wise work, dealt into as many partitions as the caller asks for.
+
+        ``spark.ruleweave.readPartitions`` serves tables that are one small file with one row group,
+        which no scan can split; unset, as on a cluster with large tables, nothing is shuffled.
+        """
+        frame = getattr(self, name).select(*columns)
+        asked = self.spark.conf.get("spark.ruleweave.readPartitions", None)
+        return frame.repartition(int(asked)) if asked else frame
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     def register(build: Callable[[Source], DataFrame]) -> Callable:

@@ -22,7 +22,7 @@ def piped(s: Source) -> DataFrame:
         .when(F.length(x) < 70, F.concat(F.lit("## "), x))
         .otherwise(x),
     )
-    return s.documents.select("doc_id", "text").select("doc_id", F.array_join(line, "\n").alias("text"))
+    return s.dealt("documents", "doc_id", "text").select("doc_id", F.array_join(line, "\n").alias("text"))
 
 
 PIPED = """
@@ -265,7 +265,7 @@ def relevant_tables(s: Source):
 
 @query("html_blocks")
 def html_blocks(s: Source):
-    return page_block_rows(s.pages.select("page_id", "html"), "page_id", "html")
+    return page_block_rows(s.dealt("pages", "page_id", "html"), "page_id", "html")
 
 
 @query(
@@ -276,6 +276,6 @@ def html_blocks(s: Source):
 )
 def document_markers(s: Source):
     folded = fold_unquoted("text")
-    return s.documents.select("doc_id", "lang", "text").select(
+    return s.dealt("documents", "doc_id", "lang", "text").select(
         "doc_id", "lang", (F.contains(folded, F.lit("the")) & F.contains(folded, F.lit("and"))).alias("is_own")
     )

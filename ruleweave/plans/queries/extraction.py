@@ -42,7 +42,7 @@ parts AS (
 
 def parts(s: Source) -> DataFrame:
     size = F.format_string("%02d", "p_size")
-    return s.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").withColumns(
+    return s.dealt("part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice").withColumns(
         {
             "code1": F.concat(size, F.lit(".03."), size),
             "code2": F.concat(size, F.lit(".05.01")),
@@ -415,7 +415,7 @@ def keyword_classify(s: Source):
     body = F.col("text")
     for word, term in WORDS:
         body = F.replace(body, F.lit(word), F.lit(term))
-    folded = s.documents.select("doc_id", "text").select("doc_id", fold(body).alias("f"))
+    folded = s.dealt("documents", "doc_id", "text").select("doc_id", fold(body).alias("f"))
     f = F.col("f")
     return folded.select(
         "doc_id", k.first_kind(f, (("bvi", ("the the", " la ")), ("hundred_points", (" des ", "ing")))).alias("benefit"),

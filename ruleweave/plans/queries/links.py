@@ -48,7 +48,7 @@ HAYSTACK = sql_fold("translate(url, '/-', '  ') || ' ' || title || ' ' || anchor
 
 def links_of(s: Source) -> DataFrame:
     secure = F.regexp_replace("url", "^http:", "https:")
-    pages = s.pages.select("page_id", "url", "html").withColumn("url", secure)
+    pages = s.dealt("pages", "page_id", "url", "html").withColumn("url", secure)
     none = F.array().cast("array<string>")
     return ln.page_links(pages, ["page_id"], "url", "html", "url", none)
 

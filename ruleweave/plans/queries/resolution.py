@@ -19,7 +19,7 @@ hits AS (SELECT doc_id, item_id FROM folded JOIN titles ON contains(f, t))
 @query("title_match_join", f"WITH {HITS} SELECT doc_id, item_id FROM hits")
 def title_match_join(s: Source):
     aliases = r.alias_table(s.benchmark, "item_id", "text", prefixes=(), generic=())
-    hits = r.title_hits(s.documents.select("doc_id", "text"), "doc_id", "text", aliases)
+    hits = r.title_hits(s.dealt("documents", "doc_id", "text"), "doc_id", "text", aliases)
     return hits.select(F.col("text_key").alias("doc_id"), F.col("title_key").alias("item_id"))
 
 
@@ -54,7 +54,7 @@ def matched(s: Source) -> DataFrame:
     profiles = s.benchmark.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
         (F.col("item_id") * 3 + F.col("level")).alias("profile_id"), F.col("text").alias("title"), name.alias("profile_title"), "level"
     )
-    docs = s.documents.select("doc_id", "lang", "text")
+    docs = s.dealt("documents", "doc_id", "lang", "text")
     return r.catalogue_match(docs, "doc_id", "text", profiles, prefixes=(), generic=())
 
 

@@ -44,7 +44,7 @@ def sql_tokens(value: str) -> str:
     """,
 )
 def text_normalise(s: Source):
-    return s.documents.select("doc_id", "text").select(
+    return s.dealt("documents", "doc_id", "text").select(
         "doc_id", F.md5(t.compact("text")).alias("compacted"), F.md5(t.fold("text")).alias("folded"),
         F.md5(t.fold_unquoted("text")).alias("unquoted"), F.md5(t.fold_tokens("text")).alias("tokens"),
     )
@@ -73,7 +73,7 @@ def stable_key(s: Source):
     """,
 )
 def html_strip_text(s: Source):
-    return s.pages.select("page_id", "html").select("page_id", t.strip_tags("html").alias("body"))
+    return s.dealt("pages", "page_id", "html").select("page_id", t.strip_tags("html").alias("body"))
 
 
 @query(
