@@ -10,9 +10,10 @@ from ruleweave.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst long); component is its smallest node.
 
-    Each round hangs a node below its smallest neighbour, follows parents twice, and renames the
-    ends of the remaining edges, so a round at least halves every component and the rounds grow with
-    the logarithm of the longest path. Minima are partial aggregates and the joins are equi-joins
+    Each round hangs a node below its smallest neighbour, doubles the paths to the roots until none
+    moves, and renames the ends of the remaining edges by their roots. A node that is smaller than
+    its neighbours but drew none of them joins in the next round, so two rounds at least halve every
+    component; rounds and doublings grow with the logarithm of its size, long chains included. Minima are partial aggregates and the joins are equi-joins
     that AQE can split, so a hub costs no more than its edges. Rounds end in a reliable checkpoint;
     only their emptiness is looked at by the driver. Edges with a null end, repeated edges and loops
     do no harm; an empty table gives an empty table.
@@ -25,9 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.union(links.select("dst", "src"))
         parent = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("up"))
         parent = parent.select("node", F.least("node", "up").alias("up"))
-        for _ in range(2):
+        moving = True
+        while moving:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = cut(parent.join(above, "up").select("node", F.col("top").alias("up")))
+            jumped = cut(parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            moving = not jumped.filter("moved").isEmpty()
+            parent = jumped.select("node", "up")
         source, target = parent.toDF("src", "s"), parent.toDF("dst", "d")
         links = cut(links.join(source, "src").join(target, "dst").filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
         names = names.join(parent.toDF("component", "up"), "component", "left")
