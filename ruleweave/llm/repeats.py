@@ -321,6 +321,12 @@ def _table(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return batch["doc"].to_numpy(), batch["text_key"].to_numpy(), np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes)
 
 
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the windows that start at ``a`` and ``b`` hold the same bytes."""
+    whole = np.full(len(a), SPAN)
+    return (data[spread(a, whole)].reshape(-1, SPAN) == data[spread(b, whole)].reshape(-1, SPAN)).all(axis=1)
+
+
 def _fetch(buckets: int):
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
         """The bytes of the contexts, by bucket of their anchor; of hot anchors, of each window, earliest only."""
@@ -348,9 +354,13 @@ def _fetch(buckets: int):
                 order = np.lexsort((rows.doc[here], key))
                 key, at, here = key[order], at[order], here[order]
                 heads = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0)))
-                least = np.repeat(rows.doc[here[heads]], np.diff(np.concatenate((heads, [len(key)]))))
+                head = np.repeat(heads, np.diff(np.concatenate((heads, [len(key)]))))
                 shift = at - begin[here] + rows.at[here]
-                later = rows.doc[here] > least
+                later = rows.doc[here] > rows.doc[here[head]]
+                alike = np.flatnonzero(later)
+                for part in range(0, len(alike), RUN // 8):  # a window goes only if its bytes are those of the first of its hash
+                    piece = alike[part : part + RUN // 8]
+                    later[piece] = _same(data, at[piece], at[head[piece]])
                 out.append(_ranges(rows.doc[here[later]], rows.text[here[later]], shift[later], shift[later] + SPAN, buckets))
                 keep = np.flatnonzero(~later)
                 keep = keep[np.lexsort((shift[keep], rows.text[here[keep]], rows.doc[here[keep]]))]
@@ -531,7 +541,8 @@ def without_repeats(docs: DataFrame, buckets: int | None = None, hot: int = HOT)
     Where an anchor has unlike contexts, near the ends of a repeat, the contexts' bytes are fetched
     and their suffixes sorted. ``buckets`` is twice spark.sql.shuffle.partitions by default and
     bounds what a task holds: a bucket of texts, anchors or contexts. An anchor with more than ``hot``
-    unlike contexts is dealt out by window, the earliest of each bucket of texts only.
+    unlike contexts is dealt out by window, the earliest of each bucket of texts only; its later windows
+    are compared with that one byte by byte, and those that only share its hash are sorted too.
     """
     spark = ship(docs.sparkSession)
     count = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

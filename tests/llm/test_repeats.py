@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ruleweave.llm import repeats
@@ -73,3 +74,18 @@ def test_suffixes_are_sorted():
     keys = [(int(group[at]), body[at : at + 50]) for at in order]
     assert keys == sorted(keys)
     assert new.tolist() == [True] + [a != b for a, b in zip(keys, keys[1:])]
+
+
+def test_hot_windows_of_one_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(repeats, "short", lambda x: np.zeros_like(x))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc ") for _ in range(50)).encode() for _ in range(2)]
+    texts.append(texts[0])
+    doc = np.arange(3)
+    docs = pa.table({"doc": doc, "text_key": doc, "size": [50] * 3, "body": [pa.compress(text, codec="zstd", asbytes=True) for text in texts]})
+    one = np.ones(3, np.int64)
+    places = repeats.Rows(doc, doc, key=one, at=0 * one, size=50 * one, hot=one).pack(repeats.PLACES)
+    found = repeats._fetch(1)(docs, pa.table({"body": pa.array([places], pa.binary())})).to_pylist()
+    ranges, _ = repeats.Rows.unpack(repeats.RANGES, [r["body"] for r in found if r["kind"] == repeats.RANGES])
+    sent, tails = repeats.Rows.unpack(repeats.CONTEXTS, [r["body"] for r in found if r["kind"] == repeats.CONTEXTS])
+    assert ranges.doc.tolist() == [2] and sent.doc.tolist() == [0, 1] and b"".join(tails) == texts[0] + texts[1]
