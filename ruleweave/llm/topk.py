@@ -110,9 +110,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row, exactly.
 
     Components become floor(scale * x). ``queries`` says which rows are queries; candidates are all
-    other rows. Ties go to the smaller vec_id. Vectors that are null or hold a null or non-finite
-    component take no part; shorter vectors count as zero beyond their end; rows without a vec_id are
-    left out, and of rows that repeat one the least vector counts. An empty table gives an empty one.
+    rows with another vec_id. Ties go to the smaller vec_id. Vectors that are null or hold a null or
+    non-finite component take no part; shorter vectors count as zero beyond their end; rows without a
+    vec_id are left out. Rows with one vec_id and different vectors are candidates of their own, and as
+    queries share one list; rows that are equal in both count once. An empty table gives an empty one.
 
     Vectors and queries are dealt into blocks of fixed size and every query block meets every vector
     block once in each pass; a block returns at most k entries for a query. Pass 1 gathers the local
@@ -122,12 +123,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     """
     ship(vectors.sparkSession)
     vector = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    rows = vectors.filter("vec_id IS NOT NULL").filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
-    rows = cut(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    rows = vectors.filter("vec_id IS NOT NULL").filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    rows = cut(rows.distinct().select("vec_id", vector.alias("vector")))
     asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), "vector")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(queries).alias("m")).first()
     groups, blocks = max(1, -(-counts["n"] // VECTORS)), max(1, -(-counts["m"] // QUERIES))
-    deal = lambda name, parts: F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+    deal = lambda name, parts: F.pmod(F.xxhash64(name, "vector"), F.lit(parts)).cast("int")
     all_ = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     spread = rows.select(F.col("vec_id").alias("id"), F.col("vector").alias("of"), deal("vec_id", groups).alias("g"), all_(blocks).alias("b"))
 

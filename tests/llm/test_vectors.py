@@ -75,3 +75,13 @@ def test_few_candidates(spark):
     frame = spark.createDataFrame([(100, [1.0]), (200, [1.0]), (3, [-1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0).collect())
     assert got == [(100, 1, 200, 1048576), (100, 2, 3, -1048576), (200, 1, 100, 1048576), (200, 2, 3, -1048576)]
+
+
+@pytest.mark.parametrize("k", [2, 9])
+def test_rows_that_share_an_id(spark, monkeypatch, k):
+    monkeypatch.setattr(topk, "VECTORS", 2)
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [5.0, 0.0]), (3, [4.0, 0.0]), (3, [0.0, 7.0]), (4, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0, k, 1.0).collect())
+    scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for i, q in rows if i == 100 for j, v in rows if j != i)
+    assert got == [(100, rank, j, -score) for rank, (score, j) in enumerate(scores[:k], 1)]
