@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruleweave.llm import html_main, lattice, licenses, mixing, packing, quality, repeats, secret_scan, simhash, topk
+from ruleweave.llm import alignment, html_main, lattice, licenses, mixing, packing, pivots, quality, repeats, secret_scan, simhash, subspaces, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,40 @@ SELECT doc_id, n AS n_bytes, coalesce((SELECT sum(b - a) FROM r WHERE r.doc_id =
 @query("op5_suffix_dedup", OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest(repeats.without_repeats(table(spark, folder, "documents")))
+
+
+#: floor(256 * x), 16 parts, two rounds from the 64 smallest vec_ids; a NULL entry is one that nothing uses.
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, list_slice(x, p * len(x) // 16 + 1, (p + 1) * len(x) // 16) AS x FROM v, unnest(range(16)) AS t(p)),
+c0 AS (SELECT p, r AS e, x AS c FROM x WHERE r < 64),
+{assign_0}, {mean_1}, {assign_1}, {mean_2}, {assign_2},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r),
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (r), sha
+"""
+ASSIGN = """a{n} AS MATERIALIZED (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d, any_value(x) AS x FROM (
+  SELECT r, x.p, e, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN c{n} AS c ON c.p = x.p) GROUP BY r, p)"""
+MEAN = """c{n} AS MATERIALIZED (SELECT p, e, coalesce(any_value(m.c), any_value(o.c)) AS c FROM c{o} AS o LEFT JOIN (
+  SELECT p, e, list((CASE WHEN s < 0 THEN -((n - 1 - s) // n) ELSE s // n END)::BIGINT ORDER BY i) AS c FROM (
+    SELECT p, e, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{o}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY p, e, i) GROUP BY p, e) AS m USING (p, e) GROUP BY p, e)"""
+OP11_SQL = OP11_SQL.format(
+    **{f"assign_{n}": ASSIGN.format(n=n) for n in range(3)}, **{f"mean_{n}": MEAN.format(n=n, o=n - 1) for n in (1, 2)}
+)
+
+
+@query("op11_vector_codes", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return subspaces.encode(table(spark, folder, "embeddings"))
+
+
+@query("op13_pivot_search")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    measures, _ = alignment.align(table(spark, folder, "documents"))
+    return measures
