@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,12 @@ class Index:
     index holds about ``vectors`` of them and meets about ``queries`` at a time.
     """
 
-    pivots: int = 512
-    nearest: int = 128
-    share: float = 4.0
+    pivots: int = 2048
+    nearest: int = 96
+    share: float = 5.0
     growth: float = 0.6
-    vectors: int = 8192
-    queries: int = 2048
+    vectors: int = 16384
+    queries: int = 4096
 
     def candidates(self, rows: int) -> int:
         return int(np.ceil(self.share * rows**self.growth))
@@ -69,8 +70,15 @@ class Permutations:
     def of(self, rows: np.ndarray, queries: bool) -> np.ndarray:
         """Numbers of each row's nearest pivots, the nearest first, ties to the smaller number."""
         last = np.zeros(len(rows)) if queries else self.rest(rows)
-        near = np.column_stack((rows, last)) @ self.pivots.T
-        return np.argsort(-near, axis=1, kind="stable")[:, : self.nearest]
+        far, n = -(np.column_stack((rows, last)) @ self.pivots.T), self.nearest
+        if n == far.shape[1]:
+            return np.argsort(far, axis=1, kind="stable")
+        near = np.sort(np.argpartition(far, n - 1, axis=1)[:, :n], axis=1)
+        values = np.take_along_axis(far, near, 1)
+        order = np.take_along_axis(near, np.argsort(values, axis=1, kind="stable"), 1)
+        tied = np.flatnonzero((far <= values.max(axis=1, initial=-np.inf)[:, None]).sum(axis=1) > n)
+        order[tied] = np.argsort(far[tied], axis=1, kind="stable")[:, :n]
+        return order
 
 
 class InvertedFiles:
@@ -96,20 +104,37 @@ class InvertedFiles:
         return np.bincount(np.concatenate([self.vector[part] for part in parts]), weight, self.size)
 
 
-def _search(pivots: np.ndarray, index: Index, k: int, rows: int, scale: float, longest: float):
+def _represent(pivots: np.ndarray, index: Index, scale: float, longest: float, queries: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's nearest pivots in order, as 32-bit numbers."""
+        places = Permutations(pivots, index.nearest, longest)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                some = batch.slice(low, 4096)
+                order = places.of(dense(some.column(1), pivots.shape[1]) * scale, queries).astype("<u4")
+                blobs = [row.tobytes() for row in order]
+                yield pa.record_batch([some.column(0), some.column(1), pa.array(blobs, pa.binary())], ["class_id", "vector", "places"])
+
+    return run
+
+
+def _orders(column: pa.ChunkedArray) -> np.ndarray:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), "<u4").reshape(len(blobs), -1).astype(np.int64)
+
+
+def _search(width: int, pivots: int, index: Index, k: int, rows: int):
     share = index.candidates(rows) / max(rows, 1)
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         """The best k rows of this shard for each query, of those that the footrule distance puts first."""
-        places = Permutations(pivots, index.nearest, longest)
-        width = pivots.shape[1]
         q, v = dense(queries["vector"], width), dense(vectors["vector"], width)
         q_ids, v_ids = queries["class_id"].to_numpy(), vectors["class_id"].to_numpy()
         out = []
         if len(q) and len(v):
-            files = InvertedFiles(places.of(v * scale, False), len(pivots))
+            files = InvertedFiles(_orders(vectors["places"]), pivots)
             enough = min(len(v), max(k, int(np.ceil(share * len(v)))))
-            for i, order in enumerate(places.of(q * scale, True)):
+            for i, order in enumerate(_orders(queries["places"])):
                 agree = files.agreement(order)
                 least = np.partition(agree, len(agree) - enough)[len(agree) - enough]
                 at = np.flatnonzero(agree >= least)
@@ -143,9 +168,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, index:
     ones count as zero beyond their end; rows without a vec_id are left out; other columns are
     ignored; an empty table gives an empty one.
     """
-    spark = ship(vectors.sparkSession)
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    vector = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    ship(vectors.sparkSession)
+    given = vectors.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding") if given in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
     rows = vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     rows = rows.filter(usable(F.col("vector")) & F.exists("vector", lambda x: x != 0))
     held = cut(rows.groupBy("vector", "vec_id").agg(F.count(F.lit(1)).alias("copies")))
@@ -159,12 +184,17 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, index:
     pivots = np.zeros((min(n, index.pivots), width))
     for at, row in enumerate(points.orderBy(F.xxhash64("vector"), "vector").limit(index.pivots).collect()):
         pivots[at, : len(row["vector"])] = row["vector"]
+    kind = points.schema["vector"].dataType.simpleString()
+
+    def represented(some: DataFrame, of_queries: bool) -> DataFrame:
+        return some.mapInArrow(_represent(pivots * scale, index, scale, longest, of_queries), f"class_id long, vector {kind}, places binary")
+
     shards, blocks = max(1, -(-n // index.vectors)), max(1, -(-query_points.count() // index.queries))
     deal = lambda parts: F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    spread = points.select("class_id", "vector", deal(shards).alias("shard"), every(blocks).alias("block"))
-    sent = query_points.select("class_id", "vector", deal(blocks).alias("block"), every(shards).alias("shard"))
-    search = _search(pivots * scale, index, k + 1, n, scale, longest)
+    spread = represented(points, False).select("class_id", "vector", "places", deal(shards).alias("shard"), every(blocks).alias("block"))
+    sent = represented(query_points, True).select("class_id", "vector", "places", deal(blocks).alias("block"), every(shards).alias("shard"))
+    search = _search(width, len(pivots), index, k + 1, n)
     found = sent.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInArrow(search, "query_class long, class_id long, score double")
     best = Window.partitionBy("query_class").orderBy(F.desc("score"), "vec_id")
     named = found.join(members, "class_id").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
