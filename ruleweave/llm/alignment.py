@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,9 @@ from ruleweave.llm.common import by_rows, ship
 from ruleweave.session import shared_folder
 
 #: Bytes of text that are aligned together; their distinct pairs are counted and looked up together.
-BLOCK = 8 << 20
-#: Words that a worker remembers before it starts anew, and the longest one that it does remember.
-REMEMBERED, LONGEST = 400_000, 64
+BLOCK = 4 << 20
+#: Words that are encoded at a time, words that a worker remembers before it starts anew, and the longest that it does.
+WORDS, REMEMBERED, LONGEST = 10_000, 600_000, 48
 
 
 def byte_symbols() -> dict[str, int]:
@@ -32,81 +34,134 @@ def byte_symbols() -> dict[str, int]:
     return {chr(byte): byte for byte in shown} | {chr(256 + at): byte for at, byte in enumerate(hidden)}
 
 
-class Pair:
-    """The two tokenizers, and the bytes of each of their ids."""
+def _joined(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls, one after another."""
+    if not len(column):
+        return np.zeros(0, np.uint8)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
 
-    def __init__(self, byte_path: str, piece_path: str) -> None:
-        from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=piece_path)
-        symbols, words = byte_symbols(), self.a.get_vocab()
-        self.a_bytes = [b""] * (max(words.values()) + 1)
-        for word, at in words.items():
-            self.a_bytes[at] = bytes(symbols[c] for c in word) if all(c in symbols for c in word) else word.encode()
-        pieces = [self.b.id_to_piece(at) for at in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(at) else p.replace("▁", " ").encode() for at, p in enumerate(pieces)]
-
-    def encode(self, texts: list[str]) -> Iterator[Aligned | None]:
-        """Alignment of texts that begin with a space; None where either side's bytes differ from the text's."""
-        if not texts:
-            return
-        left = self.a.encode_batch(texts, add_special_tokens=False)
-        right = self.b.encode([text[1:] for text in texts], num_threads=1)  # which puts the space before it
-        for text, a, b in zip(texts, left, right):
-            yield self.align(text.encode(), a.ids, b)
-
-    def align(self, text: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != text or b"".join(b_parts) != text:
-            return None
-        a_ends, b_ends = np.cumsum([len(p) for p in a_parts]), np.cumsum([len(p) for p in b_parts])
-        # no token is empty, so an offset ends one token of each side at most
-        _, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        groups, low_a, low_b = [], 0, 0
-        for high_a, high_b in zip((i + 1).tolist(), (j + 1).tolist()):
-            groups.append(f"{','.join(map(str, a[low_a:high_a]))}|{','.join(map(str, b[low_b:high_b]))}")
-            low_a, low_b = high_a, high_b
-        links = [(a[x] << 32) | b[y] for x, y in zip(i.tolist(), j.tolist())]
-        return Aligned(len(a), len(b), ";".join(groups).encode(), links)
+def _cut(body: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary column of the stretches of ``body`` between ``bounds``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
 
 
 @dataclass
 class Aligned:
-    """Tokens of both sides, groups as text, and the linked pair of each group as a << 32 | b."""
+    """Texts one after another: tokens of both sides, linked pairs (a << 32 | b) in order, groups as bytes
+    that all end with a semicolon, and whether both sides gave the text's own bytes; all zero if not."""
 
-    n_a: int
-    n_b: int
-    groups: bytes
-    links: list[int]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    links: np.ndarray
+    groups: pa.Array
+    good: np.ndarray
 
+    def take(self, at: np.ndarray) -> Aligned:
+        starts = np.cumsum(self.n_links) - self.n_links
+        counts = self.n_links[at]
+        link = np.repeat(starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return Aligned(self.n_a[at], self.n_b[at], counts, self.links[link], self.groups.take(pa.array(at)), self.good[at])
 
-@dataclass
-class Words:
-    """Alignments of words by number; a word takes its number when it is first seen."""
 
-    pair: Pair
-    number: dict[str, int] = field(default_factory=dict)
-    known: list[Aligned | None] = field(default_factory=list)
+def nothing() -> Aligned:
+    none = np.zeros(0, np.int64)
+    return Aligned(none, none, none, none, pa.array([], pa.large_binary()), np.zeros(0, bool))
 
-    def forget(self) -> None:
-        self.number, self.known = {}, []
 
-    def find(self, words: list[str]) -> list[Aligned | None]:
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = [word for word in words if word not in self.number]
-        fresh = dict(zip(new, self.pair.encode(new)))
-        for word in new:
-            if len(word) <= LONGEST:
-                self.number[word] = len(self.known)
-                self.known.append(fresh[word])
-        return [fresh[word] if word in fresh else self.known[self.number[word]] for word in words]
+def together(parts: list[Aligned]) -> Aligned:
+    arrays = [np.concatenate([getattr(part, f.name) for part in parts]) for f in fields(Aligned)[:4]]
+    return Aligned(*arrays, pa.concat_arrays([part.groups for part in parts]), np.concatenate([part.good for part in parts]))
 
 
-_WORDS: dict[tuple[str, str], Words] = {}
+class Pair:
+    """The two tokenizers, the bytes of each of their ids, and how ids are written in groups."""
+
+    def __init__(self, byte_path: str, piece_path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(byte_path)
+        self.a.encode_special_tokens = True
+        self.b = SentencePieceProcessor(model_file=piece_path)
+        symbols, words = byte_symbols(), self.a.get_vocab()
+        left = [b""] * (max(words.values()) + 1)
+        for word, at in words.items():
+            left[at] = bytes(symbols[c] for c in word) if all(c in symbols for c in word) else word.encode()
+        pieces = [self.b.id_to_piece(at) for at in range(self.b.get_piece_size())]
+        right = [bytes([int(p[3:5], 16)]) if self.b.is_byte(at) else p.replace("▁", " ").encode() for at, p in enumerate(pieces)]
+        self.a_bytes, self.b_bytes = pa.array(left, pa.binary()), pa.array(right, pa.binary())
+        # an id of a with a comma or, as the last of its group, a bar; one of b with a comma or a semicolon
+        self.written = pa.array([f"{at}{end}".encode() for side, ends in ((left, ",|"), (right, ",;")) for end in ends for at in range(len(side))], pa.binary())
+        self.n = len(left), len(right)
+        self.known, self.held = pa.array([], pa.string()), nothing()
+
+    def encode(self, texts: pa.Array) -> Aligned:
+        """Alignment of texts that begin with a space, which the piece model adds by itself."""
+        parts = [self._some(texts.slice(low, WORDS)) for low in range(0, len(texts), WORDS)]
+        return together(parts) if parts else nothing()
+
+    def words(self, texts: pa.Array) -> Aligned:
+        """The same for distinct words, of which those seen lately are remembered."""
+        texts = texts.cast(pa.string()) if pa.types.is_large_string(texts.type) and pc.sum(pc.binary_length(texts)).as_py() < 1 << 31 else texts
+        if len(self.known) > REMEMBERED or texts.type != self.known.type:
+            self.known, self.held = pa.array([], texts.type), nothing()
+        place = pc.fill_null(pc.index_in(texts, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = place < 0
+        fresh = self.encode(texts.filter(pa.array(new)))
+        place[new] = len(self.known) + np.arange(int(new.sum()))
+        held = together([self.held, fresh])
+        short = np.flatnonzero(pc.less_equal(pc.binary_length(texts), LONGEST).to_numpy(zero_copy_only=False)[new])
+        if len(short):
+            self.known = pa.concat_arrays([self.known, texts.filter(pa.array(new)).take(pa.array(short))])
+            self.held = together([self.held, fresh.take(short)])
+        return held.take(place)
+
+    def _some(self, texts: pa.Array) -> Aligned:
+        plain = texts.to_pylist()
+        a, n_a = _flat([found.ids for found in self.a.encode_batch_fast(plain, add_special_tokens=False)])
+        b, n_b = _flat(self.b.encode([text[1:] for text in plain], num_threads=1))
+        body = np.frombuffer("".join(plain).encode(), np.uint8)
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        good = np.ones(len(plain), bool)
+        for ids, counts, table in ((a, n_a, self.a_bytes), (b, n_b, self.b_bytes)):
+            tokens = table.take(pa.array(ids))
+            lengths = pc.binary_length(tokens).to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(plain)), counts)
+            fits = np.bincount(owner, lengths, len(plain)).astype(np.int64) == sizes
+            good &= fits
+            same = _joined(tokens.filter(pa.array(fits[owner]))) == body[np.repeat(fits, sizes)]
+            good[np.repeat(np.arange(len(plain)), np.where(fits, sizes, 0))[~same]] = False
+        return self._align(a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], np.where(good, n_a, 0), np.where(good, n_b, 0), np.where(good, sizes, 0), good)
+
+    def _align(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, sizes: np.ndarray, good: np.ndarray) -> Aligned:
+        """No token is empty, so an offset ends one token of each side at most; both sides end with every text."""
+        a_ends = np.cumsum(pc.binary_length(self.a_bytes).to_numpy().astype(np.int64)[a])
+        b_ends = np.cumsum(pc.binary_length(self.b_bytes).to_numpy().astype(np.int64)[b])
+        both, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        text_ends = np.cumsum(sizes)
+        n_links = np.diff(np.searchsorted(both, text_ends, side="right"), prepend=0)
+        # groups in writing: those of a, then those of b; a token stands behind all of the other side's that come before it
+        a_group, b_group = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+        b_before, a_upto = np.concatenate(([0], j + 1)), i + 1
+        order = np.zeros(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + b_before[a_group]] = a + np.where(np.isin(np.arange(len(a)), i, assume_unique=True), self.n[0], 0)
+        order[np.arange(len(b)) + a_upto[b_group]] = 2 * self.n[0] + b + np.where(np.isin(np.arange(len(b)), j, assume_unique=True), self.n[1], 0)
+        written = self.written.take(pa.array(order))
+        reached = np.concatenate(([0], np.cumsum(pc.binary_length(written).to_numpy().astype(np.int64))))
+        groups = _cut(_joined(written), np.concatenate(([0], reached[np.cumsum(n_a + n_b)])))
+        return Aligned(n_a, n_b, n_links, (a[i] << 32) | b[j], groups, good)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
+_PAIRS_OF: dict[tuple[str, str], Pair] = {}
 
 
 def word_starts(body: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -129,10 +184,11 @@ def _strings(body: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body)])
 
 
-def align_block(words: Words, texts: pa.Array, times: np.ndarray) -> tuple[dict[str, np.ndarray | list], dict[str, np.ndarray]]:
+def align_block(pair: Pair, texts: pa.Array, times: np.ndarray) -> tuple[dict[str, np.ndarray | list], dict[str, np.ndarray]]:
     """The measures of each text and its words' numbers; and the block's pairs: counts, and those of each word.
 
-    A text with a word that does not come back byte by byte is encoded as a whole, as one word.
+    Every distinct word of the block is encoded at most once. A text with a word that does not come back byte
+    by byte is encoded as a whole, as one word.
     """
     spaced = pc.binary_join_element_wise("", texts, " ")
     sizes = pc.binary_length(spaced).to_numpy().astype(np.int64)
@@ -140,35 +196,38 @@ def align_block(words: Words, texts: pa.Array, times: np.ndarray) -> tuple[dict[
     body = np.frombuffer("".join(spaced.to_pylist()).encode(), np.uint8)
     cuts = word_starts(body, ends - sizes)
     coded = _strings(body, np.append(cuts, len(body))).dictionary_encode()
-    number = coded.indices.to_numpy().astype(np.int64)
-    found = words.find(coded.dictionary.to_pylist())
+    number, found = coded.indices.to_numpy().astype(np.int64), pair.words(coded.dictionary)
     owner = np.searchsorted(ends, cuts, side="right")
-    broken = np.array([one is None for one in found], bool)
-    whole = np.unique(owner[broken[number]])
+    whole = np.unique(owner[~found.good[number]])
     if len(whole):
-        again = list(words.pair.encode(spaced.take(pa.array(whole)).to_pylist()))
-        good = ~np.isin(owner, whole)
-        owner, number = owner[good], number[good]
-        place = np.flatnonzero([one is not None for one in again])
-        owner, number = np.append(owner, whole[place]), np.append(number, len(found) + np.arange(len(place)))
+        again = pair.encode(spaced.take(pa.array(whole)))
+        kept = ~np.isin(owner, whole)
+        owner, number = np.append(owner[kept], whole), np.append(number[kept], len(found.good) + np.arange(len(whole)))
         order = np.argsort(owner, kind="stable")
-        owner, number = owner[order], number[order]
-        found = [one or Aligned(0, 0, b"", []) for one in found] + [again[at] for at in place]
-    counts = np.bincount(owner, minlength=len(texts))
-    starts = np.concatenate(([0], np.cumsum(counts)))
-    measures = {name: _by_text(np.array([getattr(one, name) for one in found], np.int64)[number], starts) for name in ("n_a", "n_b")}
-    links = np.array([len(one.links) for one in found], np.int64)
-    measures["n_groups"] = measures["n_links"] = _by_text(links[number], starts)
-    fragments, spans = [one.groups for one in found], [number[low:high] for low, high in zip(starts, starts[1:])]
-    joined = (b";".join([fragments[at] for at in span.tolist()]) for span in spans)
-    measures["groups_sha256"] = [hashlib.sha256(text).hexdigest() if len(span) else "" for text, span in zip(joined, spans)]
-    measures["words"] = [span.astype("<u4").tobytes() for span in spans]
-    pairs, pair = np.unique(np.array([link for one in found for link in one.links], np.int64), return_inverse=True)
-    weight = np.zeros(len(found), np.int64)
+        owner, number, found = owner[order], number[order], together([found, again])
+    starts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    measures = {name: _by_text(getattr(found, name)[number], starts) for name in ("n_a", "n_b", "n_links")}
+    measures["n_groups"] = measures["n_links"]
+    measures["groups_sha256"] = _digests(found.groups, number, starts)
+    measures["words"] = [number[low:high].astype("<u4").tobytes() for low, high in zip(starts, starts[1:])]
+    pairs, place = np.unique(found.links, return_inverse=True)
+    weight, n = np.zeros(len(found.good), np.int64), np.zeros(len(pairs), np.int64)
     np.add.at(weight, number, times[owner])
-    n = np.zeros(len(pairs), np.int64)
-    np.add.at(n, pair, np.repeat(weight, links))
-    return measures, {"a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "n": n, "ends": np.cumsum(links), "pair": pair}
+    np.add.at(n, place, np.repeat(weight, found.n_links))
+    return measures, {"a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "n": n, "ends": np.cumsum(found.n_links), "pair": place}
+
+
+def _digests(groups: pa.Array, number: np.ndarray, starts: np.ndarray) -> list[str]:
+    """SHA-256 of each text's groups without the last semicolon; empty without groups."""
+    out = []
+    for low in range(0, len(starts) - 1, 256):  # so that long lines of ids do not stand in memory together
+        here = starts[low : low + 257]
+        some = groups.take(pa.array(number[here[0] : here[-1]]))
+        bounds = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1] if len(some) else np.zeros(1, np.int64)
+        data = memoryview(some.buffers()[2]) if len(some) and some.buffers()[2] is not None else memoryview(b"")
+        for a, b in zip(bounds[here[:-1] - here[0]].tolist(), bounds[here[1:] - here[0]].tolist()):
+            out.append(hashlib.sha256(data[a : b - 1]).hexdigest() if b > a else "")
+    return out
 
 
 def _by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -192,12 +251,12 @@ def _align(byte_path: str | None, piece_path: str | None):
             import public_tokenizers
 
             paths = byte_path or public_tokenizers.path("byte_bpe_50k.json"), piece_path or public_tokenizers.path("piece_bpe_32k.model")
-        if paths not in _WORDS:
-            _WORDS[paths] = Words(Pair(*paths))
+        if paths not in _PAIRS_OF:
+            _PAIRS_OF[paths] = Pair(*paths)
         block = TaskContext.get().partitionId() << 32
         for batch in by_rows(batches, "text", BLOCK):
             texts, keys = batch.column(0), batch.column(1)
-            measures, pairs = align_block(_WORDS[paths], texts, batch.column(2).to_numpy())
+            measures, pairs = align_block(_PAIRS_OF[paths], texts, batch.column(2).to_numpy())
             n = batch.num_rows
             columns = [pa.array(np.full(n, block)), keys, *[pa.array(measures[name]) for name in _LONGS], pa.array(measures["groups_sha256"], pa.string()), pa.array(measures["words"], pa.binary()), pa.nulls(n, _PAIRS)]
             yield pa.record_batch(columns, ["block", "text_key", *_LONGS, "groups_sha256", "words", "pairs"])

@@ -81,7 +81,8 @@ TEXTS = [
 @pytest.mark.parametrize("block", [1 << 23, 64])
 def test_measures(spark, make, tokenizers, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK", block)
-    monkeypatch.setattr(alignment, "REMEMBERED", 20)
+    for name in ("WORDS", "REMEMBERED", "LONGEST"):
+        monkeypatch.setattr(alignment, name, 7)
     rows = [(i, text) for i, text in enumerate(TEXTS)] + [(100 + i, TEXTS[4]) for i in range(30)] + [(None, TEXTS[6]), (3, TEXTS[7]), (3, TEXTS[7])]
     measures, counts = alignment.align(make(rows).repartition(3))
     kept = "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
@@ -105,7 +106,8 @@ def test_words_give_the_ids_of_the_whole_text(tokenizers):
     texts = ["".join(random.choices(letters, k=random.randint(1, 25))) for _ in range(3000)]
     import numpy as np
 
-    measures, _ = alignment.align_block(alignment.Words(pair), pa.array(texts), np.ones(len(texts), np.int64))
-    for i, whole in enumerate(pair.encode([" " + text for text in texts])):
-        want = "" if whole is None else hashlib.sha256(whole.groups).hexdigest()
-        assert measures["groups_sha256"][i] == want, texts[i]
+    measures, _ = alignment.align_block(pair, pa.array(texts), np.ones(len(texts), np.int64))
+    whole = pair.encode(pa.array([" " + text for text in texts]))
+    for i, groups in enumerate(whole.groups.to_pylist()):
+        assert measures["groups_sha256"][i] == (hashlib.sha256(groups[:-1]).hexdigest() if groups else ""), texts[i]
+        assert (measures["n_a"][i], measures["n_b"][i], measures["n_links"][i]) == (whole.n_a[i], whole.n_b[i], whole.n_links[i])
