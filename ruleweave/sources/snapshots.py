@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ruleweave.sources import pointers
+
 
 def read_records(spark: SparkSession, path: str, record: T.StructType, field: str = "records") -> DataFrame:
     """Records of ``{field: [...]}`` snapshot files; many files are read in parallel."""
@@ -32,25 +34,31 @@ def write_versioned(df: DataFrame, root: str, version: str, order: Sequence[Colu
     return path
 
 
-POINTER = "number long, path string"
+def _pointers(root: str) -> str:
+    return f"{root.rstrip('/')}/_current"
 
 
-def publish_pointer(spark: SparkSession, root: str, path: str) -> None:
-    """Point readers to a complete version.
+def publish_pointer(spark: SparkSession, root: str, path: str, after: int | None = None) -> int:
+    """Point readers to a complete version and return the pointer's number.
 
-    Pointers are only ever added, each a file that appears when its job commits, and the one with the
-    highest number counts: a reader or a crash in between finds the version before.
+    Pointers are numbered files that only one writer can make each, and the highest counts: a reader or
+    a crash in between finds the version before. A writer that gives the number its snapshot was made
+    ``after`` gets ``pointers.Conflict`` if another one was published since, and has to make it anew.
     """
-    folder = f"{root.rstrip('/')}/_current"
-    spark.createDataFrame([], POINTER).write.mode("append").json(folder)
-    last = spark.read.schema(POINTER).json(folder).agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first()["n"]
-    spark.createDataFrame([(last + 1, path)], POINTER).coalesce(1).write.mode("append").json(folder)
+    return pointers.commit(spark, _pointers(root), {"path": path}, after)
+
+
+def current_number(spark: SparkSession, root: str) -> int:
+    """Number of the pointer that counts, 0 before the first: what a writer gives back as ``after``."""
+    found = pointers.current(spark, _pointers(root))
+    return 0 if found is None else found[0]
 
 
-def current_version(spark: SparkSession, root: str) -> str:
-    pointers = spark.read.schema(POINTER).json(f"{root.rstrip('/')}/_current")
-    return pointers.agg(F.max_by("path", "number").alias("path")).first()["path"]
+def current_version(spark: SparkSession, root: str) -> str | None:
+    found = pointers.current(spark, _pointers(root))
+    return None if found is None else found[1]["path"]
 
 
 def read_current(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(current_version(spark, root))
+    path = current_version(spark, root)
+    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).json(path)

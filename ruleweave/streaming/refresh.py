@@ -53,45 +53,54 @@ def extract(batch: DataFrame) -> DataFrame:
     )
 
 
+SEEN = ["target_id", "adapter_version", "sha256"]
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def changed(stream: DataFrame) -> DataFrame:
+    """Fetched documents whose body is new for their target and adapter version, with its hash.
+
+    What was seen is keyed state without a watermark: the first fetch of a body passes however old it
+    is, and every later one is dropped. A batch looks up the keys that it holds and no others.
+    """
+    return stream.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(SEEN)
+
+
 def start_refresh(
     stream: DataFrame, runs_path: str, candidates_path: str, checkpoint: str,
     reader: Callable[[DataFrame], DataFrame] = extract,
 ) -> StreamingQuery:
-    """Process only bodies without a finished run, appending candidates first and runs last.
+    """Process only bodies that their target has not had, appending candidates first and runs last.
 
-    A batch drops its own repeats and whatever the run table holds, however old a document is: no row
-    can be late. Output folders carry the batch id, so a batch repeated after a failure replaces its own files;
-    a run row is written only when its candidates are complete.
+    The hashes that each target and version has had are the query's state, in ``checkpoint``, kept on
+    the executors' disks; the run table is written and never read. Output folders carry the batch id,
+    so a batch repeated after a failure starts from the state before it and replaces its own files; a
+    run row is written only when its candidates are complete.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.schema(
-            "target_id long, adapter_version string, sha256 string, batch_id long"
-        ).parquet(runs_path) if _exists(spark, runs_path) else None
-        fresh = batch.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["target_id", "adapter_version", "sha256"])
-        if done is not None:
-            earlier = done.filter(F.col("batch_id") != batch_id)
-            mine = fresh.select("target_id").distinct()
-            earlier = earlier.join(mine, "target_id", "left_semi")
-            fresh = fresh.join(earlier, ["target_id", "adapter_version", "sha256"], "left_anti")
-        fresh = fresh.persist()
+        fresh = batch.persist()  # written twice, and a batch of a stateful plan is computed once
         try:
             reader(fresh).write.mode("overwrite").parquet(f"{candidates_path}/batch_id={batch_id}")
-            fresh.select("target_id", "adapter_version", "sha256").distinct().write.mode("overwrite").parquet(
-                f"{runs_path}/batch_id={batch_id}"
-            )
+            fresh.select(*SEEN).write.mode("overwrite").parquet(f"{runs_path}/batch_id={batch_id}")
         finally:
             fresh.unpersist()
 
-    return (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKS)  # taken over by the query when it starts
+    try:
+        return (
+            changed(stream).writeStream.foreachBatch(handle)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(STATE_STORE, before)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def runs(spark: SparkSession, runs_path: str) -> DataFrame:
+    """The run table: (target_id, adapter_version, sha256, batch_id)."""
+    return spark.read.schema("target_id long, adapter_version string, sha256 string, batch_id long").parquet(runs_path)
