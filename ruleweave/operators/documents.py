@@ -2,125 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave.functions import arrays
 from ruleweave.functions.tables import cells_are_rule, is_table_line, table_cells, term_score
-from ruleweave.functions.text import compact, split_lines
-from ruleweave.operators.stages import settle
-from ruleweave.schemas import struct
-from ruleweave.session import ship
-
-BLOCK_SCHEMA = T.ArrayType(struct("kind string, level int, line string"))
-
-
-def read_blocks(markup: str | None) -> list[tuple[str, int, str]]:
-    """Headings, paragraphs, list items and table rows of one page, in document order.
-
-    A small reader for the tag soup of real pages: an end tag closes up to the nearest open
-    element of its name, an unclosed element stays open, so nested blocks repeat inner text.
-    """
-    from html.parser import HTMLParser
-
-    void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-    dropped = {"script", "style", "noscript", "svg", "template"}
-    levels = {"h1": 1, "h2": 2, "h3": 3, "h4": 4}
-
-    class Reader(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__(convert_charrefs=True)
-            self.open: list[tuple[str, dict | None]] = []
-            self.blocks: list[dict] = []
-            self.sinks: list[list[str]] = []
-            self.tables = self.skipped = self.bodies = 0
-            self.saw_body = False
-
-        def handle_starttag(self, tag, attrs):
-            if tag in void:
-                return
-            block = None
-            if not self.skipped:
-                if tag == "tr" or ((tag in levels or tag in ("p", "li")) and not self.tables):
-                    block = {"tag": tag, "text": [], "cells": [], "head": False, "body": self.bodies > 0}
-                    self.blocks.append(block)
-                    if tag != "tr":
-                        self.sinks.append(block["text"])
-                elif tag in ("td", "th") and self.open and self.open[-1][0] == "tr" and self.open[-1][1]:
-                    row, block = self.open[-1][1], {"tag": tag, "text": []}
-                    row["cells"].append(block["text"])
-                    row["head"] = row["head"] or tag == "th"
-                    self.sinks.append(block["text"])
-            self.open.append((tag, block))
-            self.tables += tag == "table"
-            self.skipped += tag in dropped
-            if tag == "body":
-                self.bodies += 1
-                self.saw_body = True
-
-        def handle_endtag(self, tag):
-            if not any(name == tag for name, _ in self.open):
-                return
-            while True:
-                name, block = self.open.pop()
-                if block is not None and name != "tr":
-                    self.sinks = [sink for sink in self.sinks if sink is not block["text"]]
-                self.tables -= name == "table"
-                self.skipped -= name in dropped
-                self.bodies -= name == "body"
-                if name == tag:
-                    return
-
-        def handle_data(self, data):
-            if not self.skipped and data.strip():
-                for sink in self.sinks:
-                    sink.append(data)
-
-    def tidy(parts: list[str]) -> str:
-        return " ".join(" ".join(parts).replace("\u00ad", "").split())
-
-    reader = Reader()
-    reader.feed(markup or "")
-    reader.close()
-    output = []
-    for block in reader.blocks:
-        if reader.saw_body and not block["body"]:
-            continue
-        tag = block["tag"]
-        if tag == "tr":
-            cells = [tidy(cell) for cell in block["cells"]]
-            if not any(cells):
-                continue
-            output.append(("row", 0, "| " + " | ".join(cells) + " |"))
-            if block["head"]:
-                output.append(("separator", 0, "| " + " | ".join("---" for _ in cells) + " |"))
-            continue
-        text = tidy(block["text"])
-        if not text:
-            continue
-        if tag in levels:
-            output.append(("heading", levels[tag], "#" * levels[tag] + " " + text))
-        elif tag == "li":
-            output.append(("item", 0, "- " + text))
-        else:
-            output.append(("paragraph", 0, text))
-    return output
-
-
-@F.pandas_udf(BLOCK_SCHEMA)
-def page_blocks(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Arrow-batched block reader; the only Python on the way from pages to rules."""
-    for batch in pages:
-        yield batch.map(
-            lambda markup: [{"kind": k, "level": n, "line": line} for k, n, line in read_blocks(markup)]
-        )
-
+from ruleweave.functions.text import compact, let, split_lines
+from ruleweave.operators.markup import page_blocks
 
 def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One row per block of a page: (key, line_no, kind, level, line)."""
-    ship(pages.sparkSession)
     return pages.select(F.col(key), F.posexplode(page_blocks(F.col(html))).alias("pos", "block")).select(
         key, (F.col("pos") + 1).alias("line_no"), "block.kind", "block.level", "block.line"
     )
@@ -128,7 +18,6 @@ def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def html_text(html: str) -> Column:
     """The page as pipe-table text, the common input of all extractors."""
-    ship(SparkSession.getActiveSession())
     return F.array_join(F.transform(page_blocks(F.col(html)), lambda block: block["line"]), "\n")
 
 
@@ -144,37 +33,39 @@ def dense_lines(text: str) -> Column:
     return F.filter(F.transform(split_lines(text), lambda line: compact(line)), lambda line: line != "")
 
 
+def tables_in(lines: Column, terms: tuple[str, ...], minimum: int = 0) -> Column:
+    """Tables among the lines of one row: array of (table_line, header_line, headers, rows of (line, cells)).
+
+    A table needs two rows that are no separators; the first row that scores best by vocabulary is the
+    header; tables scoring below the minimum and tables without rows below it are left out.
+    """
+
+    def cut(found: Column) -> Column:
+        def table(span: Column) -> Column:
+            block = F.slice(found, span["first"], span["last"] - span["first"] + 1)
+            celled = F.transform(block, lambda line, i: F.struct((span["first"] + i).alias("line"), table_cells(line).alias("cells")))
+            return let(F.filter(celled, lambda row: ~cells_are_rule(row["cells"])), lambda rows: headed(span["first"], rows))
+
+        return F.array_compact(F.transform(arrays.runs(F.transform(found, lambda line: is_table_line(line))), table))
+
+    def headed(first: Column, rows: Column) -> Column:
+        scores = F.transform(rows, lambda row, i: F.struct(term_score(row["cells"], terms).alias("score"), (-i).alias("at")))
+
+        def chosen(best: Column) -> Column:
+            head = 1 - best["at"]
+            whole = F.struct(
+                first.alias("table_line"), F.get(rows, head - 1)["line"].alias("header_line"), F.get(rows, head - 1)["cells"].alias("headers"),
+                F.slice(rows, head + 1, F.size(rows)).alias("rows"),
+            )
+            return F.when((F.size(rows) >= 2) & (best["score"] >= minimum) & (head < F.size(rows)), whole)
+
+        return let(F.array_max(scores), chosen)
+
+    return let(lines, cut)
+
+
 def document_tables(
     docs: DataFrame, keep: list[str], text: str, terms: tuple[str, ...], minimum: int = 0
 ) -> DataFrame:
-    """One row per table: header chosen by vocabulary, aligned data rows below it.
-
-    Columns: ``keep``, table_line, header_line, headers, rows (array of line, cells). A table needs
-    two rows that are no separators; the first best-scoring row is the header; tables scoring
-    below the minimum and tables without data rows are dropped.
-    """
-    lines = settle(docs, keep, {"lines": split_lines(text)})
-    marked = settle(lines, [*keep, "lines"], {"spans": arrays.runs(F.transform("lines", lambda line: is_table_line(line)))})
-    blocks = F.transform(
-        "spans",
-        lambda span: F.struct(
-            span["first"].alias("first"), F.slice("lines", span["first"], span["last"] - span["first"] + 1).alias("block")
-        ),
-    )
-    spans = marked.select(*keep, F.explode(blocks).alias("span")).select(*keep, F.col("span.first").alias("table_line"), "span.block")
-    celled = F.transform(
-        "block", lambda line, i: F.struct((F.col("table_line") + i).alias("line"), table_cells(line).alias("cells"))
-    )
-    bodies = settle(spans, [*keep, "table_line"], {"rows": F.filter(celled, lambda row: ~cells_are_rule(row["cells"]))})
-    best = F.array_max(
-        F.transform("rows", lambda row, i: F.struct(term_score(row["cells"], terms).alias("score"), (-i).alias("at")))
-    )
-    scored = settle(bodies.filter(F.size("rows") >= 2), [*keep, "table_line", "rows"], {"best": best})
-    head = 1 - F.col("best.at")
-    return scored.filter((F.col("best.score") >= minimum) & (head < F.size("rows"))).select(
-        *keep,
-        "table_line",
-        F.element_at("rows", head)["line"].alias("header_line"),
-        F.element_at("rows", head)["cells"].alias("headers"),
-        F.slice("rows", head + 1, F.size("rows")).alias("rows"),
-    )
+    """One row per table of ``tables_in``: ``keep``, table_line, header_line, headers, rows (array of line, cells)."""
+    return docs.select(*keep, F.explode(tables_in(split_lines(text), terms, minimum)).alias("found")).select(*keep, "found.*")
