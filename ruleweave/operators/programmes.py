@@ -12,11 +12,13 @@ from ruleweave import vocab
 from ruleweave.functions import arrays
 from ruleweave.functions.classify import is_direction, programme_level, split_code, valid_name
 from ruleweave.functions.tables import by_alias_priority, is_heading_line, is_table_line
-from ruleweave.functions.text import DIRECTION_CODE, FULL_CODE, compact, fold, split_lines, strip
-from ruleweave.operators.documents import document_tables
+from ruleweave.functions.text import DIRECTION_CODE, FULL_CODE, compact, fold, let, split_lines, strip
+from ruleweave.operators.documents import tables_in
 from ruleweave.operators.ordered import keep_first
 from ruleweave.operators.stages import settle
 
+TABLE = "struct<header_line: int, headers: array<string>, rows: array<struct<line: int, cells: array<string>>>>"
+ITEMS = "array<struct<external_code: string, name: string, degree_level: string, source_locator: string, source_excerpt: string, line_no: int>>"
 PROGRAMME = ("external_code", "name", "degree_level", "source_locator", "source_excerpt")
 FORMAT = "map<string, struct<marker:string, name_headers:array<string>, require_code:boolean, readers:array<string>>>"
 
@@ -37,114 +39,87 @@ def _excerpt(value: Column) -> Column:
     return F.substring(value, 1, vocab.EXCERPT_LENGTH)
 
 
-def _tables(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    tables = document_tables(docs, keep, text, vocab.CATALOGUE_HEADER_TERMS, minimum=2)
-    return settle(tables, tables.columns, {"heads": F.transform("headers", lambda h: fold(h))})
+def _item(code: Column, name: Column, level: Column, locator: Column, excerpt: Column, line_no: Column) -> Column:
+    """What every reader makes of a programme."""
+    named = {
+        "external_code": code, "name": name, "degree_level": level, "source_locator": locator, "source_excerpt": excerpt,
+        "line_no": line_no.cast("int"),
+    }
+    return F.struct(*[value.alias(name_) for name_, value in named.items()])
 
 
-def _table_locator() -> Column:
-    return F.concat(F.lit("markdown:table:"), F.col("header_line"), F.lit(":row:"), F.col("line_no"))
+def _with(fields: dict[str, Column], body) -> Column:
+    """Evaluate several values of a row once each and use them by name."""
+    return let(F.struct(*[value.alias(name) for name, value in fields.items()]), body)
 
 
-def table_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """Rows of labelled tables, whatever the column order; ``keep`` includes the format column."""
-    tables = _tables(docs, keep, text)
-    placed = settle(
-        tables,
-        tables.columns,
-        {
-            "code_at": by_alias_priority(F.col("heads"), ("код",)),
-            "name_at": _name_index(F.col("heads"), F.col("format.name_headers")),
-        },
-    ).filter(F.col("name_at").isNotNull())
-    rows = placed.select(*keep, "header_line", "headers", "code_at", "name_at", F.explode("rows").alias("row")).select(
-        *keep, "header_line", "headers", "code_at",
-        F.col("row.line").alias("line_no"),
-        F.col("row.cells").alias("cells"),
-        arrays.cell_at(F.col("row.cells"), F.col("name_at")).alias("name_cell"),
-    )
-    parted = settle(
-        rows,
-        rows.columns,
-        {
-            "own": F.when(F.col("code_at").isNotNull(), split_code(arrays.cell_at(F.col("cells"), F.col("code_at")))),
-            "embedded": split_code("name_cell"),
-        },
-    )
+def _table_locator(table: Column, line: Column) -> Column:
+    return F.concat(F.lit("markdown:table:"), table["header_line"], F.lit(":row:"), line)
 
-    def filled(value: Column) -> Column:
-        return F.when(value != "", value)
-
-    named = settle(
-        parted,
-        parted.columns,
-        {
-            "external_code": F.coalesce("own.code", "embedded.code"),
-            "name": compact(
-                F.coalesce(filled(F.col("own.title")), filled(F.col("embedded.title")), F.col("name_cell"))
-            ),
-        },
-    )
-    coded = F.col("external_code").isNotNull()
-    kept = named.filter((~coded | is_direction("external_code")) & (coded | ~F.col("format.require_code")) & valid_name("name"))
-    return kept.select(
-        *keep,
-        "external_code",
-        "name",
-        programme_level(F.col("external_code"), F.array_join(F.concat("headers", "cells"), " ")).alias("degree_level"),
-        _table_locator().alias("source_locator"),
-        _excerpt(F.array_join("cells", " | ")).alias("source_excerpt"),
-        "line_no",
-    )
 
+def _by_name(table: Column, form: Column, read) -> Column:
+    """Read a table whose folded headers have a name column."""
+
+    def named(heads: Column) -> Column:
+        return let(_name_index(heads, form["name_headers"]), lambda at: F.when(at.isNotNull(), read(heads, at)))
+
+    return let(F.transform(table["headers"], lambda h: fold(h)), named)
+
+
+def table_programmes(table: Column, form: Column) -> Column:
+    """Rows of a labelled table, whatever the column order."""
+
+    def read(heads: Column, name_at: Column) -> Column:
+        return let(by_alias_priority(heads, ("код",)), lambda code_at: F.array_compact(F.transform(table["rows"], lambda row: of(row, code_at, name_at))))
 
-def code_line_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    def of(row: Column, code_at: Column, name_at: Column) -> Column:
+        cells, name_cell = row["cells"], arrays.cell_at(row["cells"], name_at)
+        own = F.when(code_at.isNotNull(), split_code(arrays.cell_at(cells, code_at)))
+        return _with({"own": own, "embedded": split_code(name_cell)}, lambda parts: parted(row, name_cell, parts))
+
+    def parted(row: Column, name_cell: Column, parts: Column) -> Column:
+        filled = lambda value: F.when(value != "", value)
+        name = compact(F.coalesce(filled(parts["own"]["title"]), filled(parts["embedded"]["title"]), name_cell))
+        return _with({"code": F.coalesce(parts["own"]["code"], parts["embedded"]["code"]), "name": name}, lambda found: made(row, found))
+
+    def made(row: Column, found: Column) -> Column:
+        code, coded = found["code"], found["code"].isNotNull()
+        level = programme_level(code, F.array_join(F.concat(table["headers"], row["cells"]), " "))
+        kept = (~coded | is_direction(code)) & (coded | ~form["require_code"]) & valid_name(found["name"])
+        return F.when(kept, _item(code, found["name"], level, _table_locator(table, row["line"]), _excerpt(F.array_join(row["cells"], " | ")), row["line"]))
+
+    return _by_name(table, form, read)
+
+
+def code_line_programmes(lines: Column) -> Column:
     """Lines with a full code; a line without a title takes the nearest heading above it."""
-    lines = docs.select(*keep, split_lines(text).alias("lines"))
     numbered = F.transform(
-        "lines",
+        lines,
         lambda line, i: F.struct(
             (i + 1).alias("line_no"), line.alias("raw"), compact(F.ltrim(line, F.lit("# "))).alias("text")
         ),
     )
-    free = F.filter(numbered, lambda row: ~is_table_line(row["raw"]) & (row["text"] != ""))
-    marked = lines.select(*keep, free.alias("free")).withColumn(
-        "titles",
-        F.transform(
-            "free",
-            lambda row: F.when(is_heading_line(row["raw"]) & valid_name(row["text"]), row["text"]).otherwise(""),
-        ),
-    ).withColumn("above", arrays.carry(F.col("titles")))
-    rows = marked.select(*keep, F.explode(F.arrays_zip("free", "titles", "above")).alias("item")).filter(
-        (F.col("item.titles") == "") & F.col("item.free.text").rlike(DIRECTION_CODE)
-    )
-    placed = [
-        *keep,
-        F.col("item.free.line_no").alias("line_no"),
-        F.col("item.free.text").alias("line"),
-        F.col("item.above").alias("heading"),
-    ]
-    parted = settle(rows, placed, {"parts": split_code("item.free.text")}).withColumns(
-        {
-            "external_code": F.col("parts.code"),
-            "name": F.when(F.col("parts.title") != "", F.col("parts.title")).otherwise(F.col("heading")),
-        }
-    )
-    return parted.filter(is_direction("external_code") & valid_name("name")).select(
-        *keep,
-        "external_code",
-        "name",
-        programme_level(F.col("external_code"), F.concat_ws(" ", "line", "heading")).alias("degree_level"),
-        F.concat(F.lit("markdown:line:"), F.col("line_no")).alias("source_locator"),
-        _excerpt(F.col("line")).alias("source_excerpt"),
-        "line_no",
-    )
 
+    def read(free: Column) -> Column:
+        titles = F.transform(free, lambda row: F.when(is_heading_line(row["raw"]) & valid_name(row["text"]), row["text"]).otherwise(""))
+        return let(titles, lambda t: let(arrays.carry(t), lambda above: F.array_compact(F.transform(free, lambda row, i: coded(row, F.get(t, i), F.get(above, i))))))
 
-def card_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    def coded(row: Column, title: Column, above: Column) -> Column:
+        return F.when((title == "") & row["text"].rlike(DIRECTION_CODE), let(split_code(row["text"]), lambda parts: parted(row, above, parts)))
+
+    def parted(row: Column, above: Column, parts: Column) -> Column:
+        name = F.when(parts["title"] != "", parts["title"]).otherwise(above)
+        return let(name, lambda own: F.when(is_direction(parts["code"]) & valid_name(own), _item(
+            parts["code"], own, programme_level(parts["code"], F.concat_ws(" ", row["text"], above)),
+            F.concat(F.lit("markdown:line:"), row["line_no"]), _excerpt(row["text"]), row["line_no"],
+        )))
+
+    return let(F.filter(numbered, lambda row: ~is_table_line(row["raw"]) & (row["text"] != "")), read)
+
+
+def card_programmes(lines: Column) -> Column:
     """Third-level headings inside a programme section; the code stays unknown."""
-    lines = docs.select(*keep, split_lines(text).alias("lines"))
-    numbered = F.transform("lines", lambda line, i: F.struct((i + 1).alias("line_no"), strip(line).alias("text")))
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_no"), strip(line).alias("text")))
     heads = F.transform(
         F.filter(numbered, lambda row: F.startswith(row["text"], F.lit("#"))),
         lambda row: F.struct(
@@ -153,66 +128,42 @@ def card_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             compact(F.regexp_extract(row["text"], r"(?s)^[^ ]* (.*)$", 1)).alias("title"),
         ),
     )
-    marked = settle(lines, keep, {"heads": heads})
-    placed = settle(
-        marked, [*keep, "heads"], {"section_at": arrays.last_position(F.transform("heads", lambda h: h["level"] <= 2))}
-    )
-    items = F.transform(
-        F.arrays_zip("heads", "section_at"),
-        lambda item: F.struct(
-            item["heads"].alias("head"), F.get("heads", item["section_at"] - 1)["title"].alias("section"),
-            item["section_at"].alias("section_at"),
-        ),
-    )
-    wanted = F.filter(items, lambda item: (item["head"]["level"] == 3) & item["section_at"].isNotNull())
-    rows = placed.select(*keep, F.explode(wanted).alias("item"))
-    section, title = F.col("item.section"), F.col("item.head.title")
-    return rows.filter(F.contains(fold(section), F.lit(vocab.SECTION_WORD)) & valid_name(title)).select(
-        *keep,
-        F.lit(None).cast("string").alias("external_code"),
-        title.alias("name"),
-        F.lit("bachelor").alias("degree_level"),
-        F.concat(F.lit("markdown:heading:"), F.col("item.head.line_no")).alias("source_locator"),
-        title.alias("source_excerpt"),
-        F.col("item.head.line_no").alias("line_no"),
-    )
 
+    def read(found: Column) -> Column:
+        sections = arrays.last_position(F.transform(found, lambda h: h["level"] <= 2))
+        return let(sections, lambda at: F.array_compact(F.transform(found, lambda head, i: of(head, F.get(found, F.get(at, i) - 1)["title"]))))
+
+    def of(head: Column, section: Column) -> Column:
+        title = head["title"]
+        kept = (head["level"] == 3) & section.isNotNull() & F.contains(fold(section), F.lit(vocab.SECTION_WORD)) & valid_name(title)
+        place = F.concat(F.lit("markdown:heading:"), head["line_no"])
+        return F.when(kept, _item(F.lit(None).cast("string"), title, F.lit("bachelor"), place, title, head["line_no"]))
+
+    return let(heads, read)
 
-def summary_programmes(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+
+def summary_programmes(table: Column, form: Column) -> Column:
     """Rows of units below a code-only summary row, whose code they carry."""
-    tables = _tables(docs, keep, text)
-    placed = settle(
-        tables, tables.columns, {"name_at": _name_index(F.col("heads"), F.col("format.name_headers"))}
-    ).filter(F.col("name_at").isNotNull())
 
     def code_of(row: Column) -> Column:
         first = F.substring_index(arrays.cell_at(row["cells"], F.lit(0)), " ", 1)
         code = F.regexp_extract(F.array_join(row["cells"], " "), DIRECTION_CODE, 1)
         return F.when(first.rlike(FULL_CODE) & is_direction(code), code).otherwise("")
 
-    coded = placed.withColumn("codes", F.transform("rows", code_of)).withColumn("carried", arrays.carry(F.col("codes")))
-    rows = coded.select(
-        *keep, "header_line", "name_at", F.explode(F.arrays_zip("rows", "codes", "carried")).alias("item")
-    ).filter((F.col("item.codes") == "") & (F.col("item.carried") != ""))
-    named = rows.select(
-        *keep,
-        "header_line",
-        F.col("item.rows.line").alias("line_no"),
-        F.col("item.rows.cells").alias("cells"),
-        F.col("item.carried").alias("external_code"),
-        arrays.cell_at(F.col("item.rows.cells"), F.lit(0)).alias("unit"),
-        arrays.cell_at(F.col("item.rows.cells"), F.col("name_at")).alias("name"),
-    )
-    unit = (F.col("unit") != "") & (F.upper("unit") == F.col("unit")) & F.col("unit").rlike(r"\p{L}")
-    return named.filter(unit & valid_name("name")).select(
-        *keep,
-        "external_code",
-        "name",
-        programme_level(F.col("external_code"), F.array_join("cells", " ")).alias("degree_level"),
-        _table_locator().alias("source_locator"),
-        _excerpt(F.array_join("cells", " | ")).alias("source_excerpt"),
-        "line_no",
-    )
+    def read(heads: Column, name_at: Column) -> Column:
+        def carried(codes: Column) -> Column:
+            return let(arrays.carry(codes), lambda above: F.array_compact(F.transform(table["rows"], lambda row, i: of(row, F.get(codes, i), F.get(above, i), name_at))))
+
+        return let(F.transform(table["rows"], code_of), carried)
+
+    def of(row: Column, own: Column, above: Column, name_at: Column) -> Column:
+        unit, name = arrays.cell_at(row["cells"], F.lit(0)), arrays.cell_at(row["cells"], name_at)
+        is_unit = (unit != "") & (F.upper(unit) == unit) & unit.rlike(r"\p{L}")
+        level = programme_level(above, F.array_join(row["cells"], " "))
+        made = _item(above, name, level, _table_locator(table, row["line"]), _excerpt(F.array_join(row["cells"], " | ")), row["line"])
+        return F.when((own == "") & (above != "") & is_unit & valid_name(name), made)
+
+    return _by_name(table, form, read)
 
 
 def catalogue_programmes(
@@ -221,29 +172,41 @@ def catalogue_programmes(
 ) -> DataFrame:
     """Programmes of every document with a known adapter and its marker, first statement kept.
 
-    Readers are ranked per format; within a document an earlier reader's row supersedes a later
-    equal one, and the shuffle carries only finished programme rows.
+    Documents are read once: a document is exploded into its tables and, for readers of lines, its
+    lines, and the readers of its format work on each inside the row. Readers are ranked per format; an
+    earlier reader's row supersedes a later equal one. Only finished programmes cross the shuffle.
     """
     keep = [key, adapter]
+    own = docs.filter(F.col(adapter).isin([item.code for item in config]))
+    bound = own.withColumn("format", F.try_element_at(formats(config), F.col(adapter)))
+    bound = bound.filter(F.col("format.marker").isNull() | F.contains(fold(text), F.col("format.marker")))
+    lines = settle(bound, [*keep, "format"], {"lines": split_lines(text)})
+    wants = lambda *readers: F.arrays_overlap("format.readers", F.array(*[F.lit(name) for name in readers]))
+    none, no_table = F.lit(None).cast("array<string>"), F.lit(None).cast(TABLE)
+    tables = F.when(wants("table", "summary"), F.transform(
+        tables_in(F.col("lines"), vocab.CATALOGUE_HEADER_TERMS, minimum=2),
+        lambda t: F.struct(F.struct(t["header_line"].alias("header_line"), t["headers"].alias("headers"), t["rows"].alias("rows")).alias("table"), none.alias("lines")),
+    ))
+    free = F.when(wants("code_line", "card"), F.array(F.struct(no_table.alias("table"), F.col("lines").alias("lines"))))
+    empty = F.array().cast(f"array<struct<table: {TABLE}, lines: array<string>>>")
+    units = lines.select(*keep, "format", F.explode(F.concat(F.coalesce(tables, empty), F.coalesce(free, empty))).alias("unit"))
+
+    def read(here: Column) -> Column:
+        table, text_of, form = here["unit"]["table"], here["unit"]["lines"], here["format"]
+        readers = {
+            "table": F.when(table.isNotNull(), table_programmes(table, form)), "code_line": F.when(text_of.isNotNull(), code_line_programmes(text_of)),
+            "card": F.when(text_of.isNotNull(), card_programmes(text_of)), "summary": F.when(table.isNotNull(), summary_programmes(table, form)),
+        }
 
-    def read_by(name: str) -> DataFrame:
-        own = docs.filter(F.col(adapter).isin([item.code for item in config if name in item.readers]))
-        bound = own.withColumn("format", F.try_element_at(formats(config), F.col(adapter)))
-        return bound.filter(F.col("format.marker").isNull() | F.contains(fold(text), F.col("format.marker")))
+        def ranked(name: str, found: Column) -> Column:
+            own = F.coalesce(F.when(F.array_contains(form["readers"], name), found), F.array().cast(ITEMS))
+            return F.transform(own, lambda item: F.struct(item.alias("item"), F.array_position(form["readers"], name).alias("reader_rank")))
 
-    readers = {
-        "table": table_programmes,
-        "code_line": code_line_programmes,
-        "card": card_programmes,
-        "summary": summary_programmes,
-    }
-    merged = None
-    for name, reader in readers.items():
-        found = reader(read_by(name), [*keep, "format"], text).withColumn(
-            "reader_rank", F.array_position("format.readers", name)
-        )
-        merged = found if merged is None else merged.unionByName(found)
-    keyed = merged.withColumn("_name", fold("name"))
+        return F.concat(*[ranked(name, found) for name, found in readers.items()])
+
+    # bound as one value: the optimizer would else cut the fields that only lambdas use
+    rows = units.select(*keep, F.explode(let(F.struct("format", "unit"), read)).alias("found")).select(*keep, "found.item.*", "found.reader_rank")
+    keyed = rows.withColumn("_name", fold("name"))
     return keep_first(keyed, [key, adapter, "external_code", "_name"], ["reader_rank", "line_no"]).select(*keep, *PROGRAMME, "reader_rank", "line_no")
 
 

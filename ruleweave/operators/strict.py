@@ -15,14 +15,13 @@ from ruleweave.functions.classify import (
 )
 from ruleweave.functions.tables import is_separator, is_table_line, table_cells, with_all_fragments
 from ruleweave.functions.text import compact, distinct_codes, fold_unquoted, let, split_lines, stable_key
-from ruleweave.operators.documents import document_tables
+from ruleweave.operators.documents import tables_in
 from ruleweave.operators.ordered import keep_first
 from ruleweave.operators.stages import settle
 
-FORMAT = """map<string, struct<reader:string, markers:array<string>, programme:array<string>,
-olympiad:array<string>, profile:array<string>, diploma:array<string>, benefit:array<string>,
-subject:array<string>, score:array<string>, codes_in_benefit:boolean, default_statuses:array<string>,
-inherit_programme:boolean, inherit_olympiad:boolean, group_in_first_cell:boolean>>"""
+FORMAT = """map<string, struct<reader:string, markers:array<string>, columns:map<string,array<string>>,
+carried:array<string>, holders:array<string>, traits:array<string>>>"""
+TABLE = "array<struct<line: int, cells: array<string>>>"
 KEY = ("programme_selector", "olympiad_title", "profile_title", "diploma_status", "benefit_kind")
 RULE = (*KEY, "subject_code", "min_score", "line_no", "source_locator", "source_excerpt", "payload_kind")
 
@@ -65,113 +64,81 @@ def _locator(line: Column) -> Column:
     return F.concat(F.lit("markdown:line:"), line)
 
 
-def grid_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows of grid tables with their facts; merged programme and title cells are carried."""
-    folded = settle(tables, tables.columns, {"heads": F.transform("headers", lambda h: fold_unquoted(h))})
-    profile = _aliased(F.col("heads"), F.col("format.profile"))
-    indexed = settle(
-        folded,
-        folded.columns,
-        {
-            "programme_at": F.get(_aliased(F.col("heads"), F.col("format.programme")), F.lit(0)),
-            "profile_all": profile,
-            "diploma_all": _aliased(F.col("heads"), F.col("format.diploma")),
-            "subject_all": _aliased(F.col("heads"), F.col("format.subject")),
-            "score_all": _aliased(F.col("heads"), F.col("format.score")),
-            "generic_all": _aliased(F.col("heads"), F.col("format.benefit")),
-            "named_all": arrays.all_indexes(F.col("headers"), lambda h: cell_benefit(h, F.lit("да")).isNotNull()),
-            "olympiad_any": _aliased(F.col("heads"), F.col("format.olympiad")),
-        },
-    )
-    placed = settle(
-        indexed,
-        indexed.columns,
-        {
-            "olympiad_at": F.get(F.array_except("olympiad_any", "profile_all"), F.lit(0)),
-            "profile_at": F.get("profile_all", F.lit(0)),
-            "benefit_all": F.array_distinct(F.concat("named_all", "generic_all")),
-        },
-    )
-    usable = placed.filter(
-        F.col("olympiad_at").isNotNull() & F.col("profile_at").isNotNull() & (F.size("benefit_all") > 0)
-    )
+def _row(line: Column, cells: Column, titles: Column, profile: Column, statuses: Column, grants: Column, subject: Column, score: Column) -> Column:
+    """What every reader makes of a row."""
+    named = {
+        "line_no": line.cast("int"), "cells": cells, "titles": titles, "profile": profile, "statuses": statuses, "grants": grants,
+        "subject_code": subject, "min_score": score.cast("int"),
+    }
+    return F.struct(*[value.alias(name) for name, value in named.items()])
 
-    def programme_cell(row: Column) -> Column:
-        own = arrays.cell_at(row["cells"], F.col("programme_at"))
-        first = F.get(row["cells"], F.lit(0))
-        alone = F.size(F.filter(row["cells"], lambda cell: cell != "")) == 1
-        starts = fold_unquoted(first).rlike("^(?:" + "|".join(vocab.GROUP_STARTS) + ")")
-        group = (own == "") & F.col("format.group_in_first_cell") & alone & starts
-        return F.when(group, first).otherwise(own)
 
-    celled = usable.withColumns(
-        {
-            "programmes": F.transform("rows", programme_cell),
-            "olympiads": F.transform("rows", lambda row: arrays.cell_at(row["cells"], F.col("olympiad_at"))),
-        }
-    ).withColumns(
-        {
-            "programmes": F.when(F.col("format.inherit_programme"), arrays.carry(F.col("programmes"))).otherwise(
-                F.col("programmes")
-            ),
-            "olympiads": F.when(F.col("format.inherit_olympiad"), arrays.carry(F.col("olympiads"))).otherwise(
-                F.col("olympiads")
-            ),
-        }
-    )
-    rows = celled.select(
-        *keep, "format", "headers", "header_line", "profile_at", "diploma_all", "subject_all", "score_all",
-        "generic_all", "benefit_all", F.explode(F.arrays_zip("rows", "programmes", "olympiads")).alias("item"),
-    ).select(
-        "*",
-        F.col("item.rows.line").alias("line_no"),
-        F.col("item.rows.cells").alias("cells"),
-        F.col("item.programmes").alias("programme"),
-        F.col("item.olympiads").alias("olympiad"),
-    )
-    cells = F.col("cells")
-    read = rows.withColumn("profile", arrays.cell_at(cells, F.col("profile_at"))).filter(
-        ((F.col("programme") != "") | F.col("format.codes_in_benefit"))
-        & (F.col("olympiad") != "")
-        & (F.col("profile") != "")
-    )
-    stated = F.array_distinct(
-        F.flatten(F.transform("diploma_all", lambda i: holder_statuses(arrays.cell_at(cells, i))))
-    )
-    valued = read.withColumns(
-        {
-            "stated": stated,
-            "fixed": selectors("programme"),
-            "subject_code": arrays.first_value(
-                F.transform("subject_all", lambda i: exact_subject(arrays.cell_at(cells, i)))
-            ),
-            "min_score": arrays.first_value(F.transform("score_all", lambda i: cell_score(arrays.cell_at(cells, i)))),
+def _with(fields: dict[str, Column], body) -> Column:
+    """Evaluate several values of a row once each and use them by name."""
+    return let(F.struct(*[value.alias(name) for name, value in fields.items()]), body)
+
+
+def _granted(grants: Column) -> Column:
+    return F.filter(grants, lambda g: g["kind"].isNotNull())
+
+
+def grid_rows(headers: Column, rows: Column, form: Column) -> Column:
+    """Rows of a grid table with their facts; merged cells of the carried roles are carried."""
+
+    def aliased(heads: Column, role: str) -> Column:
+        return _aliased(heads, F.element_at(form["columns"], role))
+
+    def read(heads: Column) -> Column:
+        roles = {role: aliased(heads, role) for role in ("programme", "profile", "holder", "subject", "score", "benefit", "olympiad")}
+        return _with(roles | {"named": arrays.all_indexes(headers, lambda h: cell_benefit(h, F.lit("да")).isNotNull())}, placed)
+
+    def placed(at: Column) -> Column:
+        one = {
+            "programme": F.get(at["programme"], F.lit(0)), "profile": F.get(at["profile"], F.lit(0)),
+            "olympiad": F.get(F.array_except(at["olympiad"], at["profile"]), F.lit(0)), "benefits": F.array_distinct(F.concat(at["named"], at["benefit"])),
         }
-    ).withColumn("statuses", F.when(F.size("stated") > 0, F.col("stated")).otherwise(F.col("format.default_statuses")))
-
-    def granted(i: Column) -> Column:
-        value = arrays.cell_at(cells, i)
-        kind = cell_benefit(F.get("headers", i), value, F.array_contains("generic_all", i))
-        chosen = F.when(F.col("format.codes_in_benefit"), selectors(value)).otherwise(F.col("fixed"))
-        return F.struct(kind.alias("kind"), chosen.alias("selectors"))
-
-    return valued.withColumn(
-        "grants", F.filter(F.transform("benefit_all", granted), lambda g: g["kind"].isNotNull())
-    ).select(
-        *keep, "line_no", "cells", "olympiad", "profile", "statuses", "grants", "subject_code", "min_score"
-    )
+        return _with(one, lambda spot: F.when(
+            spot["olympiad"].isNotNull() & spot["profile"].isNotNull() & (F.size(spot["benefits"]) > 0),
+            _with({"programmes": carried("programme", F.transform(rows, lambda row: programme(row, spot))),
+                   "olympiads": carried("olympiad", F.transform(rows, lambda row: arrays.cell_at(row["cells"], spot["olympiad"])))},
+                  lambda columns: F.array_compact(F.transform(rows, lambda row, i: of(row, F.get(columns["programmes"], i), F.get(columns["olympiads"], i), at, spot)))),
+        ))
+
+    def carried(role: str, values: Column) -> Column:
+        return let(values, lambda v: F.when(F.array_contains(form["carried"], role), arrays.carry(v)).otherwise(v))
+
+    def programme(row: Column, spot: Column) -> Column:
+        own, first = arrays.cell_at(row["cells"], spot["programme"]), F.get(row["cells"], F.lit(0))
+        alone = F.size(F.filter(row["cells"], lambda cell: cell != "")) == 1
+        starts = fold_unquoted(first).rlike("^(?:" + "|".join(vocab.GROUP_STARTS) + ")")
+        return F.when((own == "") & F.array_contains(form["traits"], "group_row") & alone & starts, first).otherwise(own)
+
+    def of(row: Column, chosen: Column, title: Column, at: Column, spot: Column) -> Column:
+        cells, profile = row["cells"], arrays.cell_at(row["cells"], spot["profile"])
+        in_benefit = F.array_contains(form["traits"], "codes_in_benefit")
+        stated = F.array_distinct(F.flatten(F.transform(at["holder"], lambda i: holder_statuses(arrays.cell_at(cells, i)))))
+
+        def grant(i: Column) -> Column:
+            value = arrays.cell_at(cells, i)
+            kind = cell_benefit(F.get(headers, i), value, F.array_contains(at["benefit"], i))
+            return F.struct(kind.alias("kind"), F.when(in_benefit, selectors(value)).otherwise(selectors(chosen)).alias("selectors"))
+
+        made = _row(
+            row["line"], cells, F.array(title), profile, let(stated, lambda found: F.when(F.size(found) > 0, found).otherwise(form["holders"])),
+            _granted(F.transform(spot["benefits"], grant)), arrays.first_value(F.transform(at["subject"], lambda i: exact_subject(arrays.cell_at(cells, i)))),
+            arrays.first_value(F.transform(at["score"], lambda i: cell_score(arrays.cell_at(cells, i)))),
+        )
+        return F.when(((chosen != "") | in_benefit) & (title != "") & (profile != ""), made)
 
+    return let(F.transform(headers, lambda h: fold_unquoted(h)), read)
 
-def expand_rules(rows: DataFrame, keep: list[str], payload_kind: str) -> DataFrame:
-    """One rule per benefit x selector x title x status of a row, with its place in that order.
 
-    ``rows`` has grants (array of kind, selectors), statuses, and either olympiad or titles.
-    """
-    titles = F.col("titles") if "titles" in rows.columns else F.array("olympiad")
+def expand_rules(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One rule per benefit x selector x title x status of a row, with its place in that order."""
     return (
-        rows.select("*", F.posexplode("grants").alias("p1", "grant"), titles.alias("_titles"))
+        rows.select("*", F.posexplode("grants").alias("p1", "grant"))
         .select("*", F.posexplode("grant.selectors").alias("p2", "programme_selector"))
-        .select("*", F.posexplode("_titles").alias("p3", "olympiad_title"))
+        .select("*", F.posexplode("titles").alias("p3", "olympiad_title"))
         .select("*", F.posexplode("statuses").alias("p4", "diploma_status"))
         .select(
             *keep,
@@ -185,133 +152,76 @@ def expand_rules(rows: DataFrame, keep: list[str], payload_kind: str) -> DataFra
             "line_no",
             _locator(F.col("line_no")).alias("source_locator"),
             _excerpt(F.col("cells")).alias("source_excerpt"),
-            F.lit(payload_kind).alias("payload_kind"),
+            "payload_kind",
             F.struct("line_no", "p1", "p2", "p3", "p4").alias("_seq"),
         )
     )
 
 
-def programme_first_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows of programme-first tables: four carried columns and a list of titles per row."""
-    heads = F.col("heads")
-    folded = settle(tables, tables.columns, {"heads": F.transform("headers", lambda h: fold_unquoted(h))})
-    placed = settle(
-        folded,
-        folded.columns,
-        {
-            "programme_at": with_all_fragments(heads, ("направление подготовки",)),
-            "profile_at": with_all_fragments(heads, ("профиль олимпиады",)),
-            "olympiad_at": with_all_fragments(heads, ("перечень олимпиад",)),
-            "diploma_at": with_all_fragments(heads, ("победитель", "призер")),
-            "subject_at": with_all_fragments(heads, ("общеобразовательный предмет", "егэ")),
-            "benefit_at": with_all_fragments(heads, ("льгота",)),
-        },
-    )
-    usable = placed.filter(
-        F.col("programme_at").isNotNull() & F.col("profile_at").isNotNull() & F.col("olympiad_at").isNotNull()
-        & F.col("diploma_at").isNotNull() & F.col("benefit_at").isNotNull()
-    )
-
-    def carried(at: str) -> Column:
-        return arrays.carry(F.transform("rows", lambda row: arrays.cell_at(row["cells"], F.col(at))))
+def programme_first_rows(headers: Column, rows: Column) -> Column:
+    """Rows of a programme-first table: four carried columns and a list of titles per row."""
 
-    rows = usable.withColumns(
-        {
-            "programmes": carried("programme_at"),
-            "profiles": carried("profile_at"),
-            "lists": carried("olympiad_at"),
-            "subjects": carried("subject_at"),
+    def read(heads: Column) -> Column:
+        at = {
+            "programme": with_all_fragments(heads, ("направление подготовки",)), "profile": with_all_fragments(heads, ("профиль олимпиады",)),
+            "list": with_all_fragments(heads, ("перечень олимпиад",)), "holder": with_all_fragments(heads, ("победитель", "призер")),
+            "subject": with_all_fragments(heads, ("общеобразовательный предмет", "егэ")), "benefit": with_all_fragments(heads, ("льгота",)),
         }
-    ).select(
-        *keep, "headers", "diploma_at", "benefit_at",
-        F.explode(F.arrays_zip("rows", "programmes", "profiles", "lists", "subjects")).alias("item"),
-    ).select(
-        *keep, "headers", "diploma_at", "benefit_at",
-        F.col("item.rows.line").alias("line_no"),
-        F.col("item.rows.cells").alias("cells"),
-        F.col("item.programmes").alias("programme"),
-        F.col("item.profiles").alias("profile"),
-        F.col("item.lists").alias("list"),
-        F.col("item.subjects").alias("subject"),
-    )
-    cells = F.col("cells")
-    valued = rows.withColumns(
-        {
-            "titles": strict_titles("list"),
-            "statuses": holder_statuses(arrays.cell_at(cells, F.col("diploma_at"))),
-            "kind": cell_benefit(F.get("headers", F.col("benefit_at")), arrays.cell_at(cells, F.col("benefit_at")), True),
-            "chosen": selectors("programme"),
-            "subject_code": exact_subject("subject"),
-            "min_score": F.when(F.col("subject") != "", vocab.CONFIRMATION_SCORE),
-        }
-    )
-    granted = F.array(F.struct("kind", F.col("chosen").alias("selectors")))
-    return valued.filter(F.col("profile") != "").select(
-        *keep, "line_no", "cells", "titles", "profile", "statuses",
-        F.filter(granted, lambda g: g["kind"].isNotNull()).alias("grants"), "subject_code", "min_score",
-    )
+        return _with(at, placed)
+
+    def placed(at: Column) -> Column:
+        complete = F.lit(True)
+        for role in ("programme", "profile", "list", "holder", "benefit"):
+            complete = complete & at[role].isNotNull()
+        column = lambda spot: arrays.carry(F.transform(rows, lambda row: arrays.cell_at(row["cells"], spot)))
+        columns = {role: column(at[role]) for role in ("programme", "profile", "list", "subject")}
+        return F.when(complete, _with(columns, lambda c: F.array_compact(F.transform(rows, lambda row, i: of(row, i, c, at)))))
+
+    def of(row: Column, i: Column, columns: Column, at: Column) -> Column:
+        cells = row["cells"]
+        value = lambda role: F.get(columns[role], i)
+        kind = cell_benefit(F.get(headers, at["benefit"]), arrays.cell_at(cells, at["benefit"]), True)
+        grants = F.array(F.struct(kind.alias("kind"), selectors(value("programme")).alias("selectors")))
+        made = _row(
+            row["line"], cells, strict_titles(value("list")), value("profile"), holder_statuses(arrays.cell_at(cells, at["holder"])), _granted(grants),
+            exact_subject(value("subject")), F.when(value("subject") != "", vocab.CONFIRMATION_SCORE),
+        )
+        return F.when(value("profile") != "", made)
+
+    return let(F.transform(headers, lambda h: fold_unquoted(h)), read)
 
 
-def scope_rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """Rows below a "for directions ..." row, which sets their codes and clears the carried title."""
-    lines = docs.select(*keep, split_lines(text).alias("lines"))
-    numbered = F.transform("lines", lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
+def scope_rows(lines: Column) -> Column:
+    """Rows below a "for directions ..." row, which sets their codes and clears the carried title.
+
+    The carried title is void once a later scope row has come, or when no scope with codes is open.
+    """
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
     kept = F.filter(numbered, lambda row: is_table_line(row["text"]) & ~is_separator(row["text"]))
-    celled = settle(
-        lines, keep,
-        {"rows": F.transform(kept, lambda row: F.struct(row["line"].alias("line"), table_cells(row["text"]).alias("cells")))},
-    )
-    phrase = F.lit(vocab.SCOPE_PHRASE)
-    marked = settle(
-        celled, [*keep, "rows"],
-        {
-            "scopes": F.transform(
-                "rows",
-                lambda row: let(
-                    F.array_join(row["cells"], " "), lambda joined: F.when(F.contains(fold_unquoted(joined), phrase), joined)
-                ),
-            ),
-            "titles": F.transform("rows", lambda row: F.when(F.size(row["cells"]) >= 8, F.nullif(F.get(row["cells"], F.lit(1)), F.lit("")))),
-        },
-    )
-    placed = settle(
-        marked, [*keep, "rows", "scopes", "titles"],
-        {
-            "scope_at": arrays.last_position(F.transform("scopes", lambda scope: scope.isNotNull())),
-            "title_at": arrays.last_position(F.transform("titles", lambda title: title.isNotNull())),
-        },
-    )
-    # An exploded row holds its own cells, its scope and its title, nothing else of the document. The
-    # carried title is void once a later scope row has come, or when no scope with codes is open.
-    items = F.transform(
-        F.arrays_zip("rows", "scopes", "scope_at", "title_at"),
-        lambda item: F.struct(
-            item["rows"]["line"].alias("line"), item["rows"]["cells"].alias("cells"), item["scopes"].isNotNull().alias("is_scope"),
-            F.get("scopes", item["scope_at"] - 1).alias("scope"),
-            F.when(item["title_at"] > item["scope_at"], F.get("titles", item["title_at"] - 1)).alias("title"),
-        ),
-    )
-    wanted = F.filter(items, lambda item: ~item["is_scope"] & item["scope"].isNotNull() & (F.size(item["cells"]) >= 8))
-    rows = placed.select(*keep, F.explode(wanted).alias("item"))
-    scope, title = F.col("item.scope"), F.col("item.title")
-    cells = F.col("item.cells")
-    valued = rows.select(
-        *keep,
-        F.col("item.line").alias("line_no"),
-        cells.alias("cells"),
-        F.coalesce(title, F.lit("")).alias("olympiad"),
-        F.get(cells, F.lit(2)).alias("profile"),
-        F.array_compact(
-            F.array(
-                F.when(fold_unquoted(F.get(cells, F.lit(6))) == vocab.GRANTED, "winner"),
-                F.when(fold_unquoted(F.get(cells, F.lit(7))) == vocab.GRANTED, "prize_winner"),
-            )
-        ).alias("statuses"),
-        F.array(F.struct(F.lit("bvi").alias("kind"), distinct_codes(scope).alias("selectors"))).alias("grants"),
-        exact_subject(F.get(cells, F.lit(5))).alias("subject_code"),
-        F.lit(vocab.CONFIRMATION_SCORE).alias("min_score"),
-    )
-    return valued.filter((F.col("olympiad") != "") & (F.col("profile") != ""))
+
+    def scope_of(row: Column) -> Column:
+        return let(F.array_join(row["cells"], " "), lambda joined: F.when(F.contains(fold_unquoted(joined), F.lit(vocab.SCOPE_PHRASE)), joined))
+
+    def marked(rows: Column) -> Column:
+        titles = F.transform(rows, lambda row: F.when(F.size(row["cells"]) >= 8, F.nullif(F.get(row["cells"], F.lit(1)), F.lit(""))))
+        return _with({"scopes": F.transform(rows, scope_of), "titles": titles}, lambda said: _with(
+            {"scope": arrays.last_position(F.transform(said["scopes"], lambda scope: scope.isNotNull())),
+             "title": arrays.last_position(F.transform(said["titles"], lambda title: title.isNotNull()))},
+            lambda last: F.array_compact(F.transform(rows, lambda row, i: of(row, i, said, last)))))
+
+    def of(row: Column, i: Column, said: Column, last: Column) -> Column:
+        cells, scope_at, title_at = row["cells"], F.get(last["scope"], i), F.get(last["title"], i)
+        title = F.when(title_at > scope_at, F.get(said["titles"], title_at - 1))
+        holder = lambda at, status: F.when(fold_unquoted(F.get(cells, F.lit(at))) == vocab.GRANTED, status)
+        codes = distinct_codes(F.get(said["scopes"], scope_at - 1))
+        made = _row(
+            row["line"], cells, F.array(title), F.get(cells, F.lit(2)), F.array_compact(F.array(holder(6, "winner"), holder(7, "prize_winner"))),
+            F.array(F.struct(F.lit("bvi").alias("kind"), codes.alias("selectors"))), exact_subject(F.get(cells, F.lit(5))), F.lit(vocab.CONFIRMATION_SCORE),
+        )
+        open_ = F.get(said["scopes"], i).isNull() & scope_at.isNotNull() & (F.size(cells) >= 8)
+        return F.when(open_ & (F.coalesce(title, F.lit("")) != "") & (F.get(cells, F.lit(2)) != ""), made)
+
+    return let(F.transform(kept, lambda row: F.struct(row["line"].alias("line"), table_cells(row["text"]).alias("cells"))), marked)
 
 
 def strict_rules(
@@ -319,24 +229,33 @@ def strict_rules(
 ) -> DataFrame:
     """Complete rules of all documents whose adapter and markers are known, first statement kept.
 
-    Each reader sees only its own adapters' documents, so a table partitioned by adapter is read
-    once. Only finished rules cross the one shuffle, for the de-duplication within a document.
+    Documents are read once: the format of each says which reader makes rows of it, inside the row. A
+    table is exploded before its rows are read, so a row never holds its document. Only finished rules
+    cross the one shuffle, for the de-duplication within a document.
     """
     keep = [key, adapter]
-
-    def read_by(reader: str) -> DataFrame:
-        own = docs.filter(F.col(adapter).isin([item.code for item in config if item.reader == reader]))
-        ready = dispatch(own, adapter, text, config)
-        return ready.filter(F.col("dispatch_status") == "read").drop("dispatch_status")
-
-    def tables(reader: str) -> DataFrame:
-        return document_tables(read_by(reader), [*keep, "format"], text, vocab.STRICT_HEADER_TERMS)
-
-    grid = expand_rules(grid_rows(tables("grid"), keep), keep, "strict_table_row")
-    first = expand_rules(programme_first_rows(tables("programme_first"), keep), keep, vocab.PROGRAMME_FIRST_KIND)
-    scope = expand_rules(scope_rows(read_by("scope_rows"), keep, text), keep, vocab.SCOPE_ROW_KIND)
-    found = grid.unionByName(first).unionByName(scope)
-    return keep_first(found, [key, adapter, *KEY], ["_seq"]).select(*keep, *RULE)
+    own = docs.filter(F.col(adapter).isin([item.code for item in config if item.reader != "none"]))
+    ready = dispatch(own, adapter, text, config).filter(F.col("dispatch_status") == "read")
+    reader = F.col("format.reader")
+    lines = settle(ready, [*keep, "format"], {"lines": split_lines(text)})
+    # a table, or all lines of a document that is read across its tables
+    whole = F.array(F.struct(F.lit(None).cast("array<string>").alias("headers"), F.array().cast(TABLE).alias("rows")))
+    tables = F.transform(tables_in(F.col("lines"), vocab.STRICT_HEADER_TERMS), lambda t: F.struct(t["headers"].alias("headers"), t["rows"].alias("rows")))
+    across = reader == "scope_rows"
+    units = F.when(across, whole).otherwise(tables)
+    parted = lines.select(*keep, "format", F.when(across, F.col("lines")).alias("lines"), F.explode(units).alias("unit"))
+
+    def read(here: Column) -> Column:
+        form, headers, rows = here["format"], here["unit"]["headers"], here["unit"]["rows"]
+        return F.when(form["reader"] == "grid", grid_rows(headers, rows, form)).when(
+            form["reader"] == "programme_first", programme_first_rows(headers, rows)
+        ).when(form["reader"] == "scope_rows", scope_rows(here["lines"]))
+
+    # bound as one value: the optimizer would else cut the fields that only lambdas use
+    made = F.explode(let(F.struct("format", "unit", "lines"), read)).alias("row")
+    kind = F.when(reader == "grid", "strict_table_row").when(across, vocab.SCOPE_ROW_KIND).otherwise(vocab.PROGRAMME_FIRST_KIND)
+    found = parted.select(*keep, kind.alias("payload_kind"), made).select(*keep, "payload_kind", "row.*")
+    return keep_first(expand_rules(found, keep), [key, adapter, *KEY], ["_seq"]).select(*keep, *RULE)
 
 
 def rule_candidates(rules: DataFrame, digest: str) -> DataFrame:

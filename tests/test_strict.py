@@ -135,3 +135,14 @@ def test_every_document_has_a_status(spark):
         SILENT[0]: "recognised_not_emitted", SILENT[1]: "recognised_not_emitted", LISTED: "foreign_document",
         "неизвестный": "unsupported_adapter", GRID: "read", None: "unsupported_adapter",
     }
+
+
+def test_all_readers_share_one_scan_of_the_documents(spark, tmp_path):
+    from ruleweave.operators.programmes import catalogue_programmes
+    from ruleweave.operators.strict import strict_rules
+
+    spark.createDataFrame([(1, "strict-hse-2026-v1", "x")], "id long, adapter string, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for read in (strict_rules, catalogue_programmes):
+        plan = read(docs, "id", "adapter", "text")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1, plan
