@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,7 +11,8 @@ from ruleweave.functions.text import contains_any, direction_code, fold_tokens,
 from ruleweave.operators.ordered import keep_first
 from ruleweave.session import cut_lineage
 
-ANCHOR = 8
+#: Tokens of an anchor, most bits of a filter (a quarter of a megabyte), and occurrences beyond which an anchor is dealt out.
+RUN, BITS, HOT = 3, 1 << 21, 10_000
 
 
 def title_aliases(title: Column | str, prefixes: Sequence[str] = vocab.TITLE_PREFIXES) -> Column:
@@ -39,43 +40,101 @@ def alias_table(
     titles: DataFrame, key: str, title: str, scope: Sequence[str] = (), prefixes: Sequence[str] = vocab.TITLE_PREFIXES,
     generic: Sequence[str] = vocab.GENERIC_TITLE_WORDS,
 ) -> DataFrame:
-    """One row per (title, specific alias), with the hash of its first tokens as join anchor."""
-    aliases = titles.select(
+    """One row per (title, specific alias)."""
+    return titles.select(
         *scope, F.col(key).alias("title_key"), F.explode(title_aliases(title, prefixes)).alias("alias")
     ).filter(is_specific(F.col("alias"), generic))
-    words = F.split("alias", " ")
-    return aliases.withColumn("anchor_size", F.least(F.size(words), F.lit(ANCHOR))).withColumn(
-        "anchor", F.xxhash64(F.array_join(F.slice(words, F.lit(1), F.col("anchor_size")), " "))
-    )
+
+
+def bit_filter(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
+    """Test whether a value may be among a column of hashes: a Bloom filter of at most ``BITS`` bits.
+
+    It takes sixteen bits for each hash up to that, so the constant that goes into the plan, and what
+    the driver reads for it, is bounded whatever the table holds; beyond that it lets more through.
+    """
+    distinct = hashes.agg(F.approx_count_distinct(column).alias("n")).first()["n"]
+    bits = min(BITS, max(64, 1 << (16 * int(distinct)).bit_length()))
+    bit = F.pmod(column, F.lit(bits))
+    held = hashes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(_mask(bit)).alias("bits")).filter("word IS NOT NULL")
+    words = [0] * (bits // 64)
+    for row in held.collect():
+        words[row["word"]] = row["bits"]
+    marks = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a constant
+
+    def holds(value: Column) -> Column:
+        at = F.pmod(value, F.lit(bits))
+        return F.get(marks, F.shiftright(at, 6).cast("int")).bitwiseAND(_mask(at)) != 0
+
+    return holds
+
+
+def _mask(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+
+
+def token_counts(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(token, n): in how many texts each token stands that aliases hold; others are filtered before the shuffle."""
+    words = aliases.select(F.explode(F.split("alias", " ")).alias("token")).select(F.xxhash64("token").alias("h"))
+    known = bit_filter(words, "h")
+    mine = F.filter(F.array_distinct("tokens"), lambda token: known(F.xxhash64(token)))
+    return tokens.select(F.explode(mine).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def anchored(aliases: DataFrame, counts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Aliases with the hash and size of their rarest run of tokens, by the rarest token in it.
+
+    An alias with a token that no text has is in no text and is left out.
+    """
+    placed = aliases.select(*scope, "title_key", "alias", F.posexplode(F.split("alias", " ")).alias("i", "token"))
+    known = placed.join(counts, "token", "left").select(*scope, "title_key", "alias", F.struct("i", F.coalesce("n", F.lit(0)).alias("n")).alias("count"))
+    ranked = known.groupBy(*scope, "title_key", "alias").agg(F.transform(F.sort_array(F.collect_list("count")), lambda x: x["n"]).alias("counts"))
+    ranked = ranked.filter(F.array_min("counts") > 0).withColumn("size", F.least(F.size("counts"), F.lit(RUN)))
+    starts = F.sequence(F.lit(1), F.size("counts") - F.col("size") + 1)
+    best = F.array_min(F.transform(starts, lambda i: F.struct(F.array_min(F.slice("counts", i, F.col("size"))).alias("n"), i.alias("at"))))
+    run = F.array_join(F.slice(F.split("alias", " "), best["at"], F.col("size")), " ")
+    return ranked.select(*scope, "title_key", "alias", "size", F.xxhash64(run).alias("anchor"))
 
 
 def title_hits(
     texts: DataFrame, text_key: str, text: str, aliases: DataFrame, scope: Sequence[str] = ()
 ) -> DataFrame:
-    """Pairs (text, title) where an alias occurs in the text on word boundaries.
-
-    Both sides are folded to single-space tokens, so presence means: the alias is a run of tokens
-    of the text. The texts' n-grams, of only those lengths that aliases start with (at most eight),
-    are hashed and equi-joined; the few hits are verified against the whole text. Texts cross
-    the shuffle as 64-bit hashes, and once more whole, only those that have a hit, to be verified.
+    """Distinct pairs (text, title) where an alias occurs in the text on word boundaries.
+
+    Both sides are folded to single-space tokens, so presence means: the alias is a run of tokens of
+    the text. Every alias is anchored at its rarest run, by the texts' own token counts. A text's runs
+    of those sizes pass a Bloom filter of the anchors inside the row, so that little more than the hits
+    is shuffled: the anchor's hash and the tokens around it, as many as the longest alias has, in which
+    the alias is then looked for. Anchors with more than ``HOT`` occurrences are dealt out by text,
+    their aliases once for each part.
     """
-    lengths = aliases.agg(F.sort_array(F.collect_set("anchor_size"))).scalar()
-    folded = texts.select(*scope, F.col(text_key).alias("text_key"), fold_tokens(text).alias("folded"))
-    tokens = folded.select(*scope, "text_key", F.split("folded", " ").alias("tokens"), lengths.alias("lengths"))
-
-    def grams(size: Column) -> Column:
+    aliases = cut_lineage(aliases.select(*scope, "title_key", "alias").distinct())
+    tokens = texts.select(*scope, F.col(text_key).alias("text_key"), F.split(fold_tokens(text), " ").alias("tokens"))
+    rare = cut_lineage(anchored(aliases, token_counts(tokens, aliases), scope))
+    wanted = bit_filter(rare.select("anchor"), "anchor")
+    bounds = rare.agg(F.max(F.size(F.split("alias", " "))).alias("longest"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    longest, sizes = F.lit(bounds["longest"] or 0), F.array(*[F.lit(size) for size in bounds["sizes"]]).cast("array<int>")  # of 1 to RUN
+
+    def runs(size: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: i + size - 1 <= F.size("tokens"))
-        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, size), " ")))
-
-    anchors = tokens.select(
-        *scope, "text_key", F.explode(F.array_distinct(F.flatten(F.transform("lengths", grams)))).alias("anchor")
-    )
-    found = anchors.join(aliases, [*scope, "anchor"]).select(*scope, "text_key", "title_key", "alias").distinct()
-    padded = F.concat(F.lit(" "), F.col("folded"), F.lit(" "))
-    verified = found.join(folded, [*scope, "text_key"]).filter(
-        F.contains(padded, F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
-    )
-    return verified.select(*scope, "text_key", "title_key", "folded")
+        found = F.transform(starts, lambda i: F.struct(F.xxhash64(F.array_join(F.slice("tokens", i, size), " ")).alias("anchor"), i.alias("at")))
+        return F.filter(found, lambda run: wanted(run["anchor"]))
+
+    def seen(run: Column) -> Column:
+        first = F.greatest(run["at"] - longest, F.lit(1))
+        near = F.slice("tokens", first, run["at"] - first + longest + RUN)
+        return F.struct(run["anchor"].alias("anchor"), F.concat(F.lit(" "), F.array_join(near, " "), F.lit(" ")).alias("near"))
+
+    found = F.array_distinct(F.transform(F.flatten(F.transform(sizes, runs)), seen))
+    spots = cut_lineage(tokens.select(*scope, "text_key", F.explode(found).alias("spot")).select(*scope, "text_key", "spot.anchor", "spot.near"))
+    hot = spots.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    most = hot.agg(F.max("n")).first()[0]
+    is_hot, parts = bit_filter(hot, "anchor")(F.col("anchor")), -(-most // HOT) if most else 1
+    part = F.pmod(F.xxhash64("text_key", "near"), F.lit(parts)).cast("int")
+    dealt = spots.withColumn("part", F.when(is_hot, part).otherwise(F.lit(0)))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    met = dealt.join(rare.withColumn("part", F.explode(every)), [*scope, "anchor", "part"])
+    held = met.filter(F.contains("near", F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
+    return held.select(*scope, "text_key", "title_key").distinct()
 
 
 GRAM = vocab.MIN_PROFILE_LENGTH
@@ -93,9 +152,8 @@ def profile_names(profiles: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def hit_pairs(
     texts: DataFrame, key: str, text: str, titles: DataFrame, scope: Sequence[str], prefixes: Sequence[str], generic: Sequence[str],
 ) -> DataFrame:
-    """Distinct (text_key, title_key) pairs of ``title_hits``, found once: several steps use them."""
-    aliases = alias_table(titles, "title_key", "title_key", scope, prefixes, generic)
-    return cut_lineage(title_hits(texts, key, text, aliases, scope).select(*scope, "text_key", "title_key").distinct())
+    """The pairs of ``title_hits``, found once: several steps use them."""
+    return cut_lineage(title_hits(texts, key, text, alias_table(titles, "title_key", "title_key", scope, prefixes, generic), scope))
 
 
 def letter_grams(folded: Column | str) -> Column:
@@ -179,22 +237,29 @@ def catalogue_match(
 def alternatives(
     ambiguous: DataFrame, key: str, text: str, profiles: DataFrame, scope: Sequence[str] = (),
     prefixes: Sequence[str] = vocab.TITLE_PREFIXES, generic: Sequence[str] = vocab.GENERIC_TITLE_WORDS,
-) -> DataFrame:
-    """The profiles a reviewer has to choose from, as rows (key, profile_id), for ambiguous candidates.
+) -> tuple[DataFrame, DataFrame]:
+    """What a reviewer has to choose from for ambiguous candidates, as (choices, classes).
 
-    Those whose name is in the text if there are any, else all profiles of the titles in the text.
+    Choices (key, title_key, name): the profiles of that title with that name, where names of the
+    title's profiles are in the text; else all profiles of the title, and name is NULL. Classes
+    (title_key, name, profile_id) hold each profile once. A title with very many profiles so costs its
+    profiles once and each text that names it one row, not their product.
     """
     names = profile_names(profiles, scope)
     titles = names.select(*scope, "title_key").distinct()
     hits = hit_pairs(ambiguous, key, text, titles, scope, prefixes, generic)
-    named = profiles.select(
-        *scope, "profile_id", fold_tokens("title").alias("title_key"), fold_tokens("profile_title").alias("name")
-    )
     present = names_in_text(ambiguous, key, text, hits, names, scope).select(*scope, "text_key", "title_key", "name")
     silent = hits.join(present.select(*scope, "text_key").distinct(), [*scope, "text_key"], "left_anti")
-    found = present.join(named, [*scope, "title_key", "name"]).select(*scope, "text_key", "profile_id")
-    rest = silent.join(named, [*scope, "title_key"]).select(*scope, "text_key", "profile_id")
-    return found.unionByName(rest).withColumnRenamed("text_key", key)
+    choices = present.unionByName(silent.withColumn("name", F.lit(None).cast("string"))).withColumnRenamed("text_key", key)
+    classes = profiles.select(*scope, fold_tokens("title").alias("title_key"), fold_tokens("profile_title").alias("name"), "profile_id")
+    return cut_lineage(choices.distinct()), classes
+
+
+def expanded(choices: DataFrame, classes: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Choices with each of their profiles: as many rows as all of them have together."""
+    named = choices.filter("name IS NOT NULL").join(classes, [*scope, "title_key", "name"])
+    whole = choices.filter("name IS NULL").drop("name").join(classes, [*scope, "title_key"])
+    return named.unionByName(whole)
 
 
 def unique_programme(

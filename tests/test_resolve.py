@@ -21,7 +21,7 @@ def match(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {x.id: (x.match_status, x.match_reason, x.matched_profile_id) for x in r.catalogue_match(df, "id", "text", profiles).collect()}
     options = {}
-    for x in r.alternatives(df, "id", "text", profiles).collect():
+    for x in r.expanded(*r.alternatives(df, "id", "text", profiles)).collect():
         options.setdefault(x.id, set()).add(x.profile_id)
     return [got[i] for i in range(len(texts))], options
 
@@ -70,6 +70,45 @@ def test_join_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_a_title_that_all_texts_start_with(spark):
+    """An alias start in 100,000 texts: the rare word decides, and what is shuffled is little more than the hits."""
+    texts = spark.range(100_000).select("id", F.concat(F.lit("alpha beta gamma delta "), F.when(F.col("id") % 1000 == 0, "omega").otherwise("other"), F.lit(" end")).alias("text"))
+    titles = spark.createDataFrame([(1, "alpha beta gamma delta omega"), (2, "alpha beta gamma delta nowhere"), (3, "beta gamma delta other end")], "k long, title string")
+    aliases = r.alias_table(titles, "k", "title", prefixes=(), generic=())
+    counts = r.token_counts(texts.select("id", F.split("text", " ").alias("tokens")), aliases)
+    assert {(x.title_key, x.size) for x in r.anchored(aliases, counts).collect()} == {(1, 3), (3, 3)}
+    got = r.title_hits(texts, "id", "text", aliases).groupBy("title_key").count().collect()
+    assert {(x.title_key, x["count"]) for x in got} == {(1, 100), (3, 99_900)}
+
+
+def test_hot_anchors_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(r, "HOT", 3)
+    texts = spark.range(40).select("id", F.lit("one alpha beta two alpha beta three").alias("text"))
+    titles = spark.createDataFrame([(1, "alpha beta two"), (2, "alpha beta three"), (3, "alpha beta four")], "k long, title string")
+    got = r.title_hits(texts, "id", "text", r.alias_table(titles, "k", "title", prefixes=(), generic=()))
+    assert sorted(map(tuple, got.collect())) == [(i, k) for i in range(40) for k in (1, 2)]
+
+
+def test_alternatives_of_a_popular_title_are_a_class(spark):
+    profiles = spark.range(100_000).select(
+        F.col("id").alias("profile_id"), F.lit("Олимпиада «Большой мост»").alias("title"), F.concat(F.lit("профиль номер "), "id").alias("profile_title"), F.lit(1).alias("level")
+    )
+    texts = spark.range(500).select("id", F.concat(F.lit("Олимпиада Большой мост, право "), F.col("id")).alias("text"))
+    choices, classes = r.alternatives(texts, "id", "text", profiles)
+    assert choices.count() == 500 and choices.filter("name IS NOT NULL").count() == 0
+    assert classes.count() == 100_000 and r.expanded(choices.filter("id = 7"), classes).count() == 100_000
+
+
+def test_no_texts_and_no_titles(spark):
+    none = spark.createDataFrame([], "id long, text string")
+    titles = spark.createDataFrame([(1, "alpha beta gamma"), (2, None)], "k long, title string")
+    aliases = r.alias_table(titles, "k", "title", prefixes=(), generic=())
+    assert r.title_hits(none, "id", "text", aliases).count() == 0
+    some = spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (None, "x alpha beta gamma")], "id long, text string")
+    assert r.title_hits(some, "id", "text", aliases.filter("false")).count() == 0
+    assert sorted(map(tuple, r.title_hits(some, "id", "text", aliases).collect()), key=str) == [(1, 1), (None, 1)]
+
+
 def test_programme_resolution(spark):
     programmes = spark.createDataFrame(
         [
