@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave import vocab
+from ruleweave.operators.merge import upsert
 from ruleweave.operators.links import (
     attach, best_per_url, bounded_walk, page_links, scored, sitemap_links, top_candidates,
 )
+from ruleweave.plans.keys import surrogate
 from ruleweave.session import cut_lineage
 
 RECORD = ("site", "url", "document_kind", "title", "source_excerpt", "score", "signals", "arrival", "link_no")
@@ -71,3 +73,43 @@ def persist(candidates: DataFrame, sites: DataFrame, targets: DataFrame) -> Data
     """
     owned = candidates.join(sites.select("site", "campaign_id", "minimum_score", "max_attachments"), "site")
     return attach(owned, targets, "campaign_id", "max_attachments", "minimum_score", ["site"])
+
+
+def tracked(targets: DataFrame) -> DataFrame:
+    """Stored targets as ``persist`` looks at them."""
+    discovered_by = F.get_json_object("adapter_config", "$.discovered_by").alias("discovered_by")
+    return targets.select(F.col("admission_campaign_id").alias("campaign_id"), "url", "is_active", discovered_by)
+
+
+def attach_targets(
+    candidates: DataFrame, sites: DataFrame, targets: DataFrame, as_of: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(new version of admission_source_targets, candidates with their status and target).
+
+    Candidates that get a place under their campaign's cap become targets: a URL without one is
+    inserted, an inactive one is reactivated as a target of the site that found it, and an active one
+    stays as it is, whoever made it. ``sites`` adds university_location_id, source_id and allow_hosts
+    to what ``persist`` needs. The same candidates again find their targets active and attach nothing.
+    """
+    keys = ["admission_campaign_id", "url"]
+    judged = persist(candidates, sites, tracked(targets)).withColumnRenamed("campaign_id", "admission_campaign_id")
+    judged = cut_lineage(judged.withColumn("id", surrogate("site", "url")))
+    owners = sites.select("site", "university_location_id", "source_id", "allow_hosts")
+    config = F.struct(
+        F.coalesce("allow_hosts", F.array().cast("array<string>")).alias("allow_hosts"),
+        F.lit(vocab.DISCOVERY_CODE).alias("discovered_by"), F.col("id").alias("discovery_candidate_id"),
+    )
+    changes = judged.filter("status = 'attached'").join(owners, "site").select(
+        surrogate(*keys).alias("id"), *keys, "university_location_id", "source_id", F.lit(vocab.DISCOVERED_ROLE).alias("source_role"),
+        "document_kind", F.lit(vocab.GENERIC_ADAPTER).alias("adapter_code"), F.to_json(config).alias("adapter_config"),
+        F.lit(vocab.POLL_HOURS).alias("poll_interval_hours"), as_of.alias("next_check_at"), F.lit(True).alias("is_active"),
+    )
+    merged = upsert(
+        targets, changes, keys,
+        update=["university_location_id", "source_id", "source_role", "document_kind", "adapter_code", "adapter_config", "next_check_at", "is_active"],
+        guard="NOT is_active",
+    )
+    places = merged.filter("is_active").select(*keys, F.col("id").alias("_target"))
+    found = judged.join(places, keys, "left")
+    known = F.col("status").isin("attached", "already_tracked")
+    return merged, found.withColumn("admission_source_target_id", F.when(known, F.col("_target"))).drop("_target")

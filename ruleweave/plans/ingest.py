@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave import vocab
 from ruleweave.functions.text import campaign_year_of, competition_key, level_number
+from ruleweave.functions.urls import allowed_host
 from ruleweave.operators import contracts
 from ruleweave.operators.merge import replace_children, upsert
 from ruleweave.operators.ordered import keep_last
@@ -115,26 +116,62 @@ def load_locations(t: Tables, records: DataFrame, as_of: Column) -> DataFrame:
     return upsert(t["university_locations"], rows, ["university_id", "code"], update=updated)
 
 
-def bind_targets(
-    config: DataFrame, targets: DataFrame, sources: DataFrame, universities: DataFrame, locations: DataFrame
+DOCUMENT_KINDS = ("html", "pdf", "xlsx")
+
+
+def check_targets(
+    config: DataFrame, sources: DataFrame, universities: DataFrame, locations: DataFrame, adapters: Sequence[str]
 ) -> DataFrame:
-    """Upsert configured targets, each bound to exactly one location of its own university.
+    """Configured targets with all ``reasons`` that speak against them (none for a good row), source_id and location id.
 
     ``config`` (source_code, university_code, location_code, url, document_kind, adapter_code,
-    adapter_config). A row whose source or location is unknown binds nothing.
+    adapter_config). Reasons: unknown_source, unknown_location, several_sources, several_locations,
+    unknown_adapter, unknown_document_kind, not_https, no_approved_host, foreign_host, repeated_target (two
+    rows for one page of one location: neither is taken). Nothing is dropped: a code that matches nothing
+    or several rows is a reason, and NULL matches nothing.
+    """
+    by_source = sources.groupBy(F.col("code").alias("source_code")).agg(
+        F.count(F.lit(1)).alias("_sources"), F.min("id").alias("source_id"), F.min("base_url").alias("_base")
+    )
+    owners = universities.select(F.col("id").alias("university_id"), F.col("code").alias("university_code"))
+    by_place = locations.join(owners, "university_id").groupBy("university_code", F.col("code").alias("location_code")).agg(
+        F.count(F.lit(1)).alias("_places"), F.min("id").alias("university_location_id")
+    )
+    target = ["university_code", "location_code", "url"]
+    repeated = config.groupBy(*target).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    joined = config.join(by_source, "source_code", "left").join(by_place, ["university_code", "location_code"], "left").join(repeated, target, "left")
+    hosts = F.coalesce(F.from_json(F.get_json_object("adapter_config", "$.allow_hosts"), "array<string>"), F.array().cast("array<string>"))
+    is_https = F.coalesce(F.startswith(F.lower("url"), F.lit("https://")), F.lit(False))
+    reason = lambda bad, name: F.when(F.coalesce(bad, F.lit(True)), name)
+    reasons = F.array_compact(F.array(
+        reason(F.col("_sources").isNull(), "unknown_source"), F.when(F.col("_sources") > 1, "several_sources"),
+        reason(F.col("_places").isNull(), "unknown_location"), F.when(F.col("_places") > 1, "several_locations"),
+        reason(~F.col("adapter_code").isin(*adapters), "unknown_adapter"), reason(~F.col("document_kind").isin(*DOCUMENT_KINDS), "unknown_document_kind"),
+        F.when(~is_https, "not_https"), F.when(F.size(hosts) == 0, "no_approved_host"),
+        F.when((F.size(hosts) > 0) & is_https & ~allowed_host("url", F.coalesce("_base", F.lit("")), hosts), "foreign_host"),
+        F.when(F.col("_rows").isNotNull(), "repeated_target"),
+    ))
+    return joined.withColumn("reasons", reasons).drop("_sources", "_base", "_places", "_rows")
+
+
+def bind_targets(
+    config: DataFrame, targets: DataFrame, sources: DataFrame, universities: DataFrame, locations: DataFrame,
+    adapters: Sequence[str] = vocab.CATALOGUE_CODES,
+) -> tuple[DataFrame, DataFrame]:
+    """(targets with the good rows of ``config`` upserted, rows that bind nothing with their reasons).
+
+    Each good row binds to exactly one source and one location of its own university; see ``check_targets``.
     """
-    by_source = sources.select(F.col("id").alias("source_id"), F.col("code").alias("source_code"))
-    by_place = locations.join(
-        universities.select(F.col("id").alias("university_id"), F.col("code").alias("university_code")), "university_id"
-    ).select("university_code", F.col("code").alias("location_code"), F.col("id").alias("university_location_id"))
-    bound = config.join(by_source, "source_code").join(by_place, ["university_code", "location_code"]).select(
+    checked = check_targets(config, sources, universities, locations, adapters)
+    bound = checked.filter(F.size("reasons") == 0).select(
         surrogate("university_location_id", "url").alias("id"), "university_location_id", "source_id", "url",
         "document_kind", "adapter_code", "adapter_config", F.lit(True).alias("is_active"),
     )
-    return upsert(
+    merged = upsert(
         targets, bound, ["university_location_id", "url"],
         update=["source_id", "document_kind", "adapter_code", "adapter_config", "is_active"],
     )
+    return merged, checked.filter(F.size("reasons") > 0).select(*config.columns, "reasons")
 
 
 def upsert_programmes(t: Tables, parsed: DataFrame, as_of: Column) -> DataFrame:

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ruleweave.functions.text import FULL_CODE, level_of_code
 from ruleweave.operators.incremental import observe, publish_queue
 from ruleweave.operators.merge import upsert
 from ruleweave.operators.ordered import keep_last
 from ruleweave.operators.resolve import (
-    alternatives, catalogue_match, gate_reason, missing_scopes, named_scope, unique_programme,
+    alternatives, catalogue_match, expanded, gate_reason, missing_scopes, named_scope, unique_programme,
 )
 from ruleweave.plans.catalog import approved_profiles
 from ruleweave.plans.keys import surrogate
 from ruleweave.session import cut_lineage
+from ruleweave.sources import pointers, releases
 
 Tables = Mapping[str, DataFrame]
 RULE_KEY = ["admission_campaign_id", "university_program_id", "olympiad_profile_id", "diploma_status", "benefit_kind"]
 QUEUE_ORDER = ["queue_class", "created_at", "candidate_id"]
 LOCATION = ["university_location_id"]
+#: Alternatives that are written into a candidate's own record.
+INLINE = 200
 
 
 def sync_code_levels(programmes: DataFrame) -> DataFrame:
@@ -229,6 +232,32 @@ def publish(t: Tables, as_of: Column, limit: int | None = None) -> dict[str, Dat
     }
 
 
+PUBLISHED = (
+    "university_programs", "benefit_rules", "admission_rule_candidates", "admission_rule_reviews", "benefit_rule_observations"
+)
+READ = (
+    "admission_parse_runs", "admission_source_targets", "admission_campaigns", "source_documents", "subjects", "olympiads",
+    "olympiad_profiles", "sources",
+)
+
+
+def publish_release(spark: SparkSession, root: str, as_of: Column, limit: int | None = None, attempts: int = 3) -> int:
+    """Publish the queue of the current release as one commit and return the number of the release that counts.
+
+    Programmes, rules, reviews, observations and candidate marks become visible together or not at all.
+    If another job commits meanwhile, the queue is worked off anew from what it left. A queue that
+    changes nothing, such as one that has been published already, makes no release.
+    """
+    for attempt in range(attempts):
+        number, folders = releases.current(spark, root)
+        result = publish(releases.read(spark, root, PUBLISHED + READ, folders), as_of, limit)
+        try:
+            return releases.commit(spark, root, {name: result[name] for name in PUBLISHED}, number)
+        except pointers.Conflict:
+            if attempt + 1 == attempts:
+                raise
+
+
 def summary(judged: DataFrame) -> DataFrame:
     """Published and blocked counts with the reason."""
     status = F.when(F.col("reason").isNull(), "published").otherwise("blocked")
@@ -241,7 +270,9 @@ def match_pending(t: Tables, identities: DataFrame, catalogue_year: int) -> Data
     """Write profile links to pending candidates without publishing anything.
 
     ``identities`` (id, identity) holds the identity text of a candidate or NULL. Unresolved candidates
-    stay as they are, resolved ones keep the larger confidence.
+    stay as they are, resolved ones keep the larger confidence. Ambiguous ones name the titles that they
+    could mean, and the profiles themselves as long as those are no more than ``INLINE``; the profiles of
+    a title are its class (``resolve.alternatives``).
     """
     pending = t["admission_rule_candidates"].filter("review_status = 'pending' AND match_status = 'unresolved'")
     texts = identities.join(pending.select("id"), "id", "left_semi").filter("identity IS NOT NULL")
@@ -250,15 +281,20 @@ def match_pending(t: Tables, identities: DataFrame, catalogue_year: int) -> Data
         "id", "identity", F.col("match_status").alias("_status"), "match_reason", "matched_profile_id", "matched_level"
     ))
     unclear = outcome.filter("_status = 'ambiguous'").select("id", "identity")
-    options = alternatives(unclear, "id", "identity", profiles).groupBy("id").agg(
-        F.sort_array(F.collect_list("profile_id")).alias("_options")  # the profiles of the titles in one text
+    choices, classes = alternatives(unclear, "id", "identity", profiles)
+    sizes = classes.groupBy("title_key").agg(F.count(F.lit(1)).alias("_n"))
+    few = choices.join(sizes, "title_key").groupBy("id").agg(F.sum("_n").alias("_n")).filter(F.col("_n") <= INLINE)
+    listed = expanded(choices.join(few.select("id"), "id", "left_semi"), classes).groupBy("id").agg(
+        F.sort_array(F.collect_list("profile_id")).alias("_options")  # INLINE at most
     )
-    matched = outcome.drop("identity").join(options, "id", "left")
+    titles = choices.groupBy("id").agg(F.sort_array(F.collect_set("title_key")).alias("_titles"))  # the titles in one text
+    matched = outcome.drop("identity").join(listed, "id", "left").join(titles, "id", "left")
     joined = t["admission_rule_candidates"].join(matched, "id", "left")
     resolved = F.coalesce(F.col("_status") == "resolved", F.lit(False))
     link = F.struct(
         F.col("_status").alias("status"), F.col("match_reason").alias("reason"), F.col("matched_profile_id").alias("profile_id"),
         F.coalesce("_options", F.array().cast("array<bigint>")).alias("alternatives"),
+        F.coalesce("_titles", F.array().cast("array<string>")).alias("alternative_titles"),
     )
     held = F.coalesce(F.from_json("raw_payload", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     others = F.map_filter(held, lambda name, _: name != "rsosh_match")

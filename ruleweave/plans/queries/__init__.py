@@ -2,7 +2,7 @@
 
 from ruleweave.plans.queries.base import ORACLES, QUERIES
 from ruleweave.plans.queries import (  # noqa: F401  (registration)
-    contracts, documents, extraction, links, merges, polling, reads, resolution, scalars,
+    contracts, documents, extraction, links, merges, polling, reads, resolution, scalars, stores,
 )
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ruleweave.functions import tables as tb
 from ruleweave.functions.text import fold, fold_unquoted, split_lines
-from ruleweave.operators import ordered as o
+from ruleweave.operators import markup as mk, ordered as o
 from ruleweave.operators.documents import dense_lines, document_lines, document_tables, html_blocks as page_block_rows
 from ruleweave.operators.generic import relevant_tables as relevant
 from ruleweave.plans.queries.base import Source, long, query
@@ -263,7 +263,54 @@ def relevant_tables(s: Source):
     )
 
 
-@query("html_blocks")
+def _names(names) -> str:
+    return ", ".join(f"'{name}'" for name in names)
+
+
+def sql_lines(pages: str) -> str:
+    """Blocks of pages (page_id, html) as ``lines`` (page_id, pos, turn, kind, level, line): the stack is a list in a recursion."""
+    element = "STRUCT(pos BIGINT, name VARCHAR, t BOOLEAN, d BOOLEAN, r BIGINT)[]"
+    pattern, value = mk.TOKEN.replace("'", "''"), mk.OPEN_VALUE.replace("'", "''")
+    return f"""
+tok AS (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '<([^A-Za-z/!?])', '&lt;\\1', 'g'), '{pattern}') AS t FROM {pages}),
+each AS (SELECT page_id, len(t) AS n, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM tok),
+tags AS (
+  SELECT page_id, i, name, kind, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM (
+    SELECT *, lower(regexp_extract(x, '{mk.NAME}', 1)) AS name, CASE WHEN x LIKE '</%' THEN 'end' WHEN x LIKE '%/>' AND NOT regexp_matches(x, '{value}') THEN 'empty' ELSE 'start' END AS kind FROM each WHERE x LIKE '<%')
+  WHERE name NOT IN ('', {_names((*mk.VOID, *mk.RAW))})),
+fold AS (
+  SELECT page_id, 0::BIGINT AS k, []::{element} AS stack, []::{element} AS closed, 0::BIGINT AS stop FROM tok
+  UNION ALL
+  SELECT page_id, k, CASE WHEN kind = 'start' THEN list_prepend(made, stack) WHEN kind = 'end' AND depth > 0 THEN stack[depth + 1:] ELSE stack END,
+         CASE WHEN kind = 'empty' THEN [made] WHEN kind = 'end' AND depth > 0 THEN stack[:depth] ELSE []::{element} END, CASE WHEN kind = 'empty' THEN i + 1 ELSE i END
+  FROM (SELECT f.page_id, g.k, g.i, g.kind, f.stack, coalesce(list_position(list_transform(f.stack, lambda e: e.name), g.name), 0) AS depth,
+               struct_pack(pos := g.i, name := g.name, t := coalesce(f.stack[1].t OR f.stack[1].name = 'table', FALSE),
+                           d := coalesce(f.stack[1].d OR f.stack[1].name IN ({_names(mk.DROPPED)}), FALSE), r := CASE WHEN f.stack[1].name = 'tr' THEN f.stack[1].pos ELSE -1 END) AS made
+        FROM fold f JOIN tags g ON g.page_id = f.page_id AND g.k = f.k + 1)),
+els AS (
+  SELECT page_id, unnest(closed, recursive := true), stop FROM fold
+  UNION ALL SELECT page_id, unnest(stack, recursive := true), n + 1 FROM (SELECT f.*, tok.page_id AS p, len(t) AS n FROM fold f JOIN tok USING (page_id) QUALIFY row_number() OVER (PARTITION BY f.page_id ORDER BY f.k DESC) = 1)),
+roots AS (SELECT page_id, min(pos) AS low, arg_min(stop, pos) AS high FROM els WHERE name = 'body' AND NOT d GROUP BY page_id),
+texts AS (SELECT page_id, i, x FROM each WHERE x NOT LIKE '<%' AND regexp_matches(x, '\\S')
+          AND NOT EXISTS (SELECT 1 FROM els e WHERE e.page_id = each.page_id AND e.name IN ({_names(mk.DROPPED)}) AND each.i > e.pos AND each.i < e.stop)),
+said AS (
+  SELECT e.page_id, e.pos, e.name, e.t, e.r, {sql_compact(f"regexp_replace(replace(replace(replace(replace(replace(coalesce(string_agg(x, ' ' ORDER BY i), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')")} AS s
+  FROM els e LEFT JOIN roots USING (page_id) LEFT JOIN texts x ON x.page_id = e.page_id AND x.i > e.pos AND x.i < e.stop
+  WHERE NOT e.d AND (low IS NULL OR (e.pos > low AND e.pos < high)) AND (e.name IN ({_names(mk.BLOCKS)}) AND NOT e.t OR e.name IN ({_names(mk.CELLS)}) AND e.r >= 0) GROUP BY ALL),
+rows AS (SELECT page_id, r AS pos, '| ' || string_agg(s, ' | ' ORDER BY pos) || ' |' AS line, '| ' || string_agg('---', ' | ') || ' |' AS rule, bool_or(name = 'th') AS head
+         FROM said WHERE name IN ({_names(mk.CELLS)}) GROUP BY page_id, r HAVING bool_or(s <> '')),
+lines AS (
+  SELECT page_id, pos, 0 AS turn, CASE WHEN name LIKE 'h%' THEN 'heading' WHEN name = 'li' THEN 'item' ELSE 'paragraph' END AS kind,
+         CASE WHEN name LIKE 'h%' THEN name[2]::INTEGER ELSE 0 END AS level, CASE WHEN name LIKE 'h%' THEN repeat('#', name[2]::INTEGER) || ' ' WHEN name = 'li' THEN '- ' ELSE '' END || s AS line
+  FROM said WHERE name NOT IN ({_names(mk.CELLS)}) AND s <> ''
+  UNION ALL SELECT page_id, pos, 0, 'row', 0, line FROM rows UNION ALL SELECT page_id, pos, 1, 'separator', 0, rule FROM rows WHERE head)
+"""
+
+
+@query(
+    "html_blocks",
+    f"WITH RECURSIVE {sql_lines('pages')} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos, turn)::INTEGER AS line_no, kind, level, line FROM lines",
+)
 def html_blocks(s: Source):
     return page_block_rows(s.dealt("pages", "page_id", "html"), "page_id", "html")
 

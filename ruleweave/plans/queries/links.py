@@ -150,9 +150,7 @@ def bounded_walk(s: Source):
     return ln.bounded_walk(seeds, edges, max_pages=30, max_depth=2)
 
 
-@query(
-    "capped_attach",
-    """
+CAPPED = """
     WITH candidates AS (
       SELECT p_brand AS campaign, 'https://c/' || p_partkey AS url, CASE p_type WHEN 'SMALL' THEN 'other' WHEN 'LARGE' THEN 'pdf' ELSE 'html' END AS kind,
              p_size * 2 AS score, p_size > 10 AS hard, p_retailprice > 903 AS admission, 3 + length(p_brand) AS cap, p_partkey FROM part),
@@ -163,10 +161,11 @@ def bounded_walk(s: Source):
              c.cap - coalesce(a.n, 0) AS room
       FROM candidates c LEFT JOIN targets t USING (campaign, url) LEFT JOIN active a USING (campaign)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY campaign, class ORDER BY score DESC, url) AS n FROM classed)
-    SELECT campaign, url, score, CASE WHEN class <> 'eligible' THEN class WHEN n <= room THEN 'attached' ELSE 'discovered' END AS status FROM ranked
-    """,
-)
-def capped_attach(s: Source):
+"""
+
+
+def capped_candidates(s: Source) -> tuple[DataFrame, DataFrame]:
+    """Parts as found documents of their brand's campaign, and some of them as targets that are known."""
     url = F.concat(F.lit("https://c/"), "p_partkey")
     entry = F.array_compact(F.array(
         F.when(F.col("p_size") > 10, F.struct(F.lit("bvi").alias("key"), F.lit(1).alias("value"))),
@@ -182,4 +181,15 @@ def capped_attach(s: Source):
         F.col("p_brand").alias("campaign"), url.alias("url"), (F.col("p_size") > 35).alias("is_active"),
         F.when(F.col("p_size") > 49, "official-source-discovery-v1").alias("discovered_by"),
     )
+    return candidates, targets
+
+
+@query(
+    "capped_attach",
+    CAPPED + """
+    SELECT campaign, url, score, CASE WHEN class <> 'eligible' THEN class WHEN n <= room THEN 'attached' ELSE 'discovered' END AS status FROM ranked
+    """,
+)
+def capped_attach(s: Source):
+    candidates, targets = capped_candidates(s)
     return ln.attach(candidates, targets, "campaign", "cap", "minimum").select("campaign", "url", "score", "status")

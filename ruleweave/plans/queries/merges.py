@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from ruleweave.operators import merge as m
 from ruleweave.operators.incremental import observe, version_diff
 from ruleweave.operators.ordered import keep_last
-from ruleweave.plans.ingest import bind_targets as bind
+from ruleweave import vocab
+from ruleweave.plans.ingest import bind_targets as bind, check_targets
 from ruleweave.plans.queries.base import Source, long, query
 
 BASE = "base AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer)"
@@ -208,9 +209,10 @@ def bind_targets(s: Source):
         F.col("r_name").alias("source_code"), F.col("n_name").alias("university_code"), F.col("s_name").alias("location_code"),
         F.concat(F.lit("https://"), F.lower("r_name"), F.lit("/"), "s_suppkey").alias("url"), F.lit("html").alias("document_kind"),
         F.when(F.col("s_acctbal") > 5000, "catalogue-hse-2026-v1").otherwise("catalogue-mai-2026-v1").alias("adapter_code"),
-        F.lit("{}").alias("adapter_config"),
+        F.concat(F.lit('{"allow_hosts": ["'), F.lower("r_name"), F.lit('"]}')).alias("adapter_config"),
     )
-    sources = s.region.filter("r_name <> 'AFRICA'").select(long("r_regionkey").alias("id"), F.col("r_name").alias("code"))
+    base = F.concat(F.lit("https://"), F.lower("r_name"), F.lit("/")).alias("base_url")
+    sources = s.region.filter("r_name <> 'AFRICA'").select(long("r_regionkey").alias("id"), F.col("r_name").alias("code"), base)
     universities = s.nation.select(long("n_nationkey").alias("id"), F.col("n_name").alias("code"))
     locations = s.supplier.select(F.col("s_suppkey").alias("id"), long("s_nationkey").alias("university_id"), F.col("s_name").alias("code"))
     targets = s.supplier.select(
@@ -218,9 +220,53 @@ def bind_targets(s: Source):
         F.concat(F.lit("https://asia/"), "s_suppkey").alias("url"), F.lit("html").alias("document_kind"),
         F.lit("old").alias("adapter_code"), F.lit("{}").alias("adapter_config"), F.lit(False).alias("is_active"),
     )
-    return bind(config, targets, sources, universities, locations).select(
-        "university_location_id", "url", "source_id", "adapter_code", "is_active"
+    bound, _ = bind(config, targets, sources, universities, locations)
+    return bound.select("university_location_id", "url", "source_id", "adapter_code", "is_active")
+
+
+# Suppliers as configured targets; their numbers and balances decide what is wrong with them.
+CONFIG = """
+WITH config AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'NOWHERE' WHEN s_suppkey % 11 = 0 THEN 'TWICE' ELSE r_name END AS source_code, s_nationkey,
+         CASE WHEN s_suppkey % 5 = 0 THEN 'nobody' ELSE s_name END AS location_code, s_name, s_suppkey % 5 = 0 AS lost, lower(r_name) AS host,
+         CASE WHEN s_acctbal < 0 THEN 'http' ELSE 'https' END AS scheme, CASE WHEN s_acctbal > 9000 THEN 'doc' ELSE 'html' END AS document_kind,
+         s_acctbal > 5000 AS known_adapter, s_suppkey % 3 AS hosts, copy
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, range(CASE WHEN s_suppkey % 13 = 0 THEN 2 ELSE 1 END) AS t(copy))
+"""
+
+
+@query(
+    "config_consistency",
+    CONFIG + """
+    , places AS (SELECT s_nationkey, s_name AS location_code, count(*) AS n FROM supplier, range(CASE WHEN s_suppkey % 17 = 0 THEN 2 ELSE 1 END) AS t(copy) GROUP BY ALL)
+    SELECT s_suppkey, array_to_string(list_filter([
+      CASE WHEN source_code = 'NOWHERE' THEN 'unknown_source' END, CASE WHEN source_code = 'TWICE' THEN 'several_sources' END,
+      CASE WHEN n IS NULL THEN 'unknown_location' END, CASE WHEN n > 1 THEN 'several_locations' END, CASE WHEN NOT known_adapter THEN 'unknown_adapter' END,
+      CASE WHEN document_kind = 'doc' THEN 'unknown_document_kind' END, CASE WHEN scheme = 'http' THEN 'not_https' END,
+      CASE WHEN hosts = 0 THEN 'no_approved_host' END, CASE WHEN hosts = 1 AND scheme = 'https' AND source_code IN ('NOWHERE', 'TWICE') THEN 'foreign_host' END,
+      CASE WHEN count(*) OVER (PARTITION BY s_suppkey) > 1 THEN 'repeated_target' END], lambda x: x IS NOT NULL), ',') AS reasons
+    FROM config LEFT JOIN places USING (s_nationkey, location_code)
+    """,
+)
+def config_consistency(s: Source):
+    placed = s.supplier.join(s.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(s.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    key, host = F.col("s_suppkey"), F.lower("r_name")
+    allowed = F.when(key % 3 == 0, F.lit("{}")).when(key % 3 == 1, '{"allow_hosts": ["other.example.org"]}').otherwise(F.concat(F.lit('{"allow_hosts": ["'), host, F.lit('"]}')))
+    twice = lambda n: F.explode(F.when(key % n == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    config = placed.withColumn("copy", twice(13)).select(
+        "s_suppkey", F.when(key % 7 == 0, "NOWHERE").when(key % 11 == 0, "TWICE").otherwise(F.col("r_name")).alias("source_code"),
+        F.col("n_name").alias("university_code"), F.when(key % 5 == 0, "nobody").otherwise(F.col("s_name")).alias("location_code"),
+        F.concat(F.when(F.col("s_acctbal") < 0, "http").otherwise("https"), F.lit("://"), host, F.lit("/"), key).alias("url"),
+        F.when(F.col("s_acctbal") > 9000, "doc").otherwise("html").alias("document_kind"),
+        F.when(F.col("s_acctbal") > 5000, "catalogue-hse-2026-v1").otherwise("catalogue-none").alias("adapter_code"), allowed.alias("adapter_config"),
     )
+    base = F.concat(F.lit("https://"), host, F.lit("/")).alias("base_url")
+    regions = s.region.select(long("r_regionkey").alias("id"), F.col("r_name").alias("code"), base)
+    others = s.region.filter("r_regionkey < 2").select((long("r_regionkey") + 100).alias("id"), F.lit("TWICE").alias("code"), F.lit("https://twice.example.org/").alias("base_url"))
+    universities = s.nation.select(long("n_nationkey").alias("id"), F.col("n_name").alias("code"))
+    locations = s.supplier.select(key.alias("id"), long("s_nationkey").alias("university_id"), F.col("s_name").alias("code"), twice(17).alias("copy"))
+    checked = check_targets(config, regions.unionByName(others), universities, locations, vocab.CATALOGUE_CODES)
+    return checked.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(

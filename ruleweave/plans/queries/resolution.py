@@ -1,12 +1,16 @@
 """Title containment, unique resolution, gates and the whole publication run."""
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave.operators import resolve as r
-from ruleweave.plans.publish import outcomes, publish, publish_queue, summary
+from ruleweave.plans.publish import PUBLISHED, READ, outcomes, publish_queue, publish_release, summary
 from ruleweave.plans.queries.base import CATALOGUE_SQL, Source, catalogue, query
 from ruleweave.plans.queries.scalars import sql_tokens
 from ruleweave.schemas import TABLES
+from ruleweave.session import shared_folder
+from ruleweave.sources import releases
 
 # Both sides are folded to single-space tokens, so presence is plain containment in padded text.
 HITS = f"""
@@ -43,7 +47,7 @@ matched AS (
 """
 
 
-def matched(s: Source) -> DataFrame:
+def _profiles(s: Source) -> DataFrame:
     from ruleweave.functions.text import fold_tokens
 
     words = F.split(fold_tokens("text"), " ")
@@ -51,11 +55,14 @@ def matched(s: Source) -> DataFrame:
     name = F.when((F.col("level") == 0) | ((F.col("level") == 1) & (F.length(words[0]) > 3)), head).when(
         F.length(words[1]) > 3, "absent profile"
     ).otherwise(words[1])
-    profiles = s.benchmark.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+    return s.benchmark.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
         (F.col("item_id") * 3 + F.col("level")).alias("profile_id"), F.col("text").alias("title"), name.alias("profile_title"), "level"
     )
+
+
+def matched(s: Source) -> DataFrame:
     docs = s.dealt("documents", "doc_id", "lang", "text")
-    return r.catalogue_match(docs, "doc_id", "text", profiles, prefixes=(), generic=())
+    return r.catalogue_match(docs, "doc_id", "text", _profiles(s), prefixes=(), generic=())
 
 
 @query("catalog_match", f"WITH {HITS}, {PROFILES} SELECT doc_id, title_hits, profile_hits, match_status, match_reason, matched_profile_id FROM matched")
@@ -68,6 +75,27 @@ def match_summary(s: Source):
     return matched(s).groupBy("lang", "match_status", "match_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "match_alternatives",
+    f"""
+    WITH {HITS}, {PROFILES},
+    unclear AS (SELECT doc_id FROM matched WHERE match_status = 'ambiguous'),
+    choices AS (
+      SELECT DISTINCT j.doc_id, t.t AS title, CASE WHEN m.profile_hits > 0 THEN p END AS name
+      FROM judged j JOIN unclear USING (doc_id) JOIN matched m USING (doc_id) JOIN profiles USING (profile_id) JOIN titles t USING (item_id)
+      WHERE m.profile_hits = 0 OR has)
+    SELECT doc_id, md5(trim(title)) AS title, name, NULL::BIGINT AS profile_id FROM choices
+    UNION ALL SELECT NULL, md5(trim(t)), p, profile_id FROM profiles
+    """,
+)
+def match_alternatives(s: Source):
+    found, profiles = matched(s), _profiles(s)
+    unclear = found.filter("match_status = 'ambiguous'").select("doc_id").join(s.dealt("documents", "doc_id", "text"), "doc_id")
+    choices, classes = r.alternatives(unclear, "doc_id", "text", profiles, prefixes=(), generic=())
+    both = choices.withColumn("profile_id", F.lit(None).cast("long")).unionByName(classes.withColumn("doc_id", F.lit(None).cast("long")))
+    return both.select("doc_id", F.md5("title_key").alias("title"), "name", "profile_id")
+
+
 SELECTORS = """
 programmes AS (
   SELECT p_brand AS scope, p_partkey AS programme_id, printf('%02d.03.%02d', p_size, p_size) AS external_code, p_name AS name,
@@ -222,42 +250,143 @@ def publish_summary(s: Source):
     return summary(_judged(s))
 
 
+def _rejected_by_hand(order: Column) -> Column:
+    return order % 7 == 0
+
+
+def _base_rules(candidates: DataFrame, order: Column) -> DataFrame:
+    """What is known already: hand-made rules, rules of an earlier run, and such that a reviewer rejected."""
+    base = candidates.filter(order % 5 < 3)
+    by_hand, rejected = order % 5 == 0, order % 5 == 2
+    own = {
+        "id": order, "admission_campaign_id": F.col("admission_campaign_id"), "university_program_id": order,
+        "olympiad_profile_id": F.col("first_part"), "diploma_status": F.lit("winner"), "benefit_kind": F.lit("bvi"),
+        "source_url": F.lit("https://old.example.org/"), "source_document_id": F.lit(-1), "checked_at": F.lit(EARLIER),
+        "is_verified": ~rejected, "verification_status": F.when(rejected, "rejected").otherwise("verified"), "is_active": ~rejected,
+        "publication_method": F.when(by_hand, "manual").otherwise("strict_adapter"),
+        "verified_by": F.when(by_hand, "editor").otherwise("strict-adapter:earlier"),
+    }
+    return _as("benefit_rules", base, own)
+
+
+def _as(name: str, frame: DataFrame, own: dict[str, Column]) -> DataFrame:
+    return frame.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+
+
+EARLIER, NOW = "2026-02-01 00:00:00", "2026-03-01 00:00:00"
+
+
 def _published(s: Source) -> dict[str, DataFrame]:
-    """The whole publication job over stored candidates: one target, run and document per customer."""
+    """The publication job on stored tables, run twice: the second time must leave the release as it is."""
     t = dict(catalogue(s))
-    judged = _candidates(s)
-    customer = s.customer.select("c_custkey")
-    t["admission_source_targets"] = customer.select(
-        F.col("c_custkey").alias("id"), F.col("c_custkey").alias("university_location_id"),
-        F.lit('{"rsosh_catalogue_year": 2026}').alias("adapter_config"),
-    )
-    t["admission_parse_runs"] = customer.select(
-        F.col("c_custkey").alias("id"), F.lit("strict-mephi-2026-v1").alias("adapter_code"),
-        F.col("c_custkey").alias("admission_source_target_id"),
+    firsts = s.lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_part"))
+    judged = _candidates(s).join(firsts, F.col("candidate_id") == F.col("l_orderkey"))
+    judged = judged.withColumn("admission_campaign_id", F.col("university_id") * 10000 + 1996)
+    customer, key = s.customer.select("c_custkey"), F.col("c_custkey")
+    t["admission_source_targets"] = _as("admission_source_targets", customer, {
+        "id": key, "university_location_id": key, "adapter_config": F.lit('{"rsosh_catalogue_year": 2026}')})
+    t["admission_parse_runs"] = _as("admission_parse_runs", customer, {
+        "id": key, "adapter_code": F.lit("strict-mephi-2026-v1"), "admission_source_target_id": key})
+    t["source_documents"] = _as("source_documents", customer, {"id": key, "url": F.concat(F.lit("https://rules.example.org/"), key)})
+    order = F.col("candidate_id")
+    t["admission_rule_candidates"] = _as("admission_rule_candidates", judged, {name: F.col(name) for name in judged.columns} | {
+        "id": order, "admission_parse_run_id": F.col("university_location_id"), "source_document_id": F.col("university_location_id"),
+        "candidate_key": order.cast("string"), "source_locator": F.lit("markdown:line:1"), "raw_payload": F.lit("{}"),
+        "match_status": F.lit("unresolved"), "review_status": F.when(_rejected_by_hand(order), "rejected").otherwise("pending")})
+    t["benefit_rules"] = _base_rules(judged, order)
+    t["admission_rule_reviews"] = _as("admission_rule_reviews", judged.filter(_rejected_by_hand(order)), {
+        "id": order, "admission_rule_candidate_id": order, "action": F.lit("rejected"), "reviewer_id": F.lit("editor")})
+    t["benefit_rule_observations"] = _as("benefit_rule_observations", judged.filter(order % 5 < 3), {
+        "benefit_rule_id": order, "source_document_id": F.when(order % 2 == 0, F.col("university_location_id")).otherwise(-1),
+        "observed_status": F.lit("missing"), "observed_at": F.lit(EARLIER)})
+    t["olympiads"] = _as("olympiads", t["olympiads"], {name: F.col(name) for name in t["olympiads"].columns})
+    root, names = f"{shared_folder(s.spark)}/published-{uuid.uuid4().hex}", PUBLISHED + READ
+    releases.commit(s.spark, root, {name: _whole(name, t[name]) for name in names}, 0)
+    now = F.lit(NOW).cast("timestamp")
+    first, second = publish_release(s.spark, root, now), publish_release(s.spark, root, now)
+    if (first, second) != (2, 2):
+        raise RuntimeError(f"one commit expected, got releases {first} and {second}")
+    done = releases.read(s.spark, root)
+    named = done["university_programs"].join(s.orders.select(F.col("o_orderkey").alias("id")).withColumn("known", F.lit(True)), "id", "left")
+    fresh = F.concat_ws(" ", F.lit("new"), "university_location_id", "external_code")
+    programme = F.when(F.col("known"), F.concat(F.lit("p"), F.col("id").cast("string"))).otherwise(fresh)
+    return done | {"named": named.select(F.col("id").alias("university_program_id"), programme.alias("programme"))}
+
+
+def _whole(name: str, frame: DataFrame) -> DataFrame:
+    return _as(name, frame, {column: F.col(column) for column in frame.columns})
+
+
+# Programme of each publishable candidate, known or made for its code, and the last candidate of each rule.
+DONE = RUN + f"""
+, scoped AS (SELECT university_location_id AS l, external_code AS k, count(*) AS n, min(id) AS id FROM active WHERE catalogue_status = 'code_only' GROUP BY ALL),
+called AS (SELECT l, k, count(*) AS n, min(id) AS id FROM (
+    SELECT university_location_id AS l, id, {sql_tokens('name')} AS k FROM active
+    UNION SELECT university_location_id, id, {sql_tokens('external_code')} FROM active WHERE external_code IS NOT NULL) GROUP BY ALL),
+judged_rows AS (SELECT * FROM judged WHERE candidate_id % 7 <> 0),
+good AS (
+  SELECT j.candidate_id, j.matched_profile_id AS profile_id, c.location_id, o_orderdate, university_id * 10000 + 1996 AS campaign_id,
+         CASE WHEN s.n = 1 THEN 'p' || s.id WHEN s.n IS NULL AND m.n = 1 THEN 'p' || m.id ELSE 'new ' || c.location_id || ' ' || selector END AS programme
+  FROM judged_rows j JOIN candidates c USING (candidate_id) JOIN orders ON o_orderkey = candidate_id JOIN locations ON locations.id = c.location_id
+  LEFT JOIN scoped s ON s.l = c.location_id AND s.k = selector LEFT JOIN called m ON m.l = c.location_id AND m.k = {sql_tokens('selector')}
+  WHERE j.reason IS NULL),
+base AS (
+  SELECT o_orderkey AS id, 'p' || o_orderkey AS programme, university_id * 10000 + 1996 AS campaign_id, part_id AS profile_id, o_custkey AS location_id
+  FROM orders JOIN firsts ON l_orderkey = o_orderkey JOIN locations ON locations.id = o_custkey WHERE o_orderkey % 5 < 3),
+last AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY programme, campaign_id, profile_id ORDER BY o_orderdate DESC, candidate_id DESC) = 1)
+"""
+
+
+@query(
+    "publish_rules",
+    DONE + f"""
+    SELECT coalesce(b.programme, g.programme) AS programme, coalesce(b.campaign_id, g.campaign_id) AS admission_campaign_id,
+           coalesce(b.profile_id, g.profile_id) AS olympiad_profile_id,
+           CASE WHEN taken THEN g.location_id ELSE -1 END AS source_document_id, CASE WHEN taken THEN 'https://rules.example.org/' || g.location_id ELSE 'https://old.example.org/' END AS source_url,
+           CASE WHEN taken THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{EARLIER}' END AS checked_at,
+           CASE WHEN b.id % 5 = 2 THEN 'rejected' ELSE 'verified' END AS verification_status, CASE WHEN b.id % 5 = 0 THEN 'manual' ELSE 'strict_adapter' END AS publication_method,
+           CASE WHEN taken THEN 'strict-adapter:strict-mephi-2026-v1' WHEN b.id % 5 = 0 THEN 'editor' ELSE 'strict-adapter:earlier' END AS verified_by,
+           CASE WHEN taken THEN TRUE ELSE b.id % 5 <> 2 END AS is_active
+    FROM (SELECT b, g, g.programme IS NOT NULL AND (b.id IS NULL OR b.id % 5 <> 0) AS taken
+          FROM base b FULL OUTER JOIN last g ON b.programme = g.programme AND b.campaign_id = g.campaign_id AND b.profile_id = g.profile_id) AS joined
+    """,
+)
+def publish_rules(s: Source):
+    done = _published(s)
+    return done["benefit_rules"].join(done["named"], "university_program_id").select(
+        "programme", "admission_campaign_id", "olympiad_profile_id", "source_document_id", "source_url",
+        F.col("checked_at").cast("timestamp_ntz").alias("checked_at"), "verification_status", "publication_method", "verified_by", "is_active",
     )
-    t["source_documents"] = customer.select(
-        F.col("c_custkey").alias("id"), F.concat(F.lit("https://rules.example.org/"), "c_custkey").alias("url")
+
+
+@query(
+    "publish_observations",
+    DONE + f"""
+    , seen AS (
+      SELECT coalesce(b.id::VARCHAR, programme || '/' || campaign_id || '/' || g.profile_id) AS rule, g.location_id AS document_id, candidate_id
+      FROM good g LEFT JOIN base b USING (programme, campaign_id, profile_id)
+      QUALIFY row_number() OVER (PARTITION BY rule, document_id ORDER BY o_orderdate DESC, candidate_id DESC) = 1),
+    logged AS (SELECT id::VARCHAR AS rule, CASE WHEN id % 2 = 0 THEN location_id ELSE -1 END AS document_id FROM base)
+    SELECT CASE WHEN contains(rule, '/') THEN 'new' ELSE rule END AS rule, document_id AS source_document_id, candidate_id AS admission_rule_candidate_id,
+           CASE WHEN candidate_id IS NULL THEN 'missing' ELSE 'present' END AS observed_status,
+           CASE WHEN candidate_id IS NULL THEN TIMESTAMP '{EARLIER}' ELSE TIMESTAMP '{NOW}' END AS observed_at
+    FROM logged FULL OUTER JOIN seen USING (rule, document_id)
+    """,
+)
+def publish_observations(s: Source):
+    known = s.orders.select(F.col("o_orderkey").alias("benefit_rule_id"), F.col("o_orderkey").cast("string").alias("rule"))
+    log = _published(s)["benefit_rule_observations"].join(known, "benefit_rule_id", "left")
+    return log.select(
+        F.coalesce("rule", F.lit("new")).alias("rule"), "source_document_id", "admission_rule_candidate_id", "observed_status",
+        F.col("observed_at").cast("timestamp_ntz").alias("observed_at"),
     )
-    own = {
-        "id": F.col("candidate_id"), "admission_parse_run_id": F.col("university_location_id"),
-        "source_document_id": F.col("university_location_id"), "admission_campaign_id": F.col("university_id") * 10000 + 1996,
-        "candidate_key": F.col("candidate_id").cast("string"), "source_locator": F.lit("markdown:line:1"), "raw_payload": F.lit("{}"),
-        "match_status": F.lit("unresolved"),
-    }
-    t["admission_rule_candidates"] = judged.select(*[
-        own.get(f.name, F.col(f.name) if f.name in judged.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in TABLES["admission_rule_candidates"]
-    ])
-    for name in ("benefit_rules", "admission_rule_reviews", "benefit_rule_observations"):
-        t[name] = s.spark.createDataFrame([], TABLES[name])
-    return publish(t, F.lit("2026-03-01").cast("timestamp"))
 
 
 @query(
     "publish_reviews",
-    RUN + """
-    SELECT candidate_id AS admission_rule_candidate_id, 'approved' AS action, 'strict-adapter:strict-mephi-2026-v1' AS reviewer_id
-    FROM judged WHERE reason IS NULL
+    DONE + """
+    SELECT candidate_id AS admission_rule_candidate_id, 'approved' AS action, 'strict-adapter:strict-mephi-2026-v1' AS reviewer_id FROM good
+    UNION ALL SELECT candidate_id, 'rejected', 'editor' FROM candidates WHERE candidate_id % 7 = 0
     """,
 )
 def publish_reviews(s: Source):
@@ -267,11 +396,12 @@ def publish_reviews(s: Source):
 @query(
     "publish_marks",
     RUN + """
-    SELECT candidate_id AS id, CASE WHEN reason IS NULL THEN 'approved' ELSE 'pending' END AS review_status,
-           CASE WHEN reason IS NULL THEN 'published' ELSE 'blocked' END AS automatic_status,
-           coalesce(reason, 'exact_programme_and_rsosh_profile') AS automatic_note,
-           CASE WHEN reason IS NULL THEN 'resolved' ELSE 'unresolved' END AS match_status,
-           CASE WHEN reason IS NULL THEN matched_profile_id END AS olympiad_profile_id, reason IS NULL AS has_rule
+    SELECT candidate_id AS id, CASE WHEN candidate_id % 7 = 0 THEN 'rejected' WHEN reason IS NULL THEN 'approved' ELSE 'pending' END AS review_status,
+           CASE WHEN candidate_id % 7 = 0 THEN 'pending_resolution' WHEN reason IS NULL THEN 'published' ELSE 'blocked' END AS automatic_status,
+           CASE WHEN candidate_id % 7 <> 0 THEN coalesce(reason, 'exact_programme_and_rsosh_profile') END AS automatic_note,
+           CASE WHEN reason IS NULL AND candidate_id % 7 <> 0 THEN 'resolved' ELSE 'unresolved' END AS match_status,
+           CASE WHEN reason IS NULL AND candidate_id % 7 <> 0 THEN matched_profile_id END AS olympiad_profile_id,
+           reason IS NULL AND candidate_id % 7 <> 0 AS has_rule
     FROM judged
     """,
 )

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.operators import contracts as ct
-from ruleweave.operators.documents import html_blocks, html_text, read_blocks
+from ruleweave.operators.documents import html_blocks, html_text
 from ruleweave.plans import catalog, discovery, ingest, publish
 from ruleweave.schemas import COMPETITION_RECORD, LOCATION_RECORD, TABLES
 from ruleweave.sources import snapshots, store
 from ruleweave.streaming import refresh
+from slow_reader import read_blocks
 
 HSE, MSU = "strict-hse-2026-v1", "strict-msu-2026-v2"
 NOW = "2026-03-01 00:00:00"
@@ -119,7 +120,7 @@ def test_matcher_only_links(spark, world):
     rows = {r.id: r for r in publish.match_pending(world, identities, 2025).collect()}
     assert (rows[1].match_status, rows[1].olympiad_profile_id, rows[1].confidence) == ("resolved", 11, 100)
     assert json.loads(rows[1].raw_payload) == {
-        "rsosh_match": {"status": "resolved", "reason": "title_and_profile", "profile_id": 11, "alternatives": []}
+        "rsosh_match": {"status": "resolved", "reason": "title_and_profile", "profile_id": 11, "alternatives": [], "alternative_titles": []}
     }
     assert rows[2].match_status == "ambiguous" and rows[3].match_status == "unresolved"
     assert json.loads(rows[2].raw_payload)["rsosh_match"]["profile_id"] is None
