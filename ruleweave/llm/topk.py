@@ -81,10 +81,11 @@ def _gather(k: int):
 def _collect(k: int):
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         """Phases 2 and 3: entries with a slice at the query's cutoff / slices, then their whole scores."""
-        out_query, out_vec, out_score = [], [], []
+        out_query, out_vec, out_score, out_times = [], [], [], []
         width = _width(queries["vector"], vectors["of"])
         q, v = matrix(queries["vector"], width, 1.0), matrix(vectors["of"], width, 1.0)
         q_ids, v_ids, cutoffs = queries["query_id"].to_numpy(), vectors["id"].to_numpy(), queries["cutoff"].to_pylist()
+        asked, copies = queries["asked"].to_numpy(), vectors["copies"].to_numpy()
         for low in range(0, len(q), STRIPE):
             parts = _slices(q[low : low + STRIPE], v)
             for i, query in enumerate(q_ids[low : low + STRIPE]):
@@ -100,8 +101,9 @@ def _collect(k: int):
                 out_query += [query] * len(best)
                 out_vec.append(v_ids[at[best]])
                 out_score.append(whole[best])
+                out_times.append(np.minimum(asked[low + i] * copies[at[best]], k))
         join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.table({"query_id": pa.array(out_query, pa.int64()), "vec_id": pa.array(join(out_vec)), "score": pa.array(join(out_score))})
+        return pa.table({"query_id": pa.array(out_query, pa.int64()), "vec_id": pa.array(join(out_vec)), "score": pa.array(join(out_score)), "times": pa.array(join(out_times))})
 
     return run
 
@@ -112,8 +114,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     Components become floor(scale * x). ``queries`` says which rows are queries; candidates are all
     rows with another vec_id. Ties go to the smaller vec_id. Vectors that are null or hold a null or
     non-finite component take no part; shorter vectors count as zero beyond their end; rows without a
-    vec_id are left out. Rows with one vec_id and different vectors are candidates of their own, and as
-    queries share one list; rows that are equal in both count once. An empty table gives an empty one.
+    vec_id are left out. Rows with one vec_id are candidates of their own, whether their vectors differ or
+    not, and as queries share one list, in which each of them finds every candidate. Equal rows meet as
+    one row with a number of copies. An empty table gives an empty one.
 
     Vectors and queries are dealt into blocks of fixed size and every query block meets every vector
     block once in each pass; a block returns at most k entries for a query. Pass 1 gathers the local
@@ -124,13 +127,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     ship(vectors.sparkSession)
     vector = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     rows = vectors.filter("vec_id IS NOT NULL").filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = cut(rows.distinct().select("vec_id", vector.alias("vector")))
-    asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), "vector")
+    counted = rows.groupBy("vec_id", "embedding").agg(F.least(F.count(F.lit(1)), F.lit(k).cast("long")).alias("copies"))
+    rows = cut(counted.select("vec_id", vector.alias("vector"), "copies"))
+    asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), "vector", F.col("copies").alias("asked"))
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(queries).alias("m")).first()
     groups, blocks = max(1, -(-counts["n"] // VECTORS)), max(1, -(-counts["m"] // QUERIES))
     deal = lambda name, parts: F.pmod(F.xxhash64(name, "vector"), F.lit(parts)).cast("int")
     all_ = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    spread = rows.select(F.col("vec_id").alias("id"), F.col("vector").alias("of"), deal("vec_id", groups).alias("g"), all_(blocks).alias("b"))
+    spread = rows.select(F.col("vec_id").alias("id"), F.col("vector").alias("of"), "copies", deal("vec_id", groups).alias("g"), all_(blocks).alias("b"))
 
     def meet(asked: DataFrame, work, schema: str) -> DataFrame:
         sent = asked.select("*", deal("query_id", blocks).alias("b"), all_(groups).alias("g"))
@@ -141,6 +145,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     cutoffs = lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     cutoffs = cutoffs.groupBy("query_id").agg(F.max_by("score", "rank").alias("cutoff"), F.max("rank").alias("rank"))
     cutoffs = cutoffs.filter(F.col("rank") == k).select("query_id", "cutoff")
-    entries = meet(asked.join(cutoffs, "query_id", "left"), _collect(k), "query_id long, vec_id long, score long")
+    entries = meet(asked.join(cutoffs, "query_id", "left"), _collect(k), "query_id long, vec_id long, score long, times long")
+    entries = entries.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

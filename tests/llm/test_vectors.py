@@ -62,11 +62,11 @@ def test_top_k(spark, vectors, monkeypatch, scale, blocks):
     rows = [(i, v) for i, v in vectors if i is not None]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("g", F.lit("g"))
     got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 7, scale).collect())
-    whole = {i: [int(np.floor(scale * x)) for x in v] for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in whole:
+    for q, own in whole:
         if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7]
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)[:7]
             want += [(q, rank, i, -score) for rank, (score, i) in enumerate(scores, 1)]
     assert got == sorted(want)
 
@@ -80,7 +80,7 @@ def test_few_candidates(spark):
 @pytest.mark.parametrize("k", [2, 9])
 def test_rows_that_share_an_id(spark, monkeypatch, k):
     monkeypatch.setattr(topk, "VECTORS", 2)
-    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [5.0, 0.0]), (3, [4.0, 0.0]), (3, [0.0, 7.0]), (4, [1.0, 1.0])]
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (3, [5.0, 0.0]), (3, [5.0, 0.0]), (3, [4.0, 0.0]), (3, [0.0, 7.0]), (4, [1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0, k, 1.0).collect())
     scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for i, q in rows if i == 100 for j, v in rows if j != i)
