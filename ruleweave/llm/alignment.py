@@ -268,6 +268,11 @@ def _align(byte_path: str | None, piece_path: str | None):
     return run
 
 
+def _list(row: pa.StructArray, name: str) -> np.ndarray:
+    """The numbers of a list field of a struct array of one row."""
+    return pc.struct_field(row, name).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _measure(texts: pa.Table, pairs: pa.Table) -> pa.Table:
     """n_best and count_sum of a block's texts from its pairs' counts over the corpus."""
     kept = ["text_key", *_LONGS, "groups_sha256"]
@@ -276,13 +281,13 @@ def _measure(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         rows = pairs.sort_by("at")
         counts = np.zeros((int(rows["at"][-1].as_py()) + 1, 2), np.int64)
         counts[rows["at"].to_numpy()] = np.column_stack((rows["is_best"].to_numpy(), rows["count"].to_numpy()))
-        head = texts.filter(pc.is_valid(texts["pairs"]))["pairs"][0].as_py()
-        ends = np.concatenate(([0], head["ends"])).astype(np.int64)
-        sums = np.vstack((np.zeros((1, 2), np.int64), np.cumsum(counts[np.array(head["pair"], np.int64)], axis=0)))
+        head = texts["pairs"].combine_chunks().drop_null()  # the block's own row
+        ends = np.concatenate(([0], _list(head, "ends")))
+        sums = np.vstack((np.zeros((1, 2), np.int64), np.cumsum(counts[_list(head, "pair")], axis=0)))
         by_word = sums[ends[1:]] - sums[ends[:-1]]
-        blobs = [text or b"" for text in texts["words"].to_pylist()]
-        starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in blobs])))
-        used = by_word[np.frombuffer(b"".join(blobs), "<u4")]
+        words = texts["words"].combine_chunks()
+        starts = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(words), 0)) // 4)))
+        used = by_word[_joined(words).view("<u4")]
         best, total = _by_text(used[:, 0], starts), _by_text(used[:, 1], starts)
     out = texts.select(kept).append_column("n_best", pa.array(best)).append_column("count_sum", pa.array(total))
     return out.filter(pc.is_valid(out["text_key"]))
