@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ruleweave.session import cut_lineage, ship
 
-__all__ = ["by_rows", "cut", "release", "ship"]
+__all__ = ["by_rows", "cut", "free", "release", "ship"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,6 +26,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, made longer until no column of ``df`` has them in any case of letters."""
+    taken, out = {column.lower() for column in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def by_rows(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose binary or text column holds about ``most`` bytes at a time."""
     for batch in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ruleweave.llm.common import cut
+from ruleweave.llm.common import cut, free
 
 #: Slots of one frame: target weights are rounded to this many parts, at least one part per source.
 FRAME = 512
@@ -122,8 +122,8 @@ def arranged(docs: DataFrame, weights: DataFrame | None = None, frame: int = FRA
 
     Rows that repeat a (doc_id, source) stand together at the first of their places.
     """
-    places = mix(docs, weights, frame).groupBy("doc_id", "source").agg(F.min("position").alias("_position"))
-    places = places.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_position")
-    same = docs["doc_id"].cast("long").eqNullSafe(places["_id"]) & docs["source"].cast("string").eqNullSafe(places["_source"])
-    rows = docs.join(places, same)
-    return rows.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[name] for name in docs.columns])
+    own, of, at = free(docs, "mixed_id", "mixed_source", "mixed_position")
+    places = mix(docs, weights, frame).groupBy("doc_id", "source").agg(F.min("position").alias(at))
+    places = places.select(F.col("doc_id").alias(own), F.col("source").alias(of), at)
+    rows = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & F.col("source").cast("string").eqNullSafe(F.col(of)))
+    return rows.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ruleweave.llm.common import cut
+from ruleweave.llm.common import cut, free
 
 
 def either_case(word: str) -> str:
@@ -131,11 +131,12 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataF
 
     Overlapping spans become one mark. Rows without spans keep their text as it is, null included.
     """
-    hits = scan(docs, scope).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    hits = hits.dropDuplicates(["_id", "_key"])
+    own, same, spans, mine, done = free(docs, "hit_id", "hit_key", "hit_spans", "own_key", "redacted")
+    hits = scan(docs, scope).filter(F.size("spans") > 0).select(F.col("doc_id").alias(own), F.col("text_key").alias(same), F.col("spans").alias(spans))
+    hits = hits.dropDuplicates([own, same])
     text = F.col("text").cast("string")
-    rows = docs.withColumn("_text_key", F.xxhash64(text))
-    rows = rows.join(hits, rows["doc_id"].cast("long").eqNullSafe(hits["_id"]) & (rows["_text_key"] == hits["_key"]), "left")
+    rows = docs.withColumn(mine, F.xxhash64(text))
+    rows = rows.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(mine) == F.col(same)), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
@@ -144,8 +145,8 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataF
         over = span["start"] < done["at"]
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.when(over, done["out"]).otherwise(fresh).alias("out"))
 
-    rows = rows.withColumn("_done", F.when(F.col("_id").isNotNull() | F.col("_key").isNotNull(), F.aggregate("_spans", start, step)))
-    clean = F.when(F.col("_done").isNull(), text).otherwise(F.concat("_done.out", F.expr("substring(text, cast(_done.at AS int) + 1)")))
-    columns = [clean.alias("text") if name == "text" else F.col(name) for name in docs.columns]
-    result = rows.select(*columns)
+    rows = rows.withColumn(done, F.when(F.col(same).isNotNull(), F.aggregate(spans, start, step)))
+    rest = F.substring(text, F.col(done)["at"].cast("int") + 1, F.length(text))
+    clean = F.when(F.col(done).isNull(), text).otherwise(F.concat(F.col(done)["out"], rest))
+    result = rows.select(*[clean.alias("text") if name == "text" else F.col(name) for name in docs.columns])
     return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else result

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ruleweave.llm.common import cut, ship
+from ruleweave.llm.common import cut, free, ship
 from ruleweave.llm.graph import components
 
 BITS = 64
@@ -46,6 +46,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
 
 
+def _marked_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (prints,) = _fingerprints(iter([batch]))
+        yield pa.record_batch([batch.column(0), batch.column(2), prints.column(1)], ["doc_id", "text_key", "fp"])
+
+
 def covering_masks(radius: int, free: int = FULL) -> list[int]:
     """Masks such that two words differing in at most ``radius`` of the ``free`` bits agree on one of them.
 
@@ -193,10 +199,26 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents without the later members of each near-duplicate group, columns unchanged.
+    """One row of each near-duplicate group, columns unchanged.
 
-    The document with the smallest doc_id of a group stays. Rows that repeat that doc_id stay too,
-    and so do rows without one.
+    The row with the smallest doc_id stays; rows without one come after those with one, and of several
+    rows with that doc_id the one with the smaller hash of its text, once. All rows are compared, those
+    without a doc_id and those that repeat one too; a null or empty text is one of the texts with
+    fingerprint zero. An empty table gives an empty one.
+
+    Only hashes are shuffled to find the groups. The rows themselves cross one shuffle, in which equal
+    (doc_id, text) are brought down to one before they leave their task.
     """
-    later = near_duplicates(docs, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, docs["doc_id"].cast("long") == later["_later"], "left_anti")
+    ship(docs.sparkSession)
+    key, mark = free(docs, "doc_key", "text_key")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), mark: F.xxhash64(F.coalesce(text, F.lit("")))})
+    texts = keyed.select(key, mark, text.alias("_text")).toDF("doc_id", "text_key", "text")
+    prints = cut(texts.select("doc_id", "text", "text_key").mapInArrow(_marked_fingerprints, "doc_id long, text_key long, fp long").distinct())
+    points = prints.select(F.col("fp").alias("node"), "fp").distinct()
+    found = components(links(cut(points), radius))
+    grouped = prints.join(found, prints["fp"] == found["node"], "left").withColumn("component", F.coalesce("component", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    kept = grouped.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text_key"))
+    alone = keyed.dropDuplicates([key, mark])
+    return alone.join(kept, alone[key].eqNullSafe(kept["_id"]) & (alone[mark] == kept["_text_key"]), "left_semi").select(*[alone[c] for c in docs.columns])

@@ -1,6 +1,6 @@
 import pytest
 
-EXTRA = "component_id string, node string, bucket string, score string, position string, key string, row string, spans string"
+EXTRA = "component_id string, node string, bucket string, score string, position string, key string, row string, spans string, _id string, _text_key string, _spans string, _position string, hit_id string, own_key string"
 
 
 @pytest.fixture
@@ -9,7 +9,7 @@ def make(spark):
 
     def documents(rows):
         kind = "doc_id long, text string, lang string, source string, n_chars long"
-        full = [(*(tuple(row) + (None, None))[:2], "en", row[2] if len(row) > 2 else "s", len(row[1] or ""), *["x"] * 8) for row in rows]
+        full = [(*(tuple(row) + (None, None))[:2], "en", row[2] if len(row) > 2 else "s", len(row[1] or ""), *["x"] * 14) for row in rows]
         return spark.createDataFrame(full, f"{kind}, {EXTRA}")
 
     return documents

@@ -45,6 +45,36 @@ def test_run(spark):
     assert whole.filter("n <> tokens").count() == 0 and whole.count() > 100
 
 
+def test_stages_take_any_table(make):
+    """Names that stages could use inside, nulls, repeats and empty tables: the first four keep the columns."""
+    rows = [(1, "some words here", "a"), (1, "some words here", "a"), (None, None), (2, "", None), (3, "secret = abcdefghijkl1234", "b")]
+    spark = make([]).sparkSession
+    for docs in (make(rows), make([])):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, FOLDER)
+            assert out.count() >= 0
+            if name != "pack":
+                assert out.columns == docs.columns, name
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    folder, asked = str(tmp_path), []
+    stages = [(name, lambda *args, name=name, stage=stage: asked.append(name) or stage(*args)) for name, stage in corpus_pipeline.STAGES]
+    stages[2] = ("secrets", lambda *args: 1 / 0)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, FOLDER, folder)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:2], ("secrets", corpus_pipeline.scrubbed), *stages[3:]])
+    assert corpus_pipeline.run(spark, FOLDER, folder).count() > 0
+    assert asked == ["quality", "near_duplicates", "mix", "pack"]
+
+
+def test_a_giant_component(spark):
+    star = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(5001, 5000), (5002, 5001)], "src long, dst long")
+    found = {r.node: r.component for r in graph.components(star).collect()}
+    assert found == {i: 0 for i in range(3000)} | {5000: 5000, 5001: 5000, 5002: 5000}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, 7), (7, 7), (7, 1), (None, 3), (5, None)] + [(1000, 1000 + i) for i in range(50)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "src long, dst long")).collect()}

@@ -68,7 +68,14 @@ def test_large_buckets_are_covered_again(spark, monkeypatch):
 
 
 def test_one_of_a_group_stays(spark, make):
-    rows = [(5, "a b c d"), (2, "a b c d"), (9, "z y x w v"), (2, "a b c d"), (None, "a b c d"), (7, None)]
+    rows = [(5, "a b c d"), (2, "a b c d"), (9, "z y x w v"), (2, "a b c d"), (None, "a b c d"), (7, None), (None, ""), (None, "only here now"), (None, "only here now"), (2, "a B c d")]
     kept = simhash.keep_one(make(rows))
     assert kept.columns == make(rows).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "2", "7", "9", "None"]
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert [i for i, _ in got] == ["2", "7", "9", "None"] and got[0][1].lower() == "a b c d" and got[3][1] == "only here now"
+    assert simhash.keep_one(make([])).count() == 0
+
+
+def test_keeping_one_takes_any_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "a b c", 4, 5, 6)], "doc_id long, text string, text_key int, DOC_KEY int, component int")
+    assert [tuple(r) for r in simhash.keep_one(rows).collect()] == [(1, "a b c", 1, 2, 3)]
