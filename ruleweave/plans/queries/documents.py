@@ -2,11 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ruleweave import vocab
 from ruleweave.functions import tables as tb
 from ruleweave.functions.text import fold, fold_unquoted, split_lines
 from ruleweave.operators import markup as mk, ordered as o
-from ruleweave.operators.documents import dense_lines, document_lines, document_tables, html_blocks as page_block_rows
-from ruleweave.operators.generic import relevant_tables as relevant
+from ruleweave.operators.documents import dense_lines, document_lines, document_tables, html_blocks as page_block_rows, html_text
+from ruleweave.operators.generic import find_candidates, relevant_tables as relevant
+from ruleweave.operators.stages import settle
 from ruleweave.plans.queries.base import Source, long, query
 from ruleweave.plans.queries.scalars import sql_compact, sql_fold, sql_unquoted
 
@@ -315,6 +317,65 @@ def html_blocks(s: Source):
     return page_block_rows(s.dealt("pages", "page_id", "html"), "page_id", "html")
 
 
+# Words of the pages that stand for rule vocabulary, and lists that stand for tables of benefits.
+TERMED = (
+    (" the ", " победителям "), (" and ", " олимпиад "), (" of ", " бви "), (" la ", " егэ "), (" der ", " 100 баллов "), (" und ", " призёрам "),
+    ("<ul>", "<table><tr><th>Олимпиада</th><th>Льгота</th></tr>"), ("</ul>", "</table>"), ("<li>", "<tr><td>"), ("</li>", "</td><td>БВИ</td></tr>"),
+)
+
+
+def _any(text: str, terms) -> str:
+    return f"regexp_matches({text}, '{'|'.join(terms)}')"
+
+
+def _benefit(text: str) -> str:
+    return f"CASE {' '.join(f'WHEN {_any(text, terms)} THEN {kind!r}' for kind, terms in vocab.BENEFIT_TERMS)} END"
+
+
+@query(
+    "page_candidates",
+    f"""
+    WITH RECURSIVE termed AS (SELECT page_id, {'replace(' * len(TERMED)}html{''.join(f", '{a}', '{b}')" for a, b in TERMED)} AS html FROM pages),
+    {sql_lines('termed')},
+    numbered AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos, turn) AS line_no, line FROM lines),
+    headed AS (SELECT *, coalesce(last_value(CASE WHEN line LIKE '#%' THEN {sql_compact("ltrim(line, '# ')")} END IGNORE NULLS)
+                 OVER (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS heading FROM numbered),
+    islands AS (SELECT *, line_no - min(line_no) OVER (PARTITION BY page_id, line_no - rn) AS place, line_no - rn AS island
+                FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY line_no) AS rn FROM headed WHERE line LIKE '|%')),
+    heads AS (SELECT page_id, island, greatest(0, coalesce(min(place) FILTER (WHERE contains(line, '---')), 0) - 1) AS head FROM islands GROUP BY ALL),
+    tables AS (SELECT page_id, island, any_value(head) AS head, any_value(line) FILTER (WHERE place = head) AS header,
+                      {sql_fold("any_value(heading) || ' ' || string_agg(line, ' ' ORDER BY place) FILTER (WHERE place BETWEEN head AND head + 3)")} AS context
+               FROM islands JOIN heads USING (page_id, island) GROUP BY ALL),
+    below AS (SELECT page_id, line_no, 'table_row' AS payload_kind, {sql_compact("concat_ws(' ', nullif(heading, ''), header, line)")} AS excerpt
+             FROM islands JOIN tables USING (page_id, island) WHERE place > head AND NOT contains(line, '---') AND ({_benefit('context')} IS NOT NULL OR {_any('context', vocab.CONTEXT_TERMS)})),
+    near AS (SELECT *, string_agg(line, ' ') OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS excerpt FROM numbered),
+    found AS (
+      SELECT * FROM below WHERE length(excerpt) > 20
+      UNION ALL SELECT page_id, line_no, 'paragraph', excerpt FROM near
+      WHERE line NOT LIKE '|%' AND length(line) >= 20 AND {_benefit(sql_fold('excerpt'))} IS NOT NULL AND {_any(sql_fold('excerpt'), vocab.CONTEXT_TERMS)}),
+    folded AS (SELECT page_id, line_no, payload_kind, left(excerpt, {vocab.EXCERPT_LENGTH}) AS excerpt, {sql_fold(f'left(excerpt, {vocab.EXCERPT_LENGTH})')} AS f FROM found)
+    SELECT page_id, line_no::INTEGER AS line_no, payload_kind, {_benefit('f')} AS benefit_kind,
+           CASE WHEN contains(f, 'победител') AND NOT contains(f, 'призер') THEN 'winner' WHEN contains(f, 'призер') AND NOT contains(f, 'победител') THEN 'prize_winner' END AS diploma_status,
+           CASE WHEN try_cast(regexp_extract(f, '(?:егэ|ви)[^0-9]{{0,56}}\\b(\\d{{2,3}})\\s*бал', 1) AS INTEGER) <= 100
+                THEN try_cast(regexp_extract(f, '(?:егэ|ви)[^0-9]{{0,56}}\\b(\\d{{2,3}})\\s*бал', 1) AS INTEGER) END AS min_score,
+           CASE WHEN payload_kind = 'table_row' AND {_benefit('f')} IS NOT NULL THEN 72 ELSE 52 END AS confidence, md5(excerpt) AS excerpt
+    FROM folded
+    """,
+)
+def page_candidates(s: Source):
+    """All given pages from markup to rule candidates: blocks, pipe text, tables and paragraphs."""
+    html = F.col("html")
+    for word, term in TERMED:
+        html = F.replace(html, F.lit(word), F.lit(term))
+    pages = s.dealt("pages", "page_id", "html").select("page_id", html.alias("html"))
+    docs = settle(pages, ["page_id"], {"text": html_text("html")}).withColumn("digest", F.sha2("text", 256))
+    found = find_candidates(docs, ["page_id", "digest"], "text", "digest")
+    return found.select(
+        "page_id", F.col("line_no").cast("int").alias("line_no"), "payload_kind", "benefit_kind", "diploma_status", "min_score", "confidence",
+        F.md5("source_excerpt").alias("excerpt"),
+    )
+
+
 @query(
     "document_markers",
     f"""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ruleweave import vocab
 from ruleweave.operators import links as ln
 from ruleweave.plans.queries.base import Source, query
 from ruleweave.plans.queries.scalars import sql_collapse, sql_fold
@@ -150,6 +151,45 @@ def bounded_walk(s: Source):
     return ln.bounded_walk(seeds, edges, max_pages=30, max_depth=2)
 
 
+# Words of the pages that stand for the phrases that discovery looks for.
+PHRASES = (
+    (" the ", " правила приёма "), (" and ", " олимпиад "), (" und ", " БВИ "), (" of ", " особые права "), (" la ", " 100 баллов "), (" der ", " поступление "),
+    (" los ", " перечень соответствий "),
+)
+WORDED = "worded AS (SELECT page_id, url, " + "replace(" * len(PHRASES) + "html" + "".join(f", '{a}', '{b}')" for a, b in PHRASES) + " AS html FROM pages)"
+
+
+def _any(folded: str, names) -> str:
+    return "(" + " OR ".join(f"contains({folded}, '{phrase}')" for name, phrases, _ in vocab.SIGNALS for phrase in phrases if name in names) + ")"
+
+
+def _own_score(folded: str) -> str:
+    parts = [f"CASE WHEN {_any(folded, [name])} THEN {weight} ELSE 0 END" for name, _, weight in vocab.SIGNALS]
+    return f"least(100, {' + '.join(parts)} + CASE WHEN contains({folded}, '2026') THEN {vocab.YEAR_WEIGHT} ELSE 0 END)"
+
+
+@query(
+    "own_signals",
+    f"""
+    WITH {WORDED}, {LINKS.replace('FROM pages', 'FROM worded')}, scored AS (SELECT page_id, link_no, {HAYSTACK} AS f FROM links)
+    SELECT page_id, link_no, {_own_score('f')}::INTEGER AS score,
+           {_own_score('f')} >= 38 AND {_any('f', vocab.HARD_SIGNALS)} AND {_any('f', vocab.ADMISSION_SIGNALS)} AS is_attachable
+    FROM scored
+    """,
+)
+def own_signals(s: Source):
+    """Links scored and judged by the format's own phrases and weights."""
+    html = F.col("html")
+    for word, phrase in PHRASES:
+        html = F.replace(html, F.lit(word), F.lit(phrase))
+    pages = s.dealt("pages", "page_id", "url", "html").withColumns({"html": html, "url": F.regexp_replace("url", "^http:", "https:")})
+    links = ln.page_links(pages, ["page_id"], "url", "html", "url", F.array().cast("array<string>"))
+    scored = ln.scored(links, "url", "title", "anchor_text", 2026)
+    return scored.select(
+        "page_id", "link_no", "score", ln.is_attachable(F.col("document_kind"), F.col("score"), F.col("signals")).alias("is_attachable")
+    )
+
+
 CAPPED = """
     WITH candidates AS (
       SELECT p_brand AS campaign, 'https://c/' || p_partkey AS url, CASE p_type WHEN 'SMALL' THEN 'other' WHEN 'LARGE' THEN 'pdf' ELSE 'html' END AS kind,

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ruleweave import vocab
 from ruleweave.operators import resolve as r
 from ruleweave.plans.publish import PUBLISHED, READ, outcomes, publish_queue, publish_release, summary
 from ruleweave.plans.queries.base import CATALOGUE_SQL, Source, catalogue, query
@@ -96,6 +97,52 @@ def match_alternatives(s: Source):
     return both.select("doc_id", F.md5("title_key").alias("title"), "name", "profile_id")
 
 
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+
+# Parts as competitions under the official kinds of title, and texts that name them with and without the kind.
+OWN = f"""
+WITH named AS (SELECT p_name, p_type, min(p_partkey) AS profile_id FROM part GROUP BY ALL),
+profs AS (
+  SELECT profile_id, {sql_tokens('p_type')} AS p, {sql_tokens("CASE length(p_name) % 4 WHEN 0 THEN 'Всероссийская олимпиада школьников «' || p_name || '»' WHEN 1 THEN 'Олимпиада ' || p_name WHEN 2 THEN 'Открытая олимпиада школьников' ELSE p_name || ' ' || p_type END")} AS t FROM named),
+shorts AS (SELECT DISTINCT t, unnest(list_append(list_transform(list_filter({_sql_list(vocab.TITLE_PREFIXES)}, lambda x: starts_with(t, x)), lambda x: trim(substr(t, length(x) + 1))), t)) AS a FROM profs),
+aliases AS (
+  SELECT t, a FROM shorts WHERE (a = t OR (length(a) >= {vocab.MIN_ALIAS_LENGTH} AND contains(a, ' ')))
+    AND coalesce(list_sum(list_transform(list_filter(string_split(a, ' '), lambda w: NOT list_contains({_sql_list(vocab.GENERIC_TITLE_WORDS)}, w)), lambda w: length(w))), 0) >= {vocab.MIN_DISTINCTIVE}),
+texts AS (
+  SELECT p_partkey, {sql_tokens("CASE p_size % 3 WHEN 0 THEN 'Всесибирская открытая олимпиада школьников | ' || p_name WHEN 1 THEN p_name || ' | ' || p_type || ' | БВИ' ELSE 'Олимпиада «' || p_name || '» даёт 100 баллов: ' || p_type END")} AS f FROM part),
+hits AS (SELECT DISTINCT p_partkey, f, t FROM texts JOIN aliases ON contains(' ' || f || ' ', ' ' || a || ' ')),
+judged AS (SELECT p_partkey, count(*) AS title_hits, count(*) FILTER (WHERE length(p) >= 5 AND contains(f, p)) AS profile_hits,
+                  min(profile_id) FILTER (WHERE length(p) >= 5 AND contains(f, p)) AS only_id FROM hits JOIN profs USING (t) GROUP BY ALL)
+"""
+
+
+@query(
+    "own_titles",
+    OWN + """
+    SELECT p_partkey, coalesce(title_hits, 0) AS title_hits, coalesce(profile_hits, 0) AS profile_hits,
+           CASE WHEN profile_hits = 1 THEN 'resolved' WHEN profile_hits > 1 OR title_hits > 1 THEN 'ambiguous' ELSE 'unresolved' END AS match_status,
+           CASE WHEN profile_hits = 1 THEN only_id END AS matched_profile_id
+    FROM part LEFT JOIN judged USING (p_partkey)
+    """,
+)
+def own_titles(s: Source):
+    """Titles matched with the official prefixes and generic words."""
+    quoted = lambda head, tail: F.concat(F.lit(head), "p_name", F.lit(tail))
+    kind = F.length("p_name") % 4
+    title = F.when(kind == 0, quoted("Всероссийская олимпиада школьников «", "»")).when(kind == 1, quoted("Олимпиада ", "")).when(
+        kind == 2, "Открытая олимпиада школьников"
+    ).otherwise(F.concat_ws(" ", "p_name", "p_type"))
+    named = s.part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("profile_id"))
+    profiles = named.select("profile_id", title.alias("title"), F.col("p_type").alias("profile_title"), F.lit(1).alias("level"))
+    text = F.when(F.col("p_size") % 3 == 0, quoted("Всесибирская открытая олимпиада школьников | ", "")).when(
+        F.col("p_size") % 3 == 1, F.concat("p_name", F.lit(" | "), "p_type", F.lit(" | БВИ"))
+    ).otherwise(F.concat(F.lit("Олимпиада «"), "p_name", F.lit("» даёт 100 баллов: "), "p_type"))
+    found = r.catalogue_match(s.part.select("p_partkey", text.alias("text")), "p_partkey", "text", profiles)
+    return found.select("p_partkey", "title_hits", "profile_hits", "match_status", "matched_profile_id")
+
+
 SELECTORS = """
 programmes AS (
   SELECT p_brand AS scope, p_partkey AS programme_id, printf('%02d.03.%02d', p_size, p_size) AS external_code, p_name AS name,
