@@ -22,26 +22,75 @@ BLOCK = 1024
 
 @dataclass(frozen=True)
 class Lattice:
-    """``tables`` projections to eight dimensions, ``scale`` the lattice's unit, ``probes`` neighbours visited."""
+    """``tables`` of cells, each of ``joined`` projections to eight dimensions decoded together.
 
-    tables: int = 6
+    ``scale`` is the lattice's unit; a vector visits the cells in which one of its lattice points is
+    replaced by one of the ``probes`` neighbours nearest to it.
+    """
+
+    tables: int = 12
     scale: float = 0.22
     probes: int = 8
+    joined: int = 2
     seed: int = 7
 
+    @property
+    def seats(self) -> int:
+        """Cells of a vector in one table: its own, then those that it visits."""
+        return 1 + self.probes * self.joined
+
     def frame(self, table: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         return _frame(self.seed, table, width)
 
     def cells(self, units: np.ndarray, table: int) -> np.ndarray:
-        """Hashes of each unit vector's own cell, then of the neighbours nearest to it, for one table."""
-        axes, offset = self.frame(table, units.shape[1])
-        points = units @ axes / self.scale + offset
-        home = nearest(points)
-        rank = (points - home) @ ROOTS.T
-        # a fixed order of equally near neighbours, so that a vector always visits the same cells
-        near = np.argsort(-rank, axis=1, kind="stable")[:, : self.probes]
-        cells = np.concatenate((home[:, None, :], home[:, None, :] + ROOTS[near]), axis=1)
-        return _mixed(np.rint(cells * 2).astype(np.int64), table, units.shape[1])
+        """Hashes of each unit vector's own cell, then of those that it visits, for one table."""
+        homes, near = [], []
+        for part in range(self.joined):
+            axes, offset = self.frame(table * self.joined + part, units.shape[1])
+            points = units @ axes / self.scale + offset
+            home = nearest(points)
+            rank = (points - home) @ ROOTS.T
+            order = np.argpartition(-rank, self.probes, axis=1)[:, : self.probes]  # the same for the same vector
+            homes.append(np.rint(home * 2).astype(np.int64))
+            near.append(np.rint((home[:, None, :] + ROOTS[order]) * 2).astype(np.int64))
+        own = [_folded(home, part) for part, home in enumerate(homes)]
+        moved = [_folded(cells, part) for part, cells in enumerate(near)]
+        base = sum(own)
+        visits = [base[:, None] - own[part][:, None] + moved[part] for part in range(self.joined)]
+        return _mixed(np.concatenate((base[:, None], *visits), axis=1), table, units.shape[1])
+
+
+#: The unit for so many vectors, in distances that projection leaves between vectors at the threshold;
+#: finer with more rows, so that unlike vectors share cells about as often at every size. By the number
+#: of points joined: rows from which it is used, rows that the unit is for, and how it falls with rows.
+UNIT, STEPS = 2.3, ((2, 0, 10_000, 1 / 11), (3, 3_000_000, 1_000_000, 1 / 16.5))
+#: Chance that all tables miss a pair whose cosine is the threshold.
+MISS = 1e-5
+
+
+def fitted(rows: int, width: int, least: float, miss: float = MISS) -> Lattice:
+    """The lattice for a table of that size: finer with more rows, and with as many tables as that needs.
+
+    How often a pair at the threshold meets in one table is found by trial on random pairs of that
+    width, with a fixed seed, so the same table gets the same lattice.
+    """
+    away = np.sqrt(max(2 - 2 * least, 1e-6) * min(1.0, 8 / width))
+    joined, _, base, power = [step for step in STEPS if rows >= step[1]][-1]
+    scale = float(away * np.clip(UNIT * (base / max(rows, 1)) ** power, 0.7, 4.0))
+    trial = Lattice(tables=4, scale=scale, joined=joined)
+    random, width = np.random.default_rng(width), max(width, 2)
+    one, other = random.standard_normal((2, 1000, width))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
+    cosine = min(max(least, -1.0), 1.0)
+    other = cosine * one + np.sqrt(1 - cosine * cosine) * other
+    met = 0.0
+    for table in range(trial.tables):
+        a, b = trial.cells(one, table), trial.cells(other, table)
+        met += ((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).mean() / trial.tables
+    tables = int(np.ceil(np.log(miss) / np.log1p(-min(max(met, 1e-3), 0.9999))))
+    return Lattice(tables=max(tables, 2), scale=scale, joined=joined)
 
 
 @lru_cache(maxsize=256)
@@ -64,9 +113,14 @@ ROOTS = _roots()
 ODD = np.random.default_rng(2024).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
 
-def _mixed(doubled: np.ndarray, table: int, width: int) -> np.ndarray:
-    """A 64-bit key of lattice points given as doubled coordinates."""
-    key = (doubled.view(np.uint64) * ODD).sum(axis=-1, dtype=np.uint64) + np.uint64(table * 8191 + width)
+def _folded(doubled: np.ndarray, part: int) -> np.ndarray:
+    """A 64-bit sum of one lattice point, given as doubled coordinates, so that points can be joined by addition."""
+    return (doubled.view(np.uint64) * (ODD * np.uint64(2 * part + 1) + np.uint64(part << 40))).sum(axis=-1, dtype=np.uint64)
+
+
+def _mixed(key: np.ndarray, table: int, width: int) -> np.ndarray:
+    """A 64-bit key of joined lattice points."""
+    key = key + np.uint64(table * 8191 + width)
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
         key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
     return (key ^ (key >> np.uint64(33))).view(np.int64)
@@ -105,7 +159,7 @@ def _hash(lattice: Lattice):
                 units = _units(rows.column(1))
                 cells = np.concatenate([lattice.cells(units, t) for t in range(lattice.tables)], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
-                yield pa.record_batch([rows.column(0), rows.column(1), rows.column(2), lists], ["node", "vector", "copies", "cells"])
+                yield pa.record_batch([rows.column(0), lists], ["point", "cells"])
 
     return run
 
@@ -218,11 +272,13 @@ def _compare(lattice: Lattice, least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, lattice: Lattice = Lattice()) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, lattice: Lattice | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row: links are cosines of ``least`` or more.
 
-    Each vector stands in its own lattice cell of every table and visits the nearest neighbouring
-    cells; residents and visitors of a cell are compared in double precision, so no link below
+    Each vector stands in its own lattice cell of every table and visits neighbouring cells; the lattice
+    is ``fitted`` to the table's size unless one is given, so that the number of unlike vectors that a
+    vector meets hardly grows with the table. Only ids are dealt to cells, and those that meet nobody
+    are dropped before their vectors are sent. Residents and visitors of a cell are compared in double precision, so no link below
     ``least`` is reported, and a pair that meets several times is counted at its first meeting, which
     both vectors determine. Equal vectors are one point with a number of copies, so they are never
     compared. A cell with more than ``BLOCK`` points is dealt out in pairs of blocks. No pairs leave
@@ -238,14 +294,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, lattice: Lattice = Lat
     good = usable(F.col("vector")) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("vector", F.when(good, F.col("vector")))
     points = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    points = cut(points.select("node", "vector", "copies"))
-    step = lattice.probes + 1
-    hashed = points.mapInArrow(_hash(lattice), f"node long, vector {kind}, copies long, cells array<long>")
-    seats = hashed.select("node", "vector", "copies", F.posexplode("cells").alias("at", "cell"))
-    seats = seats.select("node", "vector", "copies", F.floor(F.col("at") / step).cast("int").alias("lattice_table"), (F.col("at") % step != 0).cast("int").alias("visit"), "cell")
-    sizes = hashed.select(F.posexplode("cells").alias("at", "cell")).groupBy(F.floor(F.col("at") / step).cast("int").alias("lattice_table"), "cell")
-    sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") % step == 0).alias("residents")).filter("n > 1 AND residents > 0")
-    seats = seats.join(sizes.select("lattice_table", "cell", "n"), ["lattice_table", "cell"])
+    points = cut(points.select(F.monotonically_increasing_id().alias("point"), "vector", "node", "copies"))
+    if lattice is None:
+        size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+        lattice = fitted(size["n"], size["width"] or 1, least)
+    step = lattice.seats
+    hashed = points.select("point", "vector").mapInArrow(_hash(lattice), "point long, cells array<long>")
+    seats = hashed.select("point", F.posexplode("cells").alias("at", "cell"))
+    seats = cut(seats.select("point", F.floor(F.col("at") / step).cast("int").alias("lattice_table"), (F.col("at") % step != 0).cast("int").alias("visit"), "cell"))
+    sizes = seats.groupBy("lattice_table", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("visit") == 0).alias("residents"))
+    sizes = sizes.filter("n > 1 AND residents > 0").select("lattice_table", "cell", "n")
+    seats = seats.join(sizes, ["lattice_table", "cell"]).join(points, "point")
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     seats = seats.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))

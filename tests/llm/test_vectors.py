@@ -41,6 +41,39 @@ def test_near_vectors(spark, vectors, monkeypatch, block):
     assert got == sorted((i, int(degree[k]), root[i], i == root[i]) for k, (i, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("width", [16, 64, 300])
+def test_no_pair_at_the_threshold_is_missed(width):
+    """Pairs just above the threshold meet in some table, at every size that a lattice is fitted to."""
+    rng = np.random.default_rng(width)
+    one, other = rng.standard_normal((2, 3000, width))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other = 0.9505 * one + np.sqrt(1 - 0.9505**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    for rows in (100, 1_000_000):
+        fit = lattice.fitted(rows, width, 0.95)
+        met = np.zeros(len(one), bool)
+        for table in range(fit.tables):
+            a, b = fit.cells(one, table), fit.cells(other, table)
+            met |= (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+        assert met.mean() >= 0.999, (rows, fit)
+
+
+def test_unlike_vectors_met_hardly_grow_with_the_table():
+    def strangers(rows):
+        x = np.random.default_rng(rows).standard_normal((rows, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        fit, met = lattice.fitted(rows, 64, 0.95), 0
+        for table in range(fit.tables):
+            cells = fit.cells(x, table)
+            homes, counts = np.unique(cells[:, 0], return_counts=True)
+            at = np.clip(np.searchsorted(homes, cells), 0, len(homes) - 1)
+            met += (counts[at] * (homes[at] == cells)).sum() - rows
+        return met / rows
+
+    small, large = strangers(4_000), strangers(40_000)
+    assert large < 1.5 * small and large < 150, (small, large)
+
+
 def test_nearest_is_a_lattice_point():
     points = np.random.default_rng(1).uniform(-3, 3, (500, 8))
     found = lattice.nearest(points)
