@@ -334,7 +334,7 @@ def adapter_dispatch(s: Source):
     )
     judged = dispatch(docs, "adapter", "text").select("p_partkey", "adapter", "dispatch_status")
     counted = strict_rules(docs, "p_partkey", "adapter", "text").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_rules"))
-    return judged.join(counted, "p_partkey", "left").na.fill(0, ["n_rules"])
+    return judged.join(counted.hint("merge"), "p_partkey", "left").na.fill(0, ["n_rules"])
 
 
 def catalogue_text() -> Column:
