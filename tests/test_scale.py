@@ -1,6 +1,7 @@
 """Work that must spread over all cores, and stay out of the driver, however few bytes hold its rows."""
 
 from ruleweave.plans.queries import QUERIES
+from ruleweave.plans.queries.base import Source
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,3 +13,12 @@ def physical(frame):
 def test_joins_as_long_as_the_documents_are_not_broadcast(spark):
     for name in ("shared_body_rules", "adapter_dispatch"):
         assert "Broadcast" not in physical(QUERIES[name](spark, FOLDER)), name
+
+
+def test_small_files_are_dealt_over_all_cores(spark):
+    source = Source(spark, FOLDER)
+    dealt = source.dealt("part", "p_partkey")
+    assert dealt.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(dealt.collect()) == sorted(source.part.select("p_partkey").collect())
+    for name in ("sitemap_links", "candidate_extract"):
+        assert "RoundRobinPartitioning" in physical(QUERIES[name](spark, FOLDER)), name
