@@ -154,8 +154,8 @@ def _entity_table() -> tuple[str, str]:
 def unescape(value: Column | str) -> Column:
     """Decode character references without leaving the JVM.
 
-    The distinct references of a value are decoded once each and replaced longest first; those
-    that decode to an ampersand come last so that no reference is decoded twice.
+    The distinct references of a value are decoded once each and put between the pieces of text around
+    them, so what a reference decodes to is never read again.
     """
     return let(col(value), _unescaped)
 
@@ -164,7 +164,6 @@ def _unescaped(text: Column) -> Column:
     table, bare = _entity_table()
     names = F.from_json(F.lit(table), "map<string,string>")
     token = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(token), 0))
 
     def decoded(ref: Column) -> Column:
         digits = F.regexp_extract(ref, r"^&#([0-9]+)", 1)
@@ -182,19 +181,12 @@ def _unescaped(text: Column) -> Column:
         )
         return F.coalesce(numeric, F.try_element_at(names, ref), prefix, ref)
 
-    pairs = F.transform(
-        found,
-        lambda ref: let(
-            decoded(ref),
-            lambda plain: F.named_struct(
-                F.lit("late"), F.when(plain == "&", 1).otherwise(0),
-                F.lit("rank"), -F.length(ref),
-                F.lit("ref"), ref,
-                F.lit("text"), plain,
-            ),
-        ),
-    )
-    done = F.aggregate(F.array_sort(pairs), text, lambda acc, pair: F.replace(acc, pair["ref"], pair["text"]))
+    def joined(pieces: Column, refs: Column) -> Column:
+        known = let(F.array_distinct(refs), lambda names: F.map_from_arrays(names, F.transform(names, decoded)))
+        plain = let(known, lambda table: F.transform(refs, lambda ref: F.element_at(table, ref)))
+        return F.array_join(F.flatten(F.zip_with(pieces, plain, lambda piece, ref: F.array(piece, ref))), "", "")
+
+    done = let(F.split(text, token, -1), lambda pieces: let(F.regexp_extract_all(text, F.lit(token), 0), lambda refs: joined(pieces, refs)))
     return F.when(F.contains(text, F.lit("&")), done).otherwise(text)
 
 

@@ -1,5 +1,8 @@
 """Work that must spread over all cores, and stay out of the driver, however few bytes hold its rows."""
 
+import html
+
+from ruleweave.functions.text import unescape
 from ruleweave.plans.queries import QUERIES
 from ruleweave.plans.queries.base import Source
 
@@ -22,3 +25,9 @@ def test_small_files_are_dealt_over_all_cores(spark):
     assert sorted(dealt.collect()) == sorted(source.part.select("p_partkey").collect())
     for name in ("sitemap_links", "candidate_extract"):
         assert "RoundRobinPartitioning" in physical(QUERIES[name](spark, FOLDER)), name
+
+
+def test_references_are_decoded_once(spark):
+    values = ["&amp;amp x &amp y", "&#38;amp; &amp; z", "&ampcopy; &copy;", "x&amp;copy;&copy;", "&notx &#x41;&#65", "&", ""]
+    rows = spark.createDataFrame([(value,) for value in values], "value string").select("value", unescape("value").alias("plain")).collect()
+    assert [row.plain for row in rows] == [html.unescape(row.value) for row in rows]
