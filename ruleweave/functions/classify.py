@@ -63,7 +63,7 @@ def exact_subject(value: Column | str, aliases: tuple[tuple[str, str], ...] = vo
 def selectors(value: Column | str) -> Column:
     """All full codes of a cell, else its one exact name, else nothing for a collective phrase."""
     def chosen(text: Column) -> Column:
-        collective = contains_any(fold_unquoted(text), vocab.PROHIBITED_SELECTORS)
+        collective = let(fold_unquoted(text), lambda folded: contains_any(folded, vocab.PROHIBITED_SELECTORS))
         return (
             F.when(text.rlike(DIRECTION_CODE), distinct_codes(text))
             .when((text == "") | collective, F.array().cast("array<string>"))
@@ -163,7 +163,7 @@ def valid_name(value: Column | str) -> Column:
         compact(value),
         lambda text: F.length(text).between(3, 240)
         & text.rlike(r"\p{L}")
-        & ~contains_any(fold(text), vocab.BLOCKED_NAMES),
+        & ~let(fold(text), lambda folded: contains_any(folded, vocab.BLOCKED_NAMES)),
     )
 
 

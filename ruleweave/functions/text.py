@@ -81,10 +81,13 @@ def fold_tokens(value: Column | str) -> Column:
 
 
 def contains_any(value: Column, fragments: list[str] | tuple[str, ...]) -> Column:
-    """Any of the fragments occurs: one pass over one value, as an alternation of literals."""
-    if not fragments:
-        return F.lit(False)
-    return value.rlike("|".join(re.escape(fragment) for fragment in fragments))
+    """Any of the fragments occurs, by searches in the stored bytes: a pattern of alternatives would decode the
+    text and try each alternative at each character. ``value`` is written once per fragment, so it should be a name."""
+    result = F.lit(False)
+    for fragment in fragments:
+        hit = F.contains(value, F.lit(fragment))
+        result = hit if fragment == fragments[0] else result | hit
+    return result
 
 
 def contains_all(value: Column, fragments: list[str] | tuple[str, ...]) -> Column:

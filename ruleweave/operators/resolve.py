@@ -300,7 +300,7 @@ def named_scope(candidate_adapter: Column, payload_kind: Column, programme: Colu
         & (payload_kind == vocab.PROGRAMME_FIRST_KIND)
         & (name != "")
         & direction_code(name).isNull()
-        & ~contains_any(fold_tokens(name), vocab.BLOCKED_SCOPE_PARTS)
+        & ~let(fold_tokens(name), lambda folded: contains_any(folded, vocab.BLOCKED_SCOPE_PARTS))
     )
     return F.when(allowed, name)
 
