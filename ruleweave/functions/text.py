@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import html.entities
 import json
-import re
 import string
 from collections.abc import Callable
 from functools import lru_cache
