@@ -1,8 +1,13 @@
 """Work that must spread over all cores, and stay out of the driver, however few bytes hold its rows."""
 
 import html
+from unittest import mock
+
+from pyspark.sql import functions as F
 
 from ruleweave.functions.text import unescape
+from ruleweave.operators import links
+from ruleweave.operators.ordered import top_per_key
 from ruleweave.plans.queries import QUERIES
 from ruleweave.plans.queries.base import Source
 
@@ -31,3 +36,21 @@ def test_references_are_decoded_once(spark):
     values = ["&amp;amp x &amp y", "&#38;amp; &amp; z", "&ampcopy; &copy;", "x&amp;copy;&copy;", "&notx &#x41;&#65", "&", ""]
     rows = spark.createDataFrame([(value,) for value in values], "value string").select("value", unescape("value").alias("plain")).collect()
     assert [row.plain for row in rows] == [html.unescape(row.value) for row in rows]
+
+
+def test_the_walk_expands_no_page_behind_one_that_fills_the_cap(spark):
+    cap, hubs = 8, 5
+    seeds = spark.range(2).select(F.col("id").alias("site"), F.lit("s").alias("url"))
+    links_of = {f"h{i}": ["s", f"t{i}"] if i == 0 else [f"t{i}-{k}" for k in range(cap)] for i in range(hubs)}
+    rows = [("s", f"h{i}", i) for i in range(hubs)] + [(src, dst, k) for src, found in links_of.items() for k, dst in enumerate(found)]
+    edges, queued = spark.createDataFrame(rows, "src string, dst string, pos int"), []
+
+    def watched(frame, *rest, **named):
+        queued.append(frame)
+        return top_per_key(frame, *rest, **named)
+
+    with mock.patch.object(links, "top_per_key", watched):
+        walk = links.bounded_walk(seeds, edges, max_pages=cap, max_depth=2).collect()
+    want = ["s", *[f"h{i}" for i in range(hubs)], "t0", "t1-0"]
+    assert sorted((r.site, r.arrival, r.url) for r in walk) == [(site, n + 1, url) for site in range(2) for n, url in enumerate(want)]
+    assert {r.url for r in queued[-1].collect()} == {"t0", *links_of["h1"]}  # nothing of h2 and later
