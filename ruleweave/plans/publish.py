@@ -103,7 +103,8 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     grown = upsert(programmes, fresh, scope_keys, update=["is_active", "degree_level", "catalogue_status"])
-    second = unique_programme(open_rows.drop("programme_id", "named"), "raw_programme_name", known(grown), LOCATION)
+    # Matching reads what follows in many steps: without a cut each would join the whole catalogue anew.
+    second = cut_lineage(unique_programme(open_rows.drop("programme_id", "named"), "raw_programme_name", known(grown), LOCATION))
     resolved = complete.filter("programme_id IS NOT NULL").unionByName(second).withColumn(
         "reason", F.when(F.col("programme_id").isNull(), "programme_not_exactly_mapped_for_location")
     )
@@ -115,7 +116,7 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
             "identity": F.concat_ws(" | ", "raw_olympiad_name", "raw_profile_name"),
         }
     )
-    texts = resolved.filter("reason IS NULL").select("catalogue_year", "identity").distinct()
+    texts = cut_lineage(resolved.filter("reason IS NULL").select("catalogue_year", "identity").distinct())
     keyed = texts.withColumn("identity_key", F.col("identity"))
     matched = catalogue_match(keyed, "identity_key", "identity", profiles, ["catalogue_year"]).select(
         "catalogue_year", "identity", "match_status", "match_reason", "matched_profile_id", "matched_level"
@@ -175,7 +176,13 @@ def publish(t: Tables, as_of: Column, limit: int | None = None) -> dict[str, Dat
         ],
         guard="publication_method = 'strict_adapter'",
     )
-    numbered = good.join(rules.select(F.col("id").alias("rule_id"), *RULE_KEY), RULE_KEY)
+    # Reviews, observations and marks follow from it: without a cut each would merge the rules anew.
+    numbered = cut_lineage(
+        good.join(rules.select(F.col("id").alias("rule_id"), *RULE_KEY), RULE_KEY).select(
+            "rule_id", "programme_id", "matched_profile_id", "olympiad_profile_id", "actor", "source_document_id", "parse_run_id",
+            "source_locator", "source_excerpt", *QUEUE_ORDER,
+        )
+    )
     reviews = numbered.select(
         surrogate("candidate_id", F.lit("approved"), as_of).alias("id"),
         F.col("candidate_id").alias("admission_rule_candidate_id"), F.lit("approved").alias("action"),

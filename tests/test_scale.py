@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ruleweave.functions.text import unescape
 from ruleweave.operators import links
 from ruleweave.operators.ordered import top_per_key
-from ruleweave.plans.queries import QUERIES
+from ruleweave.plans import publish
+from ruleweave.plans.queries import QUERIES, resolution
 from ruleweave.plans.queries.base import Source
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,3 +55,12 @@ def test_the_walk_expands_no_page_behind_one_that_fills_the_cap(spark):
     want = ["s", *[f"h{i}" for i in range(hubs)], "t0", "t1-0"]
     assert sorted((r.site, r.arrival, r.url) for r in walk) == [(site, n + 1, url) for site in range(2) for n, url in enumerate(want)]
     assert {r.url for r in queued[-1].collect()} == {"t0", *links_of["h1"]}  # nothing of h2 and later
+
+
+def test_matching_reads_identities_that_are_cut_off_from_the_catalogue(spark):
+    with mock.patch.object(publish, "catalogue_match", side_effect=InterruptedError) as matching:
+        try:
+            resolution._judged(Source(spark, FOLDER))
+        except InterruptedError:
+            pass
+    assert "Join" not in physical(matching.call_args.args[0])
