@@ -33,6 +33,15 @@ def test_small_files_are_dealt_over_all_cores(spark):
         assert "RoundRobinPartitioning" in physical(QUERIES[name](spark, FOLDER)), name
 
 
+def test_documents_are_read_above_the_deal(spark):
+    for name in ("grid_rules", "programme_first_rules", "catalogue_rows", "adapter_dispatch", "expand_rules", "scope_row_rules"):
+        scans = physical(QUERIES[name](spark, FOLDER)).split("RoundRobinPartitioning")[1:]
+        assert scans, name
+        for scan in scans:
+            below = scan.split("FileScan")[0]
+            assert "Filter" not in below and "Generate" not in below, name
+
+
 def test_references_are_decoded_once(spark):
     values = ["&amp;amp x &amp y", "&#38;amp; &amp; z", "&ampcopy; &copy;", "x&amp;copy;&copy;", "&notx &#x41;&#65", "&", ""]
     rows = spark.createDataFrame([(value,) for value in values], "value string").select("value", unescape("value").alias("plain")).collect()
