@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from ruleweave import vocab
 from ruleweave.functions.text import (
-    DIRECTION_CODE,
-    col, compact, contains_any, direction_code, distinct_codes, fold, fold_unquoted, let, level_of_code,
+    DIRECTION_CODE, SOFT_HYPHEN,
+    col, compact, contains_any, direction_code, distinct_codes, fold_compacted, fold_unquoted, let, level_of_code,
 )
 
 
@@ -40,50 +40,63 @@ def pattern_score(folded: Column, pattern: str = vocab.MIN_SCORE_PATTERN) -> Col
 
 def cell_score(value: Column | str) -> Column:
     """First free-standing number of two or three digits, kept only inside 0..100."""
-    return pattern_score(fold_unquoted(value), r"(?U)\b(\d{2,3})\b")
+    return score_in(fold_unquoted(value))
+
+
+def score_in(unquoted: Column) -> Column:
+    return pattern_score(unquoted, r"(?U)\b(\d{2,3})\b")
 
 
 def holder_statuses(value: Column | str) -> Column:
     """All holder kinds named in a cell, winner first."""
-    named = let(
-        fold_unquoted(value),
-        lambda text: F.array(
-            F.when(F.contains(text, F.lit(vocab.WINNER_FRAGMENT)), "winner"),
-            F.when(F.contains(text, F.lit(vocab.PRIZE_FRAGMENT)), "prize_winner"),
-        ),
+    return let(fold_unquoted(value), holders_in)
+
+
+def holders_in(unquoted: Column) -> Column:
+    return F.array_compact(
+        F.array(
+            F.when(F.contains(unquoted, F.lit(vocab.WINNER_FRAGMENT)), "winner"),
+            F.when(F.contains(unquoted, F.lit(vocab.PRIZE_FRAGMENT)), "prize_winner"),
+        )
     )
-    return F.array_compact(named)
 
 
 def exact_subject(value: Column | str, aliases: tuple[tuple[str, str], ...] = vocab.SUBJECT_ALIASES) -> Column:
+    return subject_in(fold_unquoted(value), aliases)
+
+
+def subject_in(unquoted: Column, aliases: tuple[tuple[str, str], ...] = vocab.SUBJECT_ALIASES) -> Column:
     names = F.create_map(*[F.lit(item) for pair in aliases for item in pair])
-    return F.try_element_at(names, fold_unquoted(value))
+    return F.try_element_at(names, unquoted)
 
 
 def selectors(value: Column | str) -> Column:
     """All full codes of a cell, else its one exact name, else nothing for a collective phrase."""
-    def chosen(text: Column) -> Column:
-        collective = let(fold_unquoted(text), lambda folded: contains_any(folded, vocab.PROHIBITED_SELECTORS))
-        return (
-            F.when(text.rlike(DIRECTION_CODE), distinct_codes(text))
-            .when((text == "") | collective, F.array().cast("array<string>"))
-            .otherwise(F.array(text))
-        )
+    return let(compact(value), selectors_in)
 
-    return let(compact(value), chosen)
+
+def selectors_in(cell: Column) -> Column:
+    """``selectors`` of a cell that is compacted already."""
+    collective = let(fold_unquoted(cell), lambda folded: contains_any(folded, vocab.PROHIBITED_SELECTORS))
+    return (
+        F.when(cell.rlike(DIRECTION_CODE), distinct_codes(cell))
+        .when((cell == "") | collective, F.array().cast("array<string>"))
+        .otherwise(F.array(cell))
+    )
 
 
 def cell_benefit(header: Column | str, value: Column | str, generic: Column | bool = False) -> Column:
     """Benefit granted by a (header, cell) pair; 100 points is tested before admission without exams."""
-    is_generic = F.lit(generic) if isinstance(generic, bool) else generic
+    return let(fold_unquoted(header), lambda head: let(fold_unquoted(value), lambda text: benefit_in(head, text, generic)))
 
-    def kind(head: Column, text: Column) -> Column:
-        hundred = F.contains(head, F.lit(vocab.HUNDRED_HEADER)) | (is_generic & contains_any(text, vocab.HUNDRED_VALUES))
-        bvi = contains_any(head, vocab.BVI_WORDS) | (is_generic & contains_any(text, vocab.BVI_WORDS))
-        granted = ~((text == "") | text.isin(*vocab.NO_BENEFIT))
-        return F.when(granted & hundred, "hundred_points").when(granted & bvi, "bvi")
 
-    return let(fold_unquoted(header), lambda head: let(fold_unquoted(value), lambda text: kind(head, text)))
+def benefit_in(head: Column, text: Column, generic: Column | bool = False) -> Column:
+    """``cell_benefit`` of a header and a cell that are folded already."""
+    is_generic = F.lit(generic) if isinstance(generic, bool) else generic
+    hundred = F.contains(head, F.lit(vocab.HUNDRED_HEADER)) | (is_generic & contains_any(text, vocab.HUNDRED_VALUES))
+    bvi = contains_any(head, vocab.BVI_WORDS) | (is_generic & contains_any(text, vocab.BVI_WORDS))
+    granted = ~((text == "") | text.isin(*vocab.NO_BENEFIT))
+    return F.when(granted & hundred, "hundred_points").when(granted & bvi, "bvi")
 
 
 def _list_pattern(separator: str, starts: tuple[str, ...]) -> str:
@@ -137,20 +150,22 @@ def subject_tags(value: Column | str) -> Column:
 
 def split_code(value: Column | str) -> Column:
     """Struct (code, title): the title is the text after the code, else the text before it."""
-    pattern = r"(?s)^(.*?)(?<!\d)(\d{2}\.\d{2}\.\d{2})(?!\d)(.*)$"
+    return let(compact(value), split_code_in)
 
-    def part(text: Column, group: int) -> Column:
-        return F.btrim(compact(F.regexp_extract(text, pattern, group)), F.lit(" —–-:;,"))
 
-    def parts(text: Column) -> Column:
-        titled = let(part(text, 3), lambda after: F.when(after != "", after).otherwise(part(text, 1)))
-        found = text.rlike(DIRECTION_CODE)
-        return F.struct(
-            F.when(found, F.regexp_extract(text, DIRECTION_CODE, 1)).alias("code"),
-            F.when(found, titled).otherwise(text).alias("title"),
-        )
+def split_code_in(text: Column) -> Column:
+    """``split_code`` of a text that is compacted already."""
+    pattern = r"(?s)^(.*?)(?<!\d)(\d{2}\.\d{2}\.\d{2})(?!\d)(.*)$"
+
+    def part(group: int) -> Column:
+        return F.btrim(F.regexp_extract(text, pattern, group), F.lit(" —–-:;,"))
 
-    return let(compact(value), parts)
+    titled = let(part(3), lambda after: F.when(after != "", after).otherwise(part(1)))
+    found = text.rlike(DIRECTION_CODE)
+    return F.struct(
+        F.when(found, F.regexp_extract(text, DIRECTION_CODE, 1)).alias("code"),
+        F.when(found, titled).otherwise(text).alias("title"),
+    )
 
 
 def is_direction(code: Column | str) -> Column:
@@ -159,15 +174,18 @@ def is_direction(code: Column | str) -> Column:
 
 
 def valid_name(value: Column | str) -> Column:
-    return let(
-        compact(value),
-        lambda text: F.length(text).between(3, 240)
-        & text.rlike(r"\p{L}")
-        & ~let(fold(text), lambda folded: contains_any(folded, vocab.BLOCKED_NAMES)),
-    )
+    return let(compact(value), valid_name_in)
+
+
+def valid_name_in(text: Column) -> Column:
+    """``valid_name`` of a text that is compacted already."""
+    blocked = let(fold_compacted(text), lambda folded: contains_any(folded, vocab.BLOCKED_NAMES))
+    return F.length(text).between(3, 240) & text.rlike(r"\p{L}") & ~blocked
 
 
 def programme_level(code: Column, context: Column) -> Column:
     by_code = level_of_code(code)
-    by_word = F.when(F.contains(fold(context), F.lit(vocab.SPECIALIST_WORD)), "specialist").otherwise("bachelor")
+    # a word without spaces is found whether or not they are collapsed
+    folded = fold_compacted(F.replace(context, F.lit(SOFT_HYPHEN), F.lit("")))
+    by_word = F.when(F.contains(folded, F.lit(vocab.SPECIALIST_WORD)), "specialist").otherwise("bachelor")
     return F.when(code.isNotNull() & (by_code == "specialist"), "specialist").otherwise(by_word)

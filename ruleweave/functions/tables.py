@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ruleweave.functions import arrays
-from ruleweave.functions.text import SPACE, col, compact, contains_all, contains_any, fold, let, strip
+from ruleweave.functions.text import (
+    QUOTES, SOFT_HYPHEN, SPACE, col, collapse, compact, contains_all, contains_any, fold_compacted, let, strip,
+)
 
 TABLE_LINE = rf"^{SPACE}*\|"
 HEADING_LINE = rf"^{SPACE}*#"
@@ -20,13 +22,28 @@ def is_heading_line(line: Column | str) -> Column:
     return col(line).rlike(HEADING_LINE)
 
 
-def raw_cells(line: Column | str) -> Column:
-    return F.split(F.btrim(strip(line), F.lit("|")), r"\|", -1)
+def table_cells(line: Column | str) -> Column:
+    """Compacted cells of a pipe row; outer pipes do not make cells.
 
+    White space is collapsed in the whole row at once, so that a cell without soft hyphens only needs trimming.
+    """
+    cells = F.split(F.btrim(collapse(line), F.lit("|")), r"\|", -1)
+    return F.transform(cells, lambda cell: F.when(F.contains(cell, F.lit(SOFT_HYPHEN)), compact(cell)).otherwise(F.trim(cell)))
 
-def table_cells(line: Column | str) -> Column:
-    """Compacted cells of a pipe row; outer pipes do not make cells."""
-    return F.transform(raw_cells(line), lambda cell: compact(cell))
+
+def folded_cells(cells: Column) -> Column:
+    """``fold`` of the cells of ``table_cells``, in one pass over the row."""
+    return F.split(fold_compacted(F.array_join(cells, "\n")), "\n", -1)
+
+
+def unquoted_cells(cells: Column) -> Column:
+    """``fold_unquoted`` of the cells of ``table_cells``, in one pass over the row."""
+
+    def bare(row: Column) -> Column:
+        return F.when(row.rlike(QUOTES), F.regexp_replace(F.regexp_replace(row, QUOTES, ""), "  +", " ")).otherwise(row)
+
+    joined = let(fold_compacted(F.array_join(cells, "\n")), bare)
+    return F.transform(F.split(joined, "\n", -1), lambda cell: F.trim(cell))
 
 
 def cells_are_rule(cells: Column) -> Column:
@@ -39,14 +56,23 @@ def is_separator(line: Column | str) -> Column:
 
 
 def term_score(cells: Column, terms: tuple[str, ...]) -> Column:
-    """Number of (cell, term) pairs where the folded cell contains the term."""
-    def hits(cell: Column) -> Column:
+    """Number of (cell, term) pairs where the folded cell contains the term.
+
+    ``cells`` are those of ``table_cells``, and are folded as one text. A term that the row does not hold is not
+    looked for in its cells.
+    """
+
+    def cells_with(row: Column, term: Column) -> Column:
+        inside = F.filter(F.split(row, "\n", -1), lambda cell: F.contains(cell, term))
+        return F.when(F.contains(row, term), F.size(inside)).otherwise(0)
+
+    def hits(row: Column) -> Column:
         total = F.lit(0)
         for term in terms:
-            total = total + F.contains(cell, F.lit(term)).cast("int")
+            total = total + cells_with(row, F.lit(term))
         return total
 
-    return F.aggregate(cells, F.lit(0), lambda total, cell: total + let(fold(cell), hits))
+    return let(fold_compacted(F.array_join(cells, "\n")), hits)
 
 
 def any_alias(headers: Column, aliases: tuple[str, ...]) -> Column:

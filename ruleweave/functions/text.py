@@ -23,6 +23,8 @@ SPACE = f"[ {ODD}]"
 # A run that is not already one plain space, so that tidy text passes without any replacement.
 UNTIDY = f"{SPACE}(?:{SPACE}+|(?<=[{ODD}]))"
 EDGES = f"^{SPACE}+|{SPACE}+$"
+SOFT_HYPHEN = "\u00ad"
+QUOTES = "[«»\"'`]+"
 NO_TOKEN = f"[^{string.ascii_lowercase}{string.digits}а-я]+"
 LINE_BREAK = r"[\n\x0b\f\r\x1c\x1d\x1e\x85[\u2028-\u2029]]"
 DIRECTION_CODE = r"(?<!\d)(\d{2}\.\d{2}\.\d{2})(?!\d)"
@@ -52,7 +54,7 @@ def collapse(value: Column | str) -> Column:
 
 def compact(value: Column | str) -> Column:
     """Drop soft hyphens, collapse white space of any kind, trim."""
-    return collapse(F.replace(col(value), F.lit("\u00ad"), F.lit("")))
+    return collapse(F.replace(col(value), F.lit(SOFT_HYPHEN), F.lit("")))
 
 
 def casefold(value: Column | str) -> Column:
@@ -66,12 +68,18 @@ def _plain_yo(value: Column) -> Column:
 
 def fold(value: Column | str) -> Column:
     """Comparison form that keeps quotes: compacted, case-folded, yo written as ye."""
-    return _plain_yo(casefold(compact(value)))
+    return fold_compacted(compact(value))
+
+
+def fold_compacted(value: Column | str) -> Column:
+    """``fold`` of a text that is compacted already."""
+    return _plain_yo(casefold(value))
 
 
 def fold_unquoted(value: Column | str) -> Column:
     """Comparison form of the strict readers: as ``fold`` without any quote marks."""
-    return collapse(F.regexp_replace(fold(value), "[«»\"'`]+", ""))
+    plain = fold_compacted(F.replace(col(value), F.lit(SOFT_HYPHEN), F.lit("")))
+    return collapse(F.regexp_replace(plain, QUOTES, ""))
 
 
 def fold_tokens(value: Column | str) -> Column:

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ruleweave import vocab
 from ruleweave.functions import arrays
 from ruleweave.functions.classify import (
-    cell_benefit, cell_score, exact_subject, holder_statuses, selectors, strict_titles,
+    benefit_in, exact_subject, holders_in, score_in, selectors_in, strict_titles, subject_in,
 )
-from ruleweave.functions.tables import is_separator, is_table_line, table_cells, with_all_fragments
+from ruleweave.functions.tables import cells_are_rule, is_table_line, table_cells, unquoted_cells, with_all_fragments
 from ruleweave.functions.text import compact, distinct_codes, fold_unquoted, let, split_lines, stable_key
 from ruleweave.operators.documents import tables_in
 from ruleweave.operators.ordered import keep_first
@@ -90,9 +90,9 @@ def grid_rows(headers: Column, rows: Column, form: Column) -> Column:
 
     def read(heads: Column) -> Column:
         roles = {role: aliased(heads, role) for role in ("programme", "profile", "holder", "subject", "score", "benefit", "olympiad")}
-        return _with(roles | {"named": arrays.all_indexes(headers, lambda h: cell_benefit(h, F.lit("да")).isNotNull())}, placed)
+        return _with(roles | {"named": arrays.all_indexes(heads, lambda h: benefit_in(h, F.lit("да")).isNotNull())}, lambda at: placed(at, heads))
 
-    def placed(at: Column) -> Column:
+    def placed(at: Column, heads: Column) -> Column:
         one = {
             "programme": F.get(at["programme"], F.lit(0)), "profile": F.get(at["profile"], F.lit(0)),
             "olympiad": F.get(F.array_except(at["olympiad"], at["profile"]), F.lit(0)), "benefits": F.array_distinct(F.concat(at["named"], at["benefit"])),
@@ -101,7 +101,7 @@ def grid_rows(headers: Column, rows: Column, form: Column) -> Column:
             spot["olympiad"].isNotNull() & spot["profile"].isNotNull() & (F.size(spot["benefits"]) > 0),
             _with({"programmes": carried("programme", F.transform(rows, lambda row: programme(row, spot))),
                    "olympiads": carried("olympiad", F.transform(rows, lambda row: arrays.cell_at(row["cells"], spot["olympiad"])))},
-                  lambda columns: F.array_compact(F.transform(rows, lambda row, i: of(row, F.get(columns["programmes"], i), F.get(columns["olympiads"], i), at, spot)))),
+                  lambda columns: F.array_compact(F.transform(rows, lambda row, i: of(row, F.get(columns["programmes"], i), F.get(columns["olympiads"], i), at, spot, heads)))),
         ))
 
     def carried(role: str, values: Column) -> Column:
@@ -113,24 +113,27 @@ def grid_rows(headers: Column, rows: Column, form: Column) -> Column:
         starts = fold_unquoted(first).rlike("^(?:" + "|".join(vocab.GROUP_STARTS) + ")")
         return F.when((own == "") & F.array_contains(form["traits"], "group_row") & alone & starts, first).otherwise(own)
 
-    def of(row: Column, chosen: Column, title: Column, at: Column, spot: Column) -> Column:
+    def of(row: Column, chosen: Column, title: Column, at: Column, spot: Column, heads: Column) -> Column:
         cells, profile = row["cells"], arrays.cell_at(row["cells"], spot["profile"])
         in_benefit = F.array_contains(form["traits"], "codes_in_benefit")
-        stated = F.array_distinct(F.flatten(F.transform(at["holder"], lambda i: holder_statuses(arrays.cell_at(cells, i)))))
 
-        def grant(i: Column) -> Column:
-            value = arrays.cell_at(cells, i)
-            kind = cell_benefit(F.get(headers, i), value, F.array_contains(at["benefit"], i))
-            return F.struct(kind.alias("kind"), F.when(in_benefit, selectors(value)).otherwise(selectors(chosen)).alias("selectors"))
+        def made(plain: Column) -> Column:
+            stated = F.array_distinct(F.flatten(F.transform(at["holder"], lambda i: holders_in(arrays.cell_at(plain, i)))))
 
-        made = _row(
-            row["line"], cells, F.array(title), profile, let(stated, lambda found: F.when(F.size(found) > 0, found).otherwise(form["holders"])),
-            _granted(F.transform(spot["benefits"], grant)), arrays.first_value(F.transform(at["subject"], lambda i: exact_subject(arrays.cell_at(cells, i)))),
-            arrays.first_value(F.transform(at["score"], lambda i: cell_score(arrays.cell_at(cells, i)))),
-        )
-        return F.when(((chosen != "") | in_benefit) & (title != "") & (profile != ""), made)
+            def grant(i: Column) -> Column:
+                kind = benefit_in(F.get(heads, i), arrays.cell_at(plain, i), F.array_contains(at["benefit"], i))
+                named = selectors_in(F.when(in_benefit, arrays.cell_at(cells, i)).otherwise(chosen))
+                return F.struct(kind.alias("kind"), named.alias("selectors"))
+
+            return _row(
+                row["line"], cells, F.array(title), profile, let(stated, lambda found: F.when(F.size(found) > 0, found).otherwise(form["holders"])),
+                _granted(F.transform(spot["benefits"], grant)), arrays.first_value(F.transform(at["subject"], lambda i: subject_in(arrays.cell_at(plain, i)))),
+                arrays.first_value(F.transform(at["score"], lambda i: score_in(arrays.cell_at(plain, i)))),
+            )
+
+        return F.when(((chosen != "") | in_benefit) & (title != "") & (profile != ""), let(unquoted_cells(cells), made))
 
-    return let(F.transform(headers, lambda h: fold_unquoted(h)), read)
+    return let(unquoted_cells(headers), read)
 
 
 def expand_rules(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -167,28 +170,30 @@ def programme_first_rows(headers: Column, rows: Column) -> Column:
             "list": with_all_fragments(heads, ("перечень олимпиад",)), "holder": with_all_fragments(heads, ("победитель", "призер")),
             "subject": with_all_fragments(heads, ("общеобразовательный предмет", "егэ")), "benefit": with_all_fragments(heads, ("льгота",)),
         }
-        return _with(at, placed)
+        return _with(at, lambda spots: placed(spots, heads))
 
-    def placed(at: Column) -> Column:
+    def placed(at: Column, heads: Column) -> Column:
         complete = F.lit(True)
         for role in ("programme", "profile", "list", "holder", "benefit"):
             complete = complete & at[role].isNotNull()
         column = lambda spot: arrays.carry(F.transform(rows, lambda row: arrays.cell_at(row["cells"], spot)))
         columns = {role: column(at[role]) for role in ("programme", "profile", "list", "subject")}
-        return F.when(complete, _with(columns, lambda c: F.array_compact(F.transform(rows, lambda row, i: of(row, i, c, at)))))
+        return F.when(complete, _with(columns, lambda c: F.array_compact(F.transform(rows, lambda row, i: of(row, i, c, at, heads)))))
 
-    def of(row: Column, i: Column, columns: Column, at: Column) -> Column:
-        cells = row["cells"]
+    def of(row: Column, i: Column, columns: Column, at: Column, heads: Column) -> Column:
         value = lambda role: F.get(columns[role], i)
-        kind = cell_benefit(F.get(headers, at["benefit"]), arrays.cell_at(cells, at["benefit"]), True)
-        grants = F.array(F.struct(kind.alias("kind"), selectors(value("programme")).alias("selectors")))
-        made = _row(
-            row["line"], cells, strict_titles(value("list")), value("profile"), holder_statuses(arrays.cell_at(cells, at["holder"])), _granted(grants),
-            exact_subject(value("subject")), F.when(value("subject") != "", vocab.CONFIRMATION_SCORE),
-        )
-        return F.when(value("profile") != "", made)
 
-    return let(F.transform(headers, lambda h: fold_unquoted(h)), read)
+        def made(plain: Column) -> Column:
+            kind = benefit_in(F.get(heads, at["benefit"]), arrays.cell_at(plain, at["benefit"]), True)
+            grants = F.array(F.struct(kind.alias("kind"), selectors_in(value("programme")).alias("selectors")))
+            return _row(
+                row["line"], row["cells"], strict_titles(value("list")), value("profile"), holders_in(arrays.cell_at(plain, at["holder"])), _granted(grants),
+                exact_subject(value("subject")), F.when(value("subject") != "", vocab.CONFIRMATION_SCORE),
+            )
+
+        return F.when(value("profile") != "", let(unquoted_cells(row["cells"]), made))
+
+    return let(unquoted_cells(headers), read)
 
 
 def scope_rows(lines: Column) -> Column:
@@ -197,10 +202,13 @@ def scope_rows(lines: Column) -> Column:
     The carried title is void once a later scope row has come, or when no scope with codes is open.
     """
     numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
-    kept = F.filter(numbered, lambda row: is_table_line(row["text"]) & ~is_separator(row["text"]))
+    piped = F.filter(numbered, lambda row: is_table_line(row["text"]))
+    celled = F.transform(piped, lambda row: F.struct(row["line"].alias("line"), table_cells(row["text"]).alias("cells")))
+    kept = F.filter(celled, lambda row: ~cells_are_rule(row["cells"]))
 
     def scope_of(row: Column) -> Column:
-        return let(F.array_join(row["cells"], " "), lambda joined: F.when(F.contains(fold_unquoted(joined), F.lit(vocab.SCOPE_PHRASE)), joined))
+        said = F.array_join(F.filter(row["plain"], lambda cell: cell != ""), " ")
+        return F.when(F.contains(said, F.lit(vocab.SCOPE_PHRASE)), F.array_join(row["cells"], " "))
 
     def marked(rows: Column) -> Column:
         titles = F.transform(rows, lambda row: F.when(F.size(row["cells"]) >= 8, F.nullif(F.get(row["cells"], F.lit(1)), F.lit(""))))
@@ -210,18 +218,18 @@ def scope_rows(lines: Column) -> Column:
             lambda last: F.array_compact(F.transform(rows, lambda row, i: of(row, i, said, last)))))
 
     def of(row: Column, i: Column, said: Column, last: Column) -> Column:
-        cells, scope_at, title_at = row["cells"], F.get(last["scope"], i), F.get(last["title"], i)
+        cells, plain, scope_at, title_at = row["cells"], row["plain"], F.get(last["scope"], i), F.get(last["title"], i)
         title = F.when(title_at > scope_at, F.get(said["titles"], title_at - 1))
-        holder = lambda at, status: F.when(fold_unquoted(F.get(cells, F.lit(at))) == vocab.GRANTED, status)
+        holder = lambda at, status: F.when(F.get(plain, F.lit(at)) == vocab.GRANTED, status)
         codes = distinct_codes(F.get(said["scopes"], scope_at - 1))
         made = _row(
             row["line"], cells, F.array(title), F.get(cells, F.lit(2)), F.array_compact(F.array(holder(6, "winner"), holder(7, "prize_winner"))),
-            F.array(F.struct(F.lit("bvi").alias("kind"), codes.alias("selectors"))), exact_subject(F.get(cells, F.lit(5))), F.lit(vocab.CONFIRMATION_SCORE),
+            F.array(F.struct(F.lit("bvi").alias("kind"), codes.alias("selectors"))), subject_in(F.get(plain, F.lit(5))), F.lit(vocab.CONFIRMATION_SCORE),
         )
         open_ = F.get(said["scopes"], i).isNull() & scope_at.isNotNull() & (F.size(cells) >= 8)
         return F.when(open_ & (F.coalesce(title, F.lit("")) != "") & (F.get(cells, F.lit(2)) != ""), made)
 
-    return let(F.transform(kept, lambda row: F.struct(row["line"].alias("line"), table_cells(row["text"]).alias("cells"))), marked)
+    return let(F.transform(kept, lambda row: row.withField("plain", unquoted_cells(row["cells"]))), marked)
 
 
 def strict_rules(
