@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ruleweave import vocab
 from ruleweave.functions import arrays
 from ruleweave.functions.classify import (
-    cell_benefit, cell_score, exact_subject, first_fragment, first_kind, holder_statuses, marked_titles,
-    pattern_score, selectors, single_holder,
+    benefit_in, first_fragment, first_kind, holders_in, marked_titles, pattern_score, score_in, selectors_in,
+    single_holder, subject_in,
 )
-from ruleweave.functions.tables import table_cells, with_all_fragments
-from ruleweave.functions.text import compact, contains_all, contains_any, fold, let, stable_key
+from ruleweave.functions.tables import folded_cells, table_cells, unquoted_cells, with_all_fragments
+from ruleweave.functions.text import compact, contains_all, contains_any, fold_compacted, let, stable_key
 from ruleweave.operators.documents import dense_lines
 from ruleweave.operators.stages import settle
 
@@ -33,7 +33,7 @@ def _title_index(headers: Column) -> Column:
 
 
 def header_index(table: Column, terms: tuple[str, ...] = vocab.TABLE_HEADER_TERMS) -> Column:
-    """Zero-based header row: the last best row by vocabulary, if it has two terms; else the row
+    """Zero-based header row of compacted lines: the last best row by vocabulary, if it has two terms; else the row
     above the dashes, else the first."""
 
     def terms_in(folded: Column) -> Column:
@@ -46,7 +46,7 @@ def header_index(table: Column, terms: tuple[str, ...] = vocab.TABLE_HEADER_TERM
         F.transform(
             table,
             lambda line, i: F.when(
-                ~F.contains(line, F.lit("---")), F.struct(let(fold(line), terms_in).alias("n"), i.alias("at"))
+                ~F.contains(line, F.lit("---")), F.struct(let(fold_compacted(line), terms_in).alias("n"), i.alias("at"))
             ),
         )
     )
@@ -77,10 +77,9 @@ def relevant_tables(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
         tables, [*keep, "first_line", "table"], {"heading": F.coalesce(compact(F.ltrim("above", F.lit("# "))), F.lit(""))}
     )
     tables = settle(placed, [*keep, "first_line", "table", "heading"], {"head": header_index(F.col("table"))})
-    context = compact(
-        F.array_join(F.concat(F.array("heading"), F.slice("table", F.col("head") + 1, F.lit(4))), " ")
-    )
-    judged = settle(tables, [*keep, "first_line", "table", "heading", "head"], {"context": fold(context)})
+    # the lines are compacted, so that joining them leaves nothing to collapse
+    context = F.trim(F.array_join(F.concat(F.array("heading"), F.slice("table", F.col("head") + 1, F.lit(4))), " "))
+    judged = settle(tables, [*keep, "first_line", "table", "heading", "head"], {"context": fold_compacted(context)})
     return judged.filter(_is_relevant(F.col("context"))).select(
         *keep, "first_line", "table", "heading", "head", F.get("table", F.col("head")).alias("header")
     )
@@ -89,7 +88,7 @@ def relevant_tables(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 def table_rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Rows of the relevant tables with heading, header, excerpt and the inherited title."""
     tables = relevant_tables(docs, keep, text).withColumn(
-        "header_cells", F.transform(table_cells("header"), lambda cell: fold(cell))
+        "header_cells", folded_cells(table_cells("header"))
     )
     below = F.filter(
         F.transform(
@@ -97,7 +96,8 @@ def table_rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             lambda row, i: F.struct(
                 (F.col("first_line") + F.col("head") + 1 + i).alias("line_no"),
                 row.alias("row"),
-                compact(F.concat_ws(" ", "heading", "header", row)).alias("text"),
+                table_cells(row).alias("cells"),
+                F.trim(F.concat_ws(" ", "heading", "header", row)).alias("text"),
             ),
         ),
         lambda item: ~F.contains(item["row"], F.lit("---")) & (F.length(item["text"]) > 20),
@@ -105,7 +105,7 @@ def table_rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     held = tables.withColumn("below", below).withColumn("title_at", _title_index(F.col("header_cells")))
     titled = held.withColumn(
         "titles",
-        F.transform("below", lambda item: arrays.cell_at(table_cells(item["row"]), F.col("title_at"))),
+        F.transform("below", lambda item: arrays.cell_at(item["cells"], F.col("title_at"))),
     ).withColumn("carried", arrays.carry(F.col("titles")))
     rows = titled.select(
         *keep,
@@ -123,7 +123,7 @@ def table_rows(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
         "header",
         "header_cells",
         F.col("item.below.row").alias("row"),
-        table_cells("item.below.row").alias("cells"),
+        F.col("item.below.cells").alias("cells"),
         F.col("item.titles").alias("title"),
         F.when((F.col("item.titles") == "") & (F.col("item.carried") != ""), F.col("item.carried")).alias(
             "inherited_title"
@@ -146,14 +146,14 @@ def paragraphs(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     )
     wanted = F.filter(blocks, lambda b: ~F.startswith(b["line"], F.lit("|")) & (F.length(b["line"]) >= 20))
     blocks_of = lines.select(*keep, F.explode(wanted).alias("block"))
-    rows = settle(blocks_of, [*keep, "block"], {"folded": fold("block.context")})
+    rows = settle(blocks_of, [*keep, "block"], {"folded": fold_compacted("block.context")})
     return rows.filter(
         _benefit(F.col("folded")).isNotNull() & contains_any(F.col("folded"), vocab.CONTEXT_TERMS)
     ).select(
         *keep,
         F.lit("paragraph").alias("kind"),
         F.col("block.line_no").alias("line_no"),
-        F.substring(compact("block.context"), 1, vocab.EXCERPT_LENGTH).alias("excerpt"),
+        F.substring("block.context", 1, vocab.EXCERPT_LENGTH).alias("excerpt"),
         F.col("block.line").alias("row"),
     )
 
@@ -177,32 +177,39 @@ def explicit_facts(rows: DataFrame) -> DataFrame:
             "_score_at": arrays.first_index(heads, lambda h: contains_any(h, vocab.EXPLICIT_SCORE)),
             "_pairs": F.transform(
                 heads,
-                lambda h, i: F.struct(h.alias("head"), arrays.cell_at(F.col("cells"), i).alias("cell")),
+                lambda h, i: F.struct(h.alias("head"), arrays.cell_at(F.col("cells"), i).alias("cell"), i.alias("at")),
             ),
+            "_plain_heads": unquoted_cells(heads),
+            "_plain": unquoted_cells(cells),
         }
     )
 
+    def plain(at: Column) -> Column:
+        return arrays.cell_at(F.col("_plain"), at)
+
     def statuses(pair: Column) -> Column:
-        granted = fold(pair["cell"]).isin(*vocab.EXPLICIT_GRANTED)
+        granted = fold_compacted(pair["cell"]).isin(*vocab.EXPLICIT_GRANTED)
         by_column = F.array_compact(
             F.array(
                 F.when(F.contains(pair["head"], F.lit(vocab.WINNER_FRAGMENT)) & granted, "winner"),
                 F.when(F.contains(pair["head"], F.lit(vocab.PRIZE_FRAGMENT)) & granted, "prize_winner"),
             )
         )
-        return F.when(contains_any(pair["head"], vocab.EXPLICIT_HOLDER), holder_statuses(pair["cell"])).otherwise(
+        return F.when(contains_any(pair["head"], vocab.EXPLICIT_HOLDER), holders_in(plain(pair["at"]))).otherwise(
             by_column
         )
 
     valued = staged.withColumns(
         {
-            "_selectors": selectors(arrays.cell_at(cells, F.col("_programme_at"))),
+            "_selectors": let(arrays.cell_at(cells, F.col("_programme_at")), selectors_in),
             "_statuses": F.array_distinct(F.flatten(F.transform("_pairs", statuses))),
             "_benefits": F.array_distinct(
                 F.array_compact(
                     F.transform(
                         "_pairs",
-                        lambda p: cell_benefit(p["head"], p["cell"], contains_any(p["head"], vocab.EXPLICIT_BENEFIT)),
+                        lambda p: benefit_in(
+                            F.get("_plain_heads", p["at"]), plain(p["at"]), contains_any(p["head"], vocab.EXPLICIT_BENEFIT)
+                        ),
                     )
                 )
             ),
@@ -223,8 +230,8 @@ def explicit_facts(rows: DataFrame) -> DataFrame:
         F.col("_selectors").alias("selectors"),
         F.col("_statuses").alias("statuses"),
         F.col("_benefits").alias("benefits"),
-        F.when(F.col("_subject_at").isNotNull(), exact_subject(arrays.cell_at(cells, F.col("_subject_at")))).alias("subject"),
-        F.when(F.col("_score_at").isNotNull(), cell_score(arrays.cell_at(cells, F.col("_score_at")))).alias("score"),
+        F.when(F.col("_subject_at").isNotNull(), subject_in(plain(F.col("_subject_at")))).alias("subject"),
+        F.when(F.col("_score_at").isNotNull(), score_in(plain(F.col("_score_at")))).alias("score"),
         F.col("_title").alias("title"),
         F.col("_profile").alias("profile"),
     )
@@ -308,7 +315,7 @@ def find_candidates(docs: DataFrame, keep: list[str], text: str, digest: str) ->
     )
     found = (
         from_tables.unionByName(prose)
-        .withColumn("folded", fold("excerpt"))
+        .withColumn("folded", fold_compacted(F.trim("excerpt")))
         .withColumn("read_benefit", _benefit(F.col("folded")))
         .withColumn("source_locator", F.concat(F.lit(LINE), F.col("line_no")))
     )
