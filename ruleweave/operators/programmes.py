@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave import vocab
 from ruleweave.functions import arrays
-from ruleweave.functions.classify import is_direction, programme_level, split_code, valid_name
-from ruleweave.functions.tables import by_alias_priority, is_heading_line, is_table_line
-from ruleweave.functions.text import DIRECTION_CODE, FULL_CODE, compact, fold, let, split_lines, strip
+from ruleweave.functions.classify import is_direction, programme_level, split_code_in, valid_name_in
+from ruleweave.functions.tables import by_alias_priority, folded_cells, is_heading_line, is_table_line
+from ruleweave.functions.text import DIRECTION_CODE, FULL_CODE, compact, fold, fold_compacted, let, split_lines, strip
 from ruleweave.operators.documents import tables_in
 from ruleweave.operators.ordered import keep_first
 from ruleweave.operators.stages import settle
@@ -63,7 +63,7 @@ def _by_name(table: Column, form: Column, read) -> Column:
     def named(heads: Column) -> Column:
         return let(_name_index(heads, form["name_headers"]), lambda at: F.when(at.isNotNull(), read(heads, at)))
 
-    return let(F.transform(table["headers"], lambda h: fold(h)), named)
+    return let(folded_cells(table["headers"]), named)
 
 
 def table_programmes(table: Column, form: Column) -> Column:
@@ -74,18 +74,18 @@ def table_programmes(table: Column, form: Column) -> Column:
 
     def of(row: Column, code_at: Column, name_at: Column) -> Column:
         cells, name_cell = row["cells"], arrays.cell_at(row["cells"], name_at)
-        own = F.when(code_at.isNotNull(), split_code(arrays.cell_at(cells, code_at)))
-        return _with({"own": own, "embedded": split_code(name_cell)}, lambda parts: parted(row, name_cell, parts))
+        own = F.when(code_at.isNotNull(), let(arrays.cell_at(cells, code_at), split_code_in))
+        return _with({"own": own, "embedded": let(name_cell, split_code_in)}, lambda parts: parted(row, name_cell, parts))
 
     def parted(row: Column, name_cell: Column, parts: Column) -> Column:
         filled = lambda value: F.when(value != "", value)
-        name = compact(F.coalesce(filled(parts["own"]["title"]), filled(parts["embedded"]["title"]), name_cell))
+        name = F.coalesce(filled(parts["own"]["title"]), filled(parts["embedded"]["title"]), name_cell)
         return _with({"code": F.coalesce(parts["own"]["code"], parts["embedded"]["code"]), "name": name}, lambda found: made(row, found))
 
     def made(row: Column, found: Column) -> Column:
         code, coded = found["code"], found["code"].isNotNull()
         level = programme_level(code, F.array_join(F.concat(table["headers"], row["cells"]), " "))
-        kept = (~coded | is_direction(code)) & (coded | ~form["require_code"]) & valid_name(found["name"])
+        kept = (~coded | is_direction(code)) & (coded | ~form["require_code"]) & valid_name_in(found["name"])
         return F.when(kept, _item(code, found["name"], level, _table_locator(table, row["line"]), _excerpt(F.array_join(row["cells"], " | ")), row["line"]))
 
     return _by_name(table, form, read)
@@ -93,28 +93,27 @@ def table_programmes(table: Column, form: Column) -> Column:
 
 def code_line_programmes(lines: Column) -> Column:
     """Lines with a full code; a line without a title takes the nearest heading above it."""
-    numbered = F.transform(
-        lines,
-        lambda line, i: F.struct(
-            (i + 1).alias("line_no"), line.alias("raw"), compact(F.ltrim(line, F.lit("# "))).alias("text")
-        ),
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("raw")))
+    texts = F.transform(
+        F.filter(numbered, lambda row: ~is_table_line(row["raw"])),
+        lambda row: row.withField("text", compact(F.ltrim(row["raw"], F.lit("# ")))),
     )
 
     def read(free: Column) -> Column:
-        titles = F.transform(free, lambda row: F.when(is_heading_line(row["raw"]) & valid_name(row["text"]), row["text"]).otherwise(""))
+        titles = F.transform(free, lambda row: F.when(is_heading_line(row["raw"]) & valid_name_in(row["text"]), row["text"]).otherwise(""))
         return let(titles, lambda t: let(arrays.carry(t), lambda above: F.array_compact(F.transform(free, lambda row, i: coded(row, F.get(t, i), F.get(above, i))))))
 
     def coded(row: Column, title: Column, above: Column) -> Column:
-        return F.when((title == "") & row["text"].rlike(DIRECTION_CODE), let(split_code(row["text"]), lambda parts: parted(row, above, parts)))
+        return F.when((title == "") & row["text"].rlike(DIRECTION_CODE), let(split_code_in(row["text"]), lambda parts: parted(row, above, parts)))
 
     def parted(row: Column, above: Column, parts: Column) -> Column:
         name = F.when(parts["title"] != "", parts["title"]).otherwise(above)
-        return let(name, lambda own: F.when(is_direction(parts["code"]) & valid_name(own), _item(
+        return let(name, lambda own: F.when(is_direction(parts["code"]) & valid_name_in(own), _item(
             parts["code"], own, programme_level(parts["code"], F.concat_ws(" ", row["text"], above)),
             F.concat(F.lit("markdown:line:"), row["line_no"]), _excerpt(row["text"]), row["line_no"],
         )))
 
-    return let(F.filter(numbered, lambda row: ~is_table_line(row["raw"]) & (row["text"] != "")), read)
+    return let(F.filter(texts, lambda row: row["text"] != ""), read)
 
 
 def card_programmes(lines: Column) -> Column:
@@ -135,7 +134,7 @@ def card_programmes(lines: Column) -> Column:
 
     def of(head: Column, section: Column) -> Column:
         title = head["title"]
-        kept = (head["level"] == 3) & section.isNotNull() & F.contains(fold(section), F.lit(vocab.SECTION_WORD)) & valid_name(title)
+        kept = (head["level"] == 3) & section.isNotNull() & F.contains(fold_compacted(section), F.lit(vocab.SECTION_WORD)) & valid_name_in(title)
         place = F.concat(F.lit("markdown:heading:"), head["line_no"])
         return F.when(kept, _item(F.lit(None).cast("string"), title, F.lit("bachelor"), place, title, head["line_no"]))
 
@@ -161,7 +160,7 @@ def summary_programmes(table: Column, form: Column) -> Column:
         is_unit = (unit != "") & (F.upper(unit) == unit) & unit.rlike(r"\p{L}")
         level = programme_level(above, F.array_join(row["cells"], " "))
         made = _item(above, name, level, _table_locator(table, row["line"]), _excerpt(F.array_join(row["cells"], " | ")), row["line"])
-        return F.when((own == "") & (above != "") & is_unit & valid_name(name), made)
+        return F.when((own == "") & (above != "") & is_unit & valid_name_in(name), made)
 
     return _by_name(table, form, read)
 
