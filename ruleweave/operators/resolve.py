@@ -202,9 +202,10 @@ def catalogue_match(
     matched once each, however many profiles share them. A profile name counts when it is long
     enough and part of the text; its first letters are equi-joined with the letter grams of the
     text, so the profiles of one title are never paired with all texts that name the title. The
-    title hits are checkpointed as narrow pairs, which every later step reads.
+    title hits are checkpointed as narrow pairs and the profiles as their counted names, which every later
+    step reads.
     """
-    names = profile_names(profiles, scope)
+    names = cut_lineage(profile_names(profiles, scope))
     titles = names.groupBy(*scope, "title_key").agg(F.sum("n").alias("n_profiles"))
     hits = hit_pairs(candidates, key, text, titles, scope, prefixes, generic)
     present = names_in_text(candidates, key, text, hits, names, scope).groupBy(*scope, "text_key").agg(
@@ -262,34 +263,52 @@ def expanded(choices: DataFrame, classes: DataFrame, scope: Sequence[str] = ())
     return named.unionByName(whole)
 
 
+#: Programmes of a scope that bear a folded name or code, that are the code-only scope of it, and that have it as name.
+HITS = ("_name_hits", "_code_hits", "_title_hits")
+
+
+def programme_hits(programmes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Programmes counted per scope and folded name or code, in one grouping.
+
+    A full code folds to a text of its own, so the code-only scopes of a code are among the programmes of
+    its folded form.
+    """
+    full = (F.col("catalogue_status") == "code_only") & direction_code("external_code").eqNullSafe(F.col("external_code"))
+    folded = programmes.select(
+        *scope, "programme_id", fold_tokens("name").alias("_title"), fold_tokens("external_code").alias("_folded"),
+        F.coalesce(full, F.lit(False)).alias("_full"),
+    )
+    names = F.array_distinct(F.array_compact(F.array("_title", "_folded")))
+    is_code = F.col("_full") & F.col("_name").eqNullSafe(F.col("_folded"))
+    return (
+        folded.select(*scope, "programme_id", "_title", "_folded", "_full", F.explode(names).alias("_name"))
+        .groupBy(*scope, "_name")
+        .agg(
+            F.count(F.lit(1)).alias("_name_hits"), F.min("programme_id").alias("_name_id"),
+            F.count_if(is_code).alias("_code_hits"), F.min(F.when(is_code, F.col("programme_id"))).alias("_code_id"),
+            F.count_if(F.col("_name").eqNullSafe(F.col("_title"))).alias("_title_hits"),
+        )
+    )
+
+
 def unique_programme(
-    candidates: DataFrame, selector: str, programmes: DataFrame, scope: Sequence[str], output: str = "programme_id"
+    candidates: DataFrame, selector: str, programmes: DataFrame, scope: Sequence[str], output: str = "programme_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Resolve a selector to exactly one programme of its scope, else NULL.
 
     A full code goes to the single code-only scope of that code; several of those stop the search.
     Otherwise the one programme whose folded name or code equals the selector. Programmes are
-    counted per key before the join, so no candidate row is multiplied.
+    counted per key before the one join, so no candidate row is multiplied.
 
     ``programmes`` has programme_id, external_code, name, catalogue_status and the scope columns.
+    ``keep`` names those of ``HITS`` that the result is to have, 0 where there is none.
     """
-    code_only = (
-        programmes.filter((F.col("catalogue_status") == "code_only") & F.col("external_code").isNotNull())
-        .groupBy(*scope, F.col("external_code").alias("_code"))
-        .agg(F.count(F.lit(1)).alias("_code_hits"), F.min("programme_id").alias("_code_id"))
-    )
-    names = F.array_distinct(F.array_compact(F.array(fold_tokens("name"), fold_tokens("external_code"))))
-    named = (
-        programmes.select(*scope, "programme_id", F.explode(names).alias("_name"))
-        .groupBy(*scope, "_name")
-        .agg(F.count(F.lit(1)).alias("_name_hits"), F.min("programme_id").alias("_name_id"))
-    )
-    keyed = candidates.withColumn("_code", direction_code(selector)).withColumn("_name", fold_tokens(selector))
-    joined = keyed.join(code_only, [*scope, "_code"], "left").join(named, [*scope, "_name"], "left")
-    found = F.when(F.col("_code_hits") == 1, F.col("_code_id")).when(
-        F.col("_code_hits").isNull() & (F.col("_name_hits") == 1), F.col("_name_id")
-    )
-    return joined.withColumn(output, found).drop("_code", "_name", "_code_hits", "_code_id", "_name_hits", "_name_id")
+    keyed = candidates.withColumn("_is_code", direction_code(selector).isNotNull()).withColumn("_name", fold_tokens(selector))
+    joined = keyed.join(programme_hits(programmes, scope), [*scope, "_name"], "left").na.fill(0, list(HITS))
+    coded = F.col("_is_code") & (F.col("_code_hits") > 0)
+    found = F.when(coded, F.when(F.col("_code_hits") == 1, F.col("_code_id"))).when(F.col("_name_hits") == 1, F.col("_name_id"))
+    return joined.withColumn(output, found).select(*[c for c in candidates.columns if c != output], *keep, output)
 
 
 def named_scope(candidate_adapter: Column, payload_kind: Column, programme: Column) -> Column:
@@ -315,18 +334,34 @@ def missing_scopes(
     code = direction_code(selector)
     codes = candidates.withColumn("external_code", code).filter(F.col("external_code").isNotNull())
     known_codes = programmes.filter(F.col("catalogue_status") == "code_only").select(*scope, "external_code")
-    new_codes = keep_first(codes.join(known_codes, [*scope, "external_code"], "left_anti"), [*scope, "external_code"], order)
-    new_codes = new_codes.select(
+    names = candidates.filter(code.isNull() & F.col(named).isNotNull()).withColumn("_name", fold_tokens(named))
+    known_names = programmes.select(*scope, fold_tokens("name").alias("_name"))
+    return _scopes(
+        codes.join(known_codes, [*scope, "external_code"], "left_anti"), names.join(known_names, [*scope, "_name"], "left_anti"),
+        named, scope, order,
+    )
+
+
+def unknown_scopes(candidates: DataFrame, selector: str, named: str, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``missing_scopes`` of candidates that have the ``HITS`` of their selector already, so the programmes are not read again.
+
+    ``named`` is the selector itself where it is permitted, so it folds to the same name.
+    """
+    code = direction_code(selector)
+    codes = candidates.withColumn("external_code", code).filter(F.col("external_code").isNotNull() & (F.col("_code_hits") == 0))
+    names = candidates.filter(code.isNull() & F.col(named).isNotNull() & (F.col("_title_hits") == 0))
+    return _scopes(codes, names.withColumn("_name", fold_tokens(named)), named, scope, order)
+
+
+def _scopes(codes: DataFrame, names: DataFrame, named: str, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
+    new_codes = keep_first(codes, [*scope, "external_code"], order).select(
         *scope,
         "external_code",
         F.concat(F.lit(vocab.CODE_SCOPE_LABEL), F.col("external_code")).alias("name"),
         F.lit("code_only").alias("catalogue_status"),
         level_of_code("external_code").alias("degree_level"),
     )
-    names = candidates.filter(code.isNull() & F.col(named).isNotNull()).withColumn("_name", fold_tokens(named))
-    known_names = programmes.select(*scope, fold_tokens("name").alias("_name"))
-    new_names = keep_first(names.join(known_names, [*scope, "_name"], "left_anti"), [*scope, "_name"], order)
-    new_names = new_names.select(
+    new_names = keep_first(names, [*scope, "_name"], order).select(
         *scope,
         F.lit(None).cast("string").alias("external_code"),
         F.col(named).alias("name"),

@@ -11,32 +11,41 @@ from ruleweave.operators.incremental import observe, publish_queue
 from ruleweave.operators.merge import upsert
 from ruleweave.operators.ordered import keep_last
 from ruleweave.operators.resolve import (
-    alternatives, catalogue_match, expanded, gate_reason, missing_scopes, named_scope, unique_programme,
+    alternatives, catalogue_match, expanded, gate_reason, named_scope, unique_programme, unknown_scopes,
 )
 from ruleweave.plans.catalog import approved_profiles
 from ruleweave.plans.keys import surrogate
-from ruleweave.session import cut_lineage
+from ruleweave.session import cut_lineage, stored
 from ruleweave.sources import pointers, releases
 
 Tables = Mapping[str, DataFrame]
 RULE_KEY = ["admission_campaign_id", "university_program_id", "olympiad_profile_id", "diploma_status", "benefit_kind"]
 QUEUE_ORDER = ["queue_class", "created_at", "candidate_id"]
 LOCATION = ["university_location_id"]
+#: What the queue takes of a candidate, what its resolution reads of it, and what is still read once it is judged.
+CLAIMED = (
+    "created_at", "review_status", "automatic_status", "automatic_note", "confidence", "raw_programme_name", "raw_olympiad_name",
+    "raw_profile_name", "suggested_olympiad_level", "suggested_diploma_status", "suggested_benefit_kind",
+)
+JUDGED = ("candidate_id", "created_at", "queue_class", "automatic_status", "automatic_note", "adapter_code", "payload_kind")
+PLACED = (*JUDGED, "university_id", "university_location_id", "raw_programme_name", "suggested_olympiad_level", "catalogue_year", "identity", "reason")
 #: Alternatives that are written into a candidate's own record.
 INLINE = 200
 
 
+def _derived_level() -> Column:
+    return F.coalesce((F.col("catalogue_status") == "code_only") & F.col("external_code").rlike(FULL_CODE), F.lit(False))
+
+
 def sync_code_levels(programmes: DataFrame) -> DataFrame:
     """Degree level of code-only rows follows from their code."""
-    derived = (F.col("catalogue_status") == "code_only") & F.col("external_code").rlike(FULL_CODE)
     return programmes.withColumn(
-        "degree_level",
-        F.when(F.coalesce(derived, F.lit(False)), level_of_code("external_code")).otherwise(F.col("degree_level")),
+        "degree_level", F.when(_derived_level(), level_of_code("external_code")).otherwise(F.col("degree_level"))
     )
 
 
 def queue(t: Tables, limit: int | None = None) -> DataFrame:
-    """Waiting candidates with everything their resolution needs."""
+    """Waiting candidates with what their resolution needs; texts of any length stay in the table."""
     runs = t["admission_parse_runs"].select(
         F.col("id").alias("parse_run_id"), "adapter_code", "admission_source_target_id"
     )
@@ -47,24 +56,24 @@ def queue(t: Tables, limit: int | None = None) -> DataFrame:
     campaigns = t["admission_campaigns"].select(
         F.col("id").alias("admission_campaign_id"), "university_id", "campaign_year"
     )
-    documents = t["source_documents"].select(F.col("id").alias("source_document_id"), F.col("url").alias("source_url"))
-    candidates = t["admission_rule_candidates"].withColumnsRenamed(
-        {"id": "candidate_id", "admission_parse_run_id": "parse_run_id"}
-    ).drop("university_program_id", "olympiad_profile_id", "match_status")
+    documents = t["source_documents"].select(F.col("id").alias("source_document_id"))
+    candidates = t["admission_rule_candidates"].select(
+        F.col("id").alias("candidate_id"), F.col("admission_parse_run_id").alias("parse_run_id"), "admission_campaign_id", "source_document_id",
+        F.coalesce("payload_kind", F.get_json_object("raw_payload", "$.kind")).alias("payload_kind"), *CLAIMED,
+    )
+    # What a run stands for is joined once a run, not once a candidate.
     joined = (
-        candidates.join(runs, "parse_run_id")
-        .join(targets, "admission_source_target_id")
+        candidates.join(runs.join(targets, "admission_source_target_id").drop("admission_source_target_id"), "parse_run_id")
         .join(campaigns, "admission_campaign_id")
-        .join(documents, "source_document_id")
+        .join(documents, "source_document_id", "left_semi")
         .withColumn("catalogue_year", F.coalesce("config_year", F.col("campaign_year") - 1))
-        .withColumn("payload_kind", F.coalesce("payload_kind", F.get_json_object("raw_payload", "$.kind")))
-        .drop("campaign_year", "config_year")
+        .drop("campaign_year", "config_year", "parse_run_id", "admission_campaign_id", "source_document_id")
     )
     return publish_queue(joined, limit)
 
 
-def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(outcome per candidate, programmes with the scopes that had to be created).
+def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(outcome per candidate, programmes with the scopes that had to be created or None if there are none of these).
 
     Resolution runs twice: scopes are created from what the first pass leaves open, then only the
     open candidates are resolved again.
@@ -76,7 +85,13 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
             [F.col("raw_programme_name"), F.col("raw_olympiad_name"), F.col("raw_profile_name")],
             F.col("suggested_diploma_status"), F.col("suggested_benefit_kind"),
         ),
+    ).withColumns(
+        {
+            "catalogue_year": F.col("catalogue_year").cast("int"),
+            "identity": F.concat_ws(" | ", "raw_olympiad_name", "raw_profile_name"),
+        }
     )
+    gated = gated.select(*[c for c in PLACED if c in gated.columns])
     programmes = sync_code_levels(t["university_programs"])
 
     def known(table: DataFrame) -> DataFrame:
@@ -85,42 +100,37 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
 
     # The claimed queue with its first resolution is read several times below.
-    placed = cut_lineage(unique_programme(gated, "raw_programme_name", known(programmes), LOCATION))
-    blocked = placed.filter("reason IS NOT NULL").drop("programme_id")
+    hits = ["_code_hits", "_title_hits"]
+    placed = stored(unique_programme(gated, "raw_programme_name", known(programmes), LOCATION, keep=hits))
+    blocked = placed.filter("reason IS NOT NULL").drop("programme_id", *hits)
     complete = placed.filter("reason IS NULL")
     open_rows = complete.filter("programme_id IS NULL").withColumn(
         "named", named_scope(F.col("adapter_code"), F.col("payload_kind"), F.col("raw_programme_name"))
     )
     scope_keys = ["university_id", *LOCATION, "external_code", "name"]
-    created = missing_scopes(
-        open_rows, "raw_programme_name", "named", known(programmes), LOCATION, QUEUE_ORDER
-    )
+    created = unknown_scopes(open_rows, "raw_programme_name", "named", LOCATION, QUEUE_ORDER)
     owners = complete.select(*LOCATION, "university_id").distinct()
-    fresh = cut_lineage(
+    fresh = stored(
         created.join(owners, LOCATION).select(
             surrogate(*scope_keys).alias("id"), *scope_keys, "catalogue_status", "degree_level",
             F.lit(True).alias("is_active"),
         )
     )
-    grown = upsert(programmes, fresh, scope_keys, update=["is_active", "degree_level", "catalogue_status"])
-    # Matching reads what follows in many steps: without a cut each would join the whole catalogue anew.
-    second = cut_lineage(unique_programme(open_rows.drop("programme_id", "named"), "raw_programme_name", known(grown), LOCATION))
-    resolved = complete.filter("programme_id IS NOT NULL").unionByName(second).withColumn(
+    grown, second = None, open_rows.drop("named", *hits)
+    if not fresh.isEmpty():  # without a new scope the open candidates stay open
+        grown = stored(upsert(programmes, fresh, scope_keys, update=["is_active", "degree_level", "catalogue_status"]))
+        # Matching reads what follows in many steps: without a cut each would join the whole catalogue anew.
+        second = stored(unique_programme(second.drop("programme_id"), "raw_programme_name", known(grown), LOCATION))
+    resolved = complete.filter("programme_id IS NOT NULL").drop(*hits).unionByName(second).withColumn(
         "reason", F.when(F.col("programme_id").isNull(), "programme_not_exactly_mapped_for_location")
     )
     profiles = approved_profiles(t).withColumn("catalogue_year", F.col("campaign_year").cast("int")).drop("campaign_year")
     # Many candidates state the same competition, so each distinct identity is matched once.
-    resolved = resolved.withColumns(
-        {
-            "catalogue_year": F.col("catalogue_year").cast("int"),
-            "identity": F.concat_ws(" | ", "raw_olympiad_name", "raw_profile_name"),
-        }
-    )
     texts = cut_lineage(resolved.filter("reason IS NULL").select("catalogue_year", "identity").distinct())
     keyed = texts.withColumn("identity_key", F.col("identity"))
-    matched = catalogue_match(keyed, "identity_key", "identity", profiles, ["catalogue_year"]).select(
+    matched = stored(catalogue_match(keyed, "identity_key", "identity", profiles, ["catalogue_year"]).select(
         "catalogue_year", "identity", "match_status", "match_reason", "matched_profile_id", "matched_level"
-    )
+    ))
     joined = resolved.join(matched, ["catalogue_year", "identity"], "left").withColumn(
         "matched_profile_id", F.when(F.col("reason").isNull(), F.col("matched_profile_id"))
     )
@@ -136,18 +146,59 @@ def outcomes(t: Tables, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
     )
     all_rows = judged.unionByName(blocked, allowMissingColumns=True)
-    return cut_lineage(all_rows), grown
+    return stored(all_rows.select(*[c for c in JUDGED if c in gated.columns], "reason", "programme_id", "matched_profile_id")), grown
 
 
 def publish(t: Tables, as_of: Column, limit: int | None = None) -> dict[str, DataFrame]:
-    """New versions of programmes, rules, candidates, reviews and observations, plus all outcomes."""
-    judged, programmes = outcomes(t, queue(t, limit))
+    """New versions of programmes, rules, candidates, reviews and observations, plus all outcomes.
+
+    A table that the queue changes nothing in is given back as it came.
+    """
+    judged, grown = outcomes(t, queue(t, limit))
+    result = {name: t[name] for name in PUBLISHED} | {"outcomes": judged}
+    if grown is not None:
+        result["university_programs"] = grown
+    else:
+        level = level_of_code("external_code")
+        stale = t["university_programs"].filter(_derived_level() & ~F.col("degree_level").eqNullSafe(level))
+        if not stale.isEmpty():
+            result["university_programs"] = sync_code_levels(t["university_programs"])
+    good = judged.filter("reason IS NULL")
+    numbered = None if good.isEmpty() else _numbered(t, good, as_of, result)
+    published = (
+        judged.sparkSession.createDataFrame([], "candidate_id long, rule_id long, programme_id long, matched_profile_id long")
+        if numbered is None
+        else numbered.select("candidate_id", "rule_id", "programme_id", "matched_profile_id")
+    )
+    same = F.col("automatic_status").eqNullSafe("blocked") & F.col("automatic_note").eqNullSafe(F.col("reason"))
+    marks = (
+        judged.select("candidate_id", "reason", same.alias("_same"))
+        .join(published, "candidate_id", "left")
+        .filter(F.col("rule_id").isNotNull() | ~F.col("_same"))
+        .drop("_same")
+        .withColumnRenamed("candidate_id", "id")
+    )
+    if not marks.isEmpty():
+        result["admission_rule_candidates"] = _marked(t["admission_rule_candidates"], marks, as_of)
+    return result
+
+
+def _numbered(t: Tables, good: DataFrame, as_of: Column, result: dict[str, DataFrame]) -> DataFrame:
+    """Publish the resolved candidates into ``result`` and return them with their rules."""
     subjects = t["subjects"].select(
         F.col("id").alias("suggested_confirmation_subject_id"), F.col("id").alias("confirmation_subject_id")
     )
+    documents = t["source_documents"].select(F.col("id").alias("source_document_id"), F.col("url").alias("source_url"))
+    texts = t["admission_rule_candidates"].select(
+        F.col("id").alias("candidate_id"), "admission_campaign_id", "source_document_id", F.col("admission_parse_run_id").alias("parse_run_id"),
+        "source_locator", "source_excerpt", "suggested_diploma_status", "suggested_benefit_kind", "suggested_confirmation_subject_id",
+        "suggested_confirmation_min_score",
+    )
     prefix = F.when(F.col("payload_kind") == "automatic_explicit_table_row", "automatic-table:").otherwise("strict-adapter:")
-    good = (
-        judged.filter("reason IS NULL")
+    good = stored(
+        good.select("candidate_id", "programme_id", "matched_profile_id", "adapter_code", "payload_kind", "queue_class", "created_at")
+        .join(texts, "candidate_id")
+        .join(documents, "source_document_id")
         .join(subjects, "suggested_confirmation_subject_id", "left")
         .withColumns(
             {
@@ -167,7 +218,7 @@ def publish(t: Tables, as_of: Column, limit: int | None = None) -> dict[str, Dat
         F.lit("strict_adapter").alias("publication_method"), as_of.alias("verified_at"),
         F.col("actor").alias("verified_by"), as_of.alias("last_seen_at"), F.lit(True).alias("is_active"),
     )
-    rules = upsert(
+    rules = result["benefit_rules"] = upsert(
         t["benefit_rules"], changes, RULE_KEY,
         update=[
             "confirmation_subject_id", "confirmation_min_score", "source_url", "source_document_id",
@@ -177,7 +228,7 @@ def publish(t: Tables, as_of: Column, limit: int | None = None) -> dict[str, Dat
         guard="publication_method = 'strict_adapter'",
     )
     # Reviews, observations and marks follow from it: without a cut each would merge the rules anew.
-    numbered = cut_lineage(
+    numbered = stored(
         good.join(rules.select(F.col("id").alias("rule_id"), *RULE_KEY), RULE_KEY).select(
             "rule_id", "programme_id", "matched_profile_id", "olympiad_profile_id", "actor", "source_document_id", "parse_run_id",
             "source_locator", "source_excerpt", *QUEUE_ORDER,
@@ -199,22 +250,22 @@ def publish(t: Tables, as_of: Column, limit: int | None = None) -> dict[str, Dat
         F.col("candidate_id").alias("admission_rule_candidate_id"), F.lit("present").alias("observed_status"),
         "source_locator", "source_excerpt", as_of.alias("observed_at"),
     )
-    observations = observe(t["benefit_rule_observations"], seen, ["benefit_rule_id", "source_document_id"])
-    published = numbered.select("candidate_id", "rule_id", "programme_id", "matched_profile_id")
-    marks = (
-        judged.select("candidate_id", "reason")
-        .join(published, "candidate_id", "left")
-        .withColumnRenamed("candidate_id", "id")
-    )
+    result["benefit_rule_observations"] = observe(t["benefit_rule_observations"], seen, ["benefit_rule_id", "source_document_id"])
+    result["admission_rule_reviews"] = t["admission_rule_reviews"].unionByName(reviews)
+    return numbered
+
+
+def _marked(candidates: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:
+    """Candidates with the marks (id, reason, rule_id, programme_id, matched_profile_id) written to those that still wait."""
     done, waiting = F.col("rule_id").isNotNull(), F.col("review_status") == "pending"
-    joined = t["admission_rule_candidates"].join(marks.withColumn("_judged", F.lit(True)), "id", "left")
+    joined = candidates.join(marks.withColumn("_judged", F.lit(True)), "id", "left")
     hit = F.coalesce(F.col("_judged") & waiting, F.lit(False))
 
     def mark(name: str, published_value: Column, blocked_value: Column | None = None) -> Column:
         blocked_result = blocked_value if blocked_value is not None else F.col(name)
         return F.when(hit & done, published_value).when(hit, blocked_result).otherwise(F.col(name))
 
-    candidates = joined.select(
+    return joined.select(
         *[
             {
                 "university_program_id": mark("university_program_id", F.col("programme_id")),
@@ -226,17 +277,9 @@ def publish(t: Tables, as_of: Column, limit: int | None = None) -> dict[str, Dat
                 "automatic_status": mark("automatic_status", F.lit("published"), F.lit("blocked")),
                 "automatic_note": mark("automatic_note", F.lit("exact_programme_and_rsosh_profile"), F.col("reason")),
             }.get(c, F.col(c)).alias(c)
-            for c in t["admission_rule_candidates"].columns
+            for c in candidates.columns
         ]
     )
-    return {
-        "university_programs": programmes,
-        "benefit_rules": rules,
-        "admission_rule_candidates": candidates,
-        "admission_rule_reviews": t["admission_rule_reviews"].unionByName(reviews),
-        "benefit_rule_observations": observations,
-        "outcomes": judged,
-    }
 
 
 PUBLISHED = (
@@ -257,9 +300,10 @@ def publish_release(spark: SparkSession, root: str, as_of: Column, limit: int |
     """
     for attempt in range(attempts):
         number, folders = releases.current(spark, root)
-        result = publish(releases.read(spark, root, PUBLISHED + READ, folders), as_of, limit)
+        t = releases.read(spark, root, PUBLISHED + READ, folders)
+        result = publish(t, as_of, limit)
         try:
-            return releases.commit(spark, root, {name: result[name] for name in PUBLISHED}, number)
+            return releases.commit(spark, root, {name: result[name] for name in PUBLISHED if result[name] is not t[name]}, number)
         except pointers.Conflict:
             if attempt + 1 == attempts:
                 raise

@@ -10,7 +10,7 @@ from ruleweave.plans.publish import PUBLISHED, READ, outcomes, publish_queue, pu
 from ruleweave.plans.queries.base import CATALOGUE_SQL, Source, catalogue, query
 from ruleweave.plans.queries.scalars import sql_tokens
 from ruleweave.schemas import TABLES
-from ruleweave.session import shared_folder
+from ruleweave.session import shared_folder, stored
 from ruleweave.sources import releases
 
 # Both sides are folded to single-space tokens, so presence is plain containment in padded text.
@@ -262,7 +262,7 @@ judged AS (
 """
 
 
-def _candidates(s: Source) -> DataFrame:
+def _candidates(s: Source, *more: Column) -> DataFrame:
     firsts = s.lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
     owner = s.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("university_id"))
     orders = s.orders.join(firsts, F.col("o_orderkey") == F.col("l_orderkey")).join(s.part, "p_partkey").join(owner, "o_custkey")
@@ -279,7 +279,7 @@ def _candidates(s: Source) -> DataFrame:
         F.concat(F.lit("Contest "), "p_brand").alias("raw_olympiad_name"), F.col("p_name").alias("raw_profile_name"),
         F.lit("winner").alias("suggested_diploma_status"), F.lit("bvi").alias("suggested_benefit_kind"),
         F.when(F.col("o_totalprice") > 250000, 1).cast("short").alias("suggested_olympiad_level"), F.lit(2026).alias("catalogue_year"),
-        F.col("o_orderdate").alias("created_at"), F.lit("pending").alias("review_status"), F.lit("pending_resolution").alias("automatic_status"),
+        F.col("o_orderdate").alias("created_at"), F.lit("pending").alias("review_status"), F.lit("pending_resolution").alias("automatic_status"), *more,
     )
 
 
@@ -326,9 +326,9 @@ EARLIER, NOW = "2026-02-01 00:00:00", "2026-03-01 00:00:00"
 def _published(s: Source) -> dict[str, DataFrame]:
     """The publication job on stored tables, run twice: the second time must leave the release as it is."""
     t = dict(catalogue(s))
-    firsts = s.lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_part"))
-    judged = _candidates(s).join(firsts, F.col("candidate_id") == F.col("l_orderkey"))
-    judged = judged.withColumn("admission_campaign_id", F.col("university_id") * 10000 + 1996)
+    campaign = F.col("university_id") * 10000 + 1996
+    # Candidates, rules, reviews and observations are made of it: without a cut each would read the lines anew.
+    judged = stored(_candidates(s, F.col("p_partkey").alias("first_part")).withColumn("admission_campaign_id", campaign))
     customer, key = s.customer.select("c_custkey"), F.col("c_custkey")
     t["admission_source_targets"] = _as("admission_source_targets", customer, {
         "id": key, "university_location_id": key, "adapter_config": F.lit('{"rsosh_catalogue_year": 2026}')})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ruleweave.schemas import TABLES
 from ruleweave.sources import pointers
@@ -31,10 +31,14 @@ def read(spark: SparkSession, root: str, names: Iterable[str] | None = None, rel
     }
 
 
-def _digest(frame: DataFrame) -> tuple:
+def _sums(frame: DataFrame) -> list[Column]:
     """Size and order-free checksums of a table's rows."""
     row = F.xxhash64(*frame.columns)
-    return tuple(frame.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(row.cast("decimal(38,0)"))).first())
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("xor"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("sum")]
+
+
+def _digest(frame: DataFrame) -> dict:
+    return frame.agg(*_sums(frame)).first().asDict()
 
 
 def commit(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], after: int) -> int:
@@ -45,17 +49,22 @@ def commit(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], afte
     with the folders of the tables that stay. Until then, and if anything fails or another release came
     first (``pointers.Conflict``), readers see the release before and the new folders belong to nobody.
     A table whose rows are those of the release before keeps its folder; if all do, there is no new
-    release, so the same work done twice is published once.
+    release, so the same work done twice is published once. The manifest holds the checksums of the
+    tables, taken while they are written, so neither version is read for the comparison; those that it
+    lacks are taken from the folder.
     """
-    number, folders = current(spark, root)
+    found = pointers.current(spark, _manifests(root))
+    number, entry = found or (0, {"tables": {}})
     if number != after:
         raise pointers.Conflict(f"{root} has moved on from {after}")
-    changed = {}
+    folders, digests, changed = entry["tables"], dict(entry.get("digests", {})), {}
     for name, frame in tables.items():
         schema = TABLES[name]
         folder = f"{root.rstrip('/')}/{name}/version={uuid.uuid4().hex}"
-        frame.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema]).write.parquet(folder)
-        written = spark.read.schema(schema).parquet(folder)
-        if name not in folders or _digest(written) != _digest(spark.read.schema(schema).parquet(folders[name])):
-            changed[name] = folder
-    return pointers.commit(spark, _manifests(root), {"tables": folders | changed}, after) if changed else number
+        shaped, written = frame.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema]), Observation()
+        shaped.observe(written, *_sums(shaped)).write.parquet(folder)
+        if name in folders and name not in digests:
+            digests[name] = _digest(spark.read.schema(schema).parquet(folders[name]))
+        if name not in folders or written.get != digests[name]:
+            changed[name], digests[name] = folder, written.get
+    return pointers.commit(spark, _manifests(root), {"tables": folders | changed, "digests": digests}, after) if changed else number

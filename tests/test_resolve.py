@@ -125,6 +125,27 @@ def test_programme_resolution(spark):
     assert got == {0: 2, 1: None, 2: None, 3: 3, 4: None, 5: 4, 6: 5}
 
 
+ODD = ["12.03.04", " 12.03.04", "12.03.04\n", "12 03 04", "12-03-04", "12.05.04", "Химия", "химия ", "«Химия»", "", None, "Ёлка", "елка", "\u00a012.05.04\u00a0"]
+
+
+def test_scopes_follow_from_the_hits_of_the_resolution(spark):
+    draw = random.Random(7)
+    rows = [
+        (draw.choice([1, 2, None]), n, draw.choice(ODD), draw.choice(ODD), draw.choice(["code_only", "named_verified", None])) for n in range(30)
+    ]
+    programmes = spark.createDataFrame(rows, "loc long, programme_id long, external_code string, name string, catalogue_status string")
+    asked = [(loc, n, selector) for n, (loc, selector) in enumerate(itertools.product([1, 2, 3, None], ODD))]
+    df = spark.createDataFrame(asked, "loc long, id int, selector string")
+    for keep in ("true", "catalogue_status = 'code_only'", "programme_id < 6", "false"):
+        some = programmes.filter(keep)
+        found = r.unique_programme(df, "selector", some, ["loc"], keep=["_code_hits", "_title_hits"])
+        named = found.filter("programme_id IS NULL").withColumn("named", F.when(r.direction_code("selector").isNull(), r.strip("selector")))
+        named = named.withColumn("named", F.nullif("named", F.lit("")))
+        got = r.unknown_scopes(named, "selector", "named", ["loc"], ["id"]).collect()
+        assert sorted(got, key=str) == sorted(r.missing_scopes(named, "selector", "named", some, ["loc"], ["id"]).collect(), key=str)
+        assert got
+
+
 def test_gate_names_the_first_reason(spark):
     columns = "adapter string, kind string, confidence int, loc long, p string, o string, f string, d string, b string"
     good = ("strict-hse-2026-v1", "strict_table_row", 100, 4, "01.03.02", "t", "f", "winner", "bvi")

@@ -6,7 +6,7 @@ from unittest import mock
 from pyspark.sql import functions as F
 
 from ruleweave.functions.text import unescape
-from ruleweave.operators import links
+from ruleweave.operators import links, resolve
 from ruleweave.operators.ordered import top_per_key
 from ruleweave.plans import publish
 from ruleweave.plans.queries import QUERIES, resolution
@@ -73,3 +73,22 @@ def test_matching_reads_identities_that_are_cut_off_from_the_catalogue(spark):
         except InterruptedError:
             pass
     assert "Join" not in physical(matching.call_args.args[0])
+
+
+def test_stored_tables_are_made_of_lines_read_once(spark):
+    with mock.patch.object(resolution.releases, "commit", side_effect=InterruptedError) as commit:
+        try:
+            resolution._published(Source(spark, FOLDER))
+        except InterruptedError:
+            pass
+    for name, frame in commit.call_args.args[2].items():
+        assert "lineitem" not in physical(frame), name
+
+
+def test_programmes_are_joined_once_by_a_resolution(spark):
+    rows = [(1, 0, "04.03.01", "Химия", "code_only")]
+    programmes = spark.createDataFrame(rows, "programme_id long, loc long, external_code string, name string, catalogue_status string")
+    selectors = spark.range(1).select(F.col("id").alias("loc"), F.lit("04.03.01").alias("selector"))
+    found = resolve.unique_programme(selectors, "selector", programmes, ["loc"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [row.programme_id for row in found.collect()] == [1]

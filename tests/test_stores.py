@@ -144,6 +144,43 @@ def test_a_publication_starts_anew_after_another(spark, world, tmp_path, monkeyp
     assert done["benefit_rules"].count() == world["benefit_rules"].count() and done["admission_rule_candidates"].filter("review_status <> 'rejected'").count() == 0
 
 
+def test_a_publication_that_changes_nothing_writes_nothing(spark, world, tmp_path):  # noqa: F811
+    root = str(tmp_path)
+    stored(spark, root, world)
+    folders = lambda: sorted(str(p) for p in tmp_path.glob("*/version=*"))
+    assert publish.publish_release(spark, root, now()) == 2
+    done = folders()
+    assert publish.publish_release(spark, root, now()) == 2 and folders() == done
+
+
+def test_a_publication_writes_the_tables_that_change(spark, world, tmp_path):  # noqa: F811
+    root = str(tmp_path)
+    blocked = world["admission_rule_candidates"].filter("id IN (6, 8, 12)")  # no programme, no title, not waiting
+    stored(spark, root, world | {"admission_rule_candidates": blocked})
+    before = releases.current(spark, root)[1]
+    assert publish.publish_release(spark, root, now()) == 2
+    after = releases.current(spark, root)[1]
+    assert [name for name in after if after[name] != before[name]] == ["admission_rule_candidates"]
+    marks = {c.id: (c.automatic_status, c.automatic_note) for c in releases.read(spark, root)["admission_rule_candidates"].collect()}
+    assert marks == {
+        6: ("blocked", "programme_not_exactly_mapped_for_location"), 8: ("blocked", "rsosh_no_rsosh_title"), 12: ("pending_resolution", None)
+    }
+
+
+def test_checksums_are_kept_with_the_release(spark, tmp_path, monkeypatch):
+    root, frame = str(tmp_path), table(spark, "subjects", dict(id=1, code="a", name="A"), dict(id=2, code="b"))
+    empty = table(spark, "olympiads")
+    assert releases.commit(spark, root, {"subjects": frame, "olympiads": empty}, 0) == 1
+    with monkeypatch.context() as m:
+        m.setattr(releases, "_digest", None)  # no version is read again
+        assert releases.commit(spark, root, {"subjects": frame.repartition(3), "olympiads": empty}, 1) == 1
+        assert releases.commit(spark, root, {"subjects": frame.filter("id = 1")}, 1) == 2
+    # A manifest from before there were checksums: they are taken from the folder.
+    pointers.commit(spark, f"{root}/_releases", {"tables": releases.current(spark, root)[1]}, 2)
+    assert releases.commit(spark, root, {"subjects": frame.filter("id = 1"), "olympiads": empty}, 3) == 3
+    assert releases.commit(spark, root, {"subjects": frame}, 3) == 4
+
+
 SITES = "site long, campaign_id long, minimum_score int, max_attachments int, university_location_id long, source_id long, allow_hosts array<string>"
 
 
