@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ruleweave import vocab
 from ruleweave.functions.text import contains_any, direction_code, fold_tokens, let, level_of_code, strip
 from ruleweave.operators.ordered import keep_first
-from ruleweave.session import cut_lineage
+from ruleweave.session import cut_lineage, stored
 
 #: Tokens of an anchor, most bits of a filter (a quarter of a megabyte), and occurrences beyond which an anchor is dealt out.
 RUN, BITS, HOT = 3, 1 << 21, 10_000
+#: Parts of a hash that each mark a bit of a filter, and the bits of a part: three of 21 are most of a long.
+PROBES, PART = 3, 21
+
+
+def as_they_lie(rows: DataFrame) -> DataFrame:
+    return rows
 
 
 def title_aliases(title: Column | str, prefixes: Sequence[str] = vocab.TITLE_PREFIXES) -> Column:
@@ -49,25 +57,37 @@ def alias_table(
 def bit_filter(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
     """Test whether a value may be among a column of hashes: a Bloom filter of at most ``BITS`` bits.
 
-    It takes sixteen bits for each hash up to that, so the constant that goes into the plan, and what
-    the driver reads for it, is bounded whatever the table holds; beyond that it lets more through.
+    It takes 64 bits for each hash up to that, so the constant that goes into the plan, and what the
+    driver reads for it, is bounded whatever the table holds; beyond that it lets more through. Each hash
+    marks a bit by each of its ``PROBES`` parts, so that one foreign value in some 10,000 passes, at 16 bits
+    for each hash one in 200.
     """
     distinct = hashes.agg(F.approx_count_distinct(column).alias("n")).first()["n"]
-    bits = min(BITS, max(64, 1 << (16 * int(distinct)).bit_length()))
-    bit = F.pmod(column, F.lit(bits))
-    held = hashes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(_mask(bit)).alias("bits")).filter("word IS NOT NULL")
+    bits = min(BITS, max(64, 1 << (64 * int(distinct)).bit_length()))
+
+    def probes(value: Column) -> list[Column]:
+        return [F.pmod(F.shiftrightunsigned(value, part * PART), F.lit(bits)) for part in range(PROBES)]
+
+    marked = hashes.select(F.explode(F.array(*probes(F.col(column)))).alias("bit")).filter("bit IS NOT NULL")
+    held = marked.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(_mask(F.col("bit"))).alias("bits"))
     words = [0] * (bits // 64)
     for row in held.collect():
         words[row["word"]] = row["bits"]
     marks = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a constant
 
     def holds(value: Column) -> Column:
-        at = F.pmod(value, F.lit(bits))
-        return F.get(marks, F.shiftright(at, 6).cast("int")).bitwiseAND(_mask(at)) != 0
+        tests = [F.get(marks, F.shiftright(at, 6).cast("int")).bitwiseAND(_mask(at)) != 0 for at in probes(value)]
+        return reduce(and_, tests)
 
     return holds
 
 
+def rows_of(rows: DataFrame, keys: Sequence[str], some: DataFrame) -> DataFrame:
+    """Rows whose keys are among some; most others are filtered before the shuffle. ``some`` is read three times."""
+    may_be = bit_filter(some.select(F.xxhash64(*keys).alias("key")), "key")
+    return rows.filter(may_be(F.xxhash64(*keys))).join(some, [*keys], "left_semi")
+
+
 def _mask(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
 
@@ -177,24 +197,30 @@ def letter_grams(folded: Column | str) -> Column:
 
 
 def names_in_text(
-    texts: DataFrame, key: str, text: str, hits: DataFrame, names: DataFrame, scope: Sequence[str]
+    texts: DataFrame, key: str, text: str, hits: DataFrame, names: DataFrame, scope: Sequence[str],
+    spread: Callable[[DataFrame], DataFrame] = as_they_lie,
 ) -> DataFrame:
     """(text_key, title_key, name, n, first) for each name of a hit title that is part of the text.
 
-    A name is anchored by its first letters: only hashes of letter grams are exploded and shuffled,
-    and the text itself joins once, to verify the few names whose anchor it has.
+    A name is anchored by its first letters: of a text's letter grams only the hashes that may be such an
+    anchor are exploded and shuffled, and the text itself joins once, to verify the few names whose anchor
+    it has. The texts that have a hit are a table in the shared folder, so the others are read once more and
+    not shuffled. ``spread`` deals them out for the grams.
     """
-    folded = texts.select(*scope, F.col(key).alias("text_key"), fold_tokens(text).alias("folded"))
-    wanted = folded.join(hits.select(*scope, "text_key").distinct(), [*scope, "text_key"], "left_semi")
-    grams = wanted.select(*scope, "text_key", F.explode(letter_grams("folded")).alias("gram"))
+    own = [*scope, "text_key"]
+    keyed = texts.select(*scope, F.col(key).alias("text_key"), F.col(text).alias("_text"))
+    wanted = stored(rows_of(keyed, own, hits.select(*own).distinct()).select(*own, fold_tokens("_text").alias("folded")))
     anchored = names.filter(F.length("name") >= GRAM).withColumn("gram", F.xxhash64(F.substring("name", 1, GRAM)))
-    likely = grams.join(hits, [*scope, "text_key"]).join(anchored, [*scope, "title_key", "gram"]).drop("gram")
-    return likely.join(wanted, [*scope, "text_key"]).filter(F.contains("folded", F.col("name"))).drop("folded")
+    may_be = bit_filter(anchored.select("gram"), "gram")
+    grams = spread(wanted).select(*own, F.explode(F.filter(letter_grams("folded"), may_be)).alias("gram"))
+    likely = grams.join(hits, own).join(anchored, [*scope, "title_key", "gram"]).drop("gram")
+    return likely.join(wanted, own).filter(F.contains("folded", F.col("name"))).drop("folded")
 
 
 def catalogue_match(
     candidates: DataFrame, key: str, text: str, profiles: DataFrame, scope: Sequence[str] = (),
     prefixes: Sequence[str] = vocab.TITLE_PREFIXES, generic: Sequence[str] = vocab.GENERIC_TITLE_WORDS,
+    spread: Callable[[DataFrame], DataFrame] = as_they_lie,
 ) -> DataFrame:
     """One outcome per candidate: resolved, ambiguous or unresolved, each with its reason.
 
@@ -203,12 +229,12 @@ def catalogue_match(
     enough and part of the text; its first letters are equi-joined with the letter grams of the
     text, so the profiles of one title are never paired with all texts that name the title. The
     title hits are checkpointed as narrow pairs and the profiles as their counted names, which every later
-    step reads.
+    step reads. ``spread`` deals out the candidates where their texts are read, and only there.
     """
     names = cut_lineage(profile_names(profiles, scope))
     titles = names.groupBy(*scope, "title_key").agg(F.sum("n").alias("n_profiles"))
-    hits = hit_pairs(candidates, key, text, titles, scope, prefixes, generic)
-    present = names_in_text(candidates, key, text, hits, names, scope).groupBy(*scope, "text_key").agg(
+    hits = hit_pairs(spread(candidates), key, text, titles, scope, prefixes, generic)
+    present = names_in_text(candidates, key, text, hits, names, scope, spread).groupBy(*scope, "text_key").agg(
         F.sum("n").alias("profile_hits"), F.min("first").alias("_only")
     )
     named = hits.join(titles, [*scope, "title_key"]).groupBy(*scope, "text_key").agg(
@@ -238,6 +264,7 @@ def catalogue_match(
 def alternatives(
     ambiguous: DataFrame, key: str, text: str, profiles: DataFrame, scope: Sequence[str] = (),
     prefixes: Sequence[str] = vocab.TITLE_PREFIXES, generic: Sequence[str] = vocab.GENERIC_TITLE_WORDS,
+    spread: Callable[[DataFrame], DataFrame] = as_they_lie,
 ) -> tuple[DataFrame, DataFrame]:
     """What a reviewer has to choose from for ambiguous candidates, as (choices, classes).
 
@@ -246,10 +273,10 @@ def alternatives(
     (title_key, name, profile_id) hold each profile once. A title with very many profiles so costs its
     profiles once and each text that names it one row, not their product.
     """
-    names = profile_names(profiles, scope)
+    names = cut_lineage(profile_names(profiles, scope))
     titles = names.select(*scope, "title_key").distinct()
-    hits = hit_pairs(ambiguous, key, text, titles, scope, prefixes, generic)
-    present = names_in_text(ambiguous, key, text, hits, names, scope).select(*scope, "text_key", "title_key", "name")
+    hits = hit_pairs(spread(ambiguous), key, text, titles, scope, prefixes, generic)
+    present = names_in_text(ambiguous, key, text, hits, names, scope, spread).select(*scope, "text_key", "title_key", "name")
     silent = hits.join(present.select(*scope, "text_key").distinct(), [*scope, "text_key"], "left_anti")
     choices = present.unionByName(silent.withColumn("name", F.lit(None).cast("string"))).withColumnRenamed("text_key", key)
     classes = profiles.select(*scope, fold_tokens("title").alias("title_key"), fold_tokens("profile_title").alias("name"), "profile_id")

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ruleweave import vocab
 from ruleweave.operators import resolve as r
 from ruleweave.plans.publish import PUBLISHED, READ, outcomes, publish_queue, publish_release, summary
-from ruleweave.plans.queries.base import CATALOGUE_SQL, Source, catalogue, query
+from ruleweave.plans.queries.base import CATALOGUE_SQL, Source, catalogue, deal, query
 from ruleweave.plans.queries.scalars import sql_tokens
 from ruleweave.schemas import TABLES
-from ruleweave.session import shared_folder, stored
+from ruleweave.session import cut_lineage, shared_folder, stored
 from ruleweave.sources import releases
 
 # Both sides are folded to single-space tokens, so presence is plain containment in padded text.
@@ -62,8 +62,8 @@ def _profiles(s: Source) -> DataFrame:
 
 
 def matched(s: Source) -> DataFrame:
-    docs = s.dealt("documents", "doc_id", "lang", "text")
-    return r.catalogue_match(docs, "doc_id", "text", _profiles(s), prefixes=(), generic=())
+    docs = s.documents.select("doc_id", "lang", "text")
+    return r.catalogue_match(docs, "doc_id", "text", _profiles(s), prefixes=(), generic=(), spread=deal)
 
 
 @query("catalog_match", f"WITH {HITS}, {PROFILES} SELECT doc_id, title_hits, profile_hits, match_status, match_reason, matched_profile_id FROM matched")
@@ -91,8 +91,9 @@ def match_summary(s: Source):
 )
 def match_alternatives(s: Source):
     found, profiles = matched(s), _profiles(s)
-    unclear = found.filter("match_status = 'ambiguous'").select("doc_id").join(s.dealt("documents", "doc_id", "text"), "doc_id")
-    choices, classes = r.alternatives(unclear, "doc_id", "text", profiles, prefixes=(), generic=())
+    unclear = cut_lineage(found.filter("match_status = 'ambiguous'").select("doc_id"))
+    texts = stored(r.rows_of(s.documents.select("doc_id", "text"), ["doc_id"], unclear))
+    choices, classes = r.alternatives(texts, "doc_id", "text", profiles, prefixes=(), generic=(), spread=deal)
     both = choices.withColumn("profile_id", F.lit(None).cast("long")).unionByName(classes.withColumn("doc_id", F.lit(None).cast("long")))
     return both.select("doc_id", F.md5("title_key").alias("title"), "name", "profile_id")
 

@@ -66,6 +66,54 @@ def test_the_walk_expands_no_page_behind_one_that_fills_the_cap(spark):
     assert {r.url for r in queued[-1].collect()} == {"t0", *links_of["h1"]}  # nothing of h2 and later
 
 
+def test_a_filter_lets_hardly_any_foreign_hash_through(spark, monkeypatch):
+    own = spark.range(200).select(F.xxhash64("id").alias("h"))
+    foreign = spark.range(1_000, 101_000).select(F.xxhash64("id").alias("h"))
+    may_be = resolve.bit_filter(own.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS h")), "h")
+    assert own.filter(may_be(F.col("h"))).count() == 200
+    assert foreign.filter(may_be(F.col("h"))).count() < 100
+    monkeypatch.setattr(resolve, "BITS", 1 << 12)  # as full as a filter of BITS bits by 100,000 hashes
+    tight = resolve.bit_filter(own, "h")
+    assert own.filter(tight(F.col("h"))).count() == 200 and foreign.filter(tight(F.col("h"))).count() < 1_000
+    none = resolve.bit_filter(own.filter("false"), "h")
+    assert foreign.filter(none(F.col("h"))).count() == 0
+
+
+def test_rows_of_keys_keep_repeated_rows_and_leave_out_null_keys(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (None, 1, "c"), (2, 1, "d")], "scope int, id long, text string")
+    some = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (3, 1)], "scope int, id long")
+    found = resolve.rows_of(rows, ["scope", "id"], some)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a"), (1, 1, "a")]
+    assert resolve.rows_of(rows, ["scope", "id"], some.filter("false")).count() == 0
+
+
+def test_only_texts_with_a_hit_are_dealt_out_for_their_letters(spark):
+    profiles = spark.createDataFrame([(1, "alpha beta gamma", "omega"), (2, "alpha beta gamma", "other")], "profile_id long, title string, profile_title string")
+    profiles = profiles.withColumn("level", F.lit(1))
+    text = F.when(F.col("id") % 100 == 0, "alpha beta gamma omega other").otherwise("omega other alpha beta")
+    docs, dealt = spark.range(1_000).select("id", text.alias("text")), []
+
+    def spread(frame):
+        dealt.append(frame.count())
+        return frame
+
+    found = resolve.catalogue_match(docs, "id", "text", profiles, prefixes=(), generic=(), spread=spread)
+    unclear = {row.id for row in found.filter("match_status = 'ambiguous'").collect()}
+    assert unclear == set(range(0, 1_000, 100)) and dealt == [1_000, 10]
+
+
+def test_match_alternatives_deals_the_documents_out_once(spark):
+    dealt = []
+
+    def watched(frame):
+        dealt.append(frame.count())
+        return frame
+
+    with mock.patch.object(resolution, "deal", watched):
+        QUERIES["match_alternatives"](spark, FOLDER).count()
+    assert dealt[0] == 200 and dealt[1:] and max(dealt[1:]) < 100
+
+
 def test_matching_reads_identities_that_are_cut_off_from_the_catalogue(spark):
     with mock.patch.object(publish, "catalogue_match", side_effect=InterruptedError) as matching:
         try:
